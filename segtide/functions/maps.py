@@ -1,0 +1,27 @@
+"""Expressions over count maps and short arrays."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def _total(counts: Column) -> Column:
+    return F.aggregate(F.map_values(counts), F.lit(0).cast("double"), lambda acc, v: acc + v)
+
+
+def normalise(counts: Column) -> Column:
+    """Map values divided by their sum."""
+    total = _total(counts)
+    return F.transform_values(counts, lambda _, v: F.try_divide(v.cast("double"), total))
+
+
+def breadth_and_volume(counts: Column) -> Column:
+    """``[number of keys, sum of values]``, ``[0, 0]`` for a missing map."""
+    pair = F.array(F.size(F.map_keys(counts)).cast("bigint"), _total(counts).cast("bigint"))
+    return F.when(counts.isNull(), F.array(F.lit(0).cast("bigint"), F.lit(0).cast("bigint"))).otherwise(pair)
+
+
+def first_items(items: Column, n: int = 10) -> Column:
+    """The first ``n`` items of an array."""
+    return F.slice(items, 1, n)
