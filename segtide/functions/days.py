@@ -1,52 +1,32 @@
-"""Distinct days of a bounded period as bitmaps.
-
-A period has a known number of days, so the set of days a user was active on
-fits a few 64-bit words that merge with ``bit_or``. Counting distinct days then
-is an ordinary mergeable aggregate: every map task sends one row per user and
-period, however many log rows the user has, and one shuffle is enough where
-``count(distinct day)`` takes two.
-"""
+"""Distinct days of a bounded period, and gaps between days."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = 64
 
 
-def day_words(flag: Column, offset: Column, n_days: int) -> list[Column]:
-    """Aggregates holding the day offsets (0-based) of the rows where ``flag`` is true."""
-    words = []
-    for low in range(0, n_days, WORD):
-        inside = (offset >= low) & (offset < low + WORD)
-        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), offset - low)
-        words.append(F.coalesce(F.bit_or(F.when(flag & inside, bit)), F.lit(0).cast("bigint")))
-    return words
-
-
-def count_days(words: list[Column]) -> Column:
-    """Number of distinct days in the bitmap."""
-    return reduce(lambda a, b: a + b, [F.bit_count(w).cast("bigint") for w in words])
-
-
-def days_of(words: Column, start: Column, n_days: int) -> Column:
-    """The days of a bitmap array in ascending order; at most ``n_days`` of them."""
-    offsets = F.sequence(F.lit(0), F.lit(n_days - 1))
-
-    def is_set(i: Column) -> Column:
-        word = F.get(words, F.shiftright(i, 6))
-        return F.getbit(word, i % WORD) == 1
+def distinct_days(flag: str, offset: str, n_days: int) -> Column:
+    """Aggregate: number of distinct values of ``offset`` in rows where ``flag`` is true.
 
-    return F.transform(F.filter(offsets, is_set), lambda i: F.date_add(start, i))
+    ``offset`` counts days from the period's start, so the days seen fit a few
+    64-bit words that merge with ``bit_or``. Unlike ``count(distinct day)`` this
+    merges on the map side and needs one shuffle: every map task sends one row
+    per group, however many log rows the group has.
+    """
+    words = [
+        f"bit_or(CASE WHEN {flag} AND {offset} >= {low} AND {offset} < {low + WORD} "
+        f"THEN shiftleft(1L, {offset} - {low}) END)"
+        for low in range(0, n_days, WORD)
+    ]
+    return F.expr("CAST(" + " + ".join(f"coalesce(bit_count({w}), 0)" for w in words) + " AS BIGINT)")
 
 
 def date_gaps(days: Column) -> Column:
     """Days between neighbours of an ascending array of dates; empty for fewer than two."""
-    none = F.array().cast("array<bigint>")
-    gap = lambda i: F.datediff(F.get(days, i), F.get(days, i - 1)).cast("bigint")
-    return F.when(F.size(days) < 2, none).when(
-        days.isNotNull(), F.transform(F.sequence(F.lit(1), F.size(days) - 1), gap)
+    n = F.greatest(F.size(days) - 1, F.lit(0))
+    return F.zip_with(
+        F.slice(days, 2, n), F.slice(days, 1, n), lambda day, before: F.datediff(day, before).cast("bigint")
     )

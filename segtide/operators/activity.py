@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segtide.functions import days
-from segtide.periods import Period, check_disjoint, in_any, period_index, period_name, period_start
+from segtide.periods import Period, check_disjoint, in_any, period_index, period_name, period_start, quoted
 
 # Fixed value: the id shared by users who are not logged in. Their play rows
 # count, but spend rows are never credited to it.
@@ -20,33 +20,28 @@ def user_periods(activity: DataFrame, periods: Sequence[Period]) -> DataFrame:
 
     Every aggregate merges on the map side, so a user with a third of all log
     rows costs one row per map task and period. ``spend_coin`` is NULL without a
-    spend row; ``play_bits`` and ``spend_bits`` hold the active days.
+    spend row.
     """
     check_disjoint(periods)
     n_days = max(p.n_days for p in periods)
-    day, played, spent = F.col("dt"), F.col("played"), F.col("spent")
-    rows = activity.where(in_any(day, periods)).select(
+    rows = activity.where(in_any("dt", periods)).select(
         "user_id",
-        period_index(day, periods).alias("period_no"),
-        F.datediff(day, period_start(day, periods)).alias("day_no"),
+        period_index("dt", periods).alias("period_no"),
+        F.datediff("dt", period_start("dt", periods)).alias("day_no"),
         "dt",
         "played",
         "spent",
         "coin",
     )
-    play_words = days.day_words(played, F.col("day_no"), n_days)
-    spend_words = days.day_words(spent, F.col("day_no"), n_days)
     totals = rows.groupBy("user_id", "period_no").agg(
-        days.count_days(play_words).alias("play_days"),
-        F.max(F.when(played, day)).alias("last_play"),
-        days.count_days(spend_words).alias("spend_days"),
-        F.sum(F.when(spent, F.col("coin"))).alias("spend_coin"),
-        F.count_if(spent).alias("spend_time"),
-        F.max(F.when(spent, day)).alias("last_spend"),
-        F.array(*play_words).alias("play_bits"),
-        F.array(*spend_words).alias("spend_bits"),
+        days.distinct_days("played", "day_no", n_days).alias("play_days"),
+        F.expr("max(dt) FILTER (WHERE played)").alias("last_play"),
+        days.distinct_days("spent", "day_no", n_days).alias("spend_days"),
+        F.expr("sum(coin) FILTER (WHERE spent)").alias("spend_coin"),
+        F.expr("count_if(spent)").alias("spend_time"),
+        F.expr("max(dt) FILTER (WHERE spent)").alias("last_spend"),
     )
-    return totals.withColumn("period", period_name(F.col("period_no"), periods)).drop("period_no")
+    return totals.withColumn("period", period_name("period_no", periods)).drop("period_no")
 
 
 def spread_periods(
@@ -58,7 +53,7 @@ def spread_periods(
     row there. Users absent in all named periods do not appear.
     """
     cells = [
-        F.max(F.when(F.col("period") == name, F.col(c))).alias(f"{c}_{i}")
+        F.expr(f"max(CASE WHEN period = {quoted(name)} THEN {c} END)").alias(f"{c}_{i}")
         for i, name in enumerate(names, 1)
         for c in columns
     ]

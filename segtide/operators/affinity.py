@@ -24,73 +24,61 @@ USER_KEYS = ("period", "user_id")
 
 
 def app_counts(activity: DataFrame, periods: Sequence[Period]) -> DataFrame:
-    """Play and spend rows per period, user and app, counted on the map side first.
+    """Play and spend rows per period, user and known app, counted on the map side first.
 
     The shared user id is never credited with spending.
     """
     check_disjoint(periods)
-    spent = F.col("spent") & (F.col("user_id") != SHARED_USER)
     return (
-        activity.where(in_any(F.col("dt"), periods))
-        .groupBy(period_index(F.col("dt"), periods).alias("period_no"), "user_id", "app")
-        .agg(F.count_if("played").alias("plays"), F.count_if(spent).alias("spends"))
-        .select(period_name(F.col("period_no"), periods).alias("period"), "user_id", "app", "plays", "spends")
+        activity.where(in_any("dt", periods) & F.col("app").isNotNull())
+        .groupBy(period_index("dt", periods).alias("period_no"), "user_id", "app")
+        .agg(
+            F.expr("count_if(played)").alias("plays"),
+            F.expr(f"count_if(spent AND user_id <> {SHARED_USER})").alias("spends"),
+        )
+        .select(period_name("period_no", periods).alias("period"), "user_id", "app", "plays", "spends")
     )
 
 
 def user_volumes(counts: DataFrame) -> DataFrame:
     """Breadth (apps) and volume (rows) per period and user, for plays and spends.
 
-    ``play_rows`` also counts rows without an app: they make a user a player.
+    ``n_rows`` is the number of the user's rows in ``counts``. It is phrased over
+    both counts, which every row has one of, so that every reader of ``counts``
+    needs the same columns and Spark computes their shuffle once.
     """
-    known = F.col("app").isNotNull()
-
-    def pair(source: str, name: str) -> list[Column]:
-        n = F.col(source)
-        return [
-            F.count_if(known & (n > 0)).alias(f"{name}_apps"),
-            F.sum(F.when(known, n).otherwise(0)).alias(f"{name}_total"),
-        ]
-
     return counts.groupBy(*USER_KEYS).agg(
-        F.count("*").alias("n_rows"),
-        F.sum("plays").alias("play_rows"),
-        *pair("plays", "play"),
-        *pair("spends", "spend"),
-    )
-
-
-def _of_players(counts: DataFrame, users: DataFrame, sizes: DataFrame, hot_rows: int, pieces: int) -> DataFrame:
-    """Counts of known apps joined to the users' rows; spenders who never played drop out."""
-    return join_per_key(
-        counts.where(F.col("app").isNotNull()),
-        users.where(F.col("play_rows") > 0),
-        on=USER_KEYS,
-        spread_by="app",
-        sizes=sizes,
-        hot_rows=hot_rows,
-        pieces=pieces,
+        F.expr("count_if(plays + spends >= 0)").alias("n_rows"),
+        F.expr("count_if(plays > 0)").alias("play_apps"),
+        F.expr("sum(plays)").alias("play_total"),
+        F.expr("count_if(spends > 0)").alias("spend_apps"),
+        F.expr("sum(spends)").alias("spend_total"),
     )
 
 
-def _by_source(rows: DataFrame, *carried: str, **of_source: str) -> DataFrame:
+def _by_source(rows: DataFrame, *carried: str, total: bool = False) -> DataFrame:
     """Unfold play and spend columns into a row each, dropping empty counts."""
 
-    def side(label: str, name: str) -> Column:
-        columns = [F.col(f"{name}_{c}").alias(alias) for alias, c in of_source.items()]
-        return F.struct(F.lit(label).alias("source"), F.col(f"{name}s").alias("n"), *columns)
+    def side(label: str, name: str) -> str:
+        more = f", 'total', {name}_total" if total else ""
+        return f"named_struct('source', '{label}', 'n', {name}s{more})"
 
-    unfolded = rows.select(*carried, F.inline(F.array(side(PLAY, "play"), side(SPEND, "spend"))))
-    return unfolded.where(F.col("n") > 0)
+    sides = F.expr(f"inline(array({side(PLAY, 'play')}, {side(SPEND, 'spend')}))")
+    return rows.select(*carried, sides).where(F.col("n") > 0)
 
 
-def user_app_profile(counts: DataFrame, hot_rows: int = HOT_ROWS, pieces: int = PIECES) -> DataFrame:
-    """Rows ``period, user_id, source, app, n`` of every player: how often which app was played or paid for."""
-    users = user_volumes(counts)
-    players = users.select(*USER_KEYS, "n_rows", "play_rows")
-    return _by_source(_of_players(counts, players, users, hot_rows, pieces), *USER_KEYS, "app").select(
-        *USER_KEYS, "source", "app", "n"
-    )
+def user_app_profile(
+    counts: DataFrame, players: DataFrame, hot_rows: int = HOT_ROWS, pieces: int = PIECES
+) -> DataFrame:
+    """Rows ``period, user_id, source, app, n`` of every player: how often which app was played or paid for.
+
+    ``players`` has one row ``period, user_id`` per player; spenders who never
+    played in the period drop out.
+    """
+    sizes = user_volumes(counts).select(*USER_KEYS, "n_rows")
+    users = sizes.join(players.select(*USER_KEYS), list(USER_KEYS))
+    rows = join_per_key(counts, users, USER_KEYS, "app", sizes, hot_rows=hot_rows, pieces=pieces)
+    return _by_source(rows, *USER_KEYS, "app").select(*USER_KEYS, "source", "app", "n")
 
 
 def profile_maps(profile: DataFrame, entries: int = 10_000) -> DataFrame:
@@ -139,9 +127,9 @@ def segment_terms(
     """
     sizes = user_volumes(counts)
     users = sizes.join(segments, list(USER_KEYS))
-    rows = _of_players(counts, users, sizes, hot_rows, pieces)
-    weights = _by_source(rows, "period", "seg", "app", total="total")
-    return weights.groupBy("period", "source", "seg", "app").agg(F.sum(F.col("n") / F.col("total")).alias("stf"))
+    rows = join_per_key(counts, users, USER_KEYS, "app", sizes, hot_rows=hot_rows, pieces=pieces)
+    weights = _by_source(rows, "period", "seg", "app", total=True)
+    return weights.groupBy("period", "source", "seg", "app").agg(F.expr("sum(n / total)").alias("stf"))
 
 
 def weigh_terms(terms: DataFrame, frequencies: DataFrame, size: Column | int) -> DataFrame:

@@ -5,26 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segtide.functions.days import date_gaps, days_of
+from segtide.functions.days import date_gaps
 from segtide.operators.activity import SHARED_USER
 from segtide.operators.affinity import PLAY, SPEND
-from segtide.periods import Period
+from segtide.periods import Period, in_any
 
 
-def active_days(rows: DataFrame, period: Period) -> DataFrame:
+def active_days(activity: DataFrame, period: Period) -> DataFrame:
     """Ascending play and spend days of each player in one period.
 
-    ``spend_dates`` is NULL without a credited spend row. The arrays are bounded
-    by the days of the period.
+    ``spend_dates`` is NULL without a credited spend row. Both arrays are sets of
+    days and so bounded by the length of the period.
     """
-    start = F.lit(period.start)
-
-    def dates(bits: str) -> Column:
-        return days_of(F.col(bits), start, period.n_days)
-
-    spender = (F.col("spend_days") > 0) & (F.col("user_id") != SHARED_USER)
-    return rows.where((F.col("period") == period.name) & (F.col("play_days") > 0)).select(
-        "user_id", dates("play_bits").alias("play_dates"), F.when(spender, dates("spend_bits")).alias("spend_dates")
+    return (
+        activity.where(in_any("dt", [period]))
+        .groupBy("user_id")
+        .agg(
+            F.expr("array_sort(collect_set(CASE WHEN played THEN dt END))").alias("play_dates"),
+            F.expr(f"array_sort(collect_set(CASE WHEN spent AND user_id <> {SHARED_USER} THEN dt END))").alias(
+                "spend_dates"
+            ),
+        )
+        .where("size(play_dates) > 0")
+        .withColumn("spend_dates", F.expr("CASE WHEN size(spend_dates) > 0 THEN spend_dates END"))
     )
 
 
@@ -53,12 +56,12 @@ def gap_arrays(users: DataFrame, days: DataFrame) -> DataFrame:
 
 
 def user_features(labels: DataFrame, volumes: DataFrame) -> DataFrame:
-    """Labels and raw values of all users with the app breadth and volume of one period.
+    """Labels and raw values of all users with the app breadth and volume of one period, the first.
 
-    ``volumes`` has one row per user of that period; users absent from it get
-    zeros. Spenders who never played count as absent.
+    ``volumes`` has one row per user of that period; users who did not play in it
+    get zeros, even if they spent.
     """
-    played = F.col("play_rows") > 0
+    played = F.col("p1_play_days") > 0
 
     def filled(name: str) -> Column:
         return F.coalesce(F.when(played, F.col(name)), F.lit(0)).alias(name)

@@ -46,7 +46,7 @@ def totals_of_months(wide: DataFrame, n_months: int) -> DataFrame:
 
 def spender_totals(activity: DataFrame, periods: Sequence[Period]) -> DataFrame:
     """The same totals straight from the log, without the months in between."""
-    spends = activity.where(in_any(F.col("dt"), check_disjoint(periods)) & F.col("spent"))
+    spends = activity.where(in_any("dt", check_disjoint(periods)) & F.col("spent"))
     return spends.groupBy("user_id").agg(
         F.max("dt").alias("recency"), F.count("*").alias("frequency"), F.sum("coin").alias("monetary")
     )

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,8 +26,9 @@ class Period:
     def n_days(self) -> int:
         return (self.end - self.start).days + 1
 
-    def holds(self, day: Column) -> Column:
-        return day.between(F.lit(self.start), F.lit(self.end))
+    def holds(self, day: str) -> str:
+        """SQL condition that a date column lies in the period."""
+        return f"{day} BETWEEN DATE'{self.start}' AND DATE'{self.end}'"
 
     @classmethod
     def year(cls, year: int, name: str | None = None) -> Period:
@@ -48,28 +48,31 @@ def check_disjoint(periods: Sequence[Period]) -> Sequence[Period]:
     return periods
 
 
-def in_any(day: Column, periods: Sequence[Period]) -> Column:
+def quoted(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def in_any(day: str, periods: Sequence[Period]) -> Column:
     """Filter for the days of any of the periods; it reaches the file scan."""
-    return reduce(lambda a, b: a | b, [p.holds(day) for p in periods])
+    return F.expr(" OR ".join(f"({p.holds(day)})" for p in periods))
 
 
-def _by_period(day: Column, periods: Sequence[Period], value) -> Column:
-    chain = F
-    for i, p in enumerate(periods):
-        chain = chain.when(p.holds(day), F.lit(value(i, p)))
-    return chain
+def _by_period(day: str, periods: Sequence[Period], values: Sequence[str]) -> Column:
+    arms = " ".join(f"WHEN {p.holds(day)} THEN {v}" for p, v in zip(periods, values))
+    return F.expr(f"CASE {arms} END")
 
 
-def period_index(day: Column, periods: Sequence[Period]) -> Column:
+def period_index(day: str, periods: Sequence[Period]) -> Column:
     """Position of the period a day lies in; NULL outside all of them."""
-    return _by_period(day, periods, lambda i, p: i)
+    return _by_period(day, periods, [str(i) for i in range(len(periods))])
 
 
-def period_start(day: Column, periods: Sequence[Period]) -> Column:
+def period_start(day: str, periods: Sequence[Period]) -> Column:
     """First day of the period a day lies in; NULL outside all of them."""
-    return _by_period(day, periods, lambda i, p: p.start)
+    return _by_period(day, periods, [f"DATE'{p.start}'" for p in periods])
 
 
-def period_name(index: Column, periods: Sequence[Period]) -> Column:
+def period_name(index: str, periods: Sequence[Period]) -> Column:
     """Name of the period at a position, the inverse of ``period_index``."""
-    return F.element_at(F.array(*[F.lit(p.name) for p in periods]), index + 1)
+    return F.expr(f"element_at(array({', '.join(quoted(p.name) for p in periods)}), {index} + 1)")

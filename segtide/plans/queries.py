@@ -215,7 +215,9 @@ def user_rfm_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def user_app_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return affinity.user_app_profile(affinity.app_counts(read_activity(spark, sf_dir, PERIODS), PERIODS))
+    log = read_activity(spark, sf_dir, PERIODS)
+    players = activity.players(activity.user_periods(log, PERIODS))
+    return affinity.user_app_profile(affinity.app_counts(log, PERIODS), players)
 
 
 @query
@@ -268,9 +270,9 @@ def user_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def user_gap_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, sf_dir)
-    users = activity.players(rows).select("user_id").distinct()
-    gaps = features.gap_arrays(users, features.active_days(rows, P1))
+    log = read_activity(spark, sf_dir, PERIODS)
+    users = activity.players(activity.user_periods(log, PERIODS)).select("user_id").distinct()
+    gaps = features.gap_arrays(users, features.active_days(log, P1))
     return gaps.withColumns(
         {c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("play_gaps", "spend_gaps")}
     )
@@ -278,7 +280,7 @@ def user_gap_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def visit_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.visit_gaps(features.active_days(_rows(spark, sf_dir, (P1,)), P1))
+    return features.visit_gaps(features.active_days(read_activity(spark, sf_dir, (P1,)), P1))
 
 
 @query

@@ -8,8 +8,7 @@ hundredth of their price in whole coins.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime, time, timedelta
-from functools import reduce
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,13 +18,12 @@ from segtide.periods import Period
 
 def _shipped_in(periods: Sequence[Period]) -> Column:
     """Day filter on the stored timestamp itself, so that it reaches the file scan."""
-
-    def bound(day) -> Column:
-        return F.lit(datetime.combine(day, time())).cast("timestamp_ntz")
-
-    shipped = F.col("l_shipdate")
-    ranges = [(shipped >= bound(p.start)) & (shipped < bound(p.end + timedelta(days=1))) for p in periods]
-    return reduce(lambda a, b: a | b, ranges)
+    ranges = [
+        f"(l_shipdate >= TIMESTAMP_NTZ'{p.start} 00:00:00' AND "
+        f"l_shipdate < TIMESTAMP_NTZ'{p.end + timedelta(days=1)} 00:00:00')"
+        for p in periods
+    ]
+    return F.expr(" OR ".join(ranges))
 
 
 def _line_items(spark: SparkSession, sf_dir: str, periods: Sequence[Period] | None) -> DataFrame:
