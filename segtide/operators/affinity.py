@@ -24,13 +24,15 @@ USER_KEYS = ("period", "user_id")
 
 
 def app_counts(activity: DataFrame, periods: Sequence[Period]) -> DataFrame:
-    """Play and spend rows per period, user and known app, counted on the map side first.
+    """Play and spend rows per period, user and app, counted on the map side first.
 
-    The shared user id is never credited with spending.
+    Rows without an app or a user count for nobody. The shared user id is never
+    credited with spending.
     """
     check_disjoint(periods)
+    known = F.col("app").isNotNull() & F.col("user_id").isNotNull()
     return (
-        activity.where(in_any("dt", periods) & F.col("app").isNotNull())
+        activity.where(in_any("dt", periods) & known)
         .groupBy(period_index("dt", periods).alias("period_no"), "user_id", "app")
         .agg(
             F.expr("count_if(played)").alias("plays"),

@@ -58,21 +58,22 @@ def in_any(day: str, periods: Sequence[Period]) -> Column:
     return F.expr(" OR ".join(f"({p.holds(day)})" for p in periods))
 
 
-def _by_period(day: str, periods: Sequence[Period], values: Sequence[str]) -> Column:
-    arms = " ".join(f"WHEN {p.holds(day)} THEN {v}" for p, v in zip(periods, values))
-    return F.expr(f"CASE {arms} END")
-
-
 def period_index(day: str, periods: Sequence[Period]) -> Column:
-    """Position of the period a day lies in; NULL outside all of them."""
-    return _by_period(day, periods, [str(i) for i in range(len(periods))])
+    """Position of the period a day lies in, -1 outside all of them.
+
+    Never NULL: joins on a nullable key would add their own filter below it and
+    so keep Spark from sharing the work between branches.
+    """
+    arms = " ".join(f"WHEN {p.holds(day)} THEN {i}" for i, p in enumerate(periods))
+    return F.expr(f"CASE {arms} ELSE -1 END")
 
 
 def period_start(day: str, periods: Sequence[Period]) -> Column:
     """First day of the period a day lies in; NULL outside all of them."""
-    return _by_period(day, periods, [f"DATE'{p.start}'" for p in periods])
+    arms = " ".join(f"WHEN {p.holds(day)} THEN DATE'{p.start}'" for p in periods)
+    return F.expr(f"CASE {arms} END")
 
 
 def period_name(index: str, periods: Sequence[Period]) -> Column:
-    """Name of the period at a position, the inverse of ``period_index``."""
-    return F.expr(f"element_at(array({', '.join(quoted(p.name) for p in periods)}), {index} + 1)")
+    """Name of the period at a position, the inverse of ``period_index``; empty for -1."""
+    return F.expr(f"coalesce(get(array({', '.join(quoted(p.name) for p in periods)}), {index}), '')")

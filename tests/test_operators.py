@@ -1,0 +1,401 @@
+"""Operators on small logs, most of them against plain Python."""
+
+import hashlib
+import math
+import random
+from collections import Counter, defaultdict
+from datetime import date, timedelta
+
+import pytest
+from conftest import tuples
+from pyspark.sql import functions as F
+
+from segtide.operators import activity, affinity, features, migration, quadrants, ranking, scoring
+from segtide.operators.skew import join_per_key, sample_rows
+from segtide.periods import Period
+
+Q1 = Period("q1", date(2013, 1, 1), date(2013, 3, 31))
+Q2 = Period("q2", date(2013, 4, 1), date(2013, 6, 30))
+Q3 = Period("q3", date(2013, 7, 1), date(2013, 8, 31))
+QUARTERS = [Q1, Q2, Q3]
+
+
+def random_log(seed, n=400, users=12, apps=9):
+    """Plays and spends that do not follow each other; user 0 and missing apps included."""
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(n):
+        day = Q1.start + timedelta(days=rng.randrange(260))
+        app = rng.choice([None, *range(apps)])
+        kind = rng.choice(["play", "play", "spend"])
+        coin = rng.randrange(1, 900) if kind == "spend" else None
+        rows.append((rng.randrange(users) if rng.random() < 0.7 else 0, day.isoformat(), app, kind, coin))
+    # A user who only spends, and one seen on a single day.
+    rows += [(99, "2013-02-01", 3, "spend", 50), (98, "2013-02-01", 3, "play", None)]
+    return rows
+
+
+def in_period(rows, period, kind=None):
+    return [
+        r for r in rows
+        if period.start.isoformat() <= r[1] <= period.end.isoformat() and kind in (None, r[3])
+    ]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_period_activity(log, seed):
+    rows = random_log(seed)
+    expected = []
+    for p in QUARTERS:
+        plays, spends = defaultdict(set), defaultdict(list)
+        for user, day, _, _, _ in in_period(rows, p, "play"):
+            plays[user].add(day)
+        for user, day, _, _, coin in in_period(rows, p, "spend"):
+            spends[user].append((day, coin))
+        for user, played in plays.items():
+            own = spends.get(user, []) if user else []
+            expected.append((
+                user, len(played), date.fromisoformat(max(played)), len({d for d, _ in own}),
+                sum(c for _, c in own), max((date.fromisoformat(d) for d, _ in own), default=None), p.name,
+            ))
+    got = activity.period_activity(activity.user_periods(log(rows), QUARTERS))
+    assert tuples(got, *got.columns) == sorted(expected, key=repr)
+
+
+def test_shared_user_is_kept_without_spending(log):
+    rows = [(u, "2013-01-05", 1, k, 70) for u in (0, 1) for k in ("play", "spend")]
+    got = activity.period_activity(activity.user_periods(log(rows), [Q1]))
+    assert tuples(got, "user_id", "spend_days", "spend_coin", "last_spend") == [
+        (0, 0, 0, None), (1, 1, 70, date(2013, 1, 5)),
+    ]
+
+
+def test_segments_average_and_bands(log):
+    rows = [(u, f"2013-01-{d:02d}", 1, "play", None) for u, n in ((1, 1), (2, 4), (3, 7)) for d in range(1, n + 1)]
+    rows += [(2, "2013-01-01", 1, "spend", 1501), (3, "2013-01-01", 1, "spend", 0), (9, "2013-01-01", 1, "spend", 5)]
+    got = migration.login_spend_segments(activity.user_periods(log(rows), [Q1]), "q1")
+    assert tuples(got, "user_id", "L", "C", "login_day", "spend_coin", "uu") == [
+        (1, "L1", "C1", 1, 0, 1), (2, "L1", "C3", 2, 501, 1), (3, "L1", None, 3, 0, 1),
+    ]
+
+
+def test_migration(log):
+    rows = [
+        (1, "2013-01-01", 1, "play", None), (2, "2013-05-01", 1, "play", None),
+        (3, "2013-01-01", 1, "play", None), (3, "2013-01-01", 1, "spend", 0), (3, "2013-05-01", 1, "play", None),
+        (3, "2013-05-02", 1, "spend", 10_000),
+        # Spending without a login in either period: no segment, no row.
+        (4, "2013-01-01", 1, "spend", 10),
+    ]
+    moves = migration.segment_migration(activity.user_periods(log(rows), [Q1, Q2]), "q1", "q2", divisor=1)
+    assert tuples(moves, "user_id", "p1", "p2", "delta_login_day", "delta_spend_coin") == [
+        (1, "L1-C1", "L0-C0", -1, 0), (2, "L0-C0", "L1-C1", 1, 0), (3, "L1-C0", "L1-C5", 0, 10_000),
+    ]
+    shown = migration.migration_summary(moves)
+    assert {(r.p1, r.p2) for r in shown.collect()} == {("L1-C1", "->Churn"), ("New->", "L1-C1"), ("L1-C0", "L1-C5")}
+    assert migration.moved_users(moves, "L0-C0", "L1-C1").count() == 1
+
+
+def test_movement_metrics(spark):
+    rows = [(1, "a", "b", 2, 3, 1), (2, "a", "b", 3, 4, 1), (3, "a", "c", 5, -1, 1), (4, "b", "c", 9, -6, 1)]
+    moves = spark.createDataFrame(
+        rows, "user_id long, p1 string, p2 string, delta_login_day long, delta_spend_coin long, uu int"
+    )
+    summary = migration.migration_summary(moves)
+    got = {(r.p1, r.p2): (r.move_uu, r.delta_login, r.delta_coin, r.l_c_per_user, r.l_logc_per_user) for r in summary.collect()}
+    assert got[("a", "b")] == (2, 5, 7, 8.75, round(math.log(8) * 5 / 2, 6))
+    assert got[("a", "c")] == (1, 5, -1, -5.0, None)
+    assert got[("b", "c")][4] == round(math.log(5) * 9, 6)
+    assert [r.p1 for r in migration.top_moves(summary, n=1).collect()] == ["b"]
+    assert [(r.p1, r.p2) for r in migration.bottom_moves(summary).collect()][-1] == ("a", "c")
+    for metric in migration.METRICS:
+        assert migration.top_moves(summary, metric).count() == 3
+    with pytest.raises(ValueError):
+        migration.top_moves(summary, "uu")
+
+
+def test_long_delta_sums_do_not_overflow(spark):
+    big = 4_000_000_000_000
+    moves = spark.createDataFrame(
+        [(1, "a", "b", big, big, 1)],
+        "user_id long, p1 string, p2 string, delta_login_day long, delta_spend_coin long, uu int",
+    )
+    assert migration.migration_summary(moves).first().l_c_per_user == pytest.approx(1.6e25)
+
+
+def test_quadrants(log):
+    def spends(user, month, n, coin):
+        return [(user, f"2013-{month:02d}-01", 1, "spend", coin) for _ in range(n)]
+
+    rows = [
+        *spends(1, 1, 14, 600), *spends(2, 1, 1, 8000), *spends(3, 1, 14, 1), *spends(4, 1, 1, 1),
+        *spends(1, 4, 14, 600), *spends(2, 4, 1, 1), *spends(1, 7, 14, 600), *spends(3, 7, 14, 1), *spends(5, 4, 1, 1),
+    ]
+    months = quadrants.monthly_spend(activity.user_periods(log(rows), QUARTERS))
+    assert tuples(quadrants.quadrant_distribution(months, "q1"), "class", "uu", "coin") == [
+        ("C1", 1, 8400), ("C2", 1, 8000), ("C3", 1, 14), ("C4", 1, 1),
+    ]
+    assert tuples(quadrants.quadrant_migration(months, "q1", "q2"), "class_from", "class_to", "delta_uu", "delta_coin") == [
+        ("C1", "C1", 1, 0), ("C2", "C4", 1, -7999), ("C3", "notplay", 1, -14), ("C4", "notplay", 1, -1),
+    ]
+    assert tuples(quadrants.quadrant_stability(months, ["q1", "q2", "q3"]), "flag", "class1", "uu") == [
+        ("churn", "C4", 1), ("kotei", "C1", 1), ("move", "C2", 1), ("move", "C3", 1),
+    ]
+    stats = quadrants.spend_stats(months, "q1").first()
+    assert (stats.max_spend_coin, stats.min_spend_coin, stats.mean_spend_coin) == (8400, 1, 16415 // 4)
+    assert (stats.max_spend_time, stats.min_spend_time, stats.mean_spend_time) == (14, 1, 7)
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_rfm_scores_and_tables(log, seed):
+    rows = random_log(seed)
+    spends = log(rows)
+    wide = scoring.monthly_spend_wide(activity.user_periods(spends, QUARTERS), [p.name for p in QUARTERS])
+    totals = scoring.totals_of_months(wide, 3)
+    direct = scoring.spender_totals(spends, QUARTERS)
+    columns = ["user_id", "recency", "frequency", "monetary"]
+    assert tuples(totals, *columns) == tuples(direct, *columns)
+
+    cuts = ([date(2013, m, 1) for m in (3, 4, 5, 6)], (2, 4, 8, 16), (500, 1500, 3000, 6000))
+    scores = scoring.user_rfm_scores(totals, *cuts)
+    cells = scoring.rfm_cells(scores)
+    n, coin = scores.count(), scores.agg(F.sum("monetary")).first()[0]
+    assert cells.agg(F.sum("uu"), F.sum("coin")).first()[:] == (n, coin)
+    for table in (scoring.final_rank_table(cells), scoring.rf_matrix(cells), scoring.mf_matrix(cells)):
+        assert table.agg(F.sum("uu"), F.sum("coin")).first()[:] == (n, coin)
+    spread = {(r.score_name, r.score): r.uu for r in scoring.score_distribution(scores).collect()}
+    for name in "RFM":
+        assert {s: c for (k, s), c in spread.items() if k == name} == Counter(r[name] for r in scores.collect())
+    assert scoring.recency_distribution(scores).agg(F.sum("uu")).first()[0] == n
+
+
+def test_label_table(log):
+    def plays(user, *days):
+        return [(user, d, 1, "play", None) for d in days]
+
+    rows = [
+        *plays(1074, "2013-05-16"), *plays(1454, "2013-01-07", "2013-06-22", "2013-07-03"),
+        *plays(2501, "2013-03-22", "2013-04-24", "2013-04-25"), (2501, "2013-03-22", 1, "spend", 5500),
+    ]
+    table = scoring.user_rfm_labels(activity.user_periods(log(rows), QUARTERS), QUARTERS)
+    assert table.columns == [
+        "user_id", "p1", "p2", "p3", "p1_recency", "p1_play_days", "p1_spend_coin", "p2_recency", "p2_play_days",
+        "p2_spend_coin", "p3_recency", "p3_play_days", "p3_spend_coin", "p1p2_play_days", "p1p2_spend_coin",
+        "p2p3_play_days", "p2p3_spend_coin",
+    ]
+    assert tuples(table, *table.columns) == [
+        (1074, "R0F0M0", "R1F1M1", "R0F0M0", "notplay", 0, 0, "20130516", 1, 0, "notplay", 0, 0, 1, 0, -1, 0),
+        (1454, "R1F1M1", "R4F1M1", "R1F1M1", "20130107", 1, 0, "20130622", 1, 0, "20130703", 1, 0, 0, 0, 0, 0),
+        (2501, "R4F1M4", "R1F1M1", "R0F0M0", "20130322", 1, 5500, "20130425", 2, 0, "notplay", 0, 0, 1, -5500, -2, 0),
+    ]
+
+
+def test_period_map(spark):
+    seen = {
+        1: {"201307_201308": (3, 10), "201301_201302_201303": (4, 47360), "201304_201305_201306": (8, 10)},
+        5: {"201301_201302_201303": (4, 117000)},
+        46: {"201307_201308": (1, 0), "201304_201305_201306": (23, 0)},
+    }
+    rows = [(u, p, *v) for u, periods in seen.items() for p, v in periods.items()]
+    maps = activity.period_map(spark.createDataFrame(rows, "user_id long, period string, play_days long, spend_coin long"))
+    assert {r.user_id: {k: tuple(v) for k, v in r["info"].items()} for r in maps.collect()} == seen
+    assert tuples(activity.period_map_rows(maps), "user_id", "period", "play", "coin") == sorted(rows, key=repr)
+    first = activity.period_cell(maps, "201301_201302_201303")
+    assert tuples(first, "user_id", "play", "coin") == [(1, 4, 47360), (46, None, None), (5, 4, 117000)]
+
+
+def test_engagement(log):
+    rows = [
+        (1, "2013-01-01", 1, "play", None), (1, "2013-01-02", 1, "spend", 7), (1, "2013-05-01", 1, "play", None),
+        (1, "2013-05-01", 1, "spend", 9), (2, "2013-01-01", 1, "play", None), (3, "2013-01-01", 1, "spend", 5),
+        (4, "2013-05-01", 1, "play", None),
+    ]
+    users = activity.user_periods(log(rows), [Q1, Q2])
+    wide = activity.engagement_wide(users, "q1", "q2")
+    assert tuples(wide, *wide.columns) == [(1, 1, 7, 1, 9), (2, 1, 0, 0, 0)]
+    assert activity.engagement_sanity(wide).first()[:] == (2, 2, 1, 1)
+    payers = activity.payer_engagement_wide(users, "q1", "q2")
+    assert tuples(payers, *payers.columns) == [(1, 7, 1, 1, 1, 9, 1), (3, 5, 1, None, 0, 0, 0)]
+
+
+def expected_profile(rows, period):
+    players = {r[0] for r in in_period(rows, period, "play")}
+    counts = Counter()
+    for user, _, app, kind, _ in in_period(rows, period):
+        if app is None or (kind == "spend" and (user == 0 or user not in players)):
+            continue
+        counts[(period.name, user, "playdays" if kind == "play" else "spendtimes", app)] += 1
+    return counts
+
+
+# The second setting declares every user with more than two rows hot.
+@pytest.mark.parametrize("hot_rows, pieces", [(100_000, 256), (2, 3)])
+@pytest.mark.parametrize("seed", [5, 6])
+def test_profile_and_tfidf(log, seed, hot_rows, pieces):
+    rows = random_log(seed, n=500)
+    table = log(rows)
+    users = activity.user_periods(table, QUARTERS)
+    counts = affinity.app_counts(table, QUARTERS)
+    profile = affinity.user_app_profile(counts, activity.players(users), hot_rows, pieces)
+    expected = Counter()
+    for p in QUARTERS:
+        expected.update(expected_profile(rows, p))
+    assert tuples(profile, "period", "user_id", "source", "app", "n") == sorted(
+        [(*k, n) for k, n in expected.items()], key=repr
+    )
+
+    segments = scoring.labelled(users, QUARTERS)
+    seg = {(r.period, r.user_id): r.seg for r in segments.collect()}
+    totals = Counter()
+    for (p, u, s, _), n in expected.items():
+        totals[p, u, s] += n
+    stf = Counter()
+    for (p, u, s, a), n in expected.items():
+        stf[p, s, seg[p, u], a] += n / totals[p, u, s]
+    terms = affinity.segment_terms(counts, segments, hot_rows, pieces)
+    got = {(r.period, r.source, r.seg, r.app): r.stf for r in terms.collect()}
+    assert got == pytest.approx(dict(stf))
+
+    pairs = affinity.app_users(table)
+    app_users = {(r[2], r[0]) for r in rows if r[3] == "play" and r[2] is not None}
+    df = Counter(a for a, _ in app_users)
+    assert {r.app: r.df for r in affinity.document_frequency(pairs).collect()} == df
+    n_users = len({u for _, u in app_users})
+    weights = affinity.segment_app_tfidf(
+        counts, segments, affinity.document_frequency(pairs), affinity.corpus_size(pairs), {"q1": "p1"}
+    )
+    got = {(r.pp, r.info, r.seg, r.app): r.tfidf for r in weights.collect()}
+    names = {"q1": "p1"}
+    assert got == pytest.approx(
+        {
+            (names.get(p, p), s, g, a): v * math.log2(n_users / df[a])
+            for (p, s, g, a), v in stf.items() if a in df
+        }
+    )
+
+    target = seg["q1", 0]
+    one = affinity.target_segment_tfidf(counts, segments, affinity.document_frequency(pairs), n_users, "q1", target)
+    assert {r.app: r.tfidf for r in one.collect()} == pytest.approx(
+        {a: v for (p, s, g, a), v in got.items() if (p, s, g) == ("p1", "playdays", target)}
+    )
+
+
+def test_weights_of_known_terms(spark):
+    terms = spark.createDataFrame(
+        [("R1F1M1", 96, 10482.00103), ("R1F1M1", 406, 456.05183), ("R1F1M1", 5, 1.0)], "seg string, app long, stf double"
+    )
+    df = spark.createDataFrame([(96, 810141), (406, 19500)], "app long, df long")
+    got = {r.app: r.tfidf for r in affinity.weigh_terms(terms, df, 7524104).collect()}
+    assert got == pytest.approx({96: 33702.514428, 406: 3918.352565}, abs=1e-5)
+
+
+def test_top_apps(spark):
+    rows = [("p1", "playdays", "s", a, float(a % 7)) for a in range(25)] + [("p1", "playdays", "t", 3, 0.5)]
+    weights = spark.createDataFrame(rows, "pp string, info string, seg string, app long, tfidf double")
+    top = affinity.segment_top_apps(weights)
+    best = sorted(range(25), key=lambda a: (-(a % 7), a))[:10]
+    got = sorted((r["rank"], r.app) for r in top.where("seg = 's'").collect())
+    assert got == list(enumerate(best, 1))
+    lists = {r.seg: r.top10 for r in affinity.segment_top_lists(top).collect()}
+    assert lists == {"s": best, "t": [3]}
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2
+
+    combined = ranking.combined_rank(ranking.list_rows(top))
+    assert {r["item"]: r.score for r in combined.collect()} == pytest.approx(
+        {a: 1 / i + (1.0 if a == 3 else 0.0) for i, a in enumerate(best, 1)}
+    )
+
+
+@pytest.mark.parametrize("entries", [1000, 4])
+def test_profile_maps(spark, entries):
+    rows = [("q1", 1, "playdays", a, a + 1) for a in range(30)] + [("q1", 2, "playdays", 7, 2)]
+    profile = spark.createDataFrame(rows, "period string, user_id long, source string, app long, n long")
+    maps = affinity.profile_maps(profile, entries).collect()
+    merged = defaultdict(dict)
+    for r in maps:
+        assert not merged[r.user_id].keys() & r.counts.keys()
+        merged[r.user_id].update(r.counts)
+    assert merged == {1: {a: a + 1 for a in range(30)}, 2: {7: 2}}
+    assert len([r for r in maps if r.user_id == 2]) == 1
+    assert (len(maps) == 2) == (entries == 1000)
+
+
+@pytest.mark.parametrize("seed", [7, 8])
+def test_features_and_gaps(log, seed):
+    rows = random_log(seed)
+    table = log(rows)
+    profile = expected_profile(rows, Q1)
+    days = features.active_days(table, Q1)
+
+    players = {r[0] for r in in_period(rows, Q1, "play")}
+    gaps = {}
+    for kind, source in (("play", "playdays"), ("spend", "spendtimes")):
+        for user in players:
+            seen = sorted({date.fromisoformat(r[1]) for r in in_period(rows, Q1, kind) if r[0] == user})
+            if kind == "spend" and (user == 0 or not seen):
+                continue
+            gaps[user, source] = [(b - a).days for a, b in zip(seen, seen[1:])]
+    got = features.visit_gaps(days)
+    assert tuples(got, "user_id", "source", "gap_no", "gap_days") == sorted(
+        [(u, s, i, g) for (u, s), found in gaps.items() for i, g in enumerate(found, 1)], key=repr
+    )
+
+    users = activity.user_periods(table, QUARTERS)
+    labels = scoring.user_rfm_labels(users, QUARTERS)
+    arrays = features.gap_arrays(labels.select("user_id"), days)
+    for r in arrays.collect():
+        assert r.play_gaps == gaps.get((r.user_id, "playdays"), [0])
+        assert r.spend_gaps == gaps.get((r.user_id, "spendtimes"), [0])
+
+    volumes = affinity.user_volumes(affinity.app_counts(table, [Q1])).drop("period")
+    for r in features.user_features(labels, volumes).collect():
+        play = [n for (_, u, s, _), n in profile.items() if u == r.user_id and s == "playdays"]
+        spend = [n for (_, u, s, _), n in profile.items() if u == r.user_id and s == "spendtimes"]
+        assert (r.play_apps, r.play_total, r.spend_apps, r.spend_total) == (len(play), sum(play), len(spend), sum(spend))
+
+
+def test_join_per_key_splits_a_hot_key(spark):
+    rows = spark.range(3000).select((F.col("id") % 3).alias("k"), F.col("id").alias("v"))
+    rows = rows.unionByName(spark.range(6000).select(F.lit(7).cast("long").alias("k"), F.col("id").alias("v")))
+    sizes = rows.groupBy("k").agg(F.count("*").alias("n_rows"))
+    named = sizes.withColumn("name", F.concat(F.lit("k"), F.col("k")))
+    joined = join_per_key(rows, named, ["k"], "v", sizes, hot_share=0.5, hot_rows=1, pieces=16)
+    assert joined.count() == 9000
+    assert joined.select("k", "name").distinct().count() == 4
+    assert tuples(joined.groupBy("k").count(), "k", "count") == [(0, 1000), (1, 1000), (2, 1000), (7, 6000)]
+
+
+@pytest.mark.parametrize("n", [1, 17, 999, 1000, 5000])
+def test_sample_is_the_hash_order_cut(spark, n):
+    df = spark.range(1000).withColumnRenamed("id", "user_id")
+    ids = sorted(range(1000), key=lambda i: hashlib.md5(f"{i}x".encode()).hexdigest())[:n]
+    got = [r.user_id for r in sample_rows(df, F.col("user_id"), n, "x").collect()]
+    assert sorted(got) == sorted(ids)
+
+
+def test_sample_needs_a_size(spark):
+    with pytest.raises(ValueError):
+        sample_rows(spark.range(3), F.col("id"), 0)
+
+
+def test_training_sample(spark):
+    scores = spark.createDataFrame(
+        [(1, 5, 1, 2, date(2013, 6, 1), 3, 600)],
+        "user_id long, R int, F int, M int, recency date, frequency long, monetary long",
+    )
+    sample = scoring.training_sample(scores, date(2013, 1, 1))
+    assert tuples(sample, "recency_days", "frequency", "monetary", "rfm") == [(151, 3, 600, "5_1_2")]
+
+
+def test_first_reports(spark, log):
+    logins = spark.createDataFrame(
+        [(1, date(2013, 4, 1), 2), (1, date(2013, 4, 1), 2), (2, date(2013, 4, 2), 3)], "user_id long, dt date, category int"
+    )
+    assert tuples(activity.distinct_categories(logins), "category") == [(2,), (3,)]
+    assert tuples(activity.login_days(logins.where("category = 2")), "user_id", "login_day") == [(1, 1)]
+    spends = log([(1, "2013-01-01", 1, "spend", 5), (1, "2013-01-02", 1, "spend", 6), (2, "2013-01-02", 1, "play", None)])
+    assert activity.spend_totals(spends).first()[:] == (1, 11)
+    users = activity.user_periods(spends, [Q1])
+    assert tuples(activity.zero_activity(activity.period_activity(users)), "period", "n_zero") == [("q1", 0)]
+    assert tuples(activity.user_count(activity.period_activity(users)), "period", "uu") == [("q1", 1)]
