@@ -43,18 +43,16 @@ def app_counts(activity: DataFrame, periods: Sequence[Period]) -> DataFrame:
 
 
 def user_volumes(counts: DataFrame) -> DataFrame:
-    """Breadth (apps) and volume (rows) per period and user, for plays and spends.
-
-    ``n_rows`` is the number of the user's rows in ``counts``. It is phrased over
-    both counts, which every row has one of, so that every reader of ``counts``
-    needs the same columns and Spark computes their shuffle once.
-    """
-    return counts.groupBy(*USER_KEYS).agg(
-        F.expr("count_if(plays + spends >= 0)").alias("n_rows"),
-        F.expr("count_if(plays > 0)").alias("play_apps"),
-        F.expr("sum(plays)").alias("play_total"),
-        F.expr("count_if(spends > 0)").alias("spend_apps"),
-        F.expr("sum(spends)").alias("spend_total"),
+    """Breadth (apps) and volume (log rows) per period and user, for plays and spends and, as ``n_rows``, in all."""
+    return (
+        counts.groupBy(*USER_KEYS)
+        .agg(
+            F.expr("count_if(plays > 0)").alias("play_apps"),
+            F.expr("sum(plays)").alias("play_total"),
+            F.expr("count_if(spends > 0)").alias("spend_apps"),
+            F.expr("sum(spends)").alias("spend_total"),
+        )
+        .withColumn("n_rows", F.expr("play_total + spend_total"))
     )
 
 
@@ -109,14 +107,14 @@ def document_frequency(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("app").agg(F.count("user_id").alias("df"))
 
 
-def corpus_size(pairs: DataFrame) -> Column:
-    """Number of users with at least one app, as a scalar subquery.
+def corpus_size(activity: DataFrame) -> Column:
+    """Number of users with a play row, as a scalar subquery.
 
-    Counting through the apps per user keeps the plan below identical to that of
-    the document frequency, so that Spark computes the pairs once for both.
+    It reads the user column of the log once more on purpose. Counting over the
+    shuffled pairs would save that, but adaptive execution does not split skewed
+    joins below a shuffle it finds already written.
     """
-    per_user = pairs.groupBy("user_id").agg(F.count("app").alias("apps"))
-    return per_user.agg(F.count_if(F.col("apps") > 0)).scalar()
+    return activity.where("played").agg(F.count_distinct("user_id")).scalar()
 
 
 def segment_terms(

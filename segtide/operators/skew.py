@@ -7,10 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A key is hot with more than this share of all rows, so fewer than
-# 1 / HOT_SHARE keys can be hot, whatever the data.
-HOT_SHARE = 0.001
-HOT_ROWS = 100_000
+# A key is hot with more rows than one task should get.
+HOT_ROWS = 1_000_000
 PIECES = 256
 
 
@@ -20,19 +18,18 @@ def join_per_key(
     on: Sequence[str],
     spread_by: str,
     sizes: DataFrame,
-    hot_share: float = HOT_SHARE,
     hot_rows: int = HOT_ROWS,
     pieces: int = PIECES,
 ) -> DataFrame:
     """Inner join of many rows per key with one row per key, hot keys split into pieces.
 
-    ``sizes`` and ``per_key`` carry ``n_rows``, the number of rows of the key.
-    The list of hot keys is broadcast; it has fewer than ``1 / hot_share``
-    entries by definition. Rows of a hot key are dealt to ``pieces`` slots by the
-    hash of ``spread_by``, and only the hot rows of ``per_key`` are repeated.
+    ``sizes`` and ``per_key`` carry ``n_rows``, the number of rows of the key or
+    more. The list of hot keys is broadcast: each stands for more than
+    ``hot_rows`` rows, so it has less than one entry per million rows. Rows of a
+    hot key are dealt to ``pieces`` slots by the hash of ``spread_by``, and only
+    the hot rows of ``per_key`` are repeated.
     """
-    total = sizes.agg(F.sum("n_rows")).scalar()
-    is_hot = F.col("n_rows") > F.greatest(total * hot_share, F.lit(hot_rows))
+    is_hot = F.col("n_rows") > hot_rows
     hot = F.broadcast(sizes.where(is_hot).select(*on, F.lit(True).alias("hot")))
     piece = F.pmod(F.xxhash64(spread_by), F.lit(pieces)).cast("int")
     slots = F.when(is_hot, F.sequence(F.lit(0), F.lit(pieces - 1))).otherwise(F.array(F.lit(0)))

@@ -226,13 +226,12 @@ def app_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tfidf_inputs(spark: SparkSession, sf_dir: str, periods) -> tuple:
-    log = read_activity(spark, sf_dir, periods)
-    pairs = affinity.app_users(read_activity(spark, sf_dir))
+    log, whole_log = read_activity(spark, sf_dir, periods), read_activity(spark, sf_dir)
     return (
         affinity.app_counts(log, periods),
         scoring.labelled(activity.user_periods(log, periods), periods),
-        affinity.document_frequency(pairs),
-        affinity.corpus_size(pairs),
+        affinity.document_frequency(affinity.app_users(whole_log)),
+        affinity.corpus_size(whole_log),
     )
 
 

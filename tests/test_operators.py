@@ -229,7 +229,7 @@ def expected_profile(rows, period):
 
 
 # The second setting declares every user with more than two rows hot.
-@pytest.mark.parametrize("hot_rows, pieces", [(100_000, 256), (2, 3)])
+@pytest.mark.parametrize("hot_rows, pieces", [(1_000_000, 256), (2, 3)])
 @pytest.mark.parametrize("seed", [5, 6])
 def test_profile_and_tfidf(log, seed, hot_rows, pieces):
     rows = random_log(seed, n=500)
@@ -260,9 +260,9 @@ def test_profile_and_tfidf(log, seed, hot_rows, pieces):
     app_users = {(r[2], r[0]) for r in rows if r[3] == "play" and r[2] is not None}
     df = Counter(a for a, _ in app_users)
     assert {r.app: r.df for r in affinity.document_frequency(pairs).collect()} == df
-    n_users = len({u for _, u in app_users})
+    n_users = len({r[0] for r in rows if r[3] == "play"})
     weights = affinity.segment_app_tfidf(
-        counts, segments, affinity.document_frequency(pairs), affinity.corpus_size(pairs), {"q1": "p1"}
+        counts, segments, affinity.document_frequency(pairs), affinity.corpus_size(table), {"q1": "p1"}
     )
     got = {(r.pp, r.info, r.seg, r.app): r.tfidf for r in weights.collect()}
     names = {"q1": "p1"}
@@ -360,7 +360,7 @@ def test_join_per_key_splits_a_hot_key(spark):
     rows = rows.unionByName(spark.range(6000).select(F.lit(7).cast("long").alias("k"), F.col("id").alias("v")))
     sizes = rows.groupBy("k").agg(F.count("*").alias("n_rows"))
     named = sizes.withColumn("name", F.concat(F.lit("k"), F.col("k")))
-    joined = join_per_key(rows, named, ["k"], "v", sizes, hot_share=0.5, hot_rows=1, pieces=16)
+    joined = join_per_key(rows, named, ["k"], "v", sizes, hot_rows=1500, pieces=16)
     assert joined.count() == 9000
     assert joined.select("k", "name").distinct().count() == 4
     assert tuples(joined.groupBy("k").count(), "k", "count") == [(0, 1000), (1, 1000), (2, 1000), (7, 6000)]
