@@ -73,5 +73,5 @@ def test_one_shuffle_per_user_and_period(spark):
     assert plan.count("Exchange hashpartitioning(user_id") == 1
 
 
-def test_app_counts_are_shared_by_rows_and_user_totals(spark):
-    assert "ReusedExchange [_groupingexpression#" in executed(spark, "segment_app_tfidf")
+def test_user_totals_are_shared_by_weights_and_hot_keys(spark):
+    assert "ReusedExchange [period#" in executed(spark, "segment_app_tfidf")
