@@ -34,16 +34,16 @@ def closed_below(value: Column, cuts: Sequence, labels: Sequence) -> Column:
     """First label below the first cut, last label from the last cut on; NULL stays NULL."""
     chain = F
     for cut, label in zip(cuts, labels):
-        chain = chain.when(value < F.lit(cut), F.lit(label))
-    return chain.when(value >= F.lit(cuts[-1]), F.lit(labels[-1]))
+        chain = chain.when(value < cut, label)
+    return chain.when(value >= cuts[-1], labels[-1])
 
 
 def closed_above(value: Column, tops: Sequence, labels: Sequence) -> Column:
     """Each top belongs to its own band, the last label is open-ended; NULL stays NULL."""
     chain = F
     for top, label in zip(tops, labels):
-        chain = chain.when(value <= F.lit(top), F.lit(label))
-    return chain.when(value > F.lit(tops[-1]), F.lit(labels[-1]))
+        chain = chain.when(value <= top, label)
+    return chain.when(value > tops[-1], labels[-1])
 
 
 def login_class(days: Column) -> Column:
@@ -53,7 +53,7 @@ def login_class(days: Column) -> Column:
 
 def spend_class(coin: Column) -> Column:
     """C1 without any spend row, C2..C5 by coin; a sum of zero or less has no class."""
-    return F.when(coin.isNull(), F.lit("C1")).when(
+    return F.when(coin.isNull(), "C1").when(
         coin > 0, closed_below(coin, SPEND_CUTS, ("C2", "C3", "C4", "C5"))
     )
 
@@ -77,13 +77,13 @@ def recency_label(days_since: Column) -> Column:
 def frequency_label(days: Column) -> Column:
     """F0 for zero days, then F1..F5; NULL below zero."""
     labels = ("F1", "F2", "F3", "F4", "F5")
-    return F.when(days == 0, F.lit("F0")).when(days > 0, closed_above(days, PLAY_DAY_TOPS, labels))
+    return F.when(days == 0, "F0").when(days > 0, closed_above(days, PLAY_DAY_TOPS, labels))
 
 
 def monetary_label(coin: Column) -> Column:
     """M1 for no coin, then M2..M5; NULL below zero."""
     labels = ("M2", "M3", "M4", "M5")
-    return F.when(coin == 0, F.lit("M1")).when(coin > 0, closed_above(coin, COIN_TOPS, labels))
+    return F.when(coin == 0, "M1").when(coin > 0, closed_above(coin, COIN_TOPS, labels))
 
 
 def rfm_label(days_since: Column, play_days: Column, coin: Column) -> Column:
@@ -93,12 +93,12 @@ def rfm_label(days_since: Column, play_days: Column, coin: Column) -> Column:
 
 def quadrant(count: Column, coin: Column, x: float = QUADRANT_COUNT, y: float = QUADRANT_COIN) -> Column:
     """C1 high count and coin, C2 coin only, C3 count only, C4 neither; only above the threshold is high."""
-    often, much = count > F.lit(x), coin > F.lit(y)
+    often, much = count > x, coin > y
     return (
-        F.when(often & much, F.lit("C1"))
-        .when(~often & much, F.lit("C2"))
-        .when(often & ~much, F.lit("C3"))
-        .when(~often & ~much, F.lit("C4"))
+        F.when(often & much, "C1")
+        .when(~often & much, "C2")
+        .when(often & ~much, "C3")
+        .when(~often & ~much, "C4")
     )
 
 

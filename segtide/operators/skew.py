@@ -40,7 +40,9 @@ def join_per_key(
 
 
 def sample_rows(df: DataFrame, key: Column, n: int, seed: str = "") -> DataFrame:
-    """Exactly ``n`` rows (all, if there are fewer), drawn by ``md5(key || seed)``; keys must be unique.
+    """Exactly ``n`` rows (all, if there are fewer), drawn by ``md5(key || seed)``.
+
+    Keys must be unique and not NULL.
 
     The result equals ordering all rows by the hash and cutting at ``n``, but the
     rows themselves are only filtered. The first four hex digits of the hash name
@@ -50,9 +52,9 @@ def sample_rows(df: DataFrame, key: Column, n: int, seed: str = "") -> DataFrame
     if n < 1:
         raise ValueError("a sample needs at least one row")
     draw = F.md5(F.concat(key.cast("string"), F.lit(seed)))
-    drawn = df.select(
-        draw.alias("draw"), F.conv(F.substring(draw, 1, 4), 16, 10).cast("int").alias("bucket")
-    )
+    # Never NULL, so that the join below adds no filter and both uses share one shuffle.
+    bucket = F.coalesce(F.conv(F.substring(draw, 1, 4), 16, 10).cast("int"), F.lit(-1))
+    drawn = df.select(draw.alias("draw"), bucket.alias("bucket"))
     counts = drawn.groupBy("bucket").agg(F.count("*").alias("in_bucket"))
     in_order = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     cut = (
