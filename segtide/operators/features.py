@@ -31,16 +31,27 @@ def active_days(activity: DataFrame, period: Period) -> DataFrame:
     )
 
 
-def visit_gaps(days: DataFrame) -> DataFrame:
-    """Rows ``user_id, source, gap_no, gap_days``: days between neighbouring active days."""
+def _by_source(days: DataFrame, name: str, of_dates) -> DataFrame:
+    """A row per user and source with a value derived from the days; sources without days give none."""
+    sides = [
+        F.struct(F.lit(label).alias("source"), of_dates(F.col(dates)).alias(name))
+        for label, dates in ((PLAY, "play_dates"), (SPEND, "spend_dates"))
+    ]
+    return days.select("user_id", F.inline(F.array(*sides)))
+
+
+def day_rows(days: DataFrame) -> DataFrame:
+    """Rows ``user_id, source, dt``: the sets of active days."""
+    return _by_source(days, "dates", lambda dates: dates).select("user_id", "source", F.explode("dates").alias("dt"))
 
-    def side(label: str, dates: str) -> Column:
-        return F.struct(F.lit(label).alias("source"), date_gaps(F.col(dates)).alias("gaps"))
 
-    sides = F.inline(F.array(side(PLAY, "play_dates"), side(SPEND, "spend_dates")))
-    return days.select("user_id", sides).select(
-        "user_id", "source", F.posexplode("gaps").alias("gap_no", "gap_days")
-    ).withColumn("gap_no", F.col("gap_no") + 1)
+def visit_gaps(days: DataFrame) -> DataFrame:
+    """Rows ``user_id, source, gap_no, gap_days``: days between neighbouring active days."""
+    return (
+        _by_source(days, "gaps", date_gaps)
+        .select("user_id", "source", F.posexplode("gaps").alias("gap_no", "gap_days"))
+        .withColumn("gap_no", F.col("gap_no") + 1)
+    )
 
 
 def _gap_array(dates: str) -> Column:

@@ -31,6 +31,7 @@ SAMPLE_ORIGIN = date(1996, 1, 1)
 SAMPLE_SIZE = 500
 SAMPLE_SEED = "knn"
 TARGET = "R1F2M3"
+LINE_LENGTH = 11
 TAGS = {P1.name: "p1", P2.name: "p2"}
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -220,6 +221,13 @@ def user_app_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return affinity.user_app_profile(affinity.app_counts(log, PERIODS), players)
 
 
+@query
+def user_app_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    maps = affinity.profile_maps(user_app_profile(spark, sf_dir))
+    entries = F.expr("transform(array_sort(map_entries(counts)), e -> concat(e.key, ':', e.value))")
+    return maps.select("period", "user_id", "source", F.array_join(entries, ",").alias("counts"))
+
+
 @query
 def app_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return affinity.document_frequency(affinity.app_users(read_activity(spark, sf_dir)))
@@ -277,6 +285,11 @@ def user_gap_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def user_active_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.day_rows(features.active_days(read_activity(spark, sf_dir, (P1,)), P1))
+
+
 @query
 def visit_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.visit_gaps(features.active_days(read_activity(spark, sf_dir, (P1,)), P1))
@@ -286,3 +299,8 @@ def visit_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def combined_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = segment_top_apps(spark, sf_dir).where((F.col("info") == affinity.PLAY) & (F.col("pp") == "p1"))
     return ranking.combined_rank(ranking.list_rows(lists)).withColumn("score", F.round("score", 6))
+
+
+@query
+def combined_rank_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.ranking_line(combined_rank(spark, sf_dir), LINE_LENGTH)
