@@ -56,17 +56,28 @@ def user_volumes(counts: DataFrame) -> DataFrame:
     )
 
 
-def _by_source(rows: DataFrame, *carried: str, total: bool = False) -> DataFrame:
-    """Unfold play and spend columns into a row each, dropping empty counts."""
+def _by_source(rows: DataFrame, *carried: str, volume: str | None = None) -> DataFrame:
+    """Unfold play and spend columns into a row each, dropping empty counts.
+
+    ``volume`` names a per-user column to take along, ``total`` or ``apps``.
+    """
 
     def side(label: str, name: str) -> str:
-        more = f", 'total', {name}_total" if total else ""
+        more = f", '{volume}', {name}_{volume}" if volume else ""
         return f"named_struct('source', '{label}', 'n', {name}s{more})"
 
     sides = F.expr(f"inline(array({side(PLAY, 'play')}, {side(SPEND, 'spend')}))")
     return rows.select(*carried, sides).where(F.col("n") > 0)
 
 
+def _with_users(counts: DataFrame, users: DataFrame, hot_rows: int, pieces: int) -> DataFrame:
+    """Counts joined to the volumes of their users and to ``users``, one row ``period, user_id`` per player."""
+    sizes = user_volumes(counts)
+    return join_per_key(
+        counts, sizes.join(users, list(USER_KEYS)), USER_KEYS, "app", sizes, hot_rows=hot_rows, pieces=pieces
+    )
+
+
 def user_app_profile(
     counts: DataFrame, players: DataFrame, hot_rows: int = HOT_ROWS, pieces: int = PIECES
 ) -> DataFrame:
@@ -75,26 +86,30 @@ def user_app_profile(
     ``players`` has one row ``period, user_id`` per player; spenders who never
     played in the period drop out.
     """
-    sizes = user_volumes(counts).select(*USER_KEYS, "n_rows")
-    users = sizes.join(players.select(*USER_KEYS), list(USER_KEYS))
-    rows = join_per_key(counts, users, USER_KEYS, "app", sizes, hot_rows=hot_rows, pieces=pieces)
+    rows = _with_users(counts, players.select(*USER_KEYS), hot_rows, pieces)
     return _by_source(rows, *USER_KEYS, "app").select(*USER_KEYS, "source", "app", "n")
 
 
-def profile_maps(profile: DataFrame, entries: int = 10_000) -> DataFrame:
-    """A profile as maps from app to count, split so that no map outgrows a row.
+def user_app_maps(
+    counts: DataFrame,
+    players: DataFrame,
+    entries: int = 10_000,
+    hot_rows: int = HOT_ROWS,
+    pieces: int = PIECES,
+) -> DataFrame:
+    """The same profile as maps from app to count, split so that no map outgrows a row.
 
     Users with up to ``entries`` apps have one row per period and source, with
-    ``part`` 0; larger users have their apps dealt to several parts.
+    ``part`` 0; larger users have their apps dealt to several parts by their hash.
     """
-    keys = ("period", "user_id", "source")
-    sizes = profile.groupBy(*keys).agg(F.count("*").alias("n_rows"))
-    parts = F.ceil(F.col("n_rows") / entries)
-    dealt = join_per_key(profile, sizes, keys, "app", sizes).withColumn(
-        "part", F.pmod(F.xxhash64("app"), parts).cast("int")
+    digits = "substring(md5(CAST(app AS STRING)), 1, 8)"
+    rows = _with_users(counts, players.select(*USER_KEYS), hot_rows, pieces)
+    dealt = _by_source(rows, *USER_KEYS, "app", volume="apps").withColumn(
+        "part",
+        F.expr(f"CAST(pmod(CAST(conv({digits}, 16, 10) AS BIGINT), ceil(apps / {entries})) AS INT)"),
     )
     pairs = F.collect_list(F.struct("app", "n"))
-    return dealt.groupBy(*keys, "part").agg(F.map_from_entries(pairs).alias("counts"))
+    return dealt.groupBy(*USER_KEYS, "source", "part").agg(F.map_from_entries(pairs).alias("counts"))
 
 
 def app_users(activity: DataFrame) -> DataFrame:
@@ -125,10 +140,8 @@ def segment_terms(
     Each user spreads a weight of 1 over their apps, whatever their volume.
     ``segments`` has one row ``period, user_id, seg`` per player.
     """
-    sizes = user_volumes(counts)
-    users = sizes.join(segments, list(USER_KEYS))
-    rows = join_per_key(counts, users, USER_KEYS, "app", sizes, hot_rows=hot_rows, pieces=pieces)
-    weights = _by_source(rows, "period", "seg", "app", total=True)
+    rows = _with_users(counts, segments, hot_rows, pieces)
+    weights = _by_source(rows, "period", "seg", "app", volume="total")
     return weights.groupBy("period", "source", "seg", "app").agg(F.expr("sum(n / total)").alias("stf"))
 
 

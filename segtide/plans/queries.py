@@ -32,6 +32,7 @@ SAMPLE_SIZE = 500
 SAMPLE_SEED = "knn"
 TARGET = "R1F2M3"
 LINE_LENGTH = 11
+MAP_ENTRIES = 10_000
 TAGS = {P1.name: "p1", P2.name: "p2"}
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -214,18 +215,21 @@ def user_rfm_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.user_rfm_labels(_rows(spark, sf_dir), PERIODS)
 
 
+def _app_counts_and_players(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    log = read_activity(spark, sf_dir, PERIODS)
+    return affinity.app_counts(log, PERIODS), activity.players(activity.user_periods(log, PERIODS))
+
+
 @query
 def user_app_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = read_activity(spark, sf_dir, PERIODS)
-    players = activity.players(activity.user_periods(log, PERIODS))
-    return affinity.user_app_profile(affinity.app_counts(log, PERIODS), players)
+    return affinity.user_app_profile(*_app_counts_and_players(spark, sf_dir))
 
 
 @query
 def user_app_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    maps = affinity.profile_maps(user_app_profile(spark, sf_dir))
+    maps = affinity.user_app_maps(*_app_counts_and_players(spark, sf_dir), entries=MAP_ENTRIES)
     entries = F.expr("transform(array_sort(map_entries(counts)), e -> concat(e.key, ':', e.value))")
-    return maps.select("period", "user_id", "source", F.array_join(entries, ",").alias("counts"))
+    return maps.select("period", "user_id", "source", "part", F.array_join(entries, ",").alias("counts"))
 
 
 @query

@@ -10,7 +10,8 @@ def build_session(app: str = "segtide", master: str | None = None, **conf: str)
 
     The shuffle width is only a starting point: adaptive execution merges small
     partitions and splits skewed ones, so a cluster passes a generous number and
-    a laptop its core count.
+    a laptop its core count. Python call sites are not recorded for each column,
+    which would take longer than small queries run; errors still name the column.
     """
     builder = SparkSession.builder.appName(app)
     if master:
@@ -19,6 +20,7 @@ def build_session(app: str = "segtide", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.ui.enabled": "false",
         **conf,
     }

@@ -308,17 +308,21 @@ def test_top_apps(spark):
 
 
 @pytest.mark.parametrize("entries", [1000, 4])
-def test_profile_maps(spark, entries):
-    rows = [("q1", 1, "playdays", a, a + 1) for a in range(30)] + [("q1", 2, "playdays", 7, 2)]
-    profile = spark.createDataFrame(rows, "period string, user_id long, source string, app long, n long")
-    maps = affinity.profile_maps(profile, entries).collect()
+def test_app_maps(spark, entries):
+    rows = [("q1", 1, a, a + 1, a % 2) for a in range(30)] + [("q1", 2, 7, 2, 0), ("q1", 3, 7, 0, 5)]
+    counts = spark.createDataFrame(rows, "period string, user_id long, app long, plays long, spends long")
+    players = spark.createDataFrame([("q1", 1), ("q1", 2)], "period string, user_id long")
+    maps = affinity.user_app_maps(counts, players, entries, hot_rows=10, pieces=3).collect()
     merged = defaultdict(dict)
     for r in maps:
-        assert not merged[r.user_id].keys() & r.counts.keys()
-        merged[r.user_id].update(r.counts)
-    assert merged == {1: {a: a + 1 for a in range(30)}, 2: {7: 2}}
-    assert len([r for r in maps if r.user_id == 2]) == 1
-    assert (len(maps) == 2) == (entries == 1000)
+        assert not merged[r.user_id, r.source].keys() & r.counts.keys()
+        merged[r.user_id, r.source].update(r.counts)
+    assert merged == {
+        (1, "playdays"): {a: a + 1 for a in range(30)},
+        (1, "spendtimes"): {a: 1 for a in range(1, 30, 2)},
+        (2, "playdays"): {7: 2},
+    }
+    assert (len(maps) == 3) == (entries == 1000)
 
 
 @pytest.mark.parametrize("seed", [7, 8])
