@@ -21,4 +21,63 @@ FROM parts p LEFT JOIN LATERAL (
 ) r ON true
 """
 
-ORACLES = {"op4_url_filter": URL_FILTER}
+QUALITY_RULES = r"""
+WITH split AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+), numbered AS (
+  SELECT *, row_number() OVER () AS row_no FROM split
+), windows AS (
+  SELECT row_no, spot, list_slice(words, spot, spot + 4) AS sequence
+  FROM (SELECT row_no, words, unnest(range(1, len(words) - 3)) AS spot FROM numbered WHERE len(words) >= 5)
+), repeated AS (
+  SELECT row_no, spot FROM (SELECT row_no, spot, count(*) OVER (PARTITION BY row_no, sequence) AS n FROM windows) WHERE n > 1
+), covered AS (
+  SELECT row_no, count(DISTINCT place) AS n FROM (SELECT row_no, unnest(range(spot, spot + 5)) AS place FROM repeated) GROUP BY row_no
+), counts AS (
+  SELECT doc_id, lang, source, len(words)::BIGINT AS n_words,
+         coalesce(list_sum(list_transform(words, lambda w: length(w))), 0)::BIGINT AS word_chars,
+         coalesce(list_sum(list_transform(words, lambda w: length(w) - length(regexp_replace(w, '[#*$%&|<>]', '', 'g')))), 0)::BIGINT AS n_symbols,
+         len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+         coalesce(covered.n, 0)::BIGINT AS n_repeat_words
+  FROM numbered LEFT JOIN covered USING (row_no)
+), judged AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+         CASE WHEN word_chars > 0 THEN 1000 * n_symbols // word_chars ELSE 0 END AS symbol_rate,
+         CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END AS dup_line_rate,
+         CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END AS repeat_rate,
+         CASE WHEN n_words > 0 THEN 10 * word_chars // n_words ELSE 0 END AS word_length
+  FROM counts
+), rates AS (
+  UNPIVOT (SELECT lang, source, symbol_rate, dup_line_rate, repeat_rate, word_length FROM judged WHERE NOT base_failed)
+  ON symbol_rate, dup_line_rate, repeat_rate, word_length INTO NAME rate VALUE bin
+), own AS (
+  SELECT lang, source, rate, count(*) AS n, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.75) AS q3 FROM rates GROUP BY ALL
+), langs AS (
+  SELECT lang, rate, count(*) AS n, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.75) AS q3 FROM rates GROUP BY ALL
+), every AS (
+  SELECT rate, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.75) AS q3 FROM rates GROUP BY ALL
+), picked AS (
+  SELECT own.lang, own.source, own.rate,
+         CASE WHEN own.n >= 50 THEN own.q1 WHEN langs.n >= 50 THEN langs.q1 ELSE every.q1 END AS q1,
+         CASE WHEN own.n >= 50 THEN own.q3 WHEN langs.n >= 50 THEN langs.q3 ELSE every.q3 END AS q3,
+         CASE own.rate WHEN 'symbol_rate' THEN 50 WHEN 'dup_line_rate' THEN 300 WHEN 'repeat_rate' THEN 150 ELSE 40 END AS slack
+  FROM own JOIN langs ON own.rate = langs.rate AND own.lang IS NOT DISTINCT FROM langs.lang JOIN every ON own.rate = every.rate
+), fences AS (
+  SELECT lang, source, rate, q3 + greatest(3 * (q3 - q1), slack) AS high, q1 - greatest(3 * (q3 - q1), slack) AS low FROM picked
+), wide AS (
+  SELECT lang, source,
+         max(high) FILTER (rate = 'symbol_rate') AS symbol_high, max(high) FILTER (rate = 'dup_line_rate') AS dup_high,
+         max(high) FILTER (rate = 'repeat_rate') AS repeat_high, max(high) FILTER (rate = 'word_length') AS length_high,
+         max(low) FILTER (rate = 'word_length') AS length_low
+  FROM fences GROUP BY lang, source
+)
+SELECT j.doc_id, j.n_words, j.word_chars, j.n_symbols, j.n_dup_lines, j.n_repeat_words, j.base_failed,
+       NOT j.base_failed AND coalesce(symbol_rate <= symbol_high AND dup_line_rate <= dup_high AND repeat_rate <= repeat_high
+           AND word_length BETWEEN length_low AND length_high, true) AS kept
+FROM judged j LEFT JOIN wide ON j.lang IS NOT DISTINCT FROM wide.lang AND j.source IS NOT DISTINCT FROM wide.source
+"""
+
+ORACLES = {"op4_url_filter": URL_FILTER, "op7_quality_rules": QUALITY_RULES}

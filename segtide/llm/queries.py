@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segtide.llm import bpe, token_counts, url_filter
+from segtide.llm import bpe, mixing, quality_rules, token_counts, url_filter
 from segtide.llm.common import read
 
-#: Tokenizer files, the token limit and the URL rules.
+#: Tokenizer files, the token limit, weights of sources and the URL rules.
 WORD_BPE, BYTE_BPE, TOKEN_LIMIT = "word_bpe_49k.json", "byte_bpe_50k.json", 2048
+SOURCE_WEIGHTS, SOURCE_SHARE, MOST_COPIES = (5, 2, 1), 1.5, 2.0
 URL_RULES = [
     url_filter.Rule("com/", "allow"),
     url_filter.Rule("example.com/en/", "block"),
@@ -32,6 +33,17 @@ def url_filter_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read(spark, sf_dir, "pages"), URL_RULES, keep=["page_id"])
 
 
+def quality_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document."""
+    return quality_rules.judge_quality(read(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
+    found = mixing.shares(read(spark, sf_dir, "documents"), SOURCE_WEIGHTS, SOURCE_SHARE, MOST_COPIES)
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and what they decode to, as hashes."""
     return bpe.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), keep=["doc_id"])
@@ -40,5 +52,7 @@ def bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY = {
     "op3_token_counts": token_counts_query,
     "op4_url_filter": url_filter_query,
+    "op7_quality_rules": quality_rules_query,
+    "op8_mixing": mixing_query,
     "op9_bpe": bpe_query,
 }
