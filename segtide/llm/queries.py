@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segtide.llm import bpe, mixing, quality_rules, token_counts, url_filter
+from segtide.llm import bpe, mixing, quality_classifier, quality_rules, token_counts, url_filter
 from segtide.llm.common import read
 
 #: Tokenizer files, the token limit, weights of sources and the URL rules.
 WORD_BPE, BYTE_BPE, TOKEN_LIMIT = "word_bpe_49k.json", "byte_bpe_50k.json", 2048
+QUALITY_THRESHOLD = 0.3
 SOURCE_WEIGHTS, SOURCE_SHARE, MOST_COPIES = (5, 2, 1), 1.5, 2.0
 URL_RULES = [
     url_filter.Rule("com/", "allow"),
@@ -49,10 +50,18 @@ def bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), keep=["doc_id"])
 
 
+def quality_classifier_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document."""
+    documents, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    scored = quality_classifier.classify(documents.withColumn("held_out", quality_classifier.held_out()), labels, QUALITY_THRESHOLD, keep=["doc_id", "held_out"])
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 REGISTRY = {
     "op3_token_counts": token_counts_query,
     "op4_url_filter": url_filter_query,
     "op7_quality_rules": quality_rules_query,
     "op8_mixing": mixing_query,
     "op9_bpe": bpe_query,
+    "op10_quality_classifier": quality_classifier_query,
 }
