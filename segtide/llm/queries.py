@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segtide.llm import bpe, jaccard_join, mixing, quality_classifier, quality_rules, token_counts, url_filter
+from segtide.llm import bpe, jaccard_join, mixing, quality_classifier, quality_rules, substring_dedup, token_counts, url_filter
 from segtide.llm.common import read
 
 #: Tokenizer files, the token limit, weights of sources and the URL rules.
@@ -39,6 +39,11 @@ def jaccard_join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_groups(read(spark, sf_dir, "documents"))
 
 
+def substring_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document."""
+    return substring_dedup.remove_repeats(read(spark, sf_dir, "documents"), digest=True)
+
+
 def quality_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     return quality_rules.judge_quality(read(spark, sf_dir, "documents"), keep=["doc_id"])
@@ -66,6 +71,7 @@ REGISTRY = {
     "op3_token_counts": token_counts_query,
     "op4_url_filter": url_filter_query,
     "op5_jaccard_join": jaccard_join_query,
+    "op6_substring_dedup": substring_dedup_query,
     "op7_quality_rules": quality_rules_query,
     "op8_mixing": mixing_query,
     "op9_bpe": bpe_query,
