@@ -2,6 +2,21 @@
 
 from __future__ import annotations
 
+MTREE = r"""
+WITH vectors AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+  WHERE q.vec_id % 20 = 0
+), ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
 URL_FILTER = r"""
 WITH rules(rule, host, path, verdict) AS (
   VALUES ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'),
@@ -80,4 +95,4 @@ SELECT j.doc_id, j.n_words, j.word_chars, j.n_symbols, j.n_dup_lines, j.n_repeat
 FROM judged j LEFT JOIN wide ON j.lang IS NOT DISTINCT FROM wide.lang AND j.source IS NOT DISTINCT FROM wide.source
 """
 
-ORACLES = {"op4_url_filter": URL_FILTER, "op7_quality_rules": QUALITY_RULES}
+ORACLES = {"op1_mtree": MTREE, "op4_url_filter": URL_FILTER, "op7_quality_rules": QUALITY_RULES}

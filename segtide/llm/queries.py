@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segtide.llm import bpe, jaccard_join, mixing, quality_classifier, quality_rules, substring_dedup, token_counts, url_filter
+from segtide.llm import bpe, jaccard_join, mixing, mtree, quality_classifier, quality_rules, substring_dedup, token_counts, url_filter
 from segtide.llm.common import read
 
-#: Tokenizer files, the token limit, weights of sources and the URL rules.
+#: Tokenizer files, numbers of the search, the token limit, weights of sources and the URL rules.
 WORD_BPE, BYTE_BPE, TOKEN_LIMIT = "word_bpe_49k.json", "byte_bpe_50k.json", 2048
+BEST, SCALE, EVERY = 20, 64, 20
 QUALITY_THRESHOLD = 0.3
 SOURCE_WEIGHTS, SOURCE_SHARE, MOST_COPIES = (5, 2, 1), 1.5, 2.0
 URL_RULES = [
@@ -22,6 +23,11 @@ URL_RULES = [
 ]
 
 
+def mtree_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best vectors for every twentieth one."""
+    return mtree.top_k(read(spark, sf_dir, "embeddings"), BEST, SCALE, EVERY)
+
+
 def token_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
     documents = read(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
@@ -68,6 +74,7 @@ def quality_classifier_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY = {
+    "op1_mtree": mtree_query,
     "op3_token_counts": token_counts_query,
     "op4_url_filter": url_filter_query,
     "op5_jaccard_join": jaccard_join_query,
