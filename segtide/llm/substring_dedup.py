@@ -18,7 +18,7 @@ from segtide.llm.common import LAST, width
 WINDOW = 20
 BLOCK = WINDOW // 2
 #: Bytes of text that are probed together, and that make one shuffle group.
-PORTION, GROUP = 16_000_000, 24_000_000
+PORTION, GROUP = 4_000_000, 24_000_000
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _END = 65_535
 
@@ -49,7 +49,7 @@ class Hashes:
         self.known: dict[bytes, int] = {}
 
     def words(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) > 1_000_000:
+        if len(self.known) > 300_000:
             self.known = {}
         known = self.known
         for w in words:
