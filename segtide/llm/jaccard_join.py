@@ -17,7 +17,7 @@ from segtide.llm.components import components
 #: Words of a shingle. Two sets link at 3/4: their symmetric difference is a seventh of both sizes at most.
 SHINGLE, NUMERATOR, DENOMINATOR, SEVENTH = 5, 3, 4, 7
 #: Bytes of text whose sketches are combined before the shuffle, and that make one shuffle group.
-PORTION, GROUP = 16_000_000, 48_000_000
+PORTION, GROUP = 4_000_000, 32_000_000
 #: Ids that may be broadcast, 16 MB; beyond it Spark shuffles both sides.
 FEW = 2_000_000
 #: Rows of one bucket that are compared in one block, and 64-bit words of the sketch they are compared by.
@@ -47,7 +47,7 @@ class Shingles:
     def of(self, text: bytes) -> np.ndarray:
         """The sorted distinct shingles of a text; a shorter text is one shingle, no words give none."""
         words = text.lower().split()
-        if len(self.known) > 1_000_000:
+        if len(self.known) > 300_000:
             self.known = {}
         known = self.known
         for w in words:

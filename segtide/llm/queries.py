@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segtide.llm import bpe, jaccard_join, mixing, mtree, quality_classifier, quality_rules, substring_dedup, token_counts, url_filter
+from segtide.llm import bpe, html_extraction, jaccard_join, mixing, mtree, quality_classifier, quality_rules, substring_dedup, token_counts, url_filter
 from segtide.llm.common import read
 
 #: Tokenizer files, numbers of the search, the token limit, weights of sources and the URL rules.
@@ -28,6 +28,11 @@ def mtree_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(read(spark, sf_dir, "embeddings"), BEST, SCALE, EVERY)
 
 
+def html_extraction_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_extraction.extract(read(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 def token_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
     documents = read(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
@@ -75,6 +80,7 @@ def quality_classifier_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY = {
     "op1_mtree": mtree_query,
+    "op2_html_extraction": html_extraction_query,
     "op3_token_counts": token_counts_query,
     "op4_url_filter": url_filter_query,
     "op5_jaccard_join": jaccard_join_query,
