@@ -331,6 +331,12 @@ def _second(members: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
     return rows.withColumn("slot", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(slots))).groupBy("slot").applyInArrow(_compare, "a long, b long").distinct()
 
 
+def without(df: DataFrame, ids: DataFrame, row: str = "doc_id") -> DataFrame:
+    """The rows whose id is not among ``ids``, rows without id included; texts are shuffled only if the ids are too many to broadcast."""
+    ids = written(ids.distinct(), "jaccard-dropped")
+    return df.join(F.broadcast(ids) if ids.count() <= FEW else ids, row, "left_anti")
+
+
 def similar_groups(df: DataFrame, row: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id`` (or ``row``), ``n_shingles`` and ``component_id`` of each row: the smallest id reachable by links at 3/4 similarity.
 

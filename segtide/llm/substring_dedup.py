@@ -281,8 +281,10 @@ def _cleaned(n_kept: int, digest: bool):
                 kept, n = kept_words(text.as_py(), lists)
                 n_words.append(n)
                 n_removed.append(n - len(kept))
-                whole = b" ".join(kept)
-                results.append(hashlib.sha256(whole).hexdigest() if digest else whole.decode())
+                if digest:
+                    results.append(hashlib.sha256(b" ".join(kept)).hexdigest())
+                else:
+                    results.append((text.as_py() if len(kept) == n else b" ".join(kept)).decode())
             names = [*batch.schema.names[:n_kept], "n_words", "n_removed", "result"]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n_kept], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(results, pa.string())], names)
 
@@ -292,6 +294,8 @@ def _cleaned(n_kept: int, digest: bool):
 def remove_repeats(df: DataFrame, row: str = "doc_id", text: str = "text", digest: bool = False, keep: list[str] | None = None) -> DataFrame:
     """Remove every word that a repeated window covers: ``n_words``, ``n_removed`` and ``kept_text``, or ``kept_sha256`` if ``digest``.
 
+    The kept text is the text itself if nothing is removed, else the kept words joined by one space; the digest is always of the joined words.
+
     A window is ``WINDOW`` consecutive words of one text; it is repeated if the same words also start earlier, in a smaller id or earlier in the
     text. Windows are judged on the input. Null and empty texts have no words; a null id counts as larger than all others; rows with the same id and
     place are not earlier than one another, so rows that repeat id and text are cleaned alike. An empty table gives an empty result. Columns in ``keep`` are carried along.
