@@ -18,6 +18,8 @@ from segtide.llm.url_filter import host_of
 REFERENCES = 3
 #: A text is template if it stands in the same slot on this share of the aligned pages, of which there must be a few.
 CONSTANT, VOTERS = 0.8, 8
+#: Open elements beyond which further ones dissolve in the text, as browsers do.
+DEPTH = 400
 #: Bytes of reference pages that may be broadcast; beyond it Spark shuffles the pages by host.
 SMALL = 32_000_000
 
@@ -43,7 +45,7 @@ NAMED_ASIDE = frozenset(
 ROLES_ASIDE = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar form".split())
 _NEGATED = frozenset("has with no without is not".split())
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<""", re.S)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|</?[a-zA-Z][^>]*\Z|[^<]+|<""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -116,6 +118,7 @@ def parse(html: str) -> Node:
         at = token.end()
         name = token[2] or token[5]
         if not name:
+            # A comment, a declaration or a tag that the end of the page cuts off says nothing.
             if token[0][0] != "<" or len(token[0]) == 1:
                 stack[-1][2].append(token[0])
             continue
@@ -146,6 +149,8 @@ def parse(html: str) -> Node:
         if tag in SIBLINGS and tag != "p":
             close_to(SIBLINGS[tag], STOPS[tag])
         flush()
+        if len(stack) > DEPTH:
+            continue
         parent = stack[-1][1]
         main = parent.main or (tag in ("article", "main") and not aside)
         # A header inside the article belongs to it; the article itself may stand inside a careless aside.

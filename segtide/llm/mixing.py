@@ -34,9 +34,9 @@ def targets(sizes: DataFrame, weights: Sequence[int], share: float, most: float)
     before = line.rowsBetween(W.unboundedPreceding, -1)
     after = line.rowsBetween(0, W.unboundedFollowing)
     rest = share * F.sum("source_size").over(W.partitionBy()) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    placed = weighed.withColumn("level", rest / F.sum("weight").over(after)).withColumn("stops", F.col("cap") <= F.col("level") * F.col("weight"))
-    # From the first source that doesn't stop on, all get the same level.
-    level = F.min(F.when(~F.col("stops"), F.struct(F.col("cap") / F.col("weight"), F.col("level")))).over(W.partitionBy())
+    placed = weighed.withColumn("turn", F.row_number().over(line)).withColumn("level", rest / F.sum("weight").over(after)).withColumn("stops", F.col("cap") <= F.col("level") * F.col("weight"))
+    # From the first source that doesn't stop on, none does and all get its level.
+    level = F.min(F.when(~F.col("stops"), F.struct("turn", "level"))).over(W.partitionBy())
     return placed.withColumn("final", level["level"]).select(
         "source", "source_size", F.when(F.col("stops"), F.col("cap")).otherwise(F.col("final") * F.col("weight")).cast("double").alias("target")
     )

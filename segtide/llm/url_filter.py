@@ -89,7 +89,7 @@ class ShiftAnd:
             moved |= self.anywhere | self.first if k == 0 else self.anywhere
             state = moved & self.accepts[chars[:, k]]
             seen |= state
-        bits = np.array(self.last)
+        bits = np.array(self.last, np.int64)
         return (seen[:, bits // 64] >> (bits % 64).astype(np.uint64) & np.uint64(1)).astype(bool)
 
 
