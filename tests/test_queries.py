@@ -6,11 +6,12 @@ import os
 import pytest
 
 import __spark_entry__ as entry_points
+from segtide.plans import oracles, queries
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 TABLES = ("lineitem", "orders")
-QUERIES = entry_points.queries()
-ORACLES = entry_points.oracle_sql()
+QUERIES = queries.REGISTRY
+ORACLES = oracles.ORACLES
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "date": "DATE"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not available")
@@ -29,8 +30,10 @@ def plain(value):
     return None if isinstance(value, float) and math.isnan(value) else value
 
 
-def test_every_query_has_a_counterpart():
+def test_every_query_is_registered_with_a_counterpart():
     assert QUERIES.keys() == ORACLES.keys()
+    assert QUERIES.items() <= entry_points.queries().items()
+    assert ORACLES.items() <= entry_points.oracle_sql().items()
 
 
 @pytest.mark.parametrize("name", QUERIES)
