@@ -78,7 +78,7 @@ def read_spend_log(
             "user_id",
             F.to_date("dt", "yyyy-MM-dd").alias("dt"),
             F.col("subtype").alias("app"),
-            (-F.col("nondeveloper_coin")).cast("bigint").alias("coin"),
+            (-F.col("nondeveloper_coin").cast("bigint")).alias("coin"),
         )
     )
 
@@ -110,6 +110,9 @@ def purchase_rows(
 def activity(plays: DataFrame, spends: DataFrame) -> DataFrame:
     """Both logs as one activity table; columns a log lacks are NULL.
 
+    Rows without a user id count for nobody in any operator and are dropped here;
+    in real logs they are the largest key of all.
+
     The union replaces the join of the two logs: one grouping by user then
     yields the play and the spend side together.
     """
@@ -119,7 +122,8 @@ def activity(plays: DataFrame, spends: DataFrame) -> DataFrame:
             value = F.col(name) if name in rows.columns else F.lit(None)
             return value.cast("bigint").alias(name)
 
-        return rows.select(
+        known = rows.where(F.col("user_id").isNotNull())
+        return known.select(
             column("user_id"),
             "dt",
             column("app"),

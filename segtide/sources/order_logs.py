@@ -37,7 +37,7 @@ def read_activity(
     periods: Sequence[Period] | None = None,
     spends_only: bool = False,
 ) -> DataFrame:
-    """Activity rows of the given periods, or of all days.
+    """Activity rows of the given periods, or of all days. Orders without a customer count for nobody.
 
     No side of the join is hinted: orders grow with the data, so the size check
     of the optimiser decides, and adaptive execution splits skewed orders.
@@ -46,7 +46,7 @@ def read_activity(
     lines = _line_items(spark, sf_dir, periods)
     if spends_only:
         lines = lines.where(spent)
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where(F.col("o_custkey").isNotNull())
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
         F.col("o_custkey").alias("user_id"),
         F.col("l_shipdate").cast("date").alias("dt"),

@@ -38,17 +38,14 @@ def write_periods(df: DataFrame, path: str, column: str = "period") -> None:
 def read_periods(
     spark: SparkSession,
     path: str,
+    schema: T.StructType | str,
     periods: Sequence[str] | None = None,
     column: str = "period",
 ) -> DataFrame:
     """Read the chosen periods only; the files of the others are not opened.
 
-    The partition column is declared as text, because period names may look like
-    numbers and must come back as written.
+    ``schema`` declares the table's columns, so no file is opened to infer them. The
+    period is text in it, because names may look like numbers and must come back as written.
     """
-    found = spark.read.parquet(path).schema
-    declared = T.StructType(
-        [T.StructField(f.name, T.StringType() if f.name == column else f.dataType) for f in found]
-    )
-    table = spark.read.schema(declared).parquet(path)
+    table = spark.read.schema(schema).parquet(path)
     return table if periods is None else table.where(F.col(column).isin(*periods))
