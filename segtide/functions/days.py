@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,12 +18,33 @@ def distinct_days(flag: str, offset: str, n_days: int) -> Column:
     merges on the map side and needs one shuffle: every map task sends one row
     per group, however many log rows the group has.
     """
-    words = [
+    words = _words(flag, offset, n_days)
+    return F.expr("CAST(" + " + ".join(f"coalesce(bit_count({w}), 0)" for w in words) + " AS BIGINT)")
+
+
+def _words(flag: str, offset: str, n_days: int) -> list[str]:
+    return [
         f"bit_or(CASE WHEN {flag} AND {offset} >= {low} AND {offset} < {low + WORD} "
         f"THEN shiftleft(1L, {offset} - {low}) END)"
         for low in range(0, n_days, WORD)
     ]
-    return F.expr("CAST(" + " + ".join(f"coalesce(bit_count({w}), 0)" for w in words) + " AS BIGINT)")
+
+
+def day_words(flag: str, offset: str, n_days: int, prefix: str) -> list[Column]:
+    """Aggregates: the days seen as 64-bit words named by the prefix and their number; 0 for none."""
+    return [F.expr(f"coalesce({w}, 0L)").alias(f"{prefix}{i}") for i, w in enumerate(_words(flag, offset, n_days))]
+
+
+def dates_of_words(prefix: str, start: date, n_days: int) -> Column:
+    """The ascending dates whose bits are set in the words; offset 0 is ``start``."""
+    words = F.array(*[F.col(f"{prefix}{i}") for i in range(-(-n_days // WORD))])
+
+    def seen(day: Column) -> Column:
+        word = F.get(words, F.floor(day / WORD).cast("int"))
+        return F.call_function("shiftrightunsigned", word, F.pmod(day, F.lit(WORD))).bitwiseAND(F.lit(1)) == 1
+
+    days = F.filter(F.sequence(F.lit(0), F.lit(n_days - 1)), seen)
+    return F.transform(days, lambda day: F.date_add(F.lit(start), day))
 
 
 def date_gaps(days: Column) -> Column:

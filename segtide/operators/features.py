@@ -2,33 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segtide.functions.days import date_gaps
+from segtide.functions.days import date_gaps, dates_of_words, day_words
 from segtide.operators.activity import SHARED_USER
 from segtide.operators.affinity import PLAY, SPEND
 from segtide.periods import Period, in_any
 
 
-def active_days(activity: DataFrame, period: Period) -> DataFrame:
-    """Ascending play and spend days of each player in one period.
+CREDITED = f"spent AND user_id <> {SHARED_USER}"
+
 
-    ``spend_dates`` is NULL without a credited spend row. Both arrays are sets of
-    days and so bounded by the length of the period.
+def active_days(activity: DataFrame, period: Period, periods: Sequence[Period] = ()) -> DataFrame:
+    """Ascending play and spend days in one period of everyone who played in any of ``periods``, that one by default.
+
+    An array is NULL for users who did not play in the period, ``spend_dates`` also
+    without a credited spend row. Days travel as bit words that merge on the map
+    side and are unfolded after the shuffle; arrays are bounded by the length of the period.
     """
-    return (
-        activity.where(in_any("dt", [period]))
-        .groupBy("user_id")
-        .agg(
-            F.expr("array_sort(collect_set(CASE WHEN played THEN dt END))").alias("play_dates"),
-            F.expr(f"array_sort(collect_set(CASE WHEN spent AND user_id <> {SHARED_USER} THEN dt END))").alias(
-                "spend_dates"
-            ),
-        )
-        .where("size(play_dates) > 0")
-        .withColumn("spend_dates", F.expr("CASE WHEN size(spend_dates) > 0 THEN spend_dates END"))
+    rows = activity.where(in_any("dt", [period, *periods])).select(
+        "user_id", "played", F.expr(CREDITED).alias("paid"), F.datediff("dt", F.lit(period.start)).alias("day_no")
     )
+    words = [*day_words("played", "day_no", period.n_days, "play_"), *day_words("paid", "day_no", period.n_days, "spend_")]
+    users = rows.groupBy("user_id").agg(F.bool_or("played").alias("played"), *words).where("played")
+    play, spend = (dates_of_words(prefix, period.start, period.n_days) for prefix in ("play_", "spend_"))
+    found = users.select("user_id", play.alias("play_dates"), spend.alias("spend_dates"))
+    there, paid = F.size("play_dates") > 0, F.size("spend_dates") > 0
+    named = found.select("user_id", F.when(there, F.col("play_dates")).alias("play_dates"), F.when(there & paid, F.col("spend_dates")).alias("spend_dates"))
+    return named if periods else named.where("play_dates IS NOT NULL")
 
 
 def _by_source(days: DataFrame, name: str, of_dates) -> DataFrame:
@@ -40,9 +44,17 @@ def _by_source(days: DataFrame, name: str, of_dates) -> DataFrame:
     return days.select("user_id", F.inline(F.array(*sides)))
 
 
-def day_rows(days: DataFrame) -> DataFrame:
-    """Rows ``user_id, source, dt``: the sets of active days."""
-    return _by_source(days, "dates", lambda dates: dates).select("user_id", "source", F.explode("dates").alias("dt"))
+def day_rows(activity: DataFrame, period: Period) -> DataFrame:
+    """Rows ``user_id, source, dt``: the distinct active days of the period's players.
+
+    Days of spending count for users with a play row in the period, which every spend row of the platform implies; a
+    semi join drops the others.
+    """
+    rows = activity.where(in_any("dt", [period])).select("user_id", "dt", "played", F.expr(CREDITED).alias("paid"))
+    sides = [F.when(F.col(c), F.lit(label)) for c, label in (("played", PLAY), ("paid", SPEND))]
+    days = rows.select("user_id", F.explode(F.array_compact(F.array(*sides))).alias("source"), "dt").distinct()
+    players = days.where(F.col("source") == PLAY).select("user_id").distinct()
+    return days.join(players, "user_id", "left_semi")
 
 
 def visit_gaps(days: DataFrame) -> DataFrame:
@@ -59,11 +71,9 @@ def _gap_array(dates: str) -> Column:
     return F.coalesce(date_gaps(F.col(dates)), F.array(F.lit(0).cast("bigint")))
 
 
-def gap_arrays(users: DataFrame, days: DataFrame) -> DataFrame:
-    """Play and spend gaps of each given user as arrays; ``days`` covers one period."""
-    return users.join(days, "user_id", "left").select(
-        *users.columns, _gap_array("play_dates").alias("play_gaps"), _gap_array("spend_dates").alias("spend_gaps")
-    )
+def gap_arrays(days: DataFrame) -> DataFrame:
+    """Play and spend gaps of each user as arrays."""
+    return days.select("user_id", _gap_array("play_dates").alias("play_gaps"), _gap_array("spend_dates").alias("spend_gaps"))
 
 
 def user_features(labels: DataFrame, volumes: DataFrame) -> DataFrame:

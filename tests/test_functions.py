@@ -1,11 +1,11 @@
-"""Days, gaps and count maps."""
+"""Days, gaps and periods."""
 
 from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from segtide.functions import days, maps
+from segtide.functions import days
 from segtide.periods import Period, check_disjoint, period_index, period_name
 
 
@@ -36,22 +36,12 @@ def test_distinct_days_equals_count_distinct(spark, n_days):
     assert all(r.bits == r.exact for r in got.collect())
 
 
-def test_breadth_and_volume(spark):
-    play = {58764: 1, 56672: 1, 58510: 1, 57227: 1, 58857: 1, 1801: 2, 2676: 2, 3241: 4, 52206: 2, 1604: 47}
-    rows = [(1, play), (2, {57933: 88, 57856: 2}), (3, {57933: 11}), (4, None)]
-    df = spark.createDataFrame(rows, "id int, m map<bigint,int>")
-    got = {r.id: r.p for r in df.select("id", maps.breadth_and_volume(F.col("m")).alias("p")).collect()}
-    assert got == {1: [10, 62], 2: [2, 90], 3: [1, 11], 4: [0, 0]}
-
-
-def test_normalise_sums_to_one(spark):
-    df = spark.createDataFrame([({1: 1, 2: 3},)], "m map<bigint,int>")
-    assert df.select(maps.normalise(F.col("m"))).first()[0] == {1: 0.25, 2: 0.75}
-
-
-def test_first_items(spark):
-    df = spark.createDataFrame([(list(range(12)),), ([1],)], "a array<bigint>")
-    assert [r[0] for r in df.select(maps.first_items(F.col("a"))).collect()] == [list(range(10)), [1]]
+def test_dates_of_words(spark):
+    rows = [(1, 0, True), (1, 63, True), (1, 64, True), (1, 89, True), (1, 5, False), (2, 7, False), (1, 90, True), (1, -1, True), (1, 64, True)]
+    df = spark.createDataFrame(rows, "g int, o int, f boolean")
+    words = df.groupBy("g").agg(*days.day_words("f", "o", 90, "w"))
+    got = {r.g: r.d for r in words.select("g", days.dates_of_words("w", date(2013, 1, 1), 90).alias("d")).collect()}
+    assert got == {1: [date(2013, 1, 1) + timedelta(days=k) for k in (0, 63, 64, 89)], 2: []}
 
 
 def test_periods(spark):
