@@ -22,26 +22,48 @@ SPEND = "spendtimes"
 
 USER_KEYS = ("period", "user_id")
 
+# A share of 1 in the whole numbers that shares are summed in.
+ONE = 10**18
 
-def app_counts(activity: DataFrame, periods: Sequence[Period]) -> DataFrame:
-    """Play and spend rows per period, user and app, counted on the map side first.
 
-    Rows without an app or a user count for nobody. The shared user id is never
-    credited with spending.
+def app_usage(activity: DataFrame, periods: Sequence[Period] = ()) -> DataFrame:
+    """One row per user and app: play rows in all, and play and spend rows of each period side by side.
+
+    One grouping, counted on the map side first, from which the counts per
+    period, the document frequency and the corpus size all follow. Rows without
+    an app keep a row of their own, as their users belong to the corpus. Rows without a user count for
+    nobody; the shared user id is never credited with spending.
     """
-    check_disjoint(periods)
-    known = F.col("app").isNotNull() & F.col("user_id").isNotNull()
+    number = period_index("dt", check_disjoint(periods)) if periods else F.lit(-1)
+    sides = {"plays": "played", "spends": f"spent AND user_id <> {SHARED_USER}"}
+    counted = [
+        F.expr(f"count_if({condition} AND period_no = {i})").alias(f"{name}_{i}")
+        for i in range(len(periods))
+        for name, condition in sides.items()
+    ]
     return (
-        activity.where(in_any("dt", periods) & known)
-        .groupBy(period_index("dt", periods).alias("period_no"), "user_id", "app")
-        .agg(
-            F.expr("count_if(played)").alias("plays"),
-            F.expr(f"count_if(spent AND user_id <> {SHARED_USER})").alias("spends"),
-        )
-        .select(period_name("period_no", periods).alias("period"), "user_id", "app", "plays", "spends")
+        activity.where(F.col("user_id").isNotNull())
+        .withColumn("period_no", number)
+        .groupBy("user_id", "app")
+        .agg(F.expr("count_if(played)").alias("plays_all"), *counted)
     )
 
 
+def period_counts(usage: DataFrame, periods: Sequence[Period]) -> DataFrame:
+    """Play and spend rows per period, user and app from their usage; periods without rows drop out."""
+    cells = [
+        F.struct(F.lit(p.name).alias("period"), F.col(f"plays_{i}").alias("plays"), F.col(f"spends_{i}").alias("spends"))
+        for i, p in enumerate(periods)
+    ]
+    rows = usage.where(F.col("app").isNotNull()).select("user_id", "app", F.inline(F.array(*cells)))
+    return rows.where("plays + spends > 0").select("period", "user_id", "app", "plays", "spends")
+
+
+def app_counts(activity: DataFrame, periods: Sequence[Period]) -> DataFrame:
+    """Play and spend rows per period, user and app straight from the log."""
+    return period_counts(app_usage(activity.where(in_any("dt", periods)), periods), periods)
+
+
 def user_volumes(counts: DataFrame) -> DataFrame:
     """Breadth (apps) and volume (log rows) per period and user, for plays and spends and, as ``n_rows``, in all."""
     return (
@@ -91,30 +113,23 @@ def user_app_profile(
 
 
 def user_app_maps(
-    counts: DataFrame,
-    players: DataFrame,
-    entries: int = 10_000,
-    hot_rows: int = HOT_ROWS,
-    pieces: int = PIECES,
+    counts: DataFrame, players: DataFrame, hot_rows: int = HOT_ROWS, pieces: int = PIECES
 ) -> DataFrame:
-    """The same profile as maps from app to count, split so that no map outgrows a row.
+    """The same profile as maps from app to count, one for each period, source and group of apps.
 
-    Users with up to ``entries`` apps have one row per period and source, with
-    ``part`` 0; larger users have their apps dealt to several parts by their hash.
+    ``app_group`` is the first byte of the app's hash, for users of any size: a
+    map holds one in 256 of a user's apps on average.
     """
-    digits = "substring(md5(CAST(app AS STRING)), 1, 8)"
     rows = _with_users(counts, players.select(*USER_KEYS), hot_rows, pieces)
-    dealt = _by_source(rows, *USER_KEYS, "app", volume="apps").withColumn(
-        "part",
-        F.expr(f"CAST(pmod(CAST(conv({digits}, 16, 10) AS BIGINT), ceil(apps / {entries})) AS INT)"),
-    )
+    group = F.expr("CAST(conv(substring(md5(CAST(app AS STRING)), 1, 2), 16, 10) AS INT)")
+    dealt = _by_source(rows, *USER_KEYS, "app").withColumn("app_group", group)
     pairs = F.collect_list(F.struct("app", "n"))
-    return dealt.groupBy(*USER_KEYS, "source", "part").agg(F.map_from_entries(pairs).alias("counts"))
+    return dealt.groupBy(*USER_KEYS, "source", "app_group").agg(F.map_from_entries(pairs).alias("counts"))
 
 
-def app_users(activity: DataFrame) -> DataFrame:
-    """Distinct pairs of app and user over all given play rows."""
-    return activity.where(F.col("played") & F.col("app").isNotNull()).select("app", "user_id").distinct()
+def app_users(usage: DataFrame) -> DataFrame:
+    """Pairs of app and user with a play row; apps that no known user played don't occur."""
+    return usage.where((F.col("plays_all") > 0) & F.col("app").isNotNull()).select("app", "user_id")
 
 
 def document_frequency(pairs: DataFrame) -> DataFrame:
@@ -122,14 +137,9 @@ def document_frequency(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("app").agg(F.count("user_id").alias("df"))
 
 
-def corpus_size(activity: DataFrame) -> Column:
-    """Number of users with a play row, as a scalar subquery.
-
-    It reads the user column of the log once more on purpose. Counting over the
-    shuffled pairs would save that, but adaptive execution does not split skewed
-    joins below a shuffle it finds already written.
-    """
-    return activity.where("played").agg(F.count_distinct("user_id")).scalar()
+def corpus_size(usage: DataFrame) -> Column:
+    """Number of users with a play row, as a scalar subquery."""
+    return usage.where("plays_all > 0").agg(F.count_distinct("user_id")).scalar()
 
 
 def segment_terms(
@@ -138,20 +148,26 @@ def segment_terms(
     """Standardised term frequency ``stf`` per period, source, segment and app.
 
     Each user spreads a weight of 1 over their apps, whatever their volume.
-    ``segments`` has one row ``period, user_id, seg`` per player.
+    ``segments`` has one row ``period, user_id, seg`` per player. Shares are
+    summed as whole numbers of 10^-18, so the sum does not depend on the order
+    of the rows and small shares are not lost in large sums.
     """
     rows = _with_users(counts, segments, hot_rows, pieces)
     weights = _by_source(rows, "period", "seg", "app", volume="total")
-    return weights.groupBy("period", "source", "seg", "app").agg(F.expr("sum(n / total)").alias("stf"))
+    share = F.expr(f"CAST(n AS DECIMAL(19, 0)) * CAST({ONE} AS DECIMAL(19, 0)) div total").alias("share")
+    shares = weights.select("period", "source", "seg", "app", share)
+    total = F.sum(F.col("share").cast("decimal(28, 0)")).cast("double") / float(ONE)
+    return shares.groupBy("period", "source", "seg", "app").agg(total.alias("stf"))
 
 
 def weigh_terms(terms: DataFrame, frequencies: DataFrame, size: Column | int) -> DataFrame:
-    """TF-IDF of terms; apps without a document frequency drop out.
+    """TF-IDF of terms; apps without a document frequency drop out, one of 0 gives no weight.
 
     No side is hinted as small: the app catalogue is not bounded, and the
     optimiser broadcasts it whenever its measured size allows.
     """
-    idf = F.log2(size / F.col("df"))
+    size = size if isinstance(size, Column) else F.lit(size)
+    idf = F.log2(F.try_divide(size.cast("double"), F.col("df")))
     return terms.join(frequencies, "app").withColumn("tfidf", F.col("stf") * idf)
 
 

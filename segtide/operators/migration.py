@@ -91,8 +91,8 @@ def migration_summary(moves: DataFrame) -> DataFrame:
         "move_uu",
         "delta_login",
         "delta_coin",
-        F.round(coin * login / (users * users), 6).alias("l_c_per_user"),
-        F.round(F.when(size > 0, F.ln(size)) * login / users, 6).alias("l_logc_per_user"),
+        (coin * login / (users * users)).alias("l_c_per_user"),
+        (F.when(size > 0, F.ln(size)) * login / users).alias("l_logc_per_user"),
     )
 
 

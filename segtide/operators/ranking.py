@@ -12,13 +12,9 @@ def list_rows(top: DataFrame) -> DataFrame:
 
 
 def combined_rank(lists: DataFrame) -> DataFrame:
-    """Sum of reciprocal ranks per item, best first; ties go by item."""
+    """Sum of reciprocal ranks per item, all items, best first; ties go by item.
+
+    The ordered rows are the report; ``write.text`` puts them into files.
+    """
     scores = lists.groupBy("item").agg(F.sum(1 / (F.col("pos") + 1)).alias("score"))
     return scores.orderBy(F.desc("score"), "item")
-
-
-def ranking_line(ranking: DataFrame, top: int) -> DataFrame:
-    """The ``top`` items of a combined ranking on one comma-joined line."""
-    best = ranking.orderBy(F.desc("score"), "item").limit(top)
-    ordered = F.array_sort(F.collect_list(F.struct(-F.col("score"), "item")))
-    return best.agg(F.array_join(F.transform(ordered, lambda r: r["item"].cast("string")), ", ").alias("line"))

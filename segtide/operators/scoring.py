@@ -52,6 +52,17 @@ def spender_totals(activity: DataFrame, periods: Sequence[Period]) -> DataFrame:
     )
 
 
+def rfm_profile_stats(totals: DataFrame) -> DataFrame:
+    """Extremes and truncated means of frequency and monetary value over all spenders, in one row."""
+    return totals.agg(
+        *[
+            F.expr(how).alias(f"{name}_{c}")
+            for c in ("frequency", "monetary")
+            for name, how in (("max", f"max({c})"), ("min", f"min({c})"), ("mean", f"sum({c}) div count({c})"))
+        ]
+    )
+
+
 def user_rfm_scores(
     totals: DataFrame,
     recency_cuts: Sequence[date] = bands.RECENCY_CUTS,
@@ -108,7 +119,7 @@ def rfm_cells(scores: DataFrame) -> DataFrame:
 
 def _roll_up(cells: DataFrame, *keys: str) -> DataFrame:
     sums = cells.groupBy(*keys).agg(F.sum("uu").alias("uu"), F.sum("coin").alias("coin"))
-    return sums.withColumn("arppu", F.round(F.col("coin") / F.col("uu"), 6))
+    return sums.withColumn("arppu", F.col("coin") / F.col("uu"))
 
 
 def final_rank_table(cells: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 # A key is hot with more rows than one task should get.
 HOT_ROWS = 1_000_000
 PIECES = 256
+# Hot keys that are split, at most: the size of the list that is broadcast.
+MOST_HOT = 4096
 
 
 def join_per_key(
@@ -20,22 +22,24 @@ def join_per_key(
     sizes: DataFrame,
     hot_rows: int = HOT_ROWS,
     pieces: int = PIECES,
+    most: int = MOST_HOT,
 ) -> DataFrame:
     """Inner join of many rows per key with one row per key, hot keys split into pieces.
 
-    ``sizes`` and ``per_key`` carry ``n_rows``, the number of rows of the key or
-    more. The list of hot keys is broadcast: each stands for more than
-    ``hot_rows`` rows, so it has less than one entry per million rows. Rows of a
-    hot key are dealt to ``pieces`` slots by the hash of ``spread_by``, and only
-    the hot rows of ``per_key`` are repeated.
+    ``sizes`` carries ``n_rows``, the number of rows of the key or more. Hot are
+    the ``most`` largest keys of those with more than ``hot_rows`` rows, so the
+    broadcast list has ``most`` entries at most, whatever the data; further large
+    keys are left to adaptive execution. Rows of a hot key are dealt to
+    ``pieces`` slots by the hash of ``spread_by``, and only the hot rows of
+    ``per_key`` are repeated.
     """
-    is_hot = F.col("n_rows") > hot_rows
-    hot = F.broadcast(sizes.where(is_hot).select(*on, F.lit(True).alias("hot")))
+    largest = sizes.where(F.col("n_rows") > hot_rows).orderBy(F.desc("n_rows"), *on).limit(most)
+    hot = F.broadcast(largest.select(*on, F.lit(True).alias("hot")))
     piece = F.pmod(F.xxhash64(spread_by), F.lit(pieces)).cast("int")
-    slots = F.when(is_hot, F.sequence(F.lit(0), F.lit(pieces - 1))).otherwise(F.array(F.lit(0)))
+    slots = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(pieces - 1))).otherwise(F.array(F.lit(0)))
 
     dealt = rows.join(hot, list(on), "left").withColumn("slot", F.when(F.col("hot"), piece).otherwise(0))
-    repeated = per_key.withColumn("slot", F.explode(slots))
+    repeated = per_key.join(hot, list(on), "left").withColumn("slot", F.explode(slots)).drop("hot")
     return dealt.drop("hot").join(repeated, [*on, "slot"]).drop("slot")
 
 

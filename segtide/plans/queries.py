@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from segtide.operators import activity, affinity, features, migration, quadrants, ranking, scoring
 from segtide.periods import Period
 from segtide.sources.order_logs import read_activity, read_categories
+from segtide.sources.staging import written
 
 P1, P2, P3 = (Period.year(y) for y in (1997, 1998, 1999))
 PERIODS = (P1, P2, P3)
@@ -31,8 +32,6 @@ SAMPLE_ORIGIN = date(1996, 1, 1)
 SAMPLE_SIZE = 500
 SAMPLE_SEED = "knn"
 TARGET = "R1F2M3"
-LINE_LENGTH = 11
-MAP_ENTRIES = 10_000
 TAGS = {P1.name: "p1", P2.name: "p2"}
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,19 +72,28 @@ def segment_migration_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return migration.segment_migration(_rows(spark, sf_dir, (P1, P2)), P1.name, P2.name, DIVISOR)
 
 
+def _shown(rows: DataFrame, *columns: str) -> DataFrame:
+    """Round what is shown, after all ordering and ranking."""
+    return rows.withColumns({c: F.round(c, 6) for c in columns})
+
+
+def _moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return migration.migration_summary(segment_migration_users(spark, sf_dir))
+
+
 @query
 def segment_migration_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return migration.migration_summary(segment_migration_users(spark, sf_dir))
+    return _shown(_moves(spark, sf_dir), "l_c_per_user", "l_logc_per_user")
 
 
 @query
 def segment_migration_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return migration.top_moves(segment_migration_summary(spark, sf_dir))
+    return _shown(migration.top_moves(_moves(spark, sf_dir)), "l_c_per_user", "l_logc_per_user")
 
 
 @query
 def segment_migration_bottom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return migration.bottom_moves(segment_migration_summary(spark, sf_dir))
+    return _shown(migration.bottom_moves(_moves(spark, sf_dir)), "l_c_per_user", "l_logc_per_user")
 
 
 @query
@@ -129,6 +137,11 @@ def monthly_spend_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def rfm_profile_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.rfm_profile_stats(scoring.totals_of_months(monthly_spend_wide(spark, sf_dir), len(MONTHS)))
+
+
 @query
 def user_rfm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     totals = scoring.spender_totals(read_activity(spark, sf_dir, MONTHS, spends_only=True), MONTHS)
@@ -152,22 +165,24 @@ def rfm_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def rfm_final_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.final_rank_table(rfm_cells(spark, sf_dir))
+    return _shown(scoring.final_rank_table(rfm_cells(spark, sf_dir)), "arppu")
 
 
 @query
 def rf_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.rf_matrix(rfm_cells(spark, sf_dir))
+    return _shown(scoring.rf_matrix(rfm_cells(spark, sf_dir)), "arppu")
 
 
 @query
 def mf_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.mf_matrix(rfm_cells(spark, sf_dir))
+    return _shown(scoring.mf_matrix(rfm_cells(spark, sf_dir)), "arppu")
 
 
 @query
 def rfm_training_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.training_sample(user_rfm_scores(spark, sf_dir), SAMPLE_ORIGIN, SAMPLE_SIZE, SAMPLE_SEED)
+    """The scores are written once: the draw looks at them twice, the log is read once."""
+    scores = written(user_rfm_scores(spark, sf_dir), "scores")
+    return scoring.training_sample(scores, SAMPLE_ORIGIN, SAMPLE_SIZE, SAMPLE_SEED)
 
 
 @query
@@ -227,44 +242,45 @@ def user_app_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def user_app_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    maps = affinity.user_app_maps(*_app_counts_and_players(spark, sf_dir), entries=MAP_ENTRIES)
+    maps = affinity.user_app_maps(*_app_counts_and_players(spark, sf_dir))
     entries = F.expr("transform(array_sort(map_entries(counts)), e -> concat(e.key, ':', e.value))")
-    return maps.select("period", "user_id", "source", "part", F.array_join(entries, ",").alias("counts"))
+    return maps.select("period", "user_id", "source", "app_group", F.array_join(entries, ",").alias("counts"))
 
 
 @query
 def app_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return affinity.document_frequency(affinity.app_users(read_activity(spark, sf_dir)))
+    return affinity.document_frequency(affinity.app_users(affinity.app_usage(read_activity(spark, sf_dir))))
 
 
 def _tfidf_inputs(spark: SparkSession, sf_dir: str, periods) -> tuple:
-    log, whole_log = read_activity(spark, sf_dir, periods), read_activity(spark, sf_dir)
+    """Two reads of the log: all of it for the usage, which is written once, and the periods for the labels."""
+    usage = written(affinity.app_usage(read_activity(spark, sf_dir), periods), "app-usage")
     return (
-        affinity.app_counts(log, periods),
-        scoring.labelled(activity.user_periods(log, periods), periods),
-        affinity.document_frequency(affinity.app_users(whole_log)),
-        affinity.corpus_size(whole_log),
+        affinity.period_counts(usage, periods),
+        scoring.labelled(_rows(spark, sf_dir, periods), periods),
+        affinity.document_frequency(affinity.app_users(usage)),
+        affinity.corpus_size(usage),
     )
 
 
-def _rounded(weights: DataFrame) -> DataFrame:
-    """Sums of fractions depend on the order of addition in their last digits."""
-    return weights.withColumns({c: F.round(c, 6) for c in ("stf", "tfidf")})
+def _weights(spark: SparkSession, sf_dir: str, periods=(P1, P2)) -> DataFrame:
+    return affinity.segment_app_tfidf(*_tfidf_inputs(spark, sf_dir, periods), tags=TAGS)
 
 
 @query
 def segment_app_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(affinity.segment_app_tfidf(*_tfidf_inputs(spark, sf_dir, (P1, P2)), tags=TAGS))
+    return _shown(_weights(spark, sf_dir), "stf", "tfidf")
 
 
 @query
 def target_segment_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(affinity.target_segment_tfidf(*_tfidf_inputs(spark, sf_dir, (P1,)), P1.name, TARGET))
+    weights = affinity.target_segment_tfidf(*_tfidf_inputs(spark, sf_dir, (P1,)), P1.name, TARGET)
+    return _shown(weights, "stf", "tfidf")
 
 
 @query
 def segment_top_apps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return affinity.segment_top_apps(segment_app_tfidf(spark, sf_dir))
+    return affinity.segment_top_apps(_weights(spark, sf_dir))
 
 
 @query
@@ -281,9 +297,7 @@ def user_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def user_gap_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = read_activity(spark, sf_dir, PERIODS)
-    users = activity.players(activity.user_periods(log, PERIODS)).select("user_id").distinct()
-    gaps = features.gap_arrays(users, features.active_days(log, P1))
+    gaps = features.gap_arrays(features.active_days(read_activity(spark, sf_dir, PERIODS), P1, PERIODS))
     return gaps.withColumns(
         {c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("play_gaps", "spend_gaps")}
     )
@@ -291,7 +305,7 @@ def user_gap_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def user_active_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.day_rows(features.active_days(read_activity(spark, sf_dir, (P1,)), P1))
+    return features.day_rows(read_activity(spark, sf_dir, (P1,)), P1)
 
 
 @query
@@ -300,11 +314,7 @@ def visit_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def combined_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = segment_top_apps(spark, sf_dir).where((F.col("info") == affinity.PLAY) & (F.col("pp") == "p1"))
-    return ranking.combined_rank(ranking.list_rows(lists)).withColumn("score", F.round("score", 6))
-
-
-@query
-def combined_rank_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.ranking_line(combined_rank(spark, sf_dir), LINE_LENGTH)
+def combined_rank(spark: SparkSession, sf_dir: str, period: Period = P1, source: str = affinity.PLAY) -> DataFrame:
+    """The top lists of one period and source; labels and counts of other periods are not computed."""
+    lists = affinity.segment_top_apps(_weights(spark, sf_dir, (period,)).where(F.col("info") == source))
+    return _shown(ranking.combined_rank(ranking.list_rows(lists)), "score")

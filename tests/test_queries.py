@@ -76,5 +76,26 @@ def test_one_shuffle_per_user_and_period(spark):
     assert plan.count("Exchange hashpartitioning(user_id") == 1
 
 
-def test_user_totals_are_shared_by_weights_and_hot_keys(spark):
-    assert "ReusedExchange [period#" in executed(spark, "segment_app_tfidf")
+def line_item_reads(spark, name):
+    """Scans of the log: those of the final plan, and one if a part was written before."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = executed(spark, name)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    return plan.count("lineitem.parquet"), "app-usage" in plan or "scores" in plan
+
+
+@pytest.mark.parametrize("name", ["segment_app_tfidf", "combined_rank", "target_segment_tfidf"])
+def test_weights_read_the_log_twice(spark, name):
+    assert line_item_reads(spark, name) == (1, True)
+
+
+def test_sample_and_gaps_read_the_log_once(spark):
+    assert line_item_reads(spark, "rfm_training_sample") == (0, True)
+    assert line_item_reads(spark, "user_gap_arrays") == (1, False)
+
+
+@pytest.mark.parametrize("name", ["user_gap_arrays", "user_active_days", "visit_gaps"])
+def test_days_are_not_collected_as_objects(spark, name):
+    assert "ObjectHashAggregate" not in executed(spark, name)
