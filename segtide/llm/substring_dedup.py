@@ -24,7 +24,9 @@ _END = 65_535
 
 PROBES = pa.schema([("slot", pa.int32()), ("keys", pa.binary()), ("rows", pa.binary()), ("runs", pa.binary()), ("gaps", pa.binary()), ("sure_rows", pa.binary()), ("sure_runs", pa.binary()), ("sure_gaps", pa.binary())])
 WINDOWS = pa.schema([("slot", pa.int32()), ("keys", pa.binary()), ("rows", pa.binary()), ("ranks", pa.binary()), ("runs", pa.binary()), ("gaps", pa.binary()), ("sure_rows", pa.binary()), ("sure_runs", pa.binary()), ("sure_gaps", pa.binary())])
-PLACES = "row long, runs binary"
+PLACES, GATHERED = "home int, rows binary, runs binary, gaps binary", "row long, places binary"
+#: Bytes of a window's key that travel; the slot holds more of its bits, the more windows there are.
+KEY = 10
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -66,6 +68,16 @@ class Hashes:
         return _joined(eight[:-2], two[8:])
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Whole numbers byte by byte: first all low bytes, then the next ones, which are mostly zero and take no room once compressed."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+
+
+def from_planes(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+
+
 def packed(rows: np.ndarray, places: np.ndarray) -> tuple[bytes, bytes, bytes]:
     """Places sorted by row: the rows, the number of places of each, and the gaps between places in 16 bits; a longer gap takes more than one."""
     if not len(rows):
@@ -75,16 +87,16 @@ def packed(rows: np.ndarray, places: np.ndarray) -> tuple[bytes, bytes, bytes]:
     out = np.full(int((1 + gap // _END).sum()), _END, np.uint16)
     out[np.cumsum(1 + gap // _END) - 1] = gap % _END
     at = np.flatnonzero(first)
-    return rows[at].tobytes(), np.diff(np.append(at, len(rows))).astype(np.int32).tobytes(), out.tobytes()
+    return rows[at].tobytes(), planes(np.diff(np.append(at, len(rows))).astype(np.int32)), planes(out)
 
 
 def unpacked(runs: bytes, gaps: bytes) -> np.ndarray:
     """The places again, row after row."""
-    steps = np.frombuffer(gaps, np.uint16)
+    steps, counts = from_planes(gaps, np.uint16), from_planes(runs, np.int32)
     upto = np.cumsum(steps.astype(np.int64))[steps != _END]
-    ends = np.cumsum(np.frombuffer(runs, np.int32).astype(np.int64))
+    ends = np.cumsum(counts.astype(np.int64))
     base = np.concatenate([[0], upto[ends[:-1] - 1]]) if len(ends) else np.zeros(0, np.int64)
-    return upto - np.repeat(base, np.frombuffer(runs, np.int32))
+    return upto - np.repeat(base, counts)
 
 
 def _texts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple]]:
@@ -159,49 +171,65 @@ def _probe(slots: int):
     return run
 
 
-def _places(row: np.ndarray, place: np.ndarray) -> pa.Table:
-    """One line for each row with its places."""
+def _homes(row: np.ndarray, place: np.ndarray, slots: int) -> pa.Table:
+    """Places packed for the shuffle that brings those of a row together."""
+    home = _spread(row.view(np.uint64), slots)
+    order = np.lexsort((place, row, home))
+    row, place, home = row[order], place[order], home[order]
+    rows = [(s, *packed(row[a], place[a])) for s, a, _ in _by_slot(home, home[:0])]
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["home", "rows", "runs", "gaps"])
+
+
+def _gathered(table: pa.Table) -> pa.Table:
+    """One line for each row with its places, ascending."""
+    row, place = _read(table)
     order = np.lexsort((place, row))
     row, place = row[order], place[order]
+    new = np.concatenate([[True], (row[1:] != row[:-1]) | (place[1:] != place[:-1])]) if len(row) else np.zeros(0, bool)
+    row, place = row[new], place[new]
     at = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
     ends = np.append(at, len(row))
-    return pa.table({"row": pa.array(row[at], pa.int64()), "runs": pa.array([place[a:b].astype(np.int32).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())})
+    return pa.table({"row": pa.array(row[at], pa.int64()), "places": pa.array([place[a:b].astype(np.int32).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())})
 
 
 def _read(table: pa.Table, prefix: str = "") -> tuple[np.ndarray, np.ndarray]:
     rows, places = [], []
     for r, runs, gaps in zip(*(table[prefix + c].to_pylist() for c in ("rows", "runs", "gaps")), strict=True):
-        rows.append(np.repeat(np.frombuffer(r, np.int64), np.frombuffer(runs, np.int32)))
+        rows.append(np.repeat(np.frombuffer(r, np.int64), from_planes(runs, np.int32)))
         places.append(unpacked(runs, gaps))
     return np.concatenate(rows), np.concatenate(places)
 
 
-def _hits(table: pa.Table) -> pa.Table:
-    """Places of half windows that equal a block elsewhere, and of those blocks; a few others whose short hashes agree do no harm."""
-    keys = np.concatenate([np.frombuffer(k, "<u4") for k in table["keys"].to_pylist()])
-    row, place = _read(table)
-    order = np.argsort(keys, kind="stable")
-    edge = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]])) if len(keys) else np.zeros(0, np.int64)
-    counts = np.diff(np.append(edge, len(keys)))
-    block = np.maximum.reduceat(place[order] % BLOCK == 0, edge) if len(keys) else np.zeros(0, bool)
-    hit = order[np.repeat((counts > 1) & block, counts)]
-    sure_row, sure_place = _read(table, "sure_")
-    return _places(np.concatenate([row[hit], sure_row]), np.concatenate([place[hit], sure_place]))
+def _hits(slots: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Places of half windows that equal a block elsewhere, and of those blocks; a few others whose short hashes agree do no harm."""
+        keys = np.concatenate([np.frombuffer(k, "<u4") for k in table["keys"].to_pylist()])
+        row, place = _read(table)
+        order = np.argsort(keys, kind="stable")
+        edge = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]])) if len(keys) else np.zeros(0, np.int64)
+        counts = np.diff(np.append(edge, len(keys)))
+        block = np.maximum.reduceat(place[order] % BLOCK == 0, edge) if len(keys) else np.zeros(0, bool)
+        hit = order[np.repeat((counts > 1) & block, counts)]
+        sure_row, sure_place = _read(table, "sure_")
+        return _homes(np.concatenate([row[hit], sure_row]), np.concatenate([place[hit], sure_place]), slots)
+
+    return run
 
 
-def _merged(lists: list[bytes] | None) -> np.ndarray:
-    return np.unique(np.concatenate([np.frombuffer(x, np.int32) for x in lists])).astype(np.int64) if lists else np.zeros(0, np.int64)
+def _merged(places: bytes | None) -> np.ndarray:
+    return np.frombuffer(places or b"", np.int32).astype(np.int64)
 
 
 def _windows(slots: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Whole windows around the hits, by two hashes, dealt by the first. Only the earliest of a portion's equal windows travels; the others are sure."""
+        """Whole windows around the hits, by two hashes in 80 bits, dealt by the first. Only the earliest of a portion's equal windows travels; the others are sure."""
         hashes = Hashes()
-        for held in _texts((b.select(["rank", "row", "lists", "text"]) for b in batches), PORTION):
+        for held in _texts((b.select(["rank", "row", "places", "text"]) for b in batches), PORTION):
             flat, starts, sizes = _concatenated(hashes, [t for *_, t in held])
             near = np.zeros(len(flat) + 1, np.int64)
-            for (_, _, lists, _), start, size in zip(held, starts, sizes, strict=True):
-                hit = _merged(lists)
+            for (_, _, places, _), start, size in zip(held, starts, sizes, strict=True):
+                hit = _merged(places)
                 low, high = np.maximum(hit - BLOCK + 1, 0), np.minimum(hit, size - WINDOW) + 1
                 fits = low < high
                 np.add.at(near, start + low[fits], 1)
@@ -211,7 +239,7 @@ def _windows(slots: int):
                 continue
             halves = hashes.halves(flat)
             key = _joined(halves[at], halves[at + BLOCK])
-            check = (_mixed(halves[at] * _C + halves[at + BLOCK] * _A) >> np.uint64(32)).astype("<u4")
+            check = (_mixed(halves[at] * _C + halves[at + BLOCK] * _A) >> np.uint64(48)).astype("<u2")
             of = np.searchsorted(starts + sizes, at, side="right")
             rank, row = np.array([h[0] for h in held], np.int64)[of], np.array([h[1] for h in held], np.int64)[of]
             place = at - starts[of]
@@ -248,23 +276,26 @@ def _later(key: np.ndarray, check: np.ndarray, rank: np.ndarray, place: np.ndarr
     return (rank != rank[lead]) | (place != place[lead]), first
 
 
-def _repeats(table: pa.Table) -> pa.Table:
-    """Places of windows whose words also start earlier."""
-    packs = [(k, len(k) // 12) for k in table["keys"].to_pylist()]
-    key = np.concatenate([np.frombuffer(k, np.uint64, n) for k, n in packs])
-    check = np.concatenate([np.frombuffer(k, "<u4", n, 8 * n) for k, n in packs])
-    row, place = _read(table)
-    rank = np.concatenate([np.repeat(np.frombuffer(k, np.int64), np.frombuffer(r, np.int32)) for k, r in zip(table["ranks"].to_pylist(), table["runs"].to_pylist(), strict=True)])
-    order = np.lexsort((place, rank, check, key))
-    later = order[_later(key[order], check[order], rank[order], place[order])[0]]
-    sure_row, sure_place = _read(table, "sure_")
-    return _places(np.concatenate([row[later], sure_row]), np.concatenate([place[later], sure_place]))
+def _repeats(slots: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Places of windows whose words also start earlier."""
+        packs = [(k, len(k) // KEY) for k in table["keys"].to_pylist()]
+        key = np.concatenate([np.frombuffer(k, np.uint64, n) for k, n in packs])
+        check = np.concatenate([np.frombuffer(k, "<u2", n, 8 * n) for k, n in packs])
+        row, place = _read(table)
+        rank = np.concatenate([np.repeat(np.frombuffer(k, np.int64), from_planes(r, np.int32)) for k, r in zip(table["ranks"].to_pylist(), table["runs"].to_pylist(), strict=True)])
+        order = np.lexsort((place, rank, check, key))
+        later = order[_later(key[order], check[order], rank[order], place[order])[0]]
+        sure_row, sure_place = _read(table, "sure_")
+        return _homes(np.concatenate([row[later], sure_row]), np.concatenate([place[later], sure_place]), slots)
+
+    return run
 
 
-def kept_words(text: bytes, lists: list[bytes] | None) -> tuple[list[bytes], int]:
+def kept_words(text: bytes, repeated: bytes | None) -> tuple[list[bytes], int]:
     """The words that no repeated window covers, and the number of all words."""
     words = text.split()
-    places = _merged(lists)
+    places = _merged(repeated)
     if not len(places):
         return words, len(words)
     cover = np.zeros(len(words) + 1, np.int64)
@@ -277,8 +308,8 @@ def _cleaned(n_kept: int, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, results = [], [], []
-            for lists, text in zip(batch.column("lists").to_pylist(), batch.column("text"), strict=True):
-                kept, n = kept_words(text.as_py(), lists)
+            for repeated, text in zip(batch.column("places").to_pylist(), batch.column("text"), strict=True):
+                kept, n = kept_words(text.as_py(), repeated)
                 n_words.append(n)
                 n_removed.append(n - len(kept))
                 if digest:
@@ -301,7 +332,7 @@ def remove_repeats(df: DataFrame, row: str = "doc_id", text: str = "text", diges
     place are not earlier than one another, so rows that repeat id and text are cleaned alike. An empty table gives an empty result. Columns in ``keep`` are carried along.
 
     Any window holds a whole block of half its length, so of two equal windows one's block equals a half window of the other: blocks and probes
-    meet by hash in one shuffle of about six bytes a word. Only windows around hits are compared as a whole, by 96 bits, each key's earliest surviving;
+    meet by hash in one shuffle of about five bytes a word. Only windows around hits are compared as a whole, by 80 bits and their slot, each key's earliest surviving;
     runs of them are the maximal repeats. A hot passage travels once for each portion of text. Texts are shuffled once, by a hash of id and text, for both joins.
     """
     keep = [row] if keep is None else keep
@@ -316,11 +347,11 @@ def remove_repeats(df: DataFrame, row: str = "doc_id", text: str = "text", diges
         words.alias("text"),
     )
     probes = rows.select("row", "text").mapInArrow(_probe(slots), "slot int, keys binary, rows binary, runs binary, gaps binary, sure_rows binary, sure_runs binary, sure_gaps binary")
-    hits = probes.groupBy("slot").applyInArrow(_hits, PLACES).groupBy("row").agg(F.collect_list("runs").alias("lists"))
+    hits = probes.groupBy("slot").applyInArrow(_hits(slots), PLACES).groupBy("home").applyInArrow(_gathered, GATHERED)
     # Both joins take the same columns of the texts, so they share one shuffle.
-    windows = rows.join(hits.hint("shuffle_hash"), "row").select(*rows.columns, "lists").mapInArrow(_windows(slots), "slot int, keys binary, rows binary, ranks binary, runs binary, gaps binary, sure_rows binary, sure_runs binary, sure_gaps binary")
-    repeats = windows.groupBy("slot").applyInArrow(_repeats, PLACES).groupBy("row").agg(F.collect_list("runs").alias("lists"))
-    joined = rows.join(repeats.hint("shuffle_hash"), "row", "left").select(*rows.columns, "lists")
+    windows = rows.join(hits.hint("shuffle_hash"), "row").select(*rows.columns, "places").mapInArrow(_windows(slots), "slot int, keys binary, rows binary, ranks binary, runs binary, gaps binary, sure_rows binary, sure_runs binary, sure_gaps binary")
+    repeats = windows.groupBy("slot").applyInArrow(_repeats(slots), PLACES).groupBy("home").applyInArrow(_gathered, GATHERED)
+    joined = rows.join(repeats.hint("shuffle_hash"), "row", "left").select(*rows.columns, "places")
     schema = T.StructType([*joined.schema.fields[: len(keep)], *[T.StructField(n, T.LongType()) for n in ("n_words", "n_removed")], T.StructField("result", T.StringType())])
     cleaned = joined.mapInArrow(_cleaned(len(keep), digest), schema)
     return cleaned.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "n_words", "n_removed", F.col("result").alias("kept_sha256" if digest else "kept_text"))
