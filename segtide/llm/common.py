@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -14,6 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from segtide.sources.staging import written
+
+__all__ = ["LAST", "WORD", "add_columns", "in_portions", "read", "ship", "single_threaded", "text_bytes", "width", "words", "written"]
+
 #: What separates words.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -50,24 +53,6 @@ def words(column: str | Column) -> Column:
     return F.regexp_extract_all(F.coalesce(column, F.lit("")), F.lit(WORD), F.lit(0))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; where the session names none, as in tests, a temporary one is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="segtide-")
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends here and lost executors take nothing along."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def width(spark: SparkSession, amount: float, each: float) -> int:
     """Partitions so that each holds about ``each`` of ``amount``, at least the session's shuffle width."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), int(amount // each) + 1)
