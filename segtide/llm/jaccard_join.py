@@ -20,8 +20,8 @@ SHINGLE, NUMERATOR, DENOMINATOR, SEVENTH = 5, 3, 4, 7
 PORTION, GROUP = 4_000_000, 32_000_000
 #: Ids that may be broadcast, 16 MB; beyond it Spark shuffles both sides.
 FEW = 2_000_000
-#: Rows of one bucket that are compared in one block, and 64-bit words of the sketch they are compared by.
-BLOCK, SKETCH = 512, 16
+#: Rows of one bucket that are compared in one block.
+BLOCK = 512
 
 _MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
@@ -135,6 +135,42 @@ def keys_of(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(found), np.concatenate(owners)) if found else (flat[:0], of[:0])
 
 
+def words_of(sizes: np.ndarray) -> np.ndarray:
+    """64-bit words of the short sketch of a set: a power of two, with at least a bit for each shingle."""
+    return 1 << np.ceil(np.log2(np.maximum(sizes, 64) / 64)).astype(np.int64)
+
+
+def short_sketches(sets: list[np.ndarray]) -> list[bytes]:
+    """A short parity sketch of each set: a shingle toggles one bit, so two sketches differ in no more bits than the sets in shingles."""
+    if not sets:
+        return []
+    sizes = np.array([len(s) for s in sets], np.int64)
+    bits = 64 * words_of(sizes)
+    ends = np.cumsum(bits)
+    bit = mixed(np.concatenate(sets) + _MULTIPLIERS[4]) & np.repeat(bits - 1, sizes).astype(np.uint64)
+    odd = np.bincount(bit.astype(np.int64) + np.repeat(ends - bits, sizes), minlength=int(ends[-1])) & 1
+    data = np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+    return [data[(e - b) // 8 : e // 8] for b, e in zip(bits, ends, strict=True)]
+
+
+def folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Sketches of one width (rows) as those of a smaller width: the bits that fall together are XORed."""
+    return np.bitwise_xor.reduce(sketches.reshape(len(sketches), -1, words), axis=1)
+
+
+def may_link(left: list[bytes], right: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of pairs of sets with these sketches and sizes, which the sketches and sizes leave open."""
+    found = (4 * np.minimum(a, b) >= 3 * np.maximum(a, b)) & (a > 0)
+    widths = np.array([len(x) for x in left]) * 2**32 + np.array([len(x) for x in right]) if left else np.zeros(0, np.int64)
+    for width_ in np.unique(widths[found]):
+        at = np.flatnonzero(found & (widths == width_))
+        x, y = (np.frombuffer(b"".join(s[k] for k in at), np.uint64).reshape(len(at), -1) for s in (left, right))
+        words = min(x.shape[1], y.shape[1])
+        apart = np.bitwise_count(folded(x, words) ^ folded(y, words)).sum(axis=1, dtype=np.int64)
+        found[at] = SEVENTH * apart <= a[at] + b[at]
+    return found
+
+
 def _pack6(keys: np.ndarray) -> bytes:
     return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
@@ -148,7 +184,8 @@ def _unpack6(data: bytes) -> np.ndarray:
 
 #: Kinds of the rows that the sketch stage gives: a pair to verify, a bucket with one of its ids, a text's id and size, a text without id and its size.
 PAIR, MEMBER, SIZE, NAMELESS = range(4)
-SKETCHED = pa.schema([("slot", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("runs", pa.binary()), ("sure", pa.binary())])
+SKETCHED = pa.schema([("slot", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("runs", pa.binary()), ("sure", pa.binary()), ("sketches", pa.binary())])
+MET = "kind int, a long, b long, sketch binary"
 
 
 def _stars(bucket: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -173,6 +210,7 @@ def _sketch(slots: int):
 
 def _portion(names: list[int | None], sets: list[np.ndarray], slots: int) -> pa.RecordBatch:
     """Rows for the shuffle, one for each slot: packed keys, and what is already sure. Of equal keys only the smallest id travels."""
+    # The first rows are the texts themselves, in order, as their sketches are.
     sure = [(NAMELESS, 0, len(s)) if i is None else (SIZE, i, len(s)) for i, s in zip(names, sets, strict=True)]
     # Equal sets of a portion are pairs at once, and only the smallest id goes on.
     smallest: dict[tuple[int, bytes], int] = {}
@@ -185,6 +223,7 @@ def _portion(names: list[int | None], sets: list[np.ndarray], slots: int) -> pa.
                 sure.append((PAIR, min(old, i), max(old, i)))
             smallest[mark] = i if old is None else min(old, i)
             chosen[mark] = s
+    sketches = short_sketches(sets)
     ids = np.array([smallest[m] for m in chosen], np.int64)
     order = np.argsort(ids, kind="stable")
     marks = list(chosen)
@@ -212,8 +251,10 @@ def _portion(names: list[int | None], sets: list[np.ndarray], slots: int) -> pa.
     for s in np.union1d(slot, told_slot.astype(np.int64)):
         a, b = np.searchsorted(slot, s), np.searchsorted(slot, s, side="right")
         mine, runs = np.unique(owner[a:b], return_counts=True)
-        rows.append((int(s), _pack6(keys[a:b]), mine.tobytes(), runs.astype(np.int32).tobytes(), told[told_slot == s].tobytes()))
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 5, SKETCHED, strict=True)], schema=SKETCHED)
+        here = np.flatnonzero(told_slot == s)
+        own = b"".join(sketches[k] for k in here if told[k, 0] == SIZE)
+        rows.append((int(s), _pack6(keys[a:b]), mine.tobytes(), runs.astype(np.int32).tobytes(), told[here].tobytes(), own))
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 6, SKETCHED, strict=True)], schema=SKETCHED)
 
 
 def _meet(table: pa.Table) -> pa.Table:
@@ -221,6 +262,10 @@ def _meet(table: pa.Table) -> pa.Table:
     keys = np.concatenate([_unpack6(k.as_py()) for k in table["keys"]])
     ids = np.concatenate([np.repeat(np.frombuffer(i.as_py(), np.int64), np.frombuffer(r.as_py(), np.int32)) for i, r in zip(table["ids"], table["runs"], strict=True)])
     told = np.concatenate([np.frombuffer(s.as_py(), np.int64).reshape(-1, 3) for s in table["sure"]])
+    sizes = told[told[:, 0] == SIZE, 2]
+    ends = 8 * np.cumsum(words_of(sizes))
+    data = b"".join(s.as_py() for s in table["sketches"])
+    sketches = iter([data[e - 8 * w : e] for w, e in zip(words_of(sizes), ends, strict=True)])
     order, first, counts = _stars(keys, ids)
     keys, ids = keys[order], ids[order]
     many = (counts > 1) & (ids != ids[first])
@@ -233,7 +278,12 @@ def _meet(table: pa.Table) -> pa.Table:
         np.concatenate([np.full((len(pairs), 1), PAIR), pairs], axis=1),
         np.concatenate([np.full((len(members), 1), MEMBER), members], axis=1),
     ])
-    return pa.table({"kind": rows[:, 0].astype(np.int32), "a": rows[:, 1], "b": rows[:, 2]})
+    own = [next(sketches) if kind == SIZE else None for kind in rows[:, 0]]
+    return pa.table({"kind": rows[:, 0].astype(np.int32), "a": rows[:, 1], "b": rows[:, 2], "sketch": pa.array(own, pa.binary())})
+
+
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
 
 
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,19 +322,18 @@ def _sets(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return written(chosen.mapInArrow(_shingled, "id long, members binary"), "jaccard-sets")
 
 
-def _fold(members: bytes) -> bytes:
-    """A short parity sketch: each shingle toggles one of its bits, so two sketches differ in no more bits than the sets in shingles."""
-    s = np.frombuffer(members, np.uint64)
-    bit = (mixed(s + _MULTIPLIERS[4]) >> np.uint64(40)) % np.uint64(64 * SKETCH)
-    odd = np.bincount(bit.astype(np.int64), minlength=64 * SKETCH) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        left, right = batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist()
+        keep = may_link(left, right, batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy())
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [x.as_py() for x in batch.column(1)]
-        columns = [batch.column(0), pa.array([len(s) // 8 for s in sets], pa.int64()), pa.array([_fold(s) for s in sets], pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, ["id", "n", "sketch"])
+def still_open(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs that short sketches and sizes leave open; ``sketches`` has ``id``, ``n`` and ``sketch``. A hot id's sketch goes to its partners."""
+    for side in ("a", "b"):
+        pairs = pairs.join(sketches.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
+    return pairs.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_open, "a long, b long")
 
 
 def _compare(table: pa.Table) -> pa.Table:
@@ -292,16 +341,19 @@ def _compare(table: pa.Table) -> pa.Table:
     table = table.sort_by([("bucket", "ascending"), ("i", "ascending"), ("j", "ascending"), ("id", "ascending")]).combine_chunks()
     where = np.stack([table[c].to_numpy() for c in ("bucket", "i", "j")], axis=1)
     ids, n, part, home = (table[c].to_numpy() for c in ("id", "n", "component", "own"))
-    sketch = np.frombuffer(b"".join(x.as_py() for x in table["sketch"]), np.uint64).reshape(len(ids), SKETCH)
+    sketch = table["sketch"].to_pylist()
     edges = np.flatnonzero(np.concatenate([[True], (where[1:] != where[:-1]).any(axis=1), [True]])) if len(ids) else np.zeros(1, int)
     found = []
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         i, j = where[a, 1:]
         left = np.arange(a, b) if i == j else a + np.flatnonzero(home[a:b] == i)
         right = left if i == j else a + np.flatnonzero(home[a:b] == j)
+        # A bucket spans two size bands, hence few widths; all are folded to the smallest.
+        words = min(len(sketch[k]) for k in (*left, *right)) // 8 if len(left) and len(right) else 1
+        p, q = (np.concatenate([folded(np.frombuffer(sketch[k], np.uint64)[None, :], words) for k in side]) if len(side) else np.zeros((0, words), np.uint64) for side in (left, right))
         bits = np.zeros((len(left), len(right)), np.int64)
-        for k in range(SKETCH):
-            bits += np.bitwise_count(sketch[left, None, k] ^ sketch[None, right, k])
+        for k in range(words):
+            bits += np.bitwise_count(p[:, None, k] ^ q[None, :, k])
         x, y = n[left][:, None], n[right][None, :]
         open_ = (SEVENTH * bits <= x + y) & (4 * np.minimum(x, y) >= 3 * np.maximum(x, y)) & (part[left][:, None] != part[right][None, :])
         p, q = np.nonzero(open_)
@@ -310,27 +362,35 @@ def _compare(table: pa.Table) -> pa.Table:
     return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
-def _second(members: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
-    """Pairs of ids that share a bucket whose ids are not yet one component.
+def _second(members: DataFrame, sketches: DataFrame, named: DataFrame) -> DataFrame:
+    """Pairs of ids that share a bucket whose ids are not yet one component, as far as their sketches leave them open.
 
-    Each id has been compared with the smallest of its bucket that it met. What is left are pairs of ids in different
-    components; sketches of a bucket are compared in blocks, so a large bucket is spread over many tasks and only pairs that may link come out.
+    Sketches of a bucket are compared in blocks, so a large bucket is spread over many tasks and only pairs that may link come out.
     """
-    spark = members.sparkSession
-    named = written(components(links), "jaccard-named")
-    few = named.count() <= FEW
-    placed = members.join(F.broadcast(named) if few else named, "id", "left").withColumn("component", F.coalesce("component_id", "id")).drop("component_id")
+    placed = members.join(named, "id", "left").withColumn("component", F.coalesce("component_id", "id")).drop("component_id")
     split = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low <> high AND size > 2")
     blocks = F.ceil(F.col("size") / BLOCK).cast("long")
     open_ = placed.join(split.select("bucket", blocks.alias("blocks")), "bucket").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
     # A row meets every block of its bucket once: as the smaller or the larger number of the pair of blocks.
     paired = open_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    sketched = sets.mapInArrow(_folded, "id long, n long, sketch binary")
-    rows = paired.join(sketched, "id").select("bucket", "i", "j", "own", "id", "component", "n", "sketch")
-    slots = width(spark, 0, 1) * 4
+    rows = paired.join(sketches, "id").select("bucket", "i", "j", "own", "id", "component", "n", "sketch")
+    slots = width(members.sparkSession, 0, 1) * 4
     return rows.withColumn("slot", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(slots))).groupBy("slot").applyInArrow(_compare, "a long, b long").distinct()
 
 
+def _known(links: DataFrame) -> DataFrame:
+    """Components as a table, to be broadcast if the ids are few enough."""
+    named = written(components(links), "jaccard-named")
+    return F.broadcast(named) if named.count() <= FEW else named
+
+
+def _apart(pairs: DataFrame, named: DataFrame) -> DataFrame:
+    """The pairs whose ids are not known to be in one component."""
+    for side in ("a", "b"):
+        pairs = pairs.join(named.select(F.col("id").alias(side), F.col("component_id").alias(f"c_{side}")), side, "left")
+    return pairs.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+
+
 def without(df: DataFrame, ids: DataFrame, row: str = "doc_id") -> DataFrame:
     """The rows whose id is not among ``ids``, rows without id included; texts are shuffled only if the ids are too many to broadcast."""
     ids = written(ids.distinct(), "jaccard-dropped")
@@ -344,21 +404,27 @@ def similar_groups(df: DataFrame, row: str = "doc_id", text: str = "text") -> Da
     texts link like others. Rows that share an id are one node, each with its own size; a null id takes no part and has a
     null component. An empty table gives an empty result.
 
-    One pass over the text makes packed sketch keys, which are the one large shuffle; the second reads only texts with
-    a candidate. Links are complete: every two ids that share a bucket are compared, unless they are already known to be one component.
+    One pass over the text makes packed sketch keys, which are the one large shuffle, and short sketches. Pairs that these leave open are verified on whole
+    sets, first one partner for each id, then what is still in different components. Links are complete: every two ids that
+    share a bucket are compared, unless they are already known to be one component.
     """
     spark = df.sparkSession
     rows = df.select(F.col(row).cast("long").alias("id"), text_bytes(text).alias("text"))
     size = df.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     slots = width(spark, size, GROUP)
-    packed = rows.mapInArrow(_sketch(slots), "slot int, keys binary, ids binary, runs binary, sure binary")
-    met = written(packed.groupBy("slot").applyInArrow(_meet, "kind int, a long, b long"), "jaccard-met")
-    pairs = written(met.filter(F.col("kind") == PAIR).select("a", "b").distinct(), "jaccard-pairs")
+    packed = rows.mapInArrow(_sketch(slots), "slot int, keys binary, ids binary, runs binary, sure binary, sketches binary")
+    met = written(packed.groupBy("slot").applyInArrow(_meet, MET), "jaccard-met")
     members = met.filter(F.col("kind") == MEMBER).select(F.col("a").alias("bucket"), F.col("b").alias("id"))
-    sets = _sets(rows, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))))
-    links = written(verify(pairs, sets), "jaccard-links")
-    more = _second(members, sets, links).join(pairs, ["a", "b"], "left_anti")
-    links = links.unionByName(written(verify(more, sets), "jaccard-links"))
+    # Of texts that share an id any may link: their sizes and sketches all count.
+    sketches = met.filter(F.col("kind") == SIZE).select(F.col("a").alias("id"), F.col("b").alias("n"), "sketch")
+    pairs = written(still_open(met.filter(F.col("kind") == PAIR).select("a", "b").distinct(), sketches).distinct(), "jaccard-pairs")
+
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = written(verify(first, _sets(rows, _ids(first))).distinct(), "jaccard-links")
+    named = _known(links)
+    more = _apart(pairs, named).unionByName(_second(members, sketches, named)).distinct()
+    more = written(more.join(first, ["a", "b"], "left_anti"), "jaccard-pairs")
+    links = links.unionByName(written(verify(more, _sets(rows, _ids(more))), "jaccard-links"))
     named = components(links)
     sizes = met.filter(F.col("kind") == SIZE).select(F.col("a").alias("id"), F.col("b").alias("n_shingles"))
     known = sizes.join(named, "id", "left").select(F.col("id").alias(row), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))

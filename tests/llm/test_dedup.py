@@ -118,8 +118,17 @@ def test_pigeonhole_on_sketch_parts():
 def test_sketches_bound_the_symmetric_difference():
     rng = np.random.default_rng(5)
     a, b = rng.integers(0, 2**63, 300, dtype=np.uint64), rng.integers(0, 2**63, 40, dtype=np.uint64)
-    x, y = (np.frombuffer(jaccard_join._fold(np.unique(s).tobytes()), np.uint64) for s in (a, np.append(a[30:], b)))
-    assert 0 < np.bitwise_count(x ^ y).sum() <= 70
+    x, y = jaccard_join.short_sketches([np.unique(s) for s in (a, np.append(a[30:], b))])
+    wide, narrow = (np.frombuffer(s, np.uint64)[None, :] for s in jaccard_join.short_sketches([rng.integers(0, 2**63, n, dtype=np.uint64) for n in (520, 500)]))
+    assert (wide.shape[1], narrow.shape[1]) == (16, 8) and jaccard_join.folded(wide, 8).shape == narrow.shape
+    apart = np.bitwise_count(np.frombuffer(x, np.uint64) ^ np.frombuffer(y, np.uint64)).sum()
+    assert 0 < apart <= 70
+    sets = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (600, 600)]
+    near = [sets[0], np.unique(np.append(sets[0][40:], sets[1][:30]))]
+    far = [sets[0], sets[1]]
+    for s, expected in ((near, True), (far, False)):
+        left, right = ([k] for k in jaccard_join.short_sketches(s))
+        assert jaccard_join.may_link(left, right, np.array([len(s[0])]), np.array([len(s[1])])).tolist() == [expected]
 
 
 @pytest.mark.parametrize("size", [0, 1, 2, 40])
