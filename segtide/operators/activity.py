@@ -79,7 +79,11 @@ def period_activity(rows: DataFrame) -> DataFrame:
 
 
 def zero_activity(rows: DataFrame) -> DataFrame:
-    """Rows without a play day, counted per period; anything but zero is a fault."""
+    """Rows without a play day, counted per period; anything but zero is a fault.
+
+    Operators here only write players, so run it on a table read back with
+    ``read_periods``, where a bad load would show.
+    """
     return rows.groupBy("period").agg(F.count_if(F.col("play_days") == 0).alias("n_zero"))
 
 

@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segtide.functions.days import date_gaps, dates_of_words, day_words
+from segtide.functions.days import WORD, date_gaps, dates_of_words, day_words
 from segtide.operators.activity import SHARED_USER
 from segtide.operators.affinity import PLAY, SPEND
-from segtide.periods import Period, in_any
+from segtide.periods import Period, check_disjoint, in_any, period_index, period_name, period_start
 
 
 CREDITED = f"spent AND user_id <> {SHARED_USER}"
@@ -35,6 +35,51 @@ def active_days(activity: DataFrame, period: Period, periods: Sequence[Period] =
     return named if periods else named.where("play_dates IS NOT NULL")
 
 
+def period_details(activity: DataFrame, periods: Sequence[Period]) -> DataFrame:
+    """One row per user and period as ``user_periods`` gives, with breadth, volume and day words of the first period, from one grouping of the log.
+
+    Rows are grouped by user, period and, in the first period, app; users with
+    their totals follow from that much smaller table.
+    """
+    n_days = max(p.n_days for p in check_disjoint(periods))
+    number = period_index("dt", periods)
+    rows = activity.where(in_any("dt", periods)).select(
+        "user_id", number.alias("period_no"), F.when(number == 0, F.col("app")).alias("app"), "dt", "played", "spent", "coin",
+        F.datediff("dt", period_start("dt", periods)).alias("day_no"),
+    )
+    words = [*day_words("played", "day_no", n_days, "play_"), *day_words("spent", "day_no", n_days, "spend_")]
+    latest = {"last_play": "played", "last_spend": "spent"}
+    partial = rows.groupBy("user_id", "period_no", "app").agg(
+        *words,
+        *[F.expr(f"max(dt) FILTER (WHERE {flag})").alias(name) for name, flag in latest.items()],
+        F.expr("sum(coin) FILTER (WHERE spent)").alias("spend_coin"),
+        F.expr("count_if(spent)").alias("spend_time"),
+        F.expr("count_if(played)").alias("plays"),
+        F.expr(f"count_if({CREDITED})").alias("spends"),
+    )
+    names = [f"{side}_{i}" for side in ("play", "spend") for i in range(-(-n_days // WORD))]
+    totals = partial.groupBy("user_id", "period_no").agg(
+        *[F.expr(f"bit_or({w})").alias(w) for w in names],
+        *[F.max(name).alias(name) for name in latest],
+        F.sum("spend_coin").alias("spend_coin"),
+        F.sum("spend_time").alias("spend_time"),
+        *[F.expr(f"count_if(app IS NOT NULL AND {n}s > 0)").alias(f"{n}_apps") for n in ("play", "spend")],
+        *[F.expr(f"coalesce(sum({n}s) FILTER (WHERE app IS NOT NULL), 0)").alias(f"{n}_total") for n in ("play", "spend")],
+    )
+    days = {side: F.expr(" + ".join(f"bit_count({w})" for w in names if w.startswith(side))).cast("bigint") for side in ("play", "spend")}
+    return totals.withColumns({"play_days": days["play"], "spend_days": days["spend"], "period": period_name("period_no", periods)}).drop("period_no")
+
+
+def details_of_period(details: DataFrame, period: Period) -> DataFrame:
+    """Breadth, volume and active days of one period's players; spending is not credited to the shared id."""
+    play, spend = (dates_of_words(prefix, period.start, period.n_days) for prefix in ("play_", "spend_"))
+    own = F.col("user_id") != SHARED_USER
+    return details.where((F.col("period") == period.name) & (F.col("play_days") > 0)).select(
+        "user_id", "play_apps", "play_total", "spend_apps", "spend_total",
+        play.alias("play_dates"), F.when(own & (F.col("spend_days") > 0), spend).alias("spend_dates"),
+    )
+
+
 def _by_source(days: DataFrame, name: str, of_dates) -> DataFrame:
     """A row per user and source with a value derived from the days; sources without days give none."""
     sides = [
@@ -90,3 +135,15 @@ def user_features(labels: DataFrame, volumes: DataFrame) -> DataFrame:
     raw = [f"p{i}_{c}" for c in ("recency", "play_days", "spend_coin") for i in (1, 2)]
     volume = [filled(c) for c in ("play_apps", "play_total", "spend_apps", "spend_total")]
     return labels.join(volumes, "user_id", "left").select("user_id", "p1", "p2", "p3", *raw, *volume)
+
+
+def user_feature_row(labels: DataFrame, details: DataFrame) -> DataFrame:
+    """The whole feature row of a user: labels, raw values, breadth and volume, and both gap arrays.
+
+    ``details`` comes from ``details_of_period``. App counts stay in long form.
+    """
+    features = user_features(labels, details.select("user_id", "play_apps", "play_total", "spend_apps", "spend_total"))
+    gaps = details.select("user_id", date_gaps(F.col("play_dates")).alias("play"), date_gaps(F.col("spend_dates")).alias("spend"))
+    none = F.array(F.lit(0).cast("bigint"))
+    arrays = [F.coalesce(side, none).alias(f"{side}_gaps") for side in ("play", "spend")]
+    return features.join(gaps, "user_id", "left").select(*features.columns, *arrays)

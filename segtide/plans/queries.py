@@ -291,8 +291,20 @@ def segment_top_apps_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def user_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = affinity.app_counts(read_activity(spark, sf_dir, (P1,)), (P1,))
-    return features.user_features(user_rfm_labels(spark, sf_dir), affinity.user_volumes(counts).drop("period"))
+    labels, details = _labels_and_details(spark, sf_dir)
+    return features.user_features(labels, details)
+
+
+def _labels_and_details(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Labels and first-period details from one reading of the log, written once as both need it."""
+    rows = written(features.period_details(read_activity(spark, sf_dir, PERIODS), PERIODS), "user-periods")
+    return scoring.user_rfm_labels(rows, PERIODS), features.details_of_period(rows, P1)
+
+
+@query
+def user_feature_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = features.user_feature_row(*_labels_and_details(spark, sf_dir))
+    return found.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("play_gaps", "spend_gaps")})
 
 
 @query

@@ -416,7 +416,16 @@ def test_features_and_gaps(log, seed):
         assert r.play_gaps == gaps.get((r.user_id, "playdays"), [0])
         assert r.spend_gaps == gaps.get((r.user_id, "spendtimes"), [0])
 
+    details = features.period_details(table, QUARTERS)
+    columns = ["user_id", "period", "play_days", "last_play", "spend_days", "spend_coin", "spend_time", "last_spend"]
+    assert tuples(details, *columns) == tuples(users, *columns)
+    row = features.user_feature_row(labels, features.details_of_period(details, Q1))
+    assert tuples(row, "user_id", "play_gaps", "spend_gaps") == tuples(arrays, "user_id", "play_gaps", "spend_gaps")
+
     volumes = affinity.user_volumes(affinity.app_counts(table, [Q1])).drop("period")
+    assert tuples(row.select(features.user_features(labels, volumes).columns), "user_id", "play_apps", "spend_total") == tuples(
+        features.user_features(labels, volumes), "user_id", "play_apps", "spend_total"
+    )
     for r in features.user_features(labels, volumes).collect():
         play = [n for (_, u, s, _), n in profile.items() if u == r.user_id and s == "playdays"]
         spend = [n for (_, u, s, _), n in profile.items() if u == r.user_id and s == "spendtimes"]

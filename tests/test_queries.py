@@ -94,6 +94,7 @@ def test_weights_read_the_log_twice(spark, name):
 def test_sample_and_gaps_read_the_log_once(spark):
     assert line_item_reads(spark, "rfm_training_sample") == (0, True)
     assert line_item_reads(spark, "user_gap_arrays") == (1, False)
+    assert "lineitem" not in executed(spark, "user_feature_row")
 
 
 @pytest.mark.parametrize("name", ["user_gap_arrays", "user_active_days", "visit_gaps"])
