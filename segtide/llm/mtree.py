@@ -16,29 +16,22 @@ from pyspark.sql import Window as W
 from segtide.llm.common import written
 
 #: Vectors of a tree, entries of a leaf page and children of an inner page on average, pivots that deal vectors to trees at most.
-TREE, LEAF, FAN, PIVOTS = 2048, 128, 16, 1024
+TREE, LEAF, FAN, PIVOTS = 8192, 512, 16, 1024
 #: Centres that are held against a pack of queries at once.
 CENTRES = 4096
 #: Sums of products below this are exact in floating point.
 EXACT = 2.0**53
 
 
-def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products of whole-number vectors, exact up to 64 bits; by floating point where that is exact too."""
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[-1])
-    if most < EXACT:
-        return (a.astype(np.float64) @ b.astype(np.float64)).astype(np.int64)
-    return a @ b
-
-
 @dataclass
 class Page:
-    """A node: its entries' distances to its own routing object, and for inner nodes the covering radii and child pages."""
+    """A node. Inner nodes route to children by rows of the vectors, with covering radii; a leaf holds the rows of a span. Both keep the distances to their own routing object."""
 
     rows: np.ndarray
     to_parent: np.ndarray
     radii: np.ndarray | None = None
     children: list[Page] = field(default_factory=list)
+    span: tuple[int, int] = (0, 0)
 
 
 class MTree:
@@ -46,30 +39,32 @@ class MTree:
 
     Inner products become distances by one more coordinate that lifts all vectors to the same length: the farther
     a lifted vector is from the query (lifted by zero), the smaller is their inner product. The
-    tree is loaded in bulk: pivots taken from the vectors route the others to the nearest.
+    tree is loaded in bulk: pivots taken from the vectors route the others to the nearest. Vectors are laid out leaf by leaf.
     """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, vectors
-        self.points = vectors.astype(np.float64)
+        self.ids, self.points = ids, vectors.astype(np.float64)
         squares = (self.points**2).sum(axis=1)
         self.length = float(squares.max())
-        self.points = np.hstack([self.points, np.sqrt(np.maximum(self.length - squares, 0))[:, None]])
-        centre = int(self._distances(self.points.mean(axis=0), np.arange(len(ids))).argmin())
+        self.lift = np.sqrt(np.maximum(self.length - squares, 0))
         every = np.arange(len(ids))
-        self.centre = centre
-        reach = self._distances(self.points[centre], every)
+        self.centre = int(self._distances(self.points.mean(axis=0), float(self.lift.mean()), every).argmin())
+        reach = self._distances(self.points[self.centre], self.lift[self.centre], every)
         self.radius = float(reach.max())
-        self.root = self._load(every, centre, reach, np.random.default_rng(0))
+        self.root = self._load(every, self.centre, reach, np.random.default_rng(0))
+        self._lay_out()
+        # Larger numbers are kept whole as well, as their products aren't exact in floating point.
+        self.most = float(np.abs(self.points).max(initial=0))
+        self.whole = vectors[self.order] if self.most**2 * vectors.shape[1] >= EXACT else None
 
-    def _distances(self, point: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        return np.sqrt(((self.points[rows] - point) ** 2).sum(axis=1))
+    def _distances(self, point: np.ndarray, lift: float, rows: np.ndarray) -> np.ndarray:
+        return np.sqrt(((self.points[rows] - point) ** 2).sum(axis=1) + (self.lift[rows] - lift) ** 2)
 
     def _load(self, rows: np.ndarray, parent: int, to_parent: np.ndarray, random: np.random.Generator) -> Page:
         if len(rows) <= LEAF:
             return Page(rows, to_parent)
         pivots = random.choice(rows, min(FAN, -(-len(rows) // LEAF) + 1), replace=False)
-        reach = np.stack([self._distances(self.points[p], rows) for p in pivots])
+        reach = np.stack([self._distances(self.points[p], self.lift[p], rows) for p in pivots])
         nearest = reach.argmin(axis=0)
         if np.bincount(nearest).max() == len(rows):
             # Copies of one vector can't be told apart by distance and are cut evenly.
@@ -83,17 +78,43 @@ class MTree:
                 radii.append(float(reach[k][mine].max()))
                 page.children.append(self._load(rows[mine], int(pivot), reach[k][mine], random))
         page.rows, page.radii = np.array(kept), np.array(radii)
-        page.to_parent = self._distances(self.points[parent], page.rows)
+        page.to_parent = self._distances(self.points[parent], self.lift[parent], page.rows)
         return page
 
+    def _pages(self, page: Page) -> Iterator[Page]:
+        yield page
+        for child in page.children:
+            yield from self._pages(child)
+
+    def _lay_out(self) -> None:
+        leaves = [p for p in self._pages(self.root) if p.radii is None]
+        ends = np.cumsum([len(p.rows) for p in leaves])
+        self.order = np.concatenate([p.rows for p in leaves])
+        place = np.empty_like(self.order)
+        place[self.order] = np.arange(len(place))
+        for page, end in zip(leaves, ends.tolist(), strict=True):
+            page.span, page.rows = (end - len(page.rows), end), np.zeros(0, np.int64)
+        for page in self._pages(self.root):
+            page.rows = place[page.rows]
+        self.centre = int(place[self.centre])
+        self.ids, self.points, self.lift = self.ids[self.order], self.points[self.order], self.lift[self.order]
+
+    def products(self, rows: slice | np.ndarray, query: np.ndarray, exact: bool) -> np.ndarray:
+        """Inner products, whole numbers: by floating point where that is exact, else in 64 bits."""
+        return self.points[rows] @ query if exact else self.whole[rows] @ query
+
     def search(self, query: np.ndarray, own: int, k: int, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
         """The ids and scores of the k best vectors with another id than the query's and a score of ``least`` or more, ties to smaller ids.
 
         Pages wait in a queue by the smallest distance they can hold. An entry is left out without computing its
         distance if the parent's distance and the stored one already differ too much. Bounds keep a margin for rounding; scores are whole numbers.
         """
-        size = float(query.astype(np.float64) @ query.astype(np.float64))
-        lifted = np.append(query.astype(np.float64), 0.0)
+        floats = query.astype(np.float64)
+        size = float(floats @ floats)
+        exact = self.whole is None and self.most * float(np.abs(floats).max(initial=0)) * len(query) < EXACT
+        if not exact and self.whole is None:
+            self.whole = self.points.astype(np.int64)
+        asked = floats if exact else query
         margin = 1e-7 * (1 + size + self.length) ** 0.5
         ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -101,7 +122,7 @@ class MTree:
             return np.inf if score == -np.inf else max(0.0, size + self.length - 2 * score) ** 0.5 + margin
 
         limit = far(least)
-        start = float(self._distances(lifted, np.array([self.centre]))[0])
+        start = float(self._distances(floats, 0.0, np.array([self.centre]))[0])
         queue = [(max(0.0, start - self.radius), 0, start, self.root)]
         ticket = 1
         while queue:
@@ -109,22 +130,23 @@ class MTree:
             if nearest > limit:
                 break
             slack = page.radii if page.radii is not None else 0.0
-            open_ = np.flatnonzero(np.abs(to_page - page.to_parent) - slack <= limit)
-            if not len(open_):
-                continue
+            near = np.abs(page.to_parent - to_page) - slack <= limit
             if page.radii is not None:
-                distances = self._distances(lifted, page.rows[open_])
+                open_ = np.flatnonzero(near)
+                distances = self._distances(floats, 0.0, page.rows[open_])
                 for at, d in zip(open_.tolist(), distances.tolist(), strict=True):
                     bound = max(nearest, d - float(page.radii[at]))
                     if bound <= limit:
                         heapq.heappush(queue, (bound, ticket, d, page.children[at]))
                         ticket += 1
                 continue
-            rows = page.rows[open_]
-            found = products(self.vectors[rows], query)
-            fits = (found >= least) & (self.ids[rows] != own)
-            if fits.any():
-                ids, scores = np.concatenate([ids, self.ids[rows][fits]]), np.concatenate([scores, found[fits]])
+            rows = slice(*page.span) if near.all() else page.span[0] + np.flatnonzero(near)
+            found = self.products(rows, asked, exact)
+            fits = np.flatnonzero(found >= least)
+            if len(fits):
+                some, points = self.ids[rows][fits], found[fits].astype(np.int64)
+                others = some != own
+                ids, scores = np.concatenate([ids, some[others]]), np.concatenate([scores, points[others]])
                 if len(ids) > k:
                     best = np.lexsort((ids, -scores))[:k]
                     ids, scores = ids[best], scores[best]
@@ -174,6 +196,7 @@ def _build(k: int, every: int):
         vectors = np.stack([np.frombuffer(v, np.int64) for v in table["vector"].to_pylist()])[order]
         ids = ids[order]
         tree = MTree(ids, vectors)
+        centre = np.append(tree.points[tree.centre], tree.lift[tree.centre])
         asked = np.flatnonzero(ids % every == 0)
         results, least = [], []
         for at in asked:
@@ -182,7 +205,7 @@ def _build(k: int, every: int):
             least.append(float(scores.min()) if len(found) == k else -np.inf)
         found = np.concatenate(results) if results else np.zeros((0, 3), np.int64)
         row = {
-            "tree": [table["tree"][0].as_py()], "dim": [vectors.shape[1]], "centre": [tree.points[tree.centre].tobytes()], "radius": [tree.radius], "length": [tree.length],
+            "tree": [table["tree"][0].as_py()], "dim": [vectors.shape[1]], "centre": [centre.tobytes()], "radius": [tree.radius], "length": [tree.length],
             "pages": [pickle.dumps(tree)], "queries": [ids[asked].tobytes()], "own": [vectors[asked].tobytes()], "least": [np.array(least).tobytes()], "found": [found.tobytes()],
         }
         return pa.table({c: pa.array(v, pa.int32() if c == "dim" else None) for c, v in row.items()})

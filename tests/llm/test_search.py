@@ -42,33 +42,39 @@ def test_many_pages_and_trees(spark, monkeypatch):
     rows = [(i, [random.gauss(c, 0.2) for c in random.choice(centres)]) for i in range(1500)]
     rows += [(2000 + i, [5.0] * 6) for i in range(400)]  # one very common vector
     monkeypatch.setattr(mtree, "TREE", 200)
+    monkeypatch.setattr(mtree, "LEAF", 16)
     assert search(spark, rows, k=10) == brute(rows, 10, 64, 20)
 
 
-def test_best_first_search_skips_pages():
+def test_best_first_search_skips_pages(monkeypatch):
     import numpy as np
 
+    monkeypatch.setattr(mtree, "LEAF", 64)
+
     rng = np.random.default_rng(0)
     centres = rng.integers(-500, 500, (20, 8))
     vectors = (centres[rng.integers(0, 20, 4000)] + rng.integers(-3, 4, (4000, 8))).astype(np.int64)
     tree = mtree.MTree(np.arange(4000), vectors)
-    looked = 0
-    inner = mtree.products
-
-    def counting(a, b):
-        nonlocal looked
-        looked += len(a)
-        return inner(a, b)
-
-    mtree.products = counting
-    try:
-        ids, scores = tree.search(vectors[17], 17, 20)
-    finally:
-        mtree.products = inner
+    looked = []
+    inner = tree.products
+    tree.products = lambda rows, query, exact: looked.append(inner(rows, query, exact)) or looked[-1]
+    ids, scores = tree.search(vectors[17], 17, 20)
     every = vectors @ vectors[17]
     order = [i for i in np.lexsort((np.arange(4000), -every)) if i != 17][:20]
     assert sorted(zip(ids.tolist(), scores.tolist(), strict=True)) == sorted((i, int(every[i])) for i in order)
-    assert looked < 2000
+    assert sum(map(len, looked)) < 2500
+
+
+def test_pages_of_copies_and_whole_numbers():
+    import numpy as np
+
+    vectors = np.concatenate([np.full((1500, 3), 2**30), np.random.default_rng(1).integers(-(2**30), 2**30, (1500, 3))]).astype(np.int64)
+    tree = mtree.MTree(np.arange(3000), vectors)
+    for q in (0, 1700, 2999):
+        ids, scores = tree.search(vectors[q], q, 15)
+        every = vectors @ vectors[q]
+        order = [i for i in np.lexsort((np.arange(3000), -every)) if i != q][:15]
+        assert sorted(zip(ids.tolist(), scores.tolist(), strict=True)) == sorted((i, int(every[i])) for i in order)
 
 
 def test_large_components_stay_exact(spark):
