@@ -78,7 +78,7 @@ WITH split AS (
   SELECT own.lang, own.source, own.rate,
          CASE WHEN own.n >= 50 THEN own.q1 WHEN langs.n >= 50 THEN langs.q1 ELSE every.q1 END AS q1,
          CASE WHEN own.n >= 50 THEN own.q3 WHEN langs.n >= 50 THEN langs.q3 ELSE every.q3 END AS q3,
-         CASE own.rate WHEN 'symbol_rate' THEN 50 WHEN 'dup_line_rate' THEN 300 WHEN 'repeat_rate' THEN 150 ELSE 40 END AS slack
+         CASE own.rate WHEN 'symbol_rate' THEN 50 WHEN 'dup_line_rate' THEN 500 WHEN 'repeat_rate' THEN 200 ELSE 40 END AS slack
   FROM own JOIN langs ON own.rate = langs.rate AND own.lang IS NOT DISTINCT FROM langs.lang JOIN every ON own.rate = every.rate
 ), fences AS (
   SELECT lang, source, rate, q3 + greatest(3 * (q3 - q1), slack) AS high, q1 - greatest(3 * (q3 - q1), slack) AS low FROM picked

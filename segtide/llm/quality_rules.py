@@ -13,7 +13,7 @@ SYMBOLS, MIN_WORDS, MAX_REPEATED_PERCENT, WINDOW = r"[#*$%&|<>]", 10, 20, 5
 #: Sketches sort values into whole bins, so they merge by adding counts; rates are per mille, word length in tenths.
 RATES = ("symbol_rate", "dup_line_rate", "repeat_rate", "word_length")
 #: A fence stands this many interquartile ranges from the quartile, and at least ``SLACK`` bins from it.
-SPREAD, SLACK = 3, {"symbol_rate": 50, "dup_line_rate": 300, "repeat_rate": 150, "word_length": 40}
+SPREAD, SLACK = 3, {"symbol_rate": 50, "dup_line_rate": 500, "repeat_rate": 200, "word_length": 40}
 #: Documents that a language's source needs for thresholds of its own; else its language's hold, else those of all.
 ENOUGH = 50
 
