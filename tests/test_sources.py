@@ -7,7 +7,7 @@ from conftest import tuples
 from pyspark.sql import functions as F
 
 from segtide.operators.ranking import combined_rank
-from segtide.sources import logs, tables
+from segtide.sources import logs, staging, tables
 from segtide.sources.ranked_lists import read_ranked_lists
 
 # Ten ranked lists whose combined scores are worked out by hand below.
@@ -140,6 +140,22 @@ def test_period_table_reload_is_idempotent(spark, tmp_path):
     assert "PartitionFilters: [period" in scanned(one) or "PartitionFilters: [isnotnull(period" in scanned(one)
 
 
+def test_staged_tables_go_with_their_block(spark):
+    def there(df):
+        return spark.sparkContext._jvm.java.io.File(df.inputFiles()[0].removeprefix("file://")).exists()
+
+    with staging.staging(spark):
+        outer = staging.written(spark.range(3), "outer")
+        with staging.staging(spark):
+            inner = staging.written(spark.range(5), "inner")
+            kept = staging.written(inner.groupBy().count(), "kept", outlives=True)
+            files = inner.inputFiles()
+            assert there(inner)
+        assert kept.first()[0] == 5 and there(outer) and there(kept)
+        assert not spark.sparkContext._jvm.java.io.File(files[0].removeprefix("file://")).exists()
+    assert staging.written(spark.range(2), "free").count() == 2
+
+
 def test_write_table_replaces(spark, tmp_path):
     path = str(tmp_path / "t")
     for n in (3, 2):
