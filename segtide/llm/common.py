@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from segtide.sources.staging import written
+from segtide.sources.staging import staging, written
 
-__all__ = ["LAST", "WORD", "add_columns", "in_portions", "read", "ship", "single_threaded", "text_bytes", "width", "words", "written"]
+__all__ = ["LAST", "WORD", "add_columns", "in_portions", "read", "ship", "single_threaded", "staging", "text_bytes", "width", "words", "written"]
 
 #: What separates words.
 WORD = r"[^\x20\x09-\x0D]+"

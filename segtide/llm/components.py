@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segtide.llm.common import written
+from segtide.llm.common import staging, written
 
 
 def _lowest(pairs: DataFrame) -> DataFrame:
@@ -20,16 +20,17 @@ def components(links: DataFrame) -> DataFrame:
     Rounds hang partners onto smaller and smaller ids until every component is a star; the number of rounds grows with
     the logarithm of the longest path. Links are tables in the shared folder between rounds, never on the driver.
     """
-    edges = written(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    before = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # Larger partners of u move to its smallest one, then u itself and its smaller partners do.
-        large = _lowest(both).filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        near = _lowest(large)
-        small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(near.select("u", F.col("m").alias("v"))).distinct()
-        edges = written(small, "links")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-        if state == before:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("component_id")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct())
-        before = state
+    with staging(links.sparkSession):
+        edges = written(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+        before, state = None, ()
+        while state != before:
+            both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            # Larger partners of u move to its smallest one, then u itself and its smaller partners do.
+            large = _lowest(both).filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            near = _lowest(large)
+            small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(near.select("u", F.col("m").alias("v"))).distinct()
+            edges = written(small, "links")
+            before, state = state, edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
+        stars = edges.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
+        centres = edges.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct()
+        return written(stars.unionByName(centres), "components", outlives=True)

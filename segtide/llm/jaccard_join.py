@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segtide.llm.common import in_portions, text_bytes, width, written
+from segtide.llm.common import in_portions, staging, text_bytes, width, written
 from segtide.llm.components import components
 
 #: Words of a shingle. Two sets link at 3/4: their symmetric difference is a seventh of both sizes at most.
@@ -380,7 +380,7 @@ def _second(members: DataFrame, sketches: DataFrame, named: DataFrame) -> DataFr
 
 def _known(links: DataFrame) -> DataFrame:
     """Components as a table, to be broadcast if the ids are few enough."""
-    named = written(components(links), "jaccard-named")
+    named = components(links)
     return F.broadcast(named) if named.count() <= FEW else named
 
 
@@ -391,6 +391,12 @@ def _apart(pairs: DataFrame, named: DataFrame) -> DataFrame:
     return pairs.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
 
 
+def _links(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Those of the pairs that link; their sets are dropped once that is known."""
+    with staging(rows.sparkSession):
+        return written(verify(pairs, _sets(rows, _ids(pairs))), "jaccard-links", outlives=True)
+
+
 def without(df: DataFrame, ids: DataFrame, row: str = "doc_id") -> DataFrame:
     """The rows whose id is not among ``ids``, rows without id included; texts are shuffled only if the ids are too many to broadcast."""
     ids = written(ids.distinct(), "jaccard-dropped")
@@ -412,21 +418,21 @@ def similar_groups(df: DataFrame, row: str = "doc_id", text: str = "text") -> Da
     rows = df.select(F.col(row).cast("long").alias("id"), text_bytes(text).alias("text"))
     size = df.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     slots = width(spark, size, GROUP)
-    packed = rows.mapInArrow(_sketch(slots), "slot int, keys binary, ids binary, runs binary, sure binary, sketches binary")
-    met = written(packed.groupBy("slot").applyInArrow(_meet, MET), "jaccard-met")
-    members = met.filter(F.col("kind") == MEMBER).select(F.col("a").alias("bucket"), F.col("b").alias("id"))
-    # Of texts that share an id any may link: their sizes and sketches all count.
-    sketches = met.filter(F.col("kind") == SIZE).select(F.col("a").alias("id"), F.col("b").alias("n"), "sketch")
-    pairs = written(still_open(met.filter(F.col("kind") == PAIR).select("a", "b").distinct(), sketches).distinct(), "jaccard-pairs")
-
-    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = written(verify(first, _sets(rows, _ids(first))).distinct(), "jaccard-links")
-    named = _known(links)
-    more = _apart(pairs, named).unionByName(_second(members, sketches, named)).distinct()
-    more = written(more.join(first, ["a", "b"], "left_anti"), "jaccard-pairs")
-    links = links.unionByName(written(verify(more, _sets(rows, _ids(more))), "jaccard-links"))
-    named = components(links)
-    sizes = met.filter(F.col("kind") == SIZE).select(F.col("a").alias("id"), F.col("b").alias("n_shingles"))
-    known = sizes.join(named, "id", "left").select(F.col("id").alias(row), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
-    nameless = met.filter(F.col("kind") == NAMELESS).select(F.lit(None).cast("long").alias(row), F.col("b").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-    return known.unionByName(nameless)
+    with staging(spark):
+        packed = rows.mapInArrow(_sketch(slots), "slot int, keys binary, ids binary, runs binary, sure binary, sketches binary")
+        met = written(packed.groupBy("slot").applyInArrow(_meet, MET), "jaccard-met")
+        members = met.filter(F.col("kind") == MEMBER).select(F.col("a").alias("bucket"), F.col("b").alias("id"))
+        # Of texts that share an id any may link: their sizes and sketches all count.
+        sketches = met.filter(F.col("kind") == SIZE).select(F.col("a").alias("id"), F.col("b").alias("n"), "sketch")
+        pairs = written(still_open(met.filter(F.col("kind") == PAIR).select("a", "b").distinct(), sketches).distinct(), "jaccard-pairs")
+
+        first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        links = _links(first, rows)
+        named = _known(links)
+        more = _apart(pairs, named).unionByName(_second(members, sketches, named)).distinct()
+        more = written(more.join(first, ["a", "b"], "left_anti"), "jaccard-pairs")
+        named = components(links.unionByName(_links(more, rows)))
+        sizes = met.filter(F.col("kind") == SIZE).select(F.col("a").alias("id"), F.col("b").alias("n_shingles"))
+        known = sizes.join(named, "id", "left").select(F.col("id").alias(row), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+        nameless = met.filter(F.col("kind") == NAMELESS).select(F.lit(None).cast("long").alias(row), F.col("b").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+        return written(known.unionByName(nameless), "jaccard-groups", outlives=True)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from segtide.llm.common import WORD, written
+from segtide.llm.common import WORD, staging, written
 
 #: Documents that meet in a block of the tree, on average.
 BLOCK = 64
@@ -92,24 +92,25 @@ def copies(sizes: DataFrame, goals: DataFrame, seed: int = 0) -> DataFrame:
     level of the tree, until a source has one left, which is drawn. So a source's words miss its target by less
     than one document. All draws are hashes of ids: reruns agree.
     """
-    renamed = goals.withColumnRenamed("source", "goal_source")
-    due = sizes.join(renamed, F.col("source").eqNullSafe(F.col("goal_source"))).select(
-        "row", "source", F.col("size").cast("double").alias("size"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate")
-    )
-    due = due.withColumn("whole", F.floor("rate")).withColumn("p", F.col("rate") - F.col("whole"))
-    settled = due.select("row", F.col("whole").cast("int").alias("copies"))
-    still = due.filter((F.col("p") > 0) & (F.col("size") > 0)).select("source", "row", "size", "p")
-    largest, level = still.groupBy("source").count().agg(F.max("count")).first()[0] or 0, 0
-    while largest:
-        blocks = -(-largest // BLOCK)
-        items = still.withColumn("order", F.xxhash64("row", F.lit(seed + level))).withColumn("block", F.pmod(F.xxhash64("row", F.lit(-1 - seed - level)), F.lit(blocks)))
-        result = written(_round(items, seed + level), "mixing")
-        settled = settled.unionByName(result.filter(~F.col("open")).select("row", F.col("p").cast("int").alias("copies")))
-        still = result.filter("open").select("source", "row", "size", "p")
-        if blocks == 1:
-            settled = settled.unionByName(still.select("row", (_uniform("row", F.lit(seed)) < F.col("p")).cast("int").alias("copies")))
-        largest, level = (blocks if blocks > 1 else 0), level + 1
-    return settled.groupBy("row").agg(F.sum("copies").cast("int").alias("copies"))
+    with staging(sizes.sparkSession):
+        renamed = goals.withColumnRenamed("source", "goal_source")
+        due = sizes.join(renamed, F.col("source").eqNullSafe(F.col("goal_source"))).select(
+            "row", "source", F.col("size").cast("double").alias("size"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate")
+        )
+        due = due.withColumn("whole", F.floor("rate")).withColumn("p", F.col("rate") - F.col("whole"))
+        settled = due.select("row", F.col("whole").cast("int").alias("copies"))
+        still = due.filter((F.col("p") > 0) & (F.col("size") > 0)).select("source", "row", "size", "p")
+        largest, level = still.groupBy("source").count().agg(F.max("count")).first()[0] or 0, 0
+        while largest:
+            blocks = -(-largest // BLOCK)
+            items = still.withColumn("order", F.xxhash64("row", F.lit(seed + level))).withColumn("block", F.pmod(F.xxhash64("row", F.lit(-1 - seed - level)), F.lit(blocks)))
+            result = written(_round(items, seed + level), "mixing")
+            settled = settled.unionByName(result.filter(~F.col("open")).select("row", F.col("p").cast("int").alias("copies")))
+            still = result.filter("open").select("source", "row", "size", "p")
+            if blocks == 1:
+                settled = settled.unionByName(still.select("row", (_uniform("row", F.lit(seed)) < F.col("p")).cast("int").alias("copies")))
+            largest, level = (blocks if blocks > 1 else 0), level + 1
+        return written(settled.groupBy("row").agg(F.sum("copies").cast("int").alias("copies")), "mixing-copies", outlives=True)
 
 
 def _row(*columns: str) -> Column:

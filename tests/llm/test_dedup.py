@@ -131,7 +131,7 @@ def test_sketches_bound_the_symmetric_difference():
         assert jaccard_join.may_link(left, right, np.array([len(s[0])]), np.array([len(s[1])])).tolist() == [expected]
 
 
-@pytest.mark.parametrize("size", [0, 1, 2, 40])
+@pytest.mark.parametrize("size", [0, 40])
 def test_components_of_paths_and_stars(spark, size):
     rng = random.Random(size)
     ids = rng.sample(range(10_000), size + 1)
