@@ -36,6 +36,51 @@ FROM parts p LEFT JOIN LATERAL (
 ) r ON true
 """
 
+JACCARD_JOIN = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [words]
+    ELSE list_transform(range(1, len(words) - 3), lambda i: list_slice(words, i, i + 4)) END) AS shingle
+  FROM split
+), sizes AS (
+  SELECT split.doc_id, count(shingle) AS n FROM split LEFT JOIN shingles ON split.doc_id = shingles.doc_id GROUP BY split.doc_id
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)
+), either AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached AS (
+  SELECT a AS doc_id, b AS other FROM either
+  UNION
+  SELECT reached.doc_id, either.b FROM reached JOIN either ON reached.other = either.a
+)
+SELECT sizes.doc_id, any_value(n) AS n_shingles, least(sizes.doc_id, coalesce(min(other), sizes.doc_id)) AS component_id
+FROM sizes LEFT JOIN reached ON sizes.doc_id = reached.doc_id GROUP BY sizes.doc_id
+"""
+
+SUBSTRING_DEDUP = r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+  SELECT doc_id, spot, list_aggregate(list_slice(words, spot, spot + 19), 'string_agg', ' ') AS sequence
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS spot FROM split WHERE len(words) >= 20)
+), later AS (
+  SELECT doc_id, spot FROM (SELECT doc_id, spot, row_number() OVER (PARTITION BY sequence ORDER BY doc_id, spot) AS turn FROM windows) WHERE turn > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(spot, spot + 20)) AS place FROM later
+), placed AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM split
+), kept AS (
+  SELECT placed.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS text
+  FROM placed ANTI JOIN gone ON placed.doc_id = gone.doc_id AND placed.place = gone.place GROUP BY placed.doc_id
+)
+SELECT split.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(kept.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM split LEFT JOIN kept ON split.doc_id = kept.doc_id
+"""
+
 QUALITY_RULES = r"""
 WITH split AS (
   SELECT doc_id, lang, source, coalesce(text, '') AS text,
@@ -95,4 +140,10 @@ SELECT j.doc_id, j.n_words, j.word_chars, j.n_symbols, j.n_dup_lines, j.n_repeat
 FROM judged j LEFT JOIN wide ON j.lang IS NOT DISTINCT FROM wide.lang AND j.source IS NOT DISTINCT FROM wide.source
 """
 
-ORACLES = {"op1_mtree": MTREE, "op4_url_filter": URL_FILTER, "op7_quality_rules": QUALITY_RULES}
+ORACLES = {
+    "op1_mtree": MTREE,
+    "op4_url_filter": URL_FILTER,
+    "op5_jaccard_join": JACCARD_JOIN,
+    "op6_substring_dedup": SUBSTRING_DEDUP,
+    "op7_quality_rules": QUALITY_RULES,
+}
