@@ -22,6 +22,8 @@ PORTION, GROUP = 4_000_000, 32_000_000
 FEW = 2_000_000
 #: Rows of one bucket that are compared in one block.
 BLOCK = 512
+#: Pairs of rows that a task holds at once.
+CHUNK = 2_000_000
 
 _MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
@@ -336,30 +338,53 @@ def still_open(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_open, "a long, b long")
 
 
+def _pairs_within(where: np.ndarray, home: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of row numbers to compare in each block of a bucket, many blocks at a time but about ``CHUNK`` pairs at most."""
+    edges = np.flatnonzero(np.concatenate([[True], (where[1:] != where[:-1]).any(axis=1), [True]])) if len(where) else np.zeros(1, int)
+    upper: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    lefts, rights, held = [], [], 0
+    for a, b, (_, i, j) in zip(edges[:-1].tolist(), edges[1:].tolist(), where[edges[:-1]].tolist(), strict=True):
+        if i == j:
+            if b - a not in upper:
+                upper[b - a] = np.triu_indices(b - a, 1)
+            p, q = upper[b - a]
+            lefts.append(a + p)
+            rights.append(a + q)
+        else:
+            mine, other = a + np.flatnonzero(home[a:b] == i), a + np.flatnonzero(home[a:b] == j)
+            lefts.append(np.repeat(mine, len(other)))
+            rights.append(np.tile(other, len(mine)))
+        held += len(lefts[-1])
+        if held >= CHUNK:
+            yield np.concatenate(lefts), np.concatenate(rights)
+            lefts, rights, held = [], [], 0
+    if lefts:
+        yield np.concatenate(lefts), np.concatenate(rights)
+
+
 def _compare(table: pa.Table) -> pa.Table:
-    """Pairs of each block of a bucket that sketches, sizes and components leave open."""
-    table = table.sort_by([("bucket", "ascending"), ("i", "ascending"), ("j", "ascending"), ("id", "ascending")]).combine_chunks()
+    """Pairs of each block of a bucket that components, sizes and sketches leave open; a pair of several buckets is compared once."""
+    table = table.sort_by([("bucket", "ascending"), ("i", "ascending"), ("j", "ascending")]).combine_chunks()
     where = np.stack([table[c].to_numpy() for c in ("bucket", "i", "j")], axis=1)
     ids, n, part, home = (table[c].to_numpy() for c in ("id", "n", "component", "own"))
-    sketch = table["sketch"].to_pylist()
-    edges = np.flatnonzero(np.concatenate([[True], (where[1:] != where[:-1]).any(axis=1), [True]])) if len(ids) else np.zeros(1, int)
-    found = []
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        i, j = where[a, 1:]
-        left = np.arange(a, b) if i == j else a + np.flatnonzero(home[a:b] == i)
-        right = left if i == j else a + np.flatnonzero(home[a:b] == j)
-        # A bucket spans two size bands, hence few widths; all are folded to the smallest.
-        words = min(len(sketch[k]) for k in (*left, *right)) // 8 if len(left) and len(right) else 1
-        p, q = (np.concatenate([folded(np.frombuffer(sketch[k], np.uint64)[None, :], words) for k in side]) if len(side) else np.zeros((0, words), np.uint64) for side in (left, right))
-        bits = np.zeros((len(left), len(right)), np.int64)
-        for k in range(words):
-            bits += np.bitwise_count(p[:, None, k] ^ q[None, :, k])
-        x, y = n[left][:, None], n[right][None, :]
-        open_ = (SEVENTH * bits <= x + y) & (4 * np.minimum(x, y) >= 3 * np.maximum(x, y)) & (part[left][:, None] != part[right][None, :])
-        p, q = np.nonzero(open_)
-        found.append(np.stack([np.minimum(ids[left[p]], ids[right[q]]), np.maximum(ids[left[p]], ids[right[q]])], axis=1))
-    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+    # Rows that share an id may have different texts; each is told by its sketch.
+    marks = np.array([xxhash.xxh64_intdigest(x.as_py()) for x in table["sketch"]], np.uint64)
+    _, first, line = np.unique(np.stack([ids.view(np.uint64), marks], axis=1), axis=0, return_index=True, return_inverse=True)
+    names, line = ids[first], line.reshape(-1)
+    found = np.zeros(0, np.int64)
+    for left, right in _pairs_within(where, home):
+        x, y = n[left], n[right]
+        keep = (part[left] != part[right]) & (4 * np.minimum(x, y) >= 3 * np.maximum(x, y))
+        p, q = line[left[keep]], line[right[keep]]
+        found = np.unique(np.concatenate([found, np.minimum(p, q) * len(names) + np.maximum(p, q)]))
+    sketch, result = table["sketch"], []
+    for at in range(0, len(found), CHUNK // 8):
+        p, q = found[at : at + CHUNK // 8] // len(names), found[at : at + CHUNK // 8] % len(names)
+        known = {k: sketch[int(first[k])].as_py() for k in np.union1d(p, q).tolist()}
+        keep = may_link([known[k] for k in p.tolist()], [known[k] for k in q.tolist()], n[first[p]], n[first[q]])
+        result.append(np.stack([names[p[keep]], names[q[keep]]], axis=1))
+    pairs = np.concatenate(result) if result else np.zeros((0, 2), np.int64)
+    return pa.table({"a": pairs.min(axis=1), "b": pairs.max(axis=1)})
 
 
 def _second(members: DataFrame, sketches: DataFrame, named: DataFrame) -> DataFrame:
