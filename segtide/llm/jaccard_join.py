@@ -23,7 +23,7 @@ FEW = 2_000_000
 #: Rows of one bucket that are compared in one block.
 BLOCK = 512
 #: Pairs of rows that a task holds at once.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 
 _MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
@@ -138,8 +138,8 @@ def keys_of(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def words_of(sizes: np.ndarray) -> np.ndarray:
-    """64-bit words of the short sketch of a set: a power of two, with at least a bit for each shingle."""
-    return 1 << np.ceil(np.log2(np.maximum(sizes, 64) / 64)).astype(np.int64)
+    """64-bit words of the short sketch of a set: a power of two, with at least four bits for each shingle, so few toggles cancel."""
+    return 1 << np.ceil(np.log2(np.maximum(sizes, 16) / 16)).astype(np.int64)
 
 
 def short_sketches(sets: list[np.ndarray]) -> list[bytes]:
@@ -378,8 +378,8 @@ def _compare(table: pa.Table) -> pa.Table:
         p, q = line[left[keep]], line[right[keep]]
         found = np.unique(np.concatenate([found, np.minimum(p, q) * len(names) + np.maximum(p, q)]))
     sketch, result = table["sketch"], []
-    for at in range(0, len(found), CHUNK // 8):
-        p, q = found[at : at + CHUNK // 8] // len(names), found[at : at + CHUNK // 8] % len(names)
+    for at in range(0, len(found), CHUNK // 32):
+        p, q = found[at : at + CHUNK // 32] // len(names), found[at : at + CHUNK // 32] % len(names)
         known = {k: sketch[int(first[k])].as_py() for k in np.union1d(p, q).tolist()}
         keep = may_link([known[k] for k in p.tolist()], [known[k] for k in q.tolist()], n[first[p]], n[first[q]])
         result.append(np.stack([names[p[keep]], names[q[keep]]], axis=1))
@@ -436,7 +436,7 @@ def similar_groups(df: DataFrame, row: str = "doc_id", text: str = "text") -> Da
     null component. An empty table gives an empty result.
 
     One pass over the text makes packed sketch keys, which are the one large shuffle, and short sketches. Pairs that these leave open are verified on whole
-    sets, first one partner for each id, then what is still in different components. Links are complete: every two ids that
+    sets, first one partner for each id, then the other pairs with a bucket's smallest id, then the rest of open buckets, each time only what is still in different components. Links are complete: every two ids that
     share a bucket are compared, unless they are already known to be one component.
     """
     spark = df.sparkSession
@@ -453,9 +453,10 @@ def similar_groups(df: DataFrame, row: str = "doc_id", text: str = "text") -> Da
 
         first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
         links = _links(first, rows)
-        named = _known(links)
-        more = _apart(pairs, named).unionByName(_second(members, sketches, named)).distinct()
-        more = written(more.join(first, ["a", "b"], "left_anti"), "jaccard-pairs")
+        rest = written(_apart(pairs, _known(links)).join(first, ["a", "b"], "left_anti"), "jaccard-pairs")
+        links = links.unionByName(_links(rest, rows))
+        more = _second(members, sketches, _known(links))
+        more = written(more.join(pairs, ["a", "b"], "left_anti"), "jaccard-pairs")
         named = components(links.unionByName(_links(more, rows)))
         sizes = met.filter(F.col("kind") == SIZE).select(F.col("a").alias("id"), F.col("b").alias("n_shingles"))
         known = sizes.join(named, "id", "left").select(F.col("id").alias(row), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))

@@ -120,7 +120,7 @@ def test_sketches_bound_the_symmetric_difference():
     a, b = rng.integers(0, 2**63, 300, dtype=np.uint64), rng.integers(0, 2**63, 40, dtype=np.uint64)
     x, y = jaccard_join.short_sketches([np.unique(s) for s in (a, np.append(a[30:], b))])
     wide, narrow = (np.frombuffer(s, np.uint64)[None, :] for s in jaccard_join.short_sketches([rng.integers(0, 2**63, n, dtype=np.uint64) for n in (520, 500)]))
-    assert (wide.shape[1], narrow.shape[1]) == (16, 8) and jaccard_join.folded(wide, 8).shape == narrow.shape
+    assert (wide.shape[1], narrow.shape[1]) == (64, 32) and jaccard_join.folded(wide, 32).shape == narrow.shape
     apart = np.bitwise_count(np.frombuffer(x, np.uint64) ^ np.frombuffer(y, np.uint64)).sum()
     assert 0 < apart <= 70
     sets = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (600, 600)]
