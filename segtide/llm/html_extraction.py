@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +22,8 @@ REFERENCES = 3
 CONSTANT, VOTERS = 0.8, 8
 #: Open elements beyond which further ones dissolve in the text, as browsers do.
 DEPTH = 400
+#: Pairs of children up to which an alignment's table is made without arrays.
+FEW = 600
 #: Bytes of reference pages that may be broadcast; beyond it Spark shuffles the pages by host.
 SMALL = 32_000_000
 
@@ -53,12 +57,19 @@ _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 class Node:
     """An element with inner blocks, or a run of neighbours of one kind that hold only text, one text each."""
 
-    __slots__ = ("label", "children", "texts", "aside", "main")
+    __slots__ = ("label", "children", "texts", "aside", "main", "shape", "size")
 
     def __init__(self, label: str, aside: bool, main: bool):
         self.label, self.aside, self.main = label, aside, main
         self.children: list[Node] = []
         self.texts: list[str] = []
+        self.close()
+
+    def close(self) -> None:
+        """Set the shape, a digest of the labels of the node and all below it, and their number."""
+        label = self.label.encode()
+        self.shape = blake2b(b"%d %b" % (len(label), label) + b"".join([c.shape for c in self.children]), digest_size=16).digest()
+        self.size = 1 + sum([c.size for c in self.children])
 
 
 def _traits(tag: str, attributes: str) -> tuple[str, bool]:
@@ -97,6 +108,8 @@ def parse(html: str) -> Node:
         parent = stack[-1][1]
         if len(node.children) == 1 and node.children[0].label == "#text":
             node.texts, node.children = node.children[0].texts, []
+        if node.children:
+            node.close()
         last = parent.children[-1] if parent.children else None
         if not node.children and last is not None and not last.children and last.label == node.label and last.aside == node.aside:
             last.texts += node.texts
@@ -159,29 +172,117 @@ def parse(html: str) -> Node:
     while len(stack) > 1:
         close()
     flush()
+    root.close()
     return root
 
 
-def align(page: Node, reference: Node) -> tuple[int, list[tuple[Node, Node]]]:
-    """Simple tree matching: the largest order-preserving set of node pairs with equal labels and paired parents, and its size."""
+def _table(rows: list[Node], columns: list[Node], known: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Alignment sizes of the distinct shapes of both sides, and the shape of each row and column as an index into them."""
+    mine, other = {n.shape: n for n in rows}, {n.shape: n for n in columns}
+    sizes = np.array([[_size(r, c, known) for c in other.values()] for r in mine.values()], np.int32)
+    at, of = {s: k for k, s in enumerate(mine)}, {s: k for k, s in enumerate(other)}
+    return sizes, np.array([at[n.shape] for n in rows]), np.array([of[n.shape] for n in columns])
+
+
+def _next(row: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The row of the matching table that follows ``row``, where ``sizes`` are those of its node with each column."""
+    new = row.copy()
+    np.maximum(row[1:], row[:-1] + sizes, out=new[1:])
+    return np.maximum.accumulate(new, out=new)
+
+
+def _size(page: Node, reference: Node, known: dict) -> int:
+    """The size of the alignment. It depends on shapes only, so equal ones are counted once."""
     if page.label != reference.label:
-        return 0, []
-    rows, columns = page.children, reference.children
-    pairs = [[align(r, c) for c in columns] for r in rows]
-    best = [[0] * (len(columns) + 1) for _ in range(len(rows) + 1)]
-    for i in range(1, len(rows) + 1):
-        for j in range(1, len(columns) + 1):
-            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + pairs[i - 1][j - 1][0])
-    matched, i, j = [(page, reference)], len(rows), len(columns)
+        return 0
+    if page.shape == reference.shape:
+        return page.size
+    if not page.children or not reference.children:
+        return 1
+    key = page.shape, reference.shape
+    if key not in known:
+        rows, columns = page.children, reference.children
+        # A node earns most with one of its own shape, so equal ends are part of a largest set.
+        start, end = 0, 0
+        while start < min(len(rows), len(columns)) and rows[start].shape == columns[start].shape:
+            start += 1
+        while end < min(len(rows), len(columns)) - start and rows[-1 - end].shape == columns[-1 - end].shape:
+            end += 1
+        total = 1 + sum([n.size for n in rows[:start]]) + sum([n.size for n in rows[len(rows) - end :]])
+        rows, columns = rows[start : len(rows) - end], columns[start : len(columns) - end]
+        if len(rows) * len(columns) <= FEW:
+            best = [0] * (len(columns) + 1)
+            for r in rows:
+                before = 0
+                for j, c in enumerate(columns):
+                    above = best[j + 1]
+                    best[j + 1] = max(above, best[j], before + (_size(r, c, known) if r.label == c.label else 0))
+                    before = above
+            total += best[-1]
+        else:
+            sizes, at, of = _table(rows, columns, known)
+            row = np.zeros(len(columns) + 1, np.int32)
+            for i in at:
+                row = _next(row, sizes[i][of])
+            total += int(row[-1])
+        known[key] = total
+    return known[key]
+
+
+def _share(a: Node, b: Node) -> bool:
+    """Whether nodes of one shape have a text in common at the same place."""
+    return any(not set(x.texts).isdisjoint(y.texts) for x, y in zip(_nodes(a), _nodes(b), strict=True) if x.texts)
+
+
+def _matched(rows: list[Node], columns: list[Node], known: dict) -> list[tuple[Node, Node]]:
+    """The pairs of a largest order-preserving set. Ends of one shape that share a text belong together."""
+    start, end, least = 0, 0, min(len(rows), len(columns))
+    while start < least and rows[start].shape == columns[start].shape and _share(rows[start], columns[start]):
+        start += 1
+    while end < least - start and rows[-1 - end].shape == columns[-1 - end].shape and _share(rows[-1 - end], columns[-1 - end]):
+        end += 1
+    pairs = [*zip(rows[:start], columns, strict=False), *zip(rows[len(rows) - end :], columns[len(columns) - end :], strict=True)]
+    rows, columns = rows[start : len(rows) - end], columns[start : len(columns) - end]
+    if not rows or not columns:
+        return pairs
+    # Every so many rows of the table are held; those between are made again when the way back comes to them.
+    sizes, at, of = _table(rows, columns, known)
+    step = int(len(rows) ** 0.5) + 1
+    row, held = np.zeros(len(columns) + 1, np.int32), []
+    for i, k in enumerate(at):
+        if i % step == 0:
+            held.append(row)
+        row = _next(row, sizes[k][of])
+    i, j, first, best = len(rows), len(columns), len(rows) + 1, []
     while i and j:
-        if best[i][j] == best[i - 1][j]:
+        if i - 1 < first:
+            first = (i - 1) // step * step
+            best = [held[first // step]]
+            for k in at[first : first + step]:
+                best.append(_next(best[-1], sizes[k][of]))
+        if best[i - first][j] == best[i - 1 - first][j]:
             i -= 1
-        elif best[i][j] == best[i][j - 1]:
+        elif best[i - first][j] == best[i - first][j - 1]:
             j -= 1
         else:
-            matched += pairs[i - 1][j - 1][1]
+            pairs.append((rows[i - 1], columns[j - 1]))
             i, j = i - 1, j - 1
-    return best[-1][-1] + 1, matched
+    return pairs
+
+
+def align(page: Node, reference: Node, known: dict | None = None) -> tuple[int, list[tuple[Node, Node]]]:
+    """Simple tree matching: the largest order-preserving set of node pairs with equal labels and paired parents, and its size."""
+    known = {} if known is None else known
+    size = _size(page, reference, known)
+    if not size:
+        return 0, []
+    found, open_ = [], [(page, reference)]
+    while open_:
+        pair = open_.pop()
+        found.append(pair)
+        mine, other = pair[0].children, pair[1].children
+        open_ += zip(mine, other, strict=True) if pair[0].shape == pair[1].shape else _matched(mine, other, known)
+    return size, found
 
 
 def _nodes(node: Node) -> Iterator[Node]:
@@ -190,12 +291,9 @@ def _nodes(node: Node) -> Iterator[Node]:
         yield from _nodes(child)
 
 
-def _bounded(node: Node, depth: int = 60, most: int = 120) -> Node:
-    """The tree that is aligned: very deep or wide parts are left out of it, so that the cost of an alignment has a bound."""
-    copy = Node(node.label, node.aside, node.main)
-    copy.texts = node.texts
-    copy.children = [_bounded(c, depth - 1, most) for c in node.children[:most]] if depth else []
-    return copy
+def _bounded(node: Node) -> Node:
+    """The tree that is aligned: the whole page. Its only bound is the parser's, beyond which open elements dissolve."""
+    return node
 
 
 class Wrapper:
@@ -208,9 +306,10 @@ class Wrapper:
 
     def best(self, page: Node) -> tuple[int, list[tuple[Node, Node]]]:
         """The reference that matches a page best, and the matched nodes."""
-        found = [align(page, r) for r in self.references]
-        k = max(range(len(found)), key=lambda k: (2 * found[k][0] / (1 + len(self.number[k])), -k), default=-1)
-        return k, found[k][1] if k >= 0 else []
+        known: dict = {}
+        found = [_size(page, r, known) for r in self.references]
+        k = max(range(len(found)), key=lambda k: (2 * found[k] / (1 + len(self.number[k])), -k), default=-1)
+        return k, align(page, self.references[k], known)[1] if k >= 0 else []
 
     def votes(self, page: Node) -> Iterator[tuple[int, int, int, bool]]:
         """For each text of the reference's matched nodes: whether the page has the same text there. Copies of the reference don't vote."""

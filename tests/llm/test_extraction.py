@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from segtide.llm import html_extraction as h
@@ -61,6 +63,41 @@ def test_constant_texts_are_template_and_copies_do_not_vote(spark):
     assert extract(spark, []) == {}
 
 
+def test_template_behind_long_and_deep_parts(spark):
+    blocks = lambda i: "".join(f"<h2>head {i} {k}</h2><p>text {i} {k}</p>" for k in range(130 + i % 2))
+    page = "<body>{}<div>" + "<div><h3>{}</h3>" * 80 + "<p>Deep site text</p>" + "</div>" * 80 + "</div><p>Closing site text</p></body>"
+    rows = [(i, f"http://a.example/{i}", page.format(blocks(i), *[f"level {i} {k}" for k in range(80)])) for i in range(40)]
+    found = extract(spark, rows)
+    assert all("site text" not in found[i][0] for i in range(40))
+    assert all(f"text {i} {129 + i % 2} level {i} 0 level" in found[i][0] for i in range(40))
+
+
+def test_largest_alignments(monkeypatch):
+    """Sizes against the plain table of simple tree matching, with and without arrays."""
+
+    def plain_size(a, b):
+        if a.label != b.label:
+            return 0
+        best = [[0] * (len(b.children) + 1) for _ in range(len(a.children) + 1)]
+        for i, r in enumerate(a.children):
+            for j, c in enumerate(b.children):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + plain_size(r, c))
+        return best[-1][-1] + 1
+
+    def some(depth):
+        tags = random.choices(["div", "ul", "h2", "p"], k=random.randint(0, 6))
+        return "".join(f"<{t}>{some(depth - 1) if t in ('div', 'ul') and depth else random.choice('abc')}</{t}>" for t in tags)
+
+    random.seed(3)
+    for few in (h.FEW, 0):
+        monkeypatch.setattr(h, "FEW", few)
+        for _ in range(200):
+            a, b = h.parse(some(3)), h.parse(some(3))
+            size, pairs = h.align(a, b)
+            assert size == plain_size(a, b) == len(pairs) == len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs})
+            assert all(x.label == y.label for x, y in pairs)
+
+
 def test_registered_pages(spark, sf):
     import html
     import re
