@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
 from html import unescape
 
@@ -24,7 +25,9 @@ CONSTANT, VOTERS = 0.8, 8
 DEPTH = 400
 #: Pairs of children up to which an alignment's table is made without arrays.
 FEW = 600
-#: Bytes of reference pages that may be broadcast; beyond it Spark shuffles the pages by host.
+#: Paths and slots that a task holds before it sums them.
+HELD = 1_000_000
+#: Bytes of reference pages and slots that may be broadcast; beyond it Spark shuffles the pages by host.
 SMALL = 32_000_000
 
 #: Fixed values from the HTML standard: elements without end, elements whose content isn't markup, elements that end a block or a paragraph.
@@ -51,6 +54,9 @@ _NEGATED = frozenset("has with no without is not".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|</?[a-zA-Z][^>]*\Z|[^<]+|<""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_DIGITS = re.compile(r"[0-9]+")
+_LANGUAGE = re.compile(r"""<html\b[^>]*\slang\s*=\s*["']?([a-z-]+)""", re.I)
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
 
@@ -364,32 +370,105 @@ def _wrappers():
     return of
 
 
+@lru_cache(1 << 16)
+def _below(path: int, label: str) -> int:
+    """The hash of a label path. Digits number pages and posts, so they don't tell paths apart."""
+    return int.from_bytes(blake2b(b"%d " % path + _DIGITS.sub("", label).encode(), digest_size=8).digest(), "little")
+
+
+def _places(page: Node, host: str, html: str) -> tuple[int, list[tuple[Node, int, list[int]]]]:
+    """The page's layout, a hash of its language and the set of its named blocks, and for each node with texts its label path and texts, hashed."""
+    named, found, open_ = set(), [], [(page, _below(0, host))]
+    while open_:
+        node, path = open_.pop()
+        if "." in node.label:
+            named.add(_DIGITS.sub("", node.label))
+        if node.texts:
+            found.append((node, path, [int.from_bytes(blake2b(t.encode(), digest_size=8).digest(), "little") for t in node.texts]))
+        open_ += [(c, _below(path, c.label)) for c in node.children]
+    language = _LANGUAGE.search(html, 0, 4_000)
+    return _below(1, " ".join([(language[1] if language else "").lower(), *sorted(named)])), found
+
+
+def _slots(paths: np.ndarray, texts: np.ndarray, layout: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Paths and the slots of texts in them: of the whole host, and of one layout."""
+    of_layout = paths * _ODD[0] + layout * _ODD[1]
+    return [(p, p * _ODD[2] + texts * _ODD[3]) for p in (paths, of_layout)]
+
+
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Votes of pages, summed over a task's batch before the shuffle."""
+    """Votes of aligned pages, summed over a task's batch before the shuffle; and each page's layout and distinct pairs of path and text, packed."""
     wrapper = _wrappers()
     for batch in batches:
         sums: dict[tuple, list[int]] = {}
+        packed: dict[tuple, bytes] = {}
         for host, html, pages in zip(*(batch.column(c) for c in ("host", "html", "pages")), strict=True):
-            host = host.as_py()
-            for k, node, j, same in wrapper(host, pages.as_py() or []).votes(_bounded(parse(html.as_py()))):
+            host, html = host.as_py(), html.as_py()
+            page = _bounded(parse(html))
+            for k, node, j, same in wrapper(host, pages.as_py() or []).votes(page):
                 held = sums.setdefault((host, k, node, j), [0, 0])
                 held[0] += 1
                 held[1] += same
-        rows = [(*key, *held) for key, held in sums.items()]
-        kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], ["host", "k", "node", "j", "aligned", "same"])
+            layout, found = _places(page, host, html)
+            pairs = sorted({(path, t) for _, path, texts in found for t in texts})
+            mark = blake2b("\n".join(t for n in _nodes(page) for t in n.texts).encode(), digest_size=8).digest()
+            line = np.array([layout, *[x for pair in pairs for x in pair]], np.uint64).tobytes()
+            packed[host, mark] = min(packed.get((host, mark), line), line)
+        rows = [(*key, *held, None, None) for key, held in sums.items()] + [(host, None, None, None, None, None, mark, line) for (host, mark), line in packed.items()]
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 8, kinds, strict=True)], ["host", "k", "node", "j", "aligned", "same", "mark", "packed"])
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages that have a path, as slot of its own, and pages that have a text in it; summed over some pages before the shuffle."""
+    held, size = [], 0
+
+    def counted() -> pa.RecordBatch:
+        home, base, slot = (np.concatenate([h[k] for h in held]) for k in range(3))
+        table = pa.table({"home": home, "base": base.view(np.int64), "slot": slot.view(np.int64)}).group_by(["home", "base", "slot"]).aggregate([([], "count_all")])
+        return table.select(["home", "base", "slot", "count_all"]).rename_columns(["home", "base", "slot", "n"]).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        for home, line in zip(batch.column("home").to_pylist(), batch.column("packed"), strict=True):
+            line = np.frombuffer(line.as_py(), np.uint64)
+            paths, texts = line[1::2], line[2::2]
+            if len(paths):
+                for base, slot in _slots(paths, texts, line[:1]):
+                    every = np.unique(base)
+                    base, slot = np.concatenate([base, every]), np.concatenate([slot, every])
+                    held.append((np.full(len(base), home, np.int64), base, slot))
+                    size += len(base)
+            if size >= HELD:
+                yield counted()
+                held, size = [], 0
+    if held:
+        yield counted()
 
 
 def _extract(n_keep: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wrapper = _wrappers()
+        known: dict[str, tuple[set, set]] = {}
         for batch in batches:
             texts = []
-            for host, html, pages, constant in zip(*(batch.column(c) for c in ("host", "html", "pages", "constant")), strict=True):
-                whole = parse(html.as_py())
+            for host, html, pages, constant, slots in zip(*(batch.column(c) for c in ("host", "html", "pages", "constant", "slots")), strict=True):
+                host, html = host.as_py(), html.as_py()
+                whole = parse(html)
                 bounded = _bounded(whole)
-                fixed = {(c["k"], c["node"], c["j"]) for c in constant.as_py() or ()}
-                template = wrapper(host.as_py(), pages.as_py() or []).template(bounded, fixed) if fixed else {}
+                if host not in known:
+                    if len(known) > 2_000:
+                        known.clear()
+                    known[host] = {(c["k"], c["node"], c["j"]) for c in constant.as_py() or ()}, set(slots.as_py() or ())
+                fixed, often = known[host]
+                template = wrapper(host, pages.as_py() or []).template(bounded, fixed) if fixed else {}
+                if often:
+                    layout, found = _places(bounded, host, html)
+                    for node, path, hashes in found:
+                        sides = _slots(np.array([path], np.uint64), np.array(hashes, np.uint64), np.array([layout], np.uint64))
+                        of_host, of_layout = (slot.view(np.int64).tolist() for _, slot in sides)
+                        constants = {t for t, x, y in zip(node.texts, of_host, of_layout, strict=True) if x in often or y in often}
+                        if constants:
+                            template[id(node)] = template.get(id(node), set()) | constants
                 texts.append(main_text(whole, bounded, template))
             yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*batch.schema.names[:n_keep], "text", "n_chars"])
 
@@ -400,6 +479,7 @@ def extract(df: DataFrame, url: str = "url", html: str = "html", keep: list[str]
     """The main text of each page and its length: ``text``, ``n_chars``, with the columns in ``keep``.
 
     A page's blocks are aligned with those of the best matching reference of its host; texts that stand in the same slot on most pages are template.
+    So are texts that stand on most pages that have their label path, counted over all pages of the host and over those of each layout, whichever pages the references are.
     Of the rest, menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are left out by element, role or name, and
     the article is taken where the page marks one. White space in a block becomes one space, blocks are joined by one.
 
@@ -407,7 +487,7 @@ def extract(df: DataFrame, url: str = "url", html: str = "html", keep: list[str]
     template. An empty table gives an empty result.
 
     References are a few pages a host, drawn by the smallest hashes. They are broadcast only if they are small; else pages meet them by host, and Spark splits a hot one. Votes
-    are summed in each task before the shuffle. No group of pages is ever gathered.
+    are summed in each task before the shuffle; paths and texts travel as hashes, once for all copies of a page. No group of pages is ever gathered.
     """
     keep = [] if keep is None else keep
     rows = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], host_of(F.col(url)).alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html"))
@@ -415,16 +495,28 @@ def extract(df: DataFrame, url: str = "url", html: str = "html", keep: list[str]
     chosen = written(references(marked), "html-references")
     size = chosen.agg(F.sum(F.aggregate("pages", F.lit(0).cast("long"), lambda a, p: a + F.octet_length(p)))).first()[0] or 0
     held = F.broadcast(chosen) if size <= SMALL else chosen
-    votes = rows.select("host", "html").join(held, "host", "left").mapInArrow(_vote, "host string, k int, node int, j int, aligned long, same long")
-    sums = votes.groupBy("host", "k", "node", "j").agg(F.sum("aligned").alias("aligned"), F.sum("same").alias("same"))
+    voted = rows.select("host", "html").join(held, "host", "left").mapInArrow(_vote, "host string, k int, node int, j int, aligned long, same long, mark binary, packed binary")
+    votes = written(voted, "html-votes")
+    sums = votes.filter("k IS NOT NULL").groupBy("host", "k", "node", "j").agg(F.sum("aligned").alias("aligned"), F.sum("same").alias("same"))
     fixed = sums.filter((F.col("aligned") >= VOTERS) & (F.col("same") >= CONSTANT * F.col("aligned"))).groupBy("host").agg(F.collect_list(F.struct("k", "node", "j")).alias("constant"))
-    told = chosen.join(fixed, "host", "left")
+    slots = written(constant_slots(votes), "html-constant")
+    size += 8 * (slots.agg(F.sum(F.size("slots"))).first()[0] or 0)
+    told = chosen.join(fixed, "host", "left").join(slots, F.xxhash64("host") == F.col("home"), "left").drop("home")
     joined = rows.join(F.broadcast(told) if size <= SMALL else told, "host", "left")
     schema = T.StructType([*rows.schema.fields[: len(keep)], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    found = joined.select(*[f"k{i}" for i in range(len(keep))], "host", "html", "pages", "constant").mapInArrow(_extract(len(keep)), schema)
+    found = joined.select(*[f"k{i}" for i in range(len(keep))], "host", "html", "pages", "constant", "slots").mapInArrow(_extract(len(keep)), schema)
     return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "text", "n_chars")
 
 
+def constant_slots(votes: DataFrame) -> DataFrame:
+    """For each hashed host, ``home``, the slots of texts that stand on most pages that have their label path, of all pages or of those of one layout. Copies count once."""
+    pages = votes.filter("packed IS NOT NULL").select(F.xxhash64("host").alias("home"), "mark", "packed").groupBy("home", "mark").agg(F.min("packed").alias("packed"))
+    counted = pages.select("home", "packed").mapInArrow(_count, "home long, base long, slot long, n long").groupBy("home", "base", "slot").agg(F.sum("n").alias("n"))
+    often = written(counted.filter(F.col("n") >= VOTERS), "html-slots")
+    every = often.filter("slot = base").select("home", "base", F.col("n").alias("pages"))
+    return often.filter("slot <> base").join(every, ["home", "base"]).filter(F.col("n") >= CONSTANT * F.col("pages")).groupBy("home").agg(F.collect_list("slot").alias("slots"))
+
+
 def references(marked: DataFrame) -> DataFrame:
     """Up to ``REFERENCES`` pages of each host as ``host``, ``pages``: those with the smallest hashes under as many seeds."""
     seeded = [F.xxhash64("mark", F.lit(s)) for s in range(REFERENCES)]

@@ -72,6 +72,18 @@ def test_template_behind_long_and_deep_parts(spark):
     assert all(f"text {i} {129 + i % 2} level {i} 0 level" in found[i][0] for i in range(40))
 
 
+def test_every_layout_has_a_template(spark):
+    page = "<html lang={2}><body><div class='top{1}'><p>{0} starts {1}</p><p>Part {1} of our site</p></div><div class=text><h1>t{0}</h1><p>Note in {2}</p></div><div class='low{1}'><p>Low {1}</p></div></body></html>"
+    letters, languages = "abcdefghij", ("de", "en", "fr", "es", "it")
+    rows = [(100 * k + i, f"http://a.example/{k}/{i}", page.format(f"p{k}x{i}", letters[k], languages[k // 2])) for k in range(10) for i in range(12)]
+    rows += [(5000 + i, "http://a.example/copy", page.format("copied", "z", "pt")) for i in range(12)]  # copies make no layout
+    found = extract(spark, rows)
+    for k in range(10):
+        for i in range(12):
+            assert found[100 * k + i][0] == f"p{k}x{i} starts {letters[k]} tp{k}x{i}"
+    assert all(found[5000 + i][0] == "copied starts z Part z of our site tcopied Note in pt Low z" for i in range(12))
+
+
 def test_largest_alignments(monkeypatch):
     """Sizes against the plain table of simple tree matching, with and without arrays."""
 
