@@ -20,8 +20,10 @@ SHINGLE, NUMERATOR, DENOMINATOR, SEVENTH = 5, 3, 4, 7
 PORTION, GROUP = 4_000_000, 32_000_000
 #: Ids that may be broadcast, 16 MB; beyond it Spark shuffles both sides.
 FEW = 2_000_000
-#: Rows of one bucket that are compared in one block.
-BLOCK = 512
+#: Rows of one bucket that are compared in one block, and bytes of them; what a row has besides its sketch.
+BLOCK, BLOCK_BYTES, ROW = 512, 4_000_000, 64
+#: Pairs of rows that make one group of blocks.
+PAIRS = 8_000_000
 #: Pairs of rows that a task holds at once.
 CHUNK = 1_000_000
 
@@ -391,16 +393,29 @@ def _second(members: DataFrame, sketches: DataFrame, named: DataFrame) -> DataFr
     """Pairs of ids that share a bucket whose ids are not yet one component, as far as their sketches leave them open.
 
     Sketches of a bucket are compared in blocks, so a large bucket is spread over many tasks and only pairs that may link come out.
+    The number of groups follows the counted rows, bytes and pairs, so no group grows with the input.
     """
     placed = members.join(named, "id", "left").withColumn("component", F.coalesce("component_id", "id")).drop("component_id")
     split = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low <> high AND size > 2")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("long")
-    open_ = placed.join(split.select("bucket", blocks.alias("blocks")), "bucket").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    open_ = written(placed.join(split.select("bucket"), "bucket").select("bucket", "id", "component"), "jaccard-open")
+    # Rows that share an id and a text are one.
+    chosen = written(sketches.join(open_.select("id").distinct(), "id", "left_semi").distinct(), "jaccard-open-sketches")
+    weights = chosen.groupBy("id").agg(F.count("*").alias("lines"), F.sum(F.octet_length("sketch") + ROW).alias("bytes"))
+    sums = open_.join(weights, "id").groupBy("bucket").agg(F.sum("lines").alias("lines"), F.sum("bytes").alias("bytes"))
+    blocked = written(sums.withColumn("blocks", F.ceil(F.greatest(F.col("lines") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("long")), "jaccard-blocks")
+    slots = _slots_of(blocked)
+    rows = open_.join(blocked.select("bucket", "blocks"), "bucket").join(chosen, "id").withColumn("own", F.pmod(F.xxhash64("id", "n", "sketch"), F.col("blocks")))
     # A row meets every block of its bucket once: as the smaller or the larger number of the pair of blocks.
-    paired = open_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    rows = paired.join(sketches, "id").select("bucket", "i", "j", "own", "id", "component", "n", "sketch")
-    slots = width(members.sparkSession, 0, 1) * 4
-    return rows.withColumn("slot", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(slots))).groupBy("slot").applyInArrow(_compare, "a long, b long").distinct()
+    paired = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    dealt = paired.select("bucket", "i", "j", "own", "id", "component", "n", "sketch").withColumn("slot", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(slots)))
+    return dealt.groupBy("slot").applyInArrow(_compare, "a long, b long").distinct()
+
+
+def _slots_of(blocked: DataFrame) -> int:
+    """Groups for the blocks of open buckets, so that each holds about ``GROUP`` bytes of rows and ``PAIRS`` pairs, however much work there is."""
+    spark = blocked.sparkSession
+    moved, pairs = blocked.agg(F.sum(F.col("bytes").cast("double") * F.col("blocks")), F.sum(F.col("lines").cast("double") * F.col("lines") / 2)).first()
+    return max(width(spark, 0, 1) * 4, width(spark, moved or 0, GROUP), width(spark, pairs or 0, PAIRS))
 
 
 def _known(links: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from segtide.llm import jaccard_join, substring_dedup
@@ -98,6 +99,18 @@ def test_blocks_of_a_large_bucket(spark, documents, monkeypatch):
     assert groups(documents(rows)) == brute_groups(rows)
 
 
+def test_groups_of_blocks_are_bounded(spark, monkeypatch):
+    """More open rows make more groups, not larger ones; rows that share an id are dealt as well."""
+    monkeypatch.setattr(jaccard_join, "_compare", lambda table: pa.table({"a": [table.num_rows], "b": [table["slot"][0].as_py()]}))
+    monkeypatch.setattr(jaccard_join, "PAIRS", 1_000, raising=False)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 32)
+    members = spark.createDataFrame([(1, i) for i in range(600)], "bucket long, id long")
+    sketches = spark.createDataFrame([(i, 16, i.to_bytes(8, "big")) for i in range(600)] + [(7, 16, i.to_bytes(8, "big")) for i in range(1_000, 1_400)], "id long, n long, sketch binary")
+    named = spark.createDataFrame([], "id long, component_id long")
+    found = [r["a"] for r in jaccard_join._second(members, sketches, named).collect()]
+    assert sum(found) >= 1_000 and max(found) <= 600
+
+
 def test_pigeonhole_on_sketch_parts():
     """Linked sets always share a key, also at the very threshold and across size bands."""
     rng = np.random.default_rng(3)
