@@ -6,11 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segtide.llm import bpe, html_extraction, jaccard_join, mixing, mtree, quality_classifier, quality_rules, substring_dedup, token_counts, url_filter
+from segtide.llm import bpe, bpe_transducer, html_extraction, jaccard_join, mixing, mtree, quality_classifier, quality_rules, substring_dedup, token_counts, url_filter
 from segtide.llm.common import read
 
 #: Tokenizer files, numbers of the search, the token limit, weights of sources and the URL rules.
-WORD_BPE, BYTE_BPE, TOKEN_LIMIT = "word_bpe_49k.json", "byte_bpe_50k.json", 2048
+WORD_BPE, BYTE_BPE, RANKS, TOKEN_LIMIT = "word_bpe_49k.json", "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken", 2048
 BEST, SCALE, EVERY = 20, 64, 20
 QUALITY_THRESHOLD = 0.3
 SOURCE_WEIGHTS, SOURCE_SHARE, MOST_COPIES = (5, 2, 1), 1.5, 2.0
@@ -78,6 +78,11 @@ def quality_classifier_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def bpe_transducer_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document by the ranks for many languages and what they decode to, as hashes."""
+    return bpe_transducer.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), keep=["doc_id"])
+
+
 REGISTRY = {
     "op1_mtree": mtree_query,
     "op2_html_extraction": html_extraction_query,
@@ -89,4 +94,5 @@ REGISTRY = {
     "op8_mixing": mixing_query,
     "op9_bpe": bpe_query,
     "op10_quality_classifier": quality_classifier_query,
+    "op13_bpe_transducer": bpe_transducer_query,
 }
