@@ -6,7 +6,6 @@ import base64
 import gc
 import hashlib
 from collections.abc import Iterator
-from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +21,10 @@ from segtide.llm.common import add_columns
 STATES, PAIRS = 200_000, 1_000_000
 #: Tokens that go through the decoder at once.
 FEED = 65_536
-#: Key of a state's own description and of its pending tokens at the end of a word; bytes are 0 to 255.
-SELF, END = -1, -2
+#: Bytes of a word after which tokens are written.
+WINDOW = 4_096
+#: Key of a state's own description; bytes are 0 to 255.
+SELF = -1
 #: The rank of a join that doesn't come.
 NEVER = 2**62
 
@@ -39,9 +40,10 @@ class Transducer:
 
     The last token of each prefix of a word is unique: it is the one token that ends the prefix and stands next to the last
     token of what comes before it, where two tokens stand next to each other if their joined bytes encode to just
-    these two. A state keeps the places where a token may still be under way, each with its place in the trie of all tokens and
-    with the tokens before it that aren't written yet. A token is written once all these places agree on
-    it; no place is further back than the longest token, which bounds the lookahead. States are determinised when a byte first leads to them.
+    these two. A state keeps the places where a token may still be under way, each with the last token before it and its place in the trie of
+    all tokens; the step of a byte gives the next state and the last token of what has been read. States are
+    determinised when a byte first leads to them. Tokens are written from a window of last tokens: at the end of a word, and
+    in a long word as far as all live places agree. No live place is further back than the longest token, which bounds the lookahead.
     """
 
     special: dict[str, int] = {}
@@ -55,8 +57,9 @@ class Transducer:
         self.spelled = [b""] * (max(self.ids.values()) + 1)
         for token, k in self.ids.items():
             self.spelled[k] = token
+        self.size = [len(s) for s in self.spelled]
         self.children: list[dict[int, int]] = [{}]
-        self.token = [-1]
+        self.token, self.depth = [-1], [0]
         for token, k in self.ids.items():
             node = 0
             for byte in token:
@@ -65,6 +68,7 @@ class Transducer:
                     after = self.children[node][byte] = len(self.children)
                     self.children.append({})
                     self.token.append(-1)
+                    self.depth.append(self.depth[node] + 1)
                 node = after
             self.token[node] = k
         self.split = regex.compile(pattern).findall
@@ -78,13 +82,13 @@ class Transducer:
         for state in getattr(self, "states", {}).values():
             state.clear()
         self.states: dict[tuple, dict] = {}
-        self.start = self._state(-1, (((), 0),))
+        self.start = self._state(((-1, 0),))
 
-    def _state(self, last: int, live: tuple) -> dict:
-        """The state of these live places after the written token ``last``; equal ones are one state."""
-        found = self.states.get((last, live))
+    def _state(self, live: tuple) -> dict:
+        """The state of these live places: the token before each and its place in the trie; equal ones are one state."""
+        found = self.states.get(live)
         if found is None:
-            found = self.states[last, live] = {SELF: (last, live), END: live[-1][0]}
+            found = self.states[live] = {SELF: live}
         return found
 
     def merged(self, data: bytes) -> list[bytes]:
@@ -155,27 +159,20 @@ class Transducer:
                 return True
             i, j = (i + 1, j) if taken <= then else (i, j + 1)
 
-    def _grow(self, state: dict, byte: int) -> tuple[dict, tuple[int, ...]]:
-        """The state that a byte leads to, and the tokens that are settled by it."""
-        last, live = state[SELF]
+    def _grow(self, state: dict, byte: int) -> tuple[dict, int]:
+        """The state that a byte leads to, and the last token of what has been read then."""
         children, tokens = self.children, self.token
         going, ending = [], None
-        for pending, node in live:
+        for before, node in state[SELF]:
             after = children[node].get(byte)
             if after is not None:
-                going.append((pending, after))
                 token = tokens[after]
-                if ending is None and token >= 0 and self.stands(pending[-1] if pending else last, token):
-                    ending = (*pending, token)
+                if ending is None and token >= 0 and self.stands(before, token):
+                    ending = token
+                if children[after]:
+                    going.append((before, after))
         going.append((ending, 0))
-        settled = ()
-        # What all places have in common is settled; places may agree on more only when one of them has ended.
-        if going[0][0] and len(going) <= len(live):
-            settled = commonprefix([p for p, _ in going])
-            if settled:
-                going = [(p[len(settled) :], node) for p, node in going]
-                last = settled[-1]
-        state[byte] = found = self._state(last, tuple(going)), settled
+        state[byte] = found = self._state(tuple(going)), ending
         return found
 
     def encode(self, word: bytes) -> list[int]:
@@ -183,21 +180,40 @@ class Transducer:
         whole = self.ids.get(word)
         if whole is not None:
             return [whole]
-        if len(self.states) > STATES:
-            self._begin()
-        state, written = self.start, []
-        for byte in word:
-            step = state.get(byte)
-            if step is None:
-                step = self._grow(state, byte)
-                if len(self.states) > 2 * STATES:
-                    # One word of millions of bytes may outgrow the cache: go on from the same place with an empty one.
-                    kept, settled = step[0][SELF], step[1]
-                    self._begin()
-                    step = self._state(*kept), settled
-            state, settled = step
-            written += settled
-        return written + list(state[END])
+        state, lasts, written = self.start, [], []
+        for at in range(0, len(word), WINDOW):
+            for byte in word[at : at + WINDOW]:
+                state, token = state.get(byte) or self._grow(state, byte)
+                lasts.append(token)
+            if len(word) > WINDOW:
+                lasts = self._settle(state, lasts, written)
+            if len(self.states) > STATES:
+                live = state[SELF]
+                self._begin()
+                state = self._state(live)
+        return written + self._back(lasts, len(lasts))
+
+    def _back(self, lasts: list[int], end: int) -> list[int]:
+        """The tokens up to a place, found from the last one on."""
+        found = []
+        while end:
+            found.append(token := lasts[end - 1])
+            end -= self.size[token]
+        return found[::-1]
+
+    def _settle(self, state: dict, lasts: list[int], written: list[int]) -> list[int]:
+        """Write the tokens on which all places agree where a token may still be under way; what is left of the last tokens."""
+        common = None
+        for _, node in state[SELF]:
+            place = len(lasts) - self.depth[node]
+            passed = {place}
+            while place > 0:
+                place -= self.size[lasts[place - 1]]
+                passed.add(place)
+            common = passed if common is None else common & passed
+        settled = max(common)
+        written += self._back(lasts, settled)
+        return lasts[settled:]
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words, one after the other, and how many each word has."""
