@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segtide.llm import bpe, bpe_transducer, html_extraction, jaccard_join, mixing, mtree, quality_classifier, quality_rules, substring_dedup, token_counts, url_filter
+from segtide.llm import bpe, bpe_transducer, conversation_repair, html_extraction, jaccard_join, mixing, mtree, quality_classifier, quality_rules, substring_dedup, token_counts, url_filter
 from segtide.llm.common import read
 
 #: Tokenizer files, numbers of the search, the token limit, weights of sources and the URL rules.
@@ -83,6 +83,11 @@ def bpe_transducer_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_transducer.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), keep=["doc_id"])
 
 
+def conversation_repair_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every damaged conversation."""
+    return conversation_repair.repair(conversation_repair.damage(read(spark, sf_dir, "conversations")))
+
+
 REGISTRY = {
     "op1_mtree": mtree_query,
     "op2_html_extraction": html_extraction_query,
@@ -94,5 +99,6 @@ REGISTRY = {
     "op8_mixing": mixing_query,
     "op9_bpe": bpe_query,
     "op10_quality_classifier": quality_classifier_query,
+    "op11_conversation_repair": conversation_repair_query,
     "op13_bpe_transducer": bpe_transducer_query,
 }
