@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segtide.llm import bpe, bpe_transducer, conversation_repair, html_extraction, jaccard_join, mixing, mtree, quality_classifier, quality_rules, substring_dedup, token_counts, url_filter
+from segtide.llm import bpe, bpe_transducer, conversation_repair, html_extraction, jaccard_join, merkle_manifest, mixing, mtree, quality_classifier, quality_rules, substring_dedup, token_counts, url_filter
 from segtide.llm.common import read
 
 #: Tokenizer files, numbers of the search, the token limit, weights of sources and the URL rules.
@@ -88,6 +88,11 @@ def conversation_repair_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(conversation_repair.damage(read(spark, sf_dir, "conversations")))
 
 
+def merkle_manifest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document."""
+    return merkle_manifest.manifest(read(spark, sf_dir, "documents"))
+
+
 REGISTRY = {
     "op1_mtree": mtree_query,
     "op2_html_extraction": html_extraction_query,
@@ -100,5 +105,6 @@ REGISTRY = {
     "op9_bpe": bpe_query,
     "op10_quality_classifier": quality_classifier_query,
     "op11_conversation_repair": conversation_repair_query,
+    "op12_merkle_manifest": merkle_manifest_query,
     "op13_bpe_transducer": bpe_transducer_query,
 }

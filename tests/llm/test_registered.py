@@ -13,7 +13,7 @@ TABLES = ("documents", "embeddings", "pages", "labels", "benchmark", "conversati
 
 def test_one_query_for_each_operator():
     names = sorted(queries.REGISTRY, key=lambda n: int(n[2:].split("_")[0]))
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14))
     assert queries.REGISTRY.items() <= entry_points.queries().items()
     assert "pipeline" in entry_points.queries()
 
