@@ -140,10 +140,137 @@ SELECT j.doc_id, j.n_words, j.word_chars, j.n_symbols, j.n_dup_lines, j.n_repeat
 FROM judged j LEFT JOIN wide ON j.lang IS NOT DISTINCT FROM wide.lang AND j.source IS NOT DISTINCT FROM wide.source
 """
 
+#: The checksum of short ASCII texts, which the SQL engine has no function for; ``of`` is an expression over a row that has the table's column ``t``.
+CRC_TABLE = r"""
+crc_table AS (
+  SELECT list(list_reduce([b::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) ORDER BY b) AS t
+  FROM range(256) r(b)
+)"""
+
+
+def _crc(of: str) -> str:
+    bytes_ = f"list_transform(string_split({of}, ''), lambda x: ord(x)::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {bytes_}), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295::BIGINT)"
+
+
+CONVERSATION_REPAIR = rf"""
+WITH RECURSIVE {CRC_TABLE}, keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key
+  FROM conversations
+), fated AS (
+  SELECT conv_id, turn, role, text, {_crc("key")} % 20 AS fate FROM keyed, crc_table
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+         CASE fate WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(CASE fate WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM fated
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS pos FROM damaged
+), faulty AS (
+  SELECT *, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS previous,
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+              WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+              WHEN regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*\z', 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+  FROM placed
+), convs AS (
+  SELECT row_number() OVER () AS conv, conv_id FROM (SELECT DISTINCT conv_id FROM conversations)
+), rows_ AS (
+  SELECT convs.conv, faulty.*, fault IN ('blank', 'duplicate') AS gone, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS more
+  FROM faulty JOIN convs ON faulty.conv_id IS NOT DISTINCT FROM convs.conv_id
+), counts AS (
+  SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) AS n, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (previous || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM rows_ GROUP BY conv
+), going AS (
+  -- The least cost and audit from each state on, from the last row to the first: s0 nothing yet, s1 after s, s2 after u, s3 after a.
+  SELECT conv, coalesce(n, 0) + 1 AS pos, {{'c': 0, 'a': ''}} AS s0, {{'c': 10, 'a': 'II'}} AS s1, {{'c': 5, 'a': 'I'}} AS s2, {{'c': 0, 'a': ''}} AS s3
+  FROM convs LEFT JOIN counts USING (conv)
+  UNION ALL
+  SELECT conv, pos,
+         list_min([p0, {{'c': p2.c + 5, 'a': 'I' || p2.a}}, {{'c': p3.c + 10, 'a': 'II' || p3.a}}]), list_min([p1, {{'c': p2.c + 5, 'a': 'I' || p2.a}}, {{'c': p3.c + 10, 'a': 'II' || p3.a}}]),
+         list_min([p2, {{'c': p3.c + 5, 'a': 'I' || p3.a}}]), list_min([p3, {{'c': p2.c + 5, 'a': 'I' || p2.a}}])
+  FROM (
+    SELECT conv, r.pos,
+           list_min([{{'c': s0.c + 2, 'a': 'D' || s0.a}}, CASE WHEN NOT gone AND initial = 's' THEN {{'c': s1.c + more, 'a': 'K' || s1.a}} WHEN NOT gone AND initial = 'u' THEN {{'c': s2.c + more, 'a': 'K' || s2.a}} END,
+                     CASE WHEN NOT gone THEN {{'c': s2.c + more + 1, 'a': 'R' || s2.a}} END]) AS p0,
+           list_min([{{'c': s1.c + 2, 'a': 'D' || s1.a}}, CASE WHEN NOT gone AND initial = 'u' THEN {{'c': s2.c + more, 'a': 'K' || s2.a}} END, CASE WHEN NOT gone THEN {{'c': s2.c + more + 1, 'a': 'R' || s2.a}} END]) AS p1,
+           list_min([{{'c': s2.c + 2, 'a': 'D' || s2.a}}, CASE WHEN NOT gone AND initial = 'a' THEN {{'c': s3.c + more, 'a': 'K' || s3.a}} END, CASE WHEN NOT gone THEN {{'c': s3.c + more + 1, 'a': 'R' || s3.a}} END]) AS p2,
+           list_min([{{'c': s3.c + 2, 'a': 'D' || s3.a}}, CASE WHEN NOT gone AND initial = 'u' THEN {{'c': s2.c + more, 'a': 'K' || s2.a}} END, CASE WHEN NOT gone THEN {{'c': s2.c + more + 1, 'a': 'R' || s2.a}} END]) AS p3
+    FROM going JOIN rows_ r USING (conv) WHERE r.pos = going.pos - 1
+  )
+), audited AS (
+  SELECT conv, s0.c AS cost, s0.a AS audit FROM going WHERE pos = 1
+), told AS (
+  SELECT conv, 1 AS letter, 0 AS read, '' AS state, '' AS out, audit FROM audited
+  UNION ALL
+  SELECT t.conv, letter + 1, read + (audit[letter] <> 'I')::INTEGER,
+         CASE audit[letter] WHEN 'D' THEN state WHEN 'K' THEN r.initial ELSE CASE state WHEN 'u' THEN 'a' ELSE 'u' END END,
+         out || CASE WHEN audit[letter] = 'D' THEN '' ELSE CASE WHEN state = '' THEN '' ELSE chr(10) END
+           || CASE WHEN audit[letter] = 'K' THEN r.role WHEN state = 'u' THEN 'assistant' ELSE 'user' END || ':' || CASE WHEN audit[letter] = 'I' THEN '' ELSE r.text END END,
+         audit
+  FROM told t LEFT JOIN rows_ r ON r.conv = t.conv AND r.pos = t.read + 1 AND audit[letter] <> 'I'
+  WHERE letter <= length(audit)
+)
+SELECT convs.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, cost::BIGINT AS cost, audited.audit, sha256(out) AS repaired_sha256
+FROM convs JOIN audited USING (conv) LEFT JOIN counts USING (conv) JOIN told ON told.conv = convs.conv AND letter = length(audited.audit) + 1
+"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}::VARCHAR, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+MERKLE_MANIFEST = rf"""
+WITH RECURSIVE {CRC_TABLE}, hashed AS (
+  SELECT doc_id, lang, {_leaf("n_chars")} AS leaf, CASE WHEN {_crc("doc_id::VARCHAR")} % 7 = 0 THEN {_leaf("(n_chars + 1)")} ELSE {_leaf("n_chars")} END AS changed
+  FROM documents, crc_table
+), langs AS (
+  SELECT lang, n, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM (SELECT lang, count(*) AS n FROM hashed GROUP BY lang)
+), leaves AS (
+  SELECT doc_id, leaf, changed, tree, n, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx
+  FROM hashed JOIN langs ON hashed.lang IS NOT DISTINCT FROM langs.lang
+), nodes AS (
+  SELECT tree, 0 AS level, idx, n, leaf AS digest FROM leaves
+  UNION ALL
+  SELECT tree, level + 1, idx // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY idx)) FROM nodes WHERE n > 1 GROUP BY tree, level, idx // 2, n
+), subroots AS (
+  SELECT tree, level AS height, digest AS subroot FROM nodes WHERE n = 1
+), tops AS (
+  SELECT 0 AS level, tree AS idx, (SELECT count(*) FROM subroots) AS n, subroot AS digest FROM subroots
+  UNION ALL
+  SELECT level + 1, idx // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY idx)) FROM tops WHERE n > 1 GROUP BY level, idx // 2, n
+), whole AS (
+  SELECT digest AS root, level AS height FROM tops WHERE n = 1
+), steps AS (
+  SELECT l.tree, l.idx, s.level, CASE WHEN nodes.digest IS NULL THEN '-' WHEN nodes.idx < l.idx >> s.level THEN '<' || nodes.digest ELSE '>' || nodes.digest END AS step
+  FROM leaves l JOIN subroots USING (tree), unnest(range(height)) s(level)
+  LEFT JOIN nodes ON nodes.tree = l.tree AND nodes.level = s.level AND nodes.idx = xor(l.idx >> s.level, 1)
+  UNION ALL
+  SELECT l.tree, l.idx, 1000 + s.level, CASE WHEN tops.digest IS NULL THEN '-' WHEN tops.idx < l.tree >> s.level THEN '<' || tops.digest ELSE '>' || tops.digest END
+  FROM leaves l, whole, unnest(range(height)) s(level)
+  LEFT JOIN tops ON tops.level = s.level AND tops.idx = xor(l.tree >> s.level, 1)
+), paths AS (
+  SELECT tree, idx, list(step ORDER BY level) AS path FROM steps GROUP BY tree, idx
+), folded AS (
+  SELECT doc_id, leaf, subroot, root, sha256(list_reduce(list_concat([''], coalesce(path, [])), lambda d, s: d || CASE WHEN s = '-' THEN '' ELSE s[2:] END)) AS proof_sha256,
+         list_reduce(list_concat([changed], coalesce(path, [])), lambda d, s: sha256(CASE s[1] WHEN '<' THEN s[2:] || d WHEN '>' THEN d || s[2:] ELSE d END)) AS folded_root
+  FROM leaves JOIN subroots USING (tree) CROSS JOIN whole LEFT JOIN paths USING (tree, idx)
+)
+SELECT *, folded_root = root AS verified FROM folded
+"""
+
 ORACLES = {
     "op1_mtree": MTREE,
     "op4_url_filter": URL_FILTER,
     "op5_jaccard_join": JACCARD_JOIN,
     "op6_substring_dedup": SUBSTRING_DEDUP,
     "op7_quality_rules": QUALITY_RULES,
+    "op11_conversation_repair": CONVERSATION_REPAIR,
+    "op12_merkle_manifest": MERKLE_MANIFEST,
 }
