@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segtide.functions.days import WORD, date_gaps, dates_of_words, day_words
+from segtide.functions.days import WORD, any_day, dates_of_words, day_words, gaps_of_words, word_array
 from segtide.operators.activity import SHARED_USER
 from segtide.operators.affinity import PLAY, SPEND
 from segtide.periods import Period, check_disjoint, in_any, period_index, period_name, period_start
@@ -16,23 +16,31 @@ from segtide.periods import Period, check_disjoint, in_any, period_index, period
 CREDITED = f"spent AND user_id <> {SHARED_USER}"
 
 
-def active_days(activity: DataFrame, period: Period, periods: Sequence[Period] = ()) -> DataFrame:
-    """Ascending play and spend days in one period of everyone who played in any of ``periods``, that one by default.
+def active_words(activity: DataFrame, period: Period, periods: Sequence[Period] = ()) -> DataFrame:
+    """Play and spend days in one period, as bit words, of everyone who played in any of ``periods``, that one by default.
 
-    An array is NULL for users who did not play in the period, ``spend_dates`` also
-    without a credited spend row. Days travel as bit words that merge on the map
-    side and are unfolded after the shuffle; arrays are bounded by the length of the period.
+    ``play_words`` is NULL for users who did not play in the period, ``spend_words`` also
+    without a credited spend row. Words merge on the map side, and are unfolded only where days are asked for.
     """
     rows = activity.where(in_any("dt", [period, *periods])).select(
         "user_id", "played", F.expr(CREDITED).alias("paid"), F.datediff("dt", F.lit(period.start)).alias("day_no")
     )
     words = [*day_words("played", "day_no", period.n_days, "play_"), *day_words("paid", "day_no", period.n_days, "spend_")]
     users = rows.groupBy("user_id").agg(F.bool_or("played").alias("played"), *words).where("played")
-    play, spend = (dates_of_words(prefix, period.start, period.n_days) for prefix in ("play_", "spend_"))
-    found = users.select("user_id", play.alias("play_dates"), spend.alias("spend_dates"))
-    there, paid = F.size("play_dates") > 0, F.size("spend_dates") > 0
-    named = found.select("user_id", F.when(there, F.col("play_dates")).alias("play_dates"), F.when(there & paid, F.col("spend_dates")).alias("spend_dates"))
-    return named if periods else named.where("play_dates IS NOT NULL")
+    named = users.select("user_id", *_sides(period.n_days))
+    return named if periods else named.where("play_words IS NOT NULL")
+
+
+def _sides(n_days: int, paid: Column | bool = True) -> list[Column]:
+    """The words of both sides as arrays; NULL for a side without days, and for spending without play."""
+    there = any_day("play_", n_days)
+    paying = there & any_day("spend_", n_days) & paid
+    return [F.when(there, word_array("play_", n_days)).alias("play_words"), F.when(paying, word_array("spend_", n_days)).alias("spend_words")]
+
+
+def active_days(words: DataFrame, period: Period) -> DataFrame:
+    """Ascending play and spend dates from ``active_words``; arrays are bounded by the length of the period."""
+    return words.select("user_id", *[dates_of_words(F.col(f"{side}_words"), period.start).alias(f"{side}_dates") for side in ("play", "spend")])
 
 
 def period_details(activity: DataFrame, periods: Sequence[Period]) -> DataFrame:
@@ -70,23 +78,12 @@ def period_details(activity: DataFrame, periods: Sequence[Period]) -> DataFrame:
     return totals.withColumns({"play_days": days["play"], "spend_days": days["spend"], "period": period_name("period_no", periods)}).drop("period_no")
 
 
-def details_of_period(details: DataFrame, period: Period) -> DataFrame:
-    """Breadth, volume and active days of one period's players; spending is not credited to the shared id."""
-    play, spend = (dates_of_words(prefix, period.start, period.n_days) for prefix in ("play_", "spend_"))
+def details_of_period(details: DataFrame, period: Period, n_days: int) -> DataFrame:
+    """Breadth, volume and day words of one period's players; spending is not credited to the shared id. ``n_days`` is what the words were made for."""
     own = F.col("user_id") != SHARED_USER
     return details.where((F.col("period") == period.name) & (F.col("play_days") > 0)).select(
-        "user_id", "play_apps", "play_total", "spend_apps", "spend_total",
-        play.alias("play_dates"), F.when(own & (F.col("spend_days") > 0), spend).alias("spend_dates"),
-    )
-
-
-def _by_source(days: DataFrame, name: str, of_dates) -> DataFrame:
-    """A row per user and source with a value derived from the days; sources without days give none."""
-    sides = [
-        F.struct(F.lit(label).alias("source"), of_dates(F.col(dates)).alias(name))
-        for label, dates in ((PLAY, "play_dates"), (SPEND, "spend_dates"))
-    ]
-    return days.select("user_id", F.inline(F.array(*sides)))
+        "user_id", "play_apps", "play_total", "spend_apps", "spend_total", *_sides(n_days, own)
+    )
 
 
 def day_rows(activity: DataFrame, period: Period) -> DataFrame:
@@ -102,30 +99,31 @@ def day_rows(activity: DataFrame, period: Period) -> DataFrame:
     return days.join(players, "user_id", "left_semi")
 
 
-def visit_gaps(days: DataFrame) -> DataFrame:
-    """Rows ``user_id, source, gap_no, gap_days``: days between neighbouring active days."""
-    return (
-        _by_source(days, "gaps", date_gaps)
-        .select("user_id", "source", F.posexplode("gaps").alias("gap_no", "gap_days"))
-        .withColumn("gap_no", F.col("gap_no") + 1)
-    )
+def visit_gaps(words: DataFrame) -> DataFrame:
+    """Rows ``user_id, source, gap_no, gap_days``: days between neighbouring active days.
+
+    A row per user and source comes first, so days are unfolded in one place for both.
+    """
+    sides = [F.struct(F.lit(label).alias("source"), F.col(name).alias("words")) for label, name in ((PLAY, "play_words"), (SPEND, "spend_words"))]
+    rows = words.select("user_id", F.inline(F.array(*sides))).where("words IS NOT NULL")
+    return rows.select("user_id", "source", F.posexplode(gaps_of_words(F.col("words"))).alias("gap_no", "gap_days")).withColumn("gap_no", F.col("gap_no") + 1)
 
 
-def _gap_array(dates: str) -> Column:
+def _gap_array(words: str) -> Column:
     """Gaps as an array; ``[0]`` for users without active days, empty for a single day."""
-    return F.coalesce(date_gaps(F.col(dates)), F.array(F.lit(0).cast("bigint")))
+    return F.coalesce(gaps_of_words(F.col(words)), F.array(F.lit(0).cast("bigint")))
 
 
-def gap_arrays(days: DataFrame) -> DataFrame:
+def gap_arrays(words: DataFrame) -> DataFrame:
     """Play and spend gaps of each user as arrays."""
-    return days.select("user_id", _gap_array("play_dates").alias("play_gaps"), _gap_array("spend_dates").alias("spend_gaps"))
+    return words.select("user_id", _gap_array("play_words").alias("play_gaps"), _gap_array("spend_words").alias("spend_gaps"))
 
 
-def user_features(labels: DataFrame, volumes: DataFrame) -> DataFrame:
+def user_features(labels: DataFrame, details: DataFrame, *more: Column) -> DataFrame:
     """Labels and raw values of all users with the app breadth and volume of one period, the first.
 
-    ``volumes`` has one row per user of that period; users who did not play in it
-    get zeros, even if they spent.
+    ``details`` has one row per user of that period; users who did not play in it
+    get zeros, even if they spent. ``more`` are columns made of both.
     """
     played = F.col("p1_play_days") > 0
 
@@ -134,16 +132,13 @@ def user_features(labels: DataFrame, volumes: DataFrame) -> DataFrame:
 
     raw = [f"p{i}_{c}" for c in ("recency", "play_days", "spend_coin") for i in (1, 2)]
     volume = [filled(c) for c in ("play_apps", "play_total", "spend_apps", "spend_total")]
-    return labels.join(volumes, "user_id", "left").select("user_id", "p1", "p2", "p3", *raw, *volume)
+    return labels.join(details, "user_id", "left").select("user_id", "p1", "p2", "p3", *raw, *volume, *more)
 
 
 def user_feature_row(labels: DataFrame, details: DataFrame) -> DataFrame:
-    """The whole feature row of a user: labels, raw values, breadth and volume, and both gap arrays.
+    """The whole feature row of a user: labels, raw values, breadth and volume, and both gap arrays, by one join.
 
-    ``details`` comes from ``details_of_period``. App counts stay in long form.
+    ``details`` comes from ``details_of_period``. Counts per app are not part of the row, as a user may have any number of apps: they
+    are the rows of ``affinity.user_app_profile`` or the maps of ``affinity.user_app_maps``.
     """
-    features = user_features(labels, details.select("user_id", "play_apps", "play_total", "spend_apps", "spend_total"))
-    gaps = details.select("user_id", date_gaps(F.col("play_dates")).alias("play"), date_gaps(F.col("spend_dates")).alias("spend"))
-    none = F.array(F.lit(0).cast("bigint"))
-    arrays = [F.coalesce(side, none).alias(f"{side}_gaps") for side in ("play", "spend")]
-    return features.join(gaps, "user_id", "left").select(*features.columns, *arrays)
+    return user_features(labels, details, _gap_array("play_words").alias("play_gaps"), _gap_array("spend_words").alias("spend_gaps"))

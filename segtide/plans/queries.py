@@ -298,7 +298,7 @@ def user_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _labels_and_details(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Labels and first-period details from one reading of the log, written once as both need it."""
     rows = written(features.period_details(read_activity(spark, sf_dir, PERIODS), PERIODS), "user-periods")
-    return scoring.user_rfm_labels(rows, PERIODS), features.details_of_period(rows, P1)
+    return scoring.user_rfm_labels(rows, PERIODS), features.details_of_period(rows, P1, max(p.n_days for p in PERIODS))
 
 
 @query
@@ -309,7 +309,7 @@ def user_feature_row(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def user_gap_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gaps = features.gap_arrays(features.active_days(read_activity(spark, sf_dir, PERIODS), P1, PERIODS))
+    gaps = features.gap_arrays(features.active_words(read_activity(spark, sf_dir, PERIODS), P1, PERIODS))
     return gaps.withColumns(
         {c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("play_gaps", "spend_gaps")}
     )
@@ -322,7 +322,7 @@ def user_active_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def visit_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.visit_gaps(features.active_days(read_activity(spark, sf_dir, (P1,)), P1))
+    return features.visit_gaps(features.active_words(read_activity(spark, sf_dir, (P1,)), P1))
 
 
 @query

@@ -14,6 +14,7 @@ def dates(*texts):
 
 
 def test_date_gaps(spark):
+    # The dates of user 1 and their gaps.
     rows = [
         (1, dates("2013-03-30", "2013-04-01", "2013-04-20")),
         (2, dates("2013-03-30")),
@@ -40,10 +41,25 @@ def test_dates_of_words(spark):
     rows = [(1, 0, True), (1, 63, True), (1, 64, True), (1, 89, True), (1, 5, False), (2, 7, False), (1, 90, True), (1, -1, True), (1, 64, True)]
     df = spark.createDataFrame(rows, "g int, o int, f boolean")
     words = df.groupBy("g").agg(*days.day_words("f", "o", 90, "w"))
-    got = {r.g: r.d for r in words.select("g", days.dates_of_words("w", date(2013, 1, 1), 90).alias("d")).collect()}
+    found = words.select("g", days.word_array("w", 90).alias("w"), days.any_day("w", 90).alias("any"))
+    rows = found.select("g", "any", days.dates_of_words(F.col("w"), date(2013, 1, 1)).alias("d"), days.gaps_of_words(F.col("w")).alias("gaps")).collect()
+    assert {r.g: (r.any, r.gaps) for r in rows} == {1: (True, [63, 1, 25]), 2: (False, [])}
+    got = {r.g: r.d for r in rows}
     assert got == {1: [date(2013, 1, 1) + timedelta(days=k) for k in (0, 63, 64, 89)], 2: []}
 
 
+def test_day_numbers(spark):
+    """All bits, the sign bit too, words without days in between, and no words at all."""
+    sets = [[], [0], [63], [127, 128], list(range(192)), [5, 64, 190], [*range(0, 192, 9)], None]
+    as_word = lambda w: w - 2**64 if w >= 2**63 else w
+    rows = [(i, None if s is None else [as_word(sum(1 << d % 64 for d in s if d // 64 == k)) for k in range(3)]) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "i int, w array<bigint>").select("i", days.day_numbers(F.col("w")).alias("d"), days.gaps_of_words(F.col("w")).alias("g"))
+    for r in df.collect():
+        expected = sets[r.i]
+        assert r.d == expected
+        assert r.g == (None if expected is None else [b - a for a, b in zip(expected, expected[1:])])
+
+
 def test_periods(spark):
     a, b = Period("it's", date(2013, 1, 1), date(2013, 3, 31)), Period("b", date(2013, 7, 1), date(2013, 8, 31))
     rows = [(d,) for d in dates("2012-12-31", "2013-01-01", "2013-03-31", "2013-04-01", "2013-08-31")]

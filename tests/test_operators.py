@@ -345,7 +345,7 @@ def test_rows_without_a_user_count_for_nobody(spark):
             scoring.spender_totals(table, QUARTERS), scoring.user_rfm_labels(users, QUARTERS), wide, activity.engagement_sanity(wide), activity.payer_engagement_wide(users, "q1", "q2"),
             activity.period_activity(users), activity.spend_totals(table), affinity.user_app_profile(counts, activity.players(users)),
             affinity.segment_app_tfidf(counts, labels, affinity.document_frequency(affinity.app_users(usage)), affinity.corpus_size(usage)),
-            features.gap_arrays(features.active_days(table, Q1, QUARTERS)), features.day_rows(table, Q1), scoring.training_sample(scoring.user_rfm_scores(scoring.spender_totals(table, QUARTERS)), Q1.start, 3),
+            features.gap_arrays(features.active_words(table, Q1, QUARTERS)), features.day_rows(table, Q1), scoring.training_sample(scoring.user_rfm_scores(scoring.spender_totals(table, QUARTERS)), Q1.start, 3),
         ]
         return [tuples(df, *df.columns) for df in found]
 
@@ -393,7 +393,7 @@ def test_features_and_gaps(log, seed):
     rows = random_log(seed)
     table = log(rows)
     profile = expected_profile(rows, Q1)
-    days = features.active_days(table, Q1)
+    words = features.active_words(table, Q1)
 
     players = {r[0] for r in in_period(rows, Q1, "play")}
     gaps = {}
@@ -403,14 +403,18 @@ def test_features_and_gaps(log, seed):
             if kind == "spend" and (user == 0 or not seen):
                 continue
             gaps[user, source] = [(b - a).days for a, b in zip(seen, seen[1:])]
-    got = features.visit_gaps(days)
+    dates = {r.user_id: r for r in features.active_days(words, Q1).collect()}
+    assert dates.keys() == players
+    for user, r in dates.items():
+        assert r.play_dates == sorted({date.fromisoformat(x[1]) for x in in_period(rows, Q1, "play") if x[0] == user})
+    got = features.visit_gaps(words)
     assert tuples(got, "user_id", "source", "gap_no", "gap_days") == sorted(
         [(u, s, i, g) for (u, s), found in gaps.items() for i, g in enumerate(found, 1)], key=repr
     )
 
     users = activity.user_periods(table, QUARTERS)
     labels = scoring.user_rfm_labels(users, QUARTERS)
-    arrays = features.gap_arrays(features.active_days(table, Q1, QUARTERS))
+    arrays = features.gap_arrays(features.active_words(table, Q1, QUARTERS))
     assert tuples(arrays, "user_id") == tuples(labels, "user_id")
     for r in arrays.collect():
         assert r.play_gaps == gaps.get((r.user_id, "playdays"), [0])
@@ -419,7 +423,7 @@ def test_features_and_gaps(log, seed):
     details = features.period_details(table, QUARTERS)
     columns = ["user_id", "period", "play_days", "last_play", "spend_days", "spend_coin", "spend_time", "last_spend"]
     assert tuples(details, *columns) == tuples(users, *columns)
-    row = features.user_feature_row(labels, features.details_of_period(details, Q1))
+    row = features.user_feature_row(labels, features.details_of_period(details, Q1, max(p.n_days for p in QUARTERS)))
     assert tuples(row, "user_id", "play_gaps", "spend_gaps") == tuples(arrays, "user_id", "play_gaps", "spend_gaps")
 
     volumes = affinity.user_volumes(affinity.app_counts(table, [Q1])).drop("period")

@@ -97,6 +97,13 @@ def test_sample_and_gaps_read_the_log_once(spark):
     assert "lineitem" not in executed(spark, "user_feature_row")
 
 
+@pytest.mark.parametrize(("name", "sides"), [("visit_gaps", 1), ("user_gap_arrays", 2), ("user_feature_row", 2)])
+def test_days_are_unfolded_once_a_side(spark, name, sides):
+    """Each unfolding looks up eight bytes a word."""
+    plan = executed(spark, name)
+    assert plan.count("shiftrightunsigned") == plan.count(">>>") + 8 * sides if ">>>" not in plan else plan.count(">>>") == 8 * sides
+
+
 @pytest.mark.parametrize("name", ["user_gap_arrays", "user_active_days", "visit_gaps"])
 def test_days_are_not_collected_as_objects(spark, name):
     assert "ObjectHashAggregate" not in executed(spark, name)
