@@ -1,4 +1,4 @@
-"""Joins and samples that stay balanced when few keys hold most rows."""
+"""Joins, samples and numberings that stay balanced when few keys hold most rows."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from segtide.sources.staging import written
+
 # A key is hot with more rows than one task should get.
 HOT_ROWS = 1_000_000
 PIECES = 256
@@ -75,3 +77,20 @@ def sample_rows(df: DataFrame, key: Column, n: int, seed: str = "") -> DataFrame
         .scalar()
     )
     return df.where(last.isNull() | (draw <= last))
+
+
+def number_rows(df: DataFrame, order: Sequence[Column], name: str = "place") -> DataFrame:
+    """Add the place of each row, from 1, in an order of all rows, without sorting them in one task.
+
+    Rows are sorted in ranges, which are written, and numbered inside; a range's first place follows from
+    the number of rows before it. That is one row for each range, the only table that a single task
+    reads. Starts a job. Rows that are equal in the order are numbered as they come.
+    """
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranges = written(placed.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_at", 33)
+    counts = ranges.groupBy(part.alias("_part")).agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
+    before = F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    begun = counts.select("_part", (F.coalesce(before, F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    found = ranges.withColumn("_part", part).join(begun, "_part")
+    return found.withColumn(name, F.col("_at") + F.col("_shift")).drop("_part", "_at", "_shift")

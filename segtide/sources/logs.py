@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from segtide.sources.tables import write_parts
+
 # The filters that select the platform's rows.
 REGION = "JP"
 DEVICE = 2
@@ -83,6 +85,35 @@ def read_spend_log(
     )
 
 
+def _write_days(rows: DataFrame, path: str, pattern: str) -> None:
+    """Load the days contained in the rows as ``dt`` partitions named in the log's own format; other days stay."""
+    write_parts(rows.withColumn("dt", F.date_format("dt", pattern)), path, ["dt"])
+
+
+def write_play_log(rows: DataFrame, path: str) -> None:
+    """Load days of a play log from rows ``user_id, dt, region, device_id, app``, with region and app nested as the log keeps them."""
+    nested = rows.select(
+        F.col("user_id").cast("bigint").alias("user_id"),
+        F.struct(F.col("region").cast("string").alias("region")).alias("user_info"),
+        F.col("device_id").cast("int").alias("device_id"),
+        F.struct(F.col("app").cast("bigint").alias("application_id")).alias("details"),
+        "dt",
+    )
+    _write_days(nested, path, "yyyyMMdd")
+
+
+def write_spend_log(rows: DataFrame, path: str) -> None:
+    """Load days of a coin log from rows ``user_id, dt, type, app, movement``; spending is a negative movement."""
+    shaped = rows.select(
+        F.col("user_id").cast("bigint").alias("user_id"),
+        F.col("type").cast("int").alias("type"),
+        F.col("app").cast("bigint").alias("subtype"),
+        F.col("movement").cast("int").alias("nondeveloper_coin"),
+        "dt",
+    )
+    _write_days(shaped, path, "yyyy-MM-dd")
+
+
 def union_shards(shards: Sequence[DataFrame]) -> DataFrame:
     """All rows of tables kept one per month."""
     return reduce(lambda a, b: a.unionByName(b), shards)
