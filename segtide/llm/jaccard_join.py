@@ -340,44 +340,56 @@ def still_open(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_open, "a long, b long")
 
 
-def _pairs_within(where: np.ndarray, home: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of row numbers to compare in each block of a bucket, many blocks at a time but about ``CHUNK`` pairs at most."""
-    edges = np.flatnonzero(np.concatenate([[True], (where[1:] != where[:-1]).any(axis=1), [True]])) if len(where) else np.zeros(1, int)
-    upper: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    lefts, rights, held = [], [], 0
-    for a, b, (_, i, j) in zip(edges[:-1].tolist(), edges[1:].tolist(), where[edges[:-1]].tolist(), strict=True):
-        if i == j:
-            if b - a not in upper:
-                upper[b - a] = np.triu_indices(b - a, 1)
-            p, q = upper[b - a]
-            lefts.append(a + p)
-            rights.append(a + q)
-        else:
-            mine, other = a + np.flatnonzero(home[a:b] == i), a + np.flatnonzero(home[a:b] == j)
-            lefts.append(np.repeat(mine, len(other)))
-            rights.append(np.tile(other, len(mine)))
-        held += len(lefts[-1])
-        if held >= CHUNK:
-            yield np.concatenate(lefts), np.concatenate(rights)
-            lefts, rights, held = [], [], 0
-    if lefts:
-        yield np.concatenate(lefts), np.concatenate(rights)
+def _meetings(bucket: np.ndarray, block: np.ndarray, low: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of entries to compare, about ``CHUNK`` at a time: entries are sorted by bucket and block.
+
+    In every bucket the entries that aren't in its lowest component (``low``) meet all others, once; two of the lowest
+    component need no link between them.
+    """
+    if not len(bucket):
+        return
+    edges = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (block[1:] != block[:-1]), [True]]))
+    counts = np.diff(edges)
+    first, size = np.repeat(edges[:-1], counts), np.repeat(counts, counts)
+    outer = np.flatnonzero(~low)
+    upto = np.cumsum(size[outer])
+    at = 0
+    while at < len(outer):
+        end = max(int(np.searchsorted(upto, (upto[at - 1] if at else 0) + CHUNK, side="right")), at + 1)
+        own = outer[at:end]
+        left = np.repeat(own, size[own])
+        ends = np.cumsum(size[own])
+        right = np.repeat(first[own], size[own]) + np.arange(ends[-1]) - np.repeat(ends - size[own], size[own])
+        once = low[right] | (right > left)
+        yield left[once], right[once]
+        at = end
 
 
 def _compare(table: pa.Table) -> pa.Table:
-    """Pairs of each block of a bucket that components, sizes and sketches leave open; a pair of several buckets is compared once."""
-    table = table.sort_by([("bucket", "ascending"), ("i", "ascending"), ("j", "ascending")]).combine_chunks()
-    where = np.stack([table[c].to_numpy() for c in ("bucket", "i", "j")], axis=1)
-    ids, n, part, home = (table[c].to_numpy() for c in ("id", "n", "component", "own"))
+    """Pairs of ids that share a bucket in some block of a group of buckets, as far as components, sizes and sketches leave them open.
+
+    A row is an id with all its buckets of the group, so a pair that shares many of them is compared once and told once.
+    """
+    table = table.combine_chunks()
+    ids, n, part, lowest, i, j, home = (table[c].to_numpy() for c in ("id", "n", "component", "low", "i", "j", "own"))
     # Rows that share an id may have different texts; each is told by its sketch.
     marks = np.array([xxhash.xxh64_intdigest(x.as_py()) for x in table["sketch"]], np.uint64)
     _, first, line = np.unique(np.stack([ids.view(np.uint64), marks], axis=1), axis=0, return_index=True, return_inverse=True)
     names, line = ids[first], line.reshape(-1)
+    lists = table["buckets"].combine_chunks()
+    row = np.repeat(np.arange(table.num_rows), np.diff(lists.offsets.to_numpy()))
+    bucket = lists.flatten().to_numpy()
+    _, block = np.unique(np.stack([lowest, i, j], axis=1), axis=0, return_inverse=True)
+    block = block.reshape(-1)
+    order = np.lexsort((row, block[row], bucket))
+    bucket, row = bucket[order], row[order]
     found = np.zeros(0, np.int64)
-    for left, right in _pairs_within(where, home):
-        x, y = n[left], n[right]
-        keep = (part[left] != part[right]) & (4 * np.minimum(x, y) >= 3 * np.maximum(x, y))
-        p, q = line[left[keep]], line[right[keep]]
+    for left, right in _meetings(bucket, block[row], (part == lowest)[row]):
+        p, q = row[left], row[right]
+        x, y = n[p], n[q]
+        # Rows of one block of ids meet where both sides are that block.
+        keep = (part[p] != part[q]) & ((i[p] == j[p]) | (home[p] != home[q])) & (4 * np.minimum(x, y) >= 3 * np.maximum(x, y))
+        p, q = line[p[keep]], line[q[keep]]
         found = np.unique(np.concatenate([found, np.minimum(p, q) * len(names) + np.maximum(p, q)]))
     sketch, result = table["sketch"], []
     for at in range(0, len(found), CHUNK // 32):
@@ -392,29 +404,38 @@ def _compare(table: pa.Table) -> pa.Table:
 def _second(members: DataFrame, sketches: DataFrame, named: DataFrame) -> DataFrame:
     """Pairs of ids that share a bucket whose ids are not yet one component, as far as their sketches leave them open.
 
-    Sketches of a bucket are compared in blocks, so a large bucket is spread over many tasks and only pairs that may link come out.
-    The number of groups follows the counted rows, bytes and pairs, so no group grows with the input.
+    Buckets with one lowest component make a group: copies of one text or passage share many buckets, so an id travels
+    once for all of them, with its sketch, and a pair is compared and told once. The ids of a group are compared in blocks, so a large one is spread
+    over many tasks. The number of tasks' portions follows the counted rows, bytes and pairs, so none grows with the input.
     """
     placed = members.join(named, "id", "left").withColumn("component", F.coalesce("component_id", "id")).drop("component_id")
     split = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low <> high AND size > 2")
-    open_ = written(placed.join(split.select("bucket"), "bucket").select("bucket", "id", "component"), "jaccard-open")
+    inside = placed.join(split.select("bucket", "low"), "bucket").groupBy("low", "id").agg(F.min("component").alias("component"), F.collect_set("bucket").alias("buckets"))
+    open_ = written(inside, "jaccard-open")
     # Rows that share an id and a text are one.
     chosen = written(sketches.join(open_.select("id").distinct(), "id", "left_semi").distinct(), "jaccard-open-sketches")
     weights = chosen.groupBy("id").agg(F.count("*").alias("lines"), F.sum(F.octet_length("sketch") + ROW).alias("bytes"))
-    sums = open_.join(weights, "id").groupBy("bucket").agg(F.sum("lines").alias("lines"), F.sum("bytes").alias("bytes"))
+    counted = open_.select("low", "id", (F.col("component") != F.col("low")).alias("outer"), F.size("buckets").cast("long").alias("entries")).join(weights, "id")
+    sums = counted.groupBy("low").agg(
+        F.sum("lines").alias("lines"), F.sum(F.col("bytes") + 8 * F.col("entries") * F.col("lines")).alias("bytes"),
+        F.sum(F.when(F.col("outer"), F.col("entries") * F.col("lines")).otherwise(0)).alias("outer"),
+    )
     blocked = written(sums.withColumn("blocks", F.ceil(F.greatest(F.col("lines") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("long")), "jaccard-blocks")
     slots = _slots_of(blocked)
-    rows = open_.join(blocked.select("bucket", "blocks"), "bucket").join(chosen, "id").withColumn("own", F.pmod(F.xxhash64("id", "n", "sketch"), F.col("blocks")))
-    # A row meets every block of its bucket once: as the smaller or the larger number of the pair of blocks.
+    rows = open_.join(blocked.select("low", "blocks"), "low").join(chosen, "id").withColumn("own", F.pmod(F.xxhash64("id", "n", "sketch"), F.col("blocks")))
+    # A row meets every block of its group once: as the smaller or the larger number of the pair of blocks.
     paired = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    dealt = paired.select("bucket", "i", "j", "own", "id", "component", "n", "sketch").withColumn("slot", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(slots)))
-    return dealt.groupBy("slot").applyInArrow(_compare, "a long, b long").distinct()
+    dealt = paired.select("low", "i", "j", "own", "id", "component", "n", "sketch", "buckets").withColumn("slot", F.pmod(F.xxhash64("low", "i", "j"), F.lit(slots)))
+    return dealt.repartition(slots, "slot").groupBy("slot").applyInArrow(_compare, "a long, b long").distinct()
 
 
 def _slots_of(blocked: DataFrame) -> int:
-    """Groups for the blocks of open buckets, so that each holds about ``GROUP`` bytes of rows and ``PAIRS`` pairs, however much work there is."""
+    """Portions for the blocks of open groups, so that each holds about ``GROUP`` bytes of rows and ``PAIRS`` pairs, however much work there is.
+
+    An outer entry meets at most the rows of its group, and blocks share that out.
+    """
     spark = blocked.sparkSession
-    moved, pairs = blocked.agg(F.sum(F.col("bytes").cast("double") * F.col("blocks")), F.sum(F.col("lines").cast("double") * F.col("lines") / 2)).first()
+    moved, pairs = blocked.agg(F.sum(F.col("bytes").cast("double") * F.col("blocks")), F.sum(F.col("outer").cast("double") * F.col("lines"))).first()
     return max(width(spark, 0, 1) * 4, width(spark, moved or 0, GROUP), width(spark, pairs or 0, PAIRS))
 
 
@@ -460,7 +481,7 @@ def similar_groups(df: DataFrame, row: str = "doc_id", text: str = "text") -> Da
     slots = width(spark, size, GROUP)
     with staging(spark):
         packed = rows.mapInArrow(_sketch(slots), "slot int, keys binary, ids binary, runs binary, sure binary, sketches binary")
-        met = written(packed.groupBy("slot").applyInArrow(_meet, MET), "jaccard-met")
+        met = written(packed.repartition(slots, "slot").groupBy("slot").applyInArrow(_meet, MET), "jaccard-met")
         members = met.filter(F.col("kind") == MEMBER).select(F.col("a").alias("bucket"), F.col("b").alias("id"))
         # Of texts that share an id any may link: their sizes and sketches all count.
         sketches = met.filter(F.col("kind") == SIZE).select(F.col("a").alias("id"), F.col("b").alias("n"), "sketch")
@@ -477,3 +498,35 @@ def similar_groups(df: DataFrame, row: str = "doc_id", text: str = "text") -> Da
         known = sizes.join(named, "id", "left").select(F.col("id").alias(row), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
         nameless = met.filter(F.col("kind") == NAMELESS).select(F.lit(None).cast("long").alias(row), F.col("b").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
         return written(known.unionByName(nameless), "jaccard-groups", outlives=True)
+
+
+def _free(name: str, taken: list[str]) -> str:
+    """A column name that isn't taken; names are compared as Spark does, without regard to case."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+def drop_near_duplicates(df: DataFrame, row: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group of similar texts, with all columns: the one with the smallest id, nulls last.
+
+    Rows are told apart by id and text, so a text that merely shares an id with a copy stays. Of rows that repeat id and text one
+    stays, the least by its columns. Texts without words are linked with nothing and all stay. Further columns may have any names; an empty table gives an empty result.
+    Only rows that are repeated as a whole are grouped; the others are filtered where they lie, if the dropped ones are few enough to broadcast.
+    """
+    key = _free("_key", df.columns)
+    keyed = df.withColumn(key, F.xxhash64(F.col(row), F.col(text)))
+    groups = similar_groups(keyed, key, text)
+    rows = groups.filter("n_shingles > 0").groupBy(F.col(key).alias("k")).agg(F.count("*").alias("rows"), F.min("component_id").alias("component"))
+    ids = keyed.select(F.col(key).alias("id_key"), F.col(row).alias("id")).distinct()
+    named = written(rows.join(ids, F.col("k") == F.col("id_key")).select("k", "rows", "component", "id"), "jaccard-named")
+    best = named.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k")).alias("best"), F.count("*").alias("n"))
+    gone = named.join(best.filter("n > 1").select(F.col("component").alias("c"), F.col("best.k").alias("stays")), F.col("component") == F.col("c")).filter("k <> stays")
+    kept = without(keyed, gone.select(F.col("k").alias(key)), key)
+    repeated = named.filter("rows > 1").join(gone.select(F.col("k").alias("g")), F.col("k") == F.col("g"), "left_anti").select(F.col("k").alias(key))
+    if not repeated.head(1):
+        return kept.select(*df.columns)
+    repeated = written(repeated.distinct(), "jaccard-repeated")
+    ones = kept.join(repeated, key, "left_semi").groupBy(key).agg(F.min(F.struct(*df.columns)).alias("one")).select("one.*")
+    return without(kept, repeated, key).select(*df.columns).unionByName(ones)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from segtide.llm.common import add_columns
+from segtide.llm.common import add_columns, written
 
 #: Buckets of hashed words, size of the factors, labelled rows that are fitted at most.
 BUCKETS, FACTORS, SAMPLE = 2048, 8, 6000
@@ -188,3 +188,19 @@ def score(documents: DataFrame, machine: Machine, text: str = "text", keep: list
 def classify(documents: DataFrame, labels: DataFrame, threshold: float, row: str = "doc_id", text: str = "text", label: str = "quality", keep: list[str] | None = None) -> DataFrame:
     """Fit on the labels that aren't held out and add ``score`` and ``predicted`` to each document."""
     return score(documents, fit(documents, labels, row, text, label), text, keep).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+#: Rejected texts whose marks may be broadcast, 16 bytes each; beyond it Spark shuffles both sides.
+FEW = 500_000
+
+
+def without_rejected(documents: DataFrame, machine: Machine, threshold: float, text: str = "text") -> DataFrame:
+    """The rows whose text isn't scored below the threshold, with all columns, whatever they are called.
+
+    Texts alone go through the workers; what comes back are digests of the rejected ones, which are taken out of the documents where these lie.
+    """
+    mark = lambda c: F.unhex(F.md5(F.coalesce(c, F.lit("")).cast("binary")))
+    texts = documents.select(F.col(text).alias("text"), mark(F.col(text)).alias("mark"))
+    rejected = written(score(texts, machine, "text", ["mark"]).filter(F.col("score") < threshold).select("mark").distinct(), "quality-rejected")
+    few = rejected.count() <= FEW
+    return documents.join(F.broadcast(rejected) if few else rejected, mark(documents[text]) == rejected["mark"], "left_anti")

@@ -52,3 +52,33 @@ def test_each_stage_does_its_part(spark, sf, stages):
 def test_run_applies_the_stages(spark, sf, stages):
     key = lambda df: sorted((r["doc_id"], r["n_tokens"], r["ids"]) for r in df.collect())
     assert key(pipeline.run(spark, sf)) == key(stages[-1][1])
+
+
+NAMES = ("n_words", "n_removed", "kept_text", "_text", "row", "key", "_key", "mark", "score", "component_id", "n_shingles", "k", "id", "data", "copies", "size", "source_size", "ids", "n_tokens", "other_0", "none", "best", "stays")
+
+
+def test_odd_documents(spark, sf, documents):
+    """Each stage by itself: names that operators use, nulls, empty and repeated rows, an empty table."""
+    from pyspark.sql import functions as F
+
+    rows = [(1, None), (2, ""), (None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (4, "long text " * 30_000), (5, "one"), (5, "two words here")]
+    for name, stage in pipeline.STAGES:
+        for some in (rows, []):
+            docs = documents(some)
+            for c in NAMES:
+                docs = docs.withColumn(c, F.lit("x"))
+            after = stage(spark, docs, sf)
+            if name != "bpe":
+                assert after.columns == docs.columns
+                assert all(r[c] == "x" for r in after.collect() for c in NAMES)
+            else:
+                assert after.filter("n_tokens <> size(ids)").count() == 0
+            assert some or after.count() == 0
+
+
+def test_texts_that_share_an_id_stay(spark, documents, sf):
+    """Only the copy goes, not the other text of its id; repeated rows leave one; rows without an id count."""
+    copy, other, third = ("w%d " * 9 % tuple(range(k, k + 9)) for k in (0, 20, 40))
+    rows = [(3, copy), (7, copy), (7, other), (8, third), (8, third), (None, third), (None, "lone words of a text"), (9, ""), (9, ""), (None, None)]
+    found = sorted(((r["doc_id"], r["text"]) for r in pipeline.near_duplicates(spark, documents(rows), sf).collect()), key=repr)
+    assert found == sorted([(3, copy), (7, other), (8, third), (None, "lone words of a text"), (9, ""), (9, ""), (None, None)], key=repr)
