@@ -108,25 +108,33 @@ WITH split AS (
          CASE WHEN word_chars > 0 THEN 1000 * n_symbols // word_chars ELSE 0 END AS symbol_rate,
          CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END AS dup_line_rate,
          CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END AS repeat_rate,
-         CASE WHEN n_words > 0 THEN 10 * word_chars // n_words ELSE 0 END AS word_length
+         CASE WHEN n_words > 0 THEN least(10 * word_chars // n_words, 1000) ELSE 0 END AS word_length
   FROM counts
 ), rates AS (
-  UNPIVOT (SELECT lang, source, symbol_rate, dup_line_rate, repeat_rate, word_length FROM judged WHERE NOT base_failed)
-  ON symbol_rate, dup_line_rate, repeat_rate, word_length INTO NAME rate VALUE bin
+  SELECT lang, source, rate, bin FROM (
+    UNPIVOT (SELECT lang, source, symbol_rate, dup_line_rate, repeat_rate, word_length FROM judged WHERE NOT base_failed)
+    ON symbol_rate, dup_line_rate, repeat_rate, word_length INTO NAME rate VALUE bin)
+  WHERE bin > 0 OR rate IN ('symbol_rate', 'word_length')
+), groups AS (
+  SELECT 2 AS depth, lang, source, rate, bin FROM rates UNION ALL SELECT 1, lang, NULL, rate, bin FROM rates UNION ALL SELECT 0, NULL, NULL, rate, bin FROM rates
+), middle AS (
+  SELECT depth, lang, source, rate, count(*) AS n, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.75) AS q3 FROM groups GROUP BY ALL
 ), own AS (
-  SELECT lang, source, rate, count(*) AS n, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.75) AS q3 FROM rates GROUP BY ALL
+  SELECT m.depth, m.lang, m.source, m.rate, any_value(n) AS n, any_value(q1) AS q1, any_value(q3) AS q3,
+         quantile_disc(bin, 0.25) FILTER (bin > q3) AS above
+  FROM middle m JOIN groups g ON m.depth = g.depth AND m.lang IS NOT DISTINCT FROM g.lang AND m.source IS NOT DISTINCT FROM g.source AND m.rate = g.rate
+  GROUP BY m.depth, m.lang, m.source, m.rate
+), ends AS (
+  SELECT depth, lang, source, rate, n, q1, q3,
+         CASE WHEN q3 > 0 THEN q3 + if(rate = 'word_length', 6, 3) * greatest(q3 - q1, q3 // 20, 1) ELSE coalesce(above, 0) // 2 END AS high,
+         q1 - if(rate = 'word_length', 6, 3) * greatest(q3 - q1, q3 // 20, 1) AS low
+  FROM own
 ), langs AS (
-  SELECT lang, rate, count(*) AS n, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.75) AS q3 FROM rates GROUP BY ALL
-), every AS (
-  SELECT rate, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.75) AS q3 FROM rates GROUP BY ALL
-), picked AS (
-  SELECT own.lang, own.source, own.rate,
-         CASE WHEN own.n >= 50 THEN own.q1 WHEN langs.n >= 50 THEN langs.q1 ELSE every.q1 END AS q1,
-         CASE WHEN own.n >= 50 THEN own.q3 WHEN langs.n >= 50 THEN langs.q3 ELSE every.q3 END AS q3,
-         CASE own.rate WHEN 'symbol_rate' THEN 50 WHEN 'dup_line_rate' THEN 500 WHEN 'repeat_rate' THEN 200 ELSE 40 END AS slack
-  FROM own JOIN langs ON own.rate = langs.rate AND own.lang IS NOT DISTINCT FROM langs.lang JOIN every ON own.rate = every.rate
+  SELECT l.lang, l.rate, (least(l.n, 50) * l.high + (50 - least(l.n, 50)) * e.high) // 50 AS high, (least(l.n, 50) * l.low + (50 - least(l.n, 50)) * e.low) // 50 AS low
+  FROM ends l JOIN ends e ON l.rate = e.rate AND e.depth = 0 WHERE l.depth = 1
 ), fences AS (
-  SELECT lang, source, rate, q3 + greatest(3 * (q3 - q1), slack) AS high, q1 - greatest(3 * (q3 - q1), slack) AS low FROM picked
+  SELECT s.lang, s.source, s.rate, (least(s.n, 50) * s.high + (50 - least(s.n, 50)) * l.high) // 50 AS high, (least(s.n, 50) * s.low + (50 - least(s.n, 50)) * l.low) // 50 AS low
+  FROM ends s JOIN langs l ON s.rate = l.rate AND s.lang IS NOT DISTINCT FROM l.lang WHERE s.depth = 2
 ), wide AS (
   SELECT lang, source,
          max(high) FILTER (rate = 'symbol_rate') AS symbol_high, max(high) FILTER (rate = 'dup_line_rate') AS dup_high,
@@ -135,8 +143,9 @@ WITH split AS (
   FROM fences GROUP BY lang, source
 )
 SELECT j.doc_id, j.n_words, j.word_chars, j.n_symbols, j.n_dup_lines, j.n_repeat_words, j.base_failed,
-       NOT j.base_failed AND coalesce(symbol_rate <= symbol_high AND dup_line_rate <= dup_high AND repeat_rate <= repeat_high
-           AND word_length BETWEEN length_low AND length_high, true) AS kept
+       NOT j.base_failed AND symbol_rate <= coalesce(symbol_high, symbol_rate) AND dup_line_rate <= coalesce(dup_high, dup_line_rate)
+           AND repeat_rate <= coalesce(repeat_high, repeat_rate)
+           AND word_length BETWEEN coalesce(length_low, word_length) AND coalesce(length_high, word_length) AS kept
 FROM judged j LEFT JOIN wide ON j.lang IS NOT DISTINCT FROM wide.lang AND j.source IS NOT DISTINCT FROM wide.source
 """
 

@@ -10,11 +10,13 @@ from segtide.llm.common import words, written
 
 #: Symbols, and the base rules.
 SYMBOLS, MIN_WORDS, MAX_REPEATED_PERCENT, WINDOW = r"[#*$%&|<>]", 10, 20, 5
-#: Sketches sort values into whole bins, so they merge by adding counts; rates are per mille, word length in tenths.
-RATES = ("symbol_rate", "dup_line_rate", "repeat_rate", "word_length")
-#: A fence stands this many interquartile ranges from the quartile, and at least ``SLACK`` bins from it.
-SPREAD, SLACK = 3, {"symbol_rate": 50, "dup_line_rate": 500, "repeat_rate": 200, "word_length": 40}
-#: Documents that a language's source needs for thresholds of its own; else its language's hold, else those of all.
+#: Sketches sort values into whole bins, ``BINS`` and one more at most, so they merge by adding counts; rates are per mille, word length in tenths.
+RATES, BINS = ("symbol_rate", "dup_line_rate", "repeat_rate", "word_length"), 1000
+#: Rates whose sketch has all texts; repeated lines and words are judged among the texts that have any.
+OF_ALL = ("symbol_rate", "word_length")
+#: A fence stands so many interquartile ranges from the quartile; the length of words spreads widely in short texts.
+SPREAD = {"symbol_rate": 3, "dup_line_rate": 3, "repeat_rate": 3, "word_length": 6}
+#: Texts that a sketch needs for fences that are wholly its own.
 ENOUGH = 50
 
 
@@ -75,43 +77,60 @@ def _rates() -> dict[str, Column]:
         "symbol_rate": share("n_symbols", "word_chars"),
         "dup_line_rate": share("n_dup_lines", "n_lines"),
         "repeat_rate": share("n_repeat_words", "n_words"),
-        "word_length": F.expr("CASE WHEN n_words > 0 THEN (10 * word_chars) div n_words ELSE 0 END"),
+        "word_length": F.expr(f"CASE WHEN n_words > 0 THEN least((10 * word_chars) div n_words, {BINS}) ELSE 0 END"),
     }
 
 
 def sketches(counts: DataFrame, lang: str, source: str) -> DataFrame:
-    """A quantile sketch of each rate for each language and source: documents by bin. Sketches of parts merge by adding."""
+    """A quantile sketch of each rate for each language and source: texts by bin. Sketches of parts merge by adding."""
     rates = counts.select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.explode(F.array(*[F.struct(F.lit(n).alias("rate"), c.alias("bin")) for n, c in _rates().items()])).alias("r"))
-    return rates.groupBy("lang", "source", "r.rate", "r.bin").agg(F.count("*").alias("n"))
+    some = rates.filter((F.col("r.bin") > 0) | F.col("r.rate").isin(*OF_ALL))
+    return some.groupBy("lang", "source", "r.rate", "r.bin").agg(F.count("*").alias("n"))
 
 
-def quartiles(sketch: DataFrame, *by: str) -> DataFrame:
-    """Lower and upper quartile of each rate from merged sketches."""
+def own_fences(sketch: DataFrame, *by: str) -> DataFrame:
+    """For each group and rate the texts in its merged sketch, its quartiles and the fences that follow from it alone.
+
+    Fences stand ``SPREAD`` interquartile ranges beyond the quartiles; a range is one bin and a twentieth of the quartile at least, for groups of texts all alike. For a rate that three
+    quarters of the texts don't have at all, the fence stands halfway to the lower quartile of those that have it.
+    """
     merged = sketch.groupBy(*by, "rate", "bin").agg(F.sum("n").alias("n"))
     group = W.partitionBy(*by, "rate")
-    running = merged.select(*by, "rate", "bin", F.sum("n").over(group.orderBy("bin")).alias("upto"), F.sum("n").over(group).alias("total"))
-    return running.groupBy(*by, "rate").agg(
-        F.max("total").alias("total"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("total"), F.col("bin"))).alias("q1"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("total") * 3, F.col("bin"))).alias("q3"),
+    running = merged.select(*by, "rate", "bin", "n", F.sum("n").over(group.orderBy("bin")).alias("upto"), F.sum("n").over(group).alias("total"))
+
+    def first(reached: Column, value: str) -> Column:
+        return F.min(F.when(reached, F.col(value))).over(group)
+
+    lower, upper = F.col("upto") * 4 >= F.col("total"), F.col("upto") * 4 >= F.col("total") * 3
+    placed = running.withColumns({"q1": first(lower, "bin"), "q3": first(upper, "bin"), "after": first(upper, "upto")})
+    found = placed.groupBy(*by, "rate").agg(
+        *[F.max(c).alias(c) for c in ("total", "q1", "q3")],
+        F.min(F.when((F.col("bin") > F.col("q3")) & ((F.col("upto") - F.col("after")) * 4 >= F.col("total") - F.col("after")), F.col("bin"))).alias("above"),
     )
+    spread = F.create_map(*[F.lit(x) for pair in SPREAD.items() for x in pair])[F.col("rate")] * F.expr("greatest(q3 - q1, q3 div 20, 1)")
+    high = F.when(F.expr("q3 > 0"), F.col("q3") + spread).otherwise(F.expr("coalesce(above, 0) div 2"))
+    low = F.col("q1") - spread
+    return found.select(*by, "rate", "total", "q1", "q3", high.alias("high"), low.alias("low"))
+
+
+def _shrunk(own: str, wider: str) -> Column:
+    """A group's own fence if its sketch has enough texts, else between that and the wider group's, by how many it has."""
+    return F.expr(f"(least(total, {ENOUGH}) * {own} + ({ENOUGH} - least(total, {ENOUGH})) * {wider}) div {ENOUGH}")
 
 
 def fences(sketch: DataFrame) -> DataFrame:
     """The upper and lower fence of each rate for each language and source, one row each.
 
-    A source with too few documents takes the fences of its language's merged sketch, and a
-    language with too few those of all. One row for each language, source and bin at most.
+    Fences of a source with fewer than ``ENOUGH`` texts in its sketch are drawn towards those of its language, and a language's towards those of all, the more
+    so the fewer there are. One row for each language, source and bin at most.
     """
-    own, langs, every = quartiles(sketch, "lang", "source"), quartiles(sketch, "lang"), quartiles(sketch)
-    renamed = lambda q, p: q.select(*[c for c in q.columns if c == "rate"], *[F.col(c).alias(f"{p}_{c}") for c in q.columns if c != "rate"])
-    o, l_, e = own, renamed(langs, "l"), renamed(every, "e")
-    joined = o.join(l_, (o["rate"] == l_["rate"]) & o["lang"].eqNullSafe(l_["l_lang"]), "left").drop(l_["rate"]).join(e, "rate", "left")
-    pick = lambda q: F.when(F.col("total") >= ENOUGH, F.col(q)).when(F.col("l_total") >= ENOUGH, F.col(f"l_{q}")).otherwise(F.col(f"e_{q}"))
-    slack = F.create_map(*[F.lit(x) for pair in SLACK.items() for x in pair])[F.col("rate")]
-    picked = joined.select("lang", "source", "rate", pick("q1").alias("q1"), pick("q3").alias("q3"), slack.alias("slack"))
-    far = F.greatest(SPREAD * (F.col("q3") - F.col("q1")), F.col("slack"))
-    ends = picked.select("lang", "source", "rate", (F.col("q3") + far).alias("high"), (F.col("q1") - far).alias("low"))
+    renamed = lambda q, p: q.select(*[F.col(c).alias(f"{p}_{c}") for c in q.columns])
+    every = own_fences(sketch).select(F.col("rate").alias("e_rate"), F.col("high").alias("e_high"), F.col("low").alias("e_low"))
+    langs = own_fences(sketch, "lang").join(every, F.col("rate") == F.col("e_rate"))
+    langs = renamed(langs.select("lang", "rate", _shrunk("high", "e_high").alias("high"), _shrunk("low", "e_low").alias("low")), "l")
+    own = own_fences(sketch, "lang", "source")
+    joined = own.join(langs, (own["rate"] == langs["l_rate"]) & own["lang"].eqNullSafe(langs["l_lang"]))
+    ends = joined.select("lang", "source", "rate", _shrunk("high", "l_high").alias("high"), _shrunk("low", "l_low").alias("low"))
     columns = [F.max(F.when(F.col("rate") == r, F.col("high"))).alias(f"{r}_high") for r in RATES]
     columns.append(F.max(F.when(F.col("rate") == "word_length", F.col("low"))).alias("word_length_low"))
     return ends.groupBy("lang", "source").agg(*columns)
@@ -121,7 +140,7 @@ def judge_quality(df: DataFrame, text: str = "text", lang: str = "lang", source:
     """Counts of each text, whether a base rule fails, and whether it is kept.
 
     A text is kept if no base rule fails and each of its rates lies within the fences of its language and
-    source. Fences are learnt from all texts that pass the base rules. Null languages and sources
+    source. Fences are learnt from the sketches of all texts that pass the base rules, and from nothing else: no rate has a cutoff of its own. Null languages and sources
     are groups like others; null and empty texts have no words and fail; repeated rows are judged alike; an empty
     table gives an empty result. Columns in ``keep`` are carried along.
 

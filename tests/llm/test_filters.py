@@ -82,6 +82,52 @@ def test_fences_follow_language_and_source(spark, documents, monkeypatch):
     assert found[202] == (True, False) and found[203] == (False, True) and found[204] == (True, False)
 
 
+def with_lines(name, lines, again):
+    """Lines of one word, some of them twice, never five in a row."""
+    own = [f"{name}x{k}" for k in range(lines - again)]
+    return "\n".join(own + own[::-1][:again])
+
+
+def with_repeats(name, words, again):
+    """Words of which a stretch comes twice."""
+    own = [f"{name}x{k}" for k in range(words - again)]
+    return " ".join(own + own[:again])
+
+
+def test_each_rate_rejects_by_its_source_alone(spark, documents):
+    """One text passes in a source where its like is usual, and fails in one where it isn't, at production parameters."""
+    texts = {
+        "lines": (lambda i: with_lines(f"a{i}", 50, 1 + i % 2), lambda i: with_lines(f"a{i}", 50, 10 + i % 11), with_lines("probe", 50, 20)),
+        "repeats": (lambda i: with_repeats(f"a{i}", 1000, 5 + i % 5), lambda i: with_repeats(f"a{i}", 200, 10 + i % 9), with_repeats("probe", 200, 18)),
+        "lengths": (lambda i: " ".join(f"w{(i * 13 + k) % 97:02d}z" for k in range(14)), lambda i: " ".join(f"longword{(i * 13 + k) % 97:02d}" for k in range(14)), " ".join(f"longword{k}" for k in range(10, 24))),
+        "symbols": (lambda i: f"plain text number {i} without any of the signs that code has", lambda i: f"x{i} # a | b % c & d < e > f * g $ h", "y # a | b % c & d < e > f * g $ h"),
+    }
+    rows = []
+    for lang, (low, high, probe) in texts.items():
+        rows += [(len(rows) + i, low(i), lang, "low") for i in range(400)]
+        rows += [(len(rows) + i, high(i), lang, "high") for i in range(400)]
+        rows += [(f"{lang} {s}", probe, lang, s) for s in ("low", "high")]
+    names = {f"{lang} {s}": 10_000 + k for k, (lang, s) in enumerate((x, s) for x in texts for s in ("low", "high"))}
+    df = documents([(names.get(i, i), *rest) for i, *rest in rows])
+    found = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in quality_rules.judge_quality(df, keep=["doc_id"]).collect()}
+    assert {n: found[i] for n, i in names.items()} == {n: (False, n.endswith("high")) for n in names}
+
+
+def test_own_fences_by_hand(spark):
+    """Quartiles and fences of merged sketches against sorted values."""
+    rng = random.Random(6)
+    groups = {"one": [7], "same": [5] * 9, "zeros": [0] * 90 + [40, 60, 80, 200], "wide": [rng.randrange(300) for _ in range(77)], "low": [1, 2] + [50] * 30}
+    sketch = spark.createDataFrame([(g, "word_length", v, 1) for g, values in groups.items() for v in values], "lang string, rate string, bin long, n long")
+    found = {r["lang"]: r for r in quality_rules.own_fences(sketch, "lang").collect()}
+    for g, values in groups.items():
+        disc = lambda v, p: sorted(v)[-(-len(v) * p // 4) - 1] if v else None
+        q1, q3 = disc(values, 1), disc(values, 3)
+        above = disc([v for v in values if v > q3], 1) or 0
+        high = q3 + 6 * max(q3 - q1, q3 // 20, 1) if q3 else above // 2
+        low = q1 - 6 * max(q3 - q1, q3 // 20, 1)
+        assert tuple(found[g][c] for c in ("total", "q1", "q3", "high", "low")) == (len(values), q1, q3, high, low)
+
+
 def test_rules_on_odd_tables(spark, clashing):
     assert quality_rules.judge_quality(clashing([]), keep=["doc_id"]).collect() == []
     got = quality_rules.judge_quality(clashing([(None, "a " * 200_000), (1, None)]), keep=["doc_id", "size", "rank", "kind"]).collect()
