@@ -12,11 +12,15 @@ from pyspark.sql import functions as F
 
 #: Separates host and path in the canonical URL; neither side of a rule may hold it.
 CUT = "\x00"
+CUT_BYTE = 0
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A verdict for a host with its subdomains and a path prefix; written ``example.com/en/``."""
+    """A verdict for a host with its subdomains and a path prefix; written ``example.com/en/``.
+
+    A ``*`` in it stands for any characters, a ``?`` for one: ``*.example.com/*/print?/``. Neither reaches from the host into the path.
+    """
 
     text: str
     verdict: str
@@ -36,27 +40,56 @@ class Rule:
 
 
 class ShiftAnd:
-    """Globs packed into one row of 64-bit words, a bit for each literal character.
+    """Globs packed into one row of 64-bit words, a bit for each character that isn't a ``*``.
 
-    A leading ``*`` lets the pattern start anywhere; the end is always open, so a
+    A bit says that the pattern fits up to its character. A ``*`` keeps the bit before it
+    set whatever follows, except that it never reaches from the host into the path; a leading one lets the
+    pattern start anywhere. A ``?`` accepts any character: its bit takes every first byte and
+    stays over the bytes that continue the character. The end is always open, so a
     pattern fits once its last bit is set. Bits of one pattern are adjacent and may
     cross a word's edge: the shift carries the top bit into the next word.
     """
 
     def __init__(self, globs: Iterable[str]):
-        globs = list(globs)
-        literals = [g.lstrip("*").encode() for g in globs]
-        starts = np.cumsum([0, *map(len, literals)])
+        parsed = [self._parsed(g) for g in globs]
+        starts = np.cumsum([0, *(len(steps) for _, steps in parsed)])
         n_words = int(starts[-1]) // 64 + 1
         self.first = np.zeros(n_words, np.uint64)
         self.anywhere = np.zeros(n_words, np.uint64)
         self.accepts = np.zeros((256, n_words), np.uint64)
+        self.stays = np.zeros((256, n_words), np.uint64)
+        self.begins = np.zeros(n_words, np.uint64)
         self.last = []
-        for glob, literal, start in zip(globs, literals, starts[:-1], strict=True):
-            self._set(self.anywhere if glob.startswith("*") else self.first, start)
-            for k, byte in enumerate(literal):
-                self._set(self.accepts[byte], start + k)
-            self.last.append(int(start) + len(literal) - 1)
+        for (open_, steps), start in zip(parsed, starts[:-1].tolist(), strict=True):
+            self._set(self.anywhere if open_ else self.first, start)
+            self._set(self.begins, start)
+            for k, (byte, star, host) in enumerate(steps):
+                for b in [byte] if byte is not None else [x for x in range(0xF8) if not 0x80 <= x < 0xC0 and x != CUT_BYTE]:
+                    self._set(self.accepts[b], start + k)
+                for b in range(256):
+                    if star and not (host and b == CUT_BYTE) or byte is None and 0x80 <= b < 0xC0:
+                        self._set(self.stays[b], start + k)
+            self.last.append(start + len(steps) - 1)
+        self.looped = bool(self.stays.any())
+
+    @staticmethod
+    def _parsed(glob: str) -> tuple[bool, list[tuple[int | None, bool, bool]]]:
+        """Whether the glob may start anywhere, and for each character its byte (None: any character), whether a star follows, and whether it is part of the host."""
+        bare = glob.lstrip("*")
+        if not bare:
+            raise ValueError("a glob needs a character besides stars")
+        steps: list[tuple[int | None, bool, bool]] = []
+        host = True
+        for char in bare:
+            if char == "*":
+                byte, _, inside = steps[-1]
+                steps[-1] = byte, True, inside
+            elif char == "?":
+                steps.append((None, False, host))
+            else:
+                host = host and char != CUT
+                steps += [(b, False, host) for b in char.encode()]
+        return bare != glob, steps
 
     @staticmethod
     def _set(masks: np.ndarray, bit: int) -> None:
@@ -86,8 +119,10 @@ class ShiftAnd:
         for k in range(longest):
             moved = state << np.uint64(1)
             moved[:, 1:] |= state[:, :-1] >> np.uint64(63)
+            moved &= ~self.begins  # the end of one pattern is no start of the next
             moved |= self.anywhere | self.first if k == 0 else self.anywhere
-            state = moved & self.accepts[chars[:, k]]
+            moved &= self.accepts[chars[:, k]]
+            state = moved | state & self.stays[chars[:, k]] if self.looped else moved
             seen |= state
         bits = np.array(self.last, np.int64)
         return (seen[:, bits // 64] >> (bits % 64).astype(np.uint64) & np.uint64(1)).astype(bool)
@@ -113,8 +148,10 @@ def judge_urls(df: DataFrame, rules: list[Rule], default: str = "allow", url: st
     The automaton is a few kilobytes; nothing is shuffled.
     """
     keep = [] if keep is None else keep
-    if any(CUT in r.text or "*" in r.text for r in rules):
-        raise ValueError("a rule holds a character that it may not hold")
+    if any(CUT in r.text or not r.host.strip("*") for r in rules):
+        raise ValueError("a rule holds a character that it may not hold, or no host")
+    if {c.lower() for c in keep} & {"host", "path", "rule", "verdict"}:
+        raise ValueError("a kept column has the name of a result")
     ranked = sorted(range(len(rules)), key=lambda i: (-len(rules[i].text), -len(rules[i].host), i))
     ordered = [rules[i] for i in ranked]
     automaton = ShiftAnd(g for r in ordered for g in r.globs)

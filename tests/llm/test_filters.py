@@ -47,6 +47,46 @@ def test_many_rules_cross_word_edges():
             assert hit == (literal in text if glob[0] == "*" else text.startswith(literal))
 
 
+def test_globs_against_fnmatch():
+    """Stars and question marks anywhere, in characters of one to four bytes; the end is open."""
+    from fnmatch import fnmatchcase
+
+    rng = random.Random(9)
+    piece = lambda: "".join(rng.choices(["a", "b", "\u00e9", "\u65e5", "\U0001f600", "*", "?"], weights=[6, 6, 2, 1, 1, 3, 2], k=rng.randint(1, 6)))
+    globs = [g for g in (piece() for _ in range(200)) if g.strip("*")]
+    texts = ["".join(rng.choices("ab\u00e9\u65e5\U0001f600", k=rng.randint(0, 9))) for _ in range(400)] + ["", "a" * 300 + "b"]
+    hits = url_filter.ShiftAnd(globs).match([t.encode() for t in texts])
+    for row, text in zip(hits, texts, strict=True):
+        for hit, glob in zip(row, globs, strict=True):
+            assert hit == fnmatchcase(text, glob + "*"), (text, glob)
+
+
+def test_rules_with_wildcards(spark):
+    rules = [Rule("*.example.com/*/print?/", "block"), Rule("ex*.net/a?c", "block"), Rule("example.com/", "allow")]
+    urls = {
+        1: ("http://x.example.com/en/de/print1/", "*.example.com/*/print?/"),
+        2: ("http://x.example.com/en/print/", "example.com/"),
+        3: ("http://example.com/en/print1/", "example.com/"),
+        4: ("http://exa.b.net/a\u00e9cd", "ex*.net/a?c"),
+        5: ("http://ex.org/x.net/abc", None),
+        6: ("http://sub.ex.net/abc", "ex*.net/a?c"),
+        7: ("http://ex.net/a/c", "ex*.net/a?c"),
+    }
+    found = judged(spark, [(i, u, "x", "y") for i, (u, _) in urls.items()], rules)
+    assert {i: f[2] for i, f in found.items()} == {i: r for i, (_, r) in urls.items()}
+
+
+def test_what_url_rules_refuse(spark):
+    import pytest
+
+    df = spark.createDataFrame([(1, "u")], "rule int, url string")
+    for bad in (Rule("*/x", "block"), Rule("a.com/\x00", "block")):
+        with pytest.raises(ValueError, match="may not hold"):
+            url_filter.judge_urls(df, [bad])
+    with pytest.raises(ValueError, match="name of a result"):
+        url_filter.judge_urls(df, [], keep=["rule"])
+
+
 def counts(spark, documents, texts):
     df = documents([(i, t) for i, t in enumerate(texts)])
     return {r["doc_id"]: tuple(r)[1:] for r in quality_rules.base_counts(df, keep=["doc_id"]).collect()}
