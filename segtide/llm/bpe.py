@@ -17,6 +17,7 @@ from segtide.llm.common import add_columns
 
 #: How the byte-level vocabulary splits text into words.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+SPLITTER = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 #: Distinct text pieces whose ids a task remembers, and bytes of the words merged together.
 REMEMBERED, TOGETHER = 500_000, 2_000_000
 #: White space that touches other white space; what lies between single spaces that don't.
@@ -36,6 +37,8 @@ class Vocabulary:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        if spec.get("normalizer") is not None or spec.get("pre_tokenizer") != SPLITTER or spec["model"].get("end_of_word_suffix") or spec["model"].get("byte_fallback"):
+            raise ValueError(f"{path} is not a byte-level vocabulary that splits text by the pattern here")
         ids: dict[str, int] = spec["model"]["vocab"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         characters = byte_characters()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import json
 from collections.abc import Iterator
 from itertools import chain
 from unicodedata import category
@@ -27,9 +28,27 @@ MARGIN = 32
 #: Marks that close a word; after an ASCII letter they start a word of their own.
 MARKS = b".,;:!?%$#&*"
 
+#: The normalisation and splitting that the cuts below are proven for, as a tokenizer file states them.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
 _loaded: dict[str, object] = {}
 
 
+def check_file(path: str) -> None:
+    """Refuse a tokenizer file for which cuts at white space and behind letters aren't proven."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    if spec.get("normalizer") != NORMALIZER or spec.get("pre_tokenizer") != SPLITTER or any(len(t["content"]) >= MARGIN or " " in t["content"] for t in spec.get("added_tokens") or ()):
+        raise ValueError(f"{path} normalises or splits text in another way than texts are cut here")
+
+
 def _tokenizer(path: str):
     """The tokenizer of a file, once for each Python worker, without truncation or padding."""
     if path not in _loaded:
@@ -202,8 +221,9 @@ def token_counts(df: DataFrame, path: str, text: str = "text", keep: list[str] |
     Texts up to a chunk are counted in place, without a shuffle. Longer ones are cut
     into overlapping chunks that any executor can encode, and spliced; equal texts share
     the work. Null and empty texts have no tokens, repeated rows each their count; an
-    empty table gives an empty result. Columns in ``keep`` are carried along.
+    empty table gives an empty result. Columns in ``keep`` are carried along. A file that cuts of texts aren't proven for is refused.
     """
+    check_file(path)
     keep = [] if keep is None else keep
     rows = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text), F.lit("")).alias("text"))
     names = rows.columns[:-1]

@@ -113,3 +113,10 @@ def test_registered_ids(spark, sf, library):
     sha = lambda b: hashlib.sha256(b).hexdigest()
     expected = {i: (len(x), sha(b"".join(k.to_bytes(4, "little") for k in x)), sha(t.encode())) for (i, t), x in zip(texts.items(), library(BYTE, list(texts.values())), strict=True)}
     assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe_query(spark, sf).collect()} == expected
+
+
+def test_other_files_are_refused(documents):
+    with pytest.raises(ValueError, match="cut here"):
+        token_counts.token_counts(documents([]), BYTE)
+    with pytest.raises(ValueError, match="pattern here"):
+        bpe.Vocabulary(WORD)
