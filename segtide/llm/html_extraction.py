@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import sys
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
@@ -21,8 +23,8 @@ from segtide.llm.url_filter import host_of
 REFERENCES = 3
 #: A text is template if it stands in the same slot on this share of the aligned pages, of which there must be a few.
 CONSTANT, VOTERS = 0.8, 8
-#: Open elements beyond which further ones dissolve in the text, as browsers do.
-DEPTH = 400
+#: Bytes of alignment sizes that a table holds at once; rows beyond it are made again when they are needed.
+TABLE = 32_000_000
 #: Pairs of children up to which an alignment's table is made without arrays.
 FEW = 600
 #: Paths and slots that a task holds before it sums them.
@@ -63,7 +65,7 @@ _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 class Node:
     """An element with inner blocks, or a run of neighbours of one kind that hold only text, one text each."""
 
-    __slots__ = ("label", "children", "texts", "aside", "main", "shape", "size")
+    __slots__ = ("label", "children", "texts", "aside", "main", "shape", "size", "depth")
 
     def __init__(self, label: str, aside: bool, main: bool):
         self.label, self.aside, self.main = label, aside, main
@@ -72,10 +74,11 @@ class Node:
         self.close()
 
     def close(self) -> None:
-        """Set the shape, a digest of the labels of the node and all below it, and their number."""
+        """Set the shape, a digest of the labels of the node and all below it, their number and how deep they go."""
         label = self.label.encode()
         self.shape = blake2b(b"%d %b" % (len(label), label) + b"".join([c.shape for c in self.children]), digest_size=16).digest()
         self.size = 1 + sum([c.size for c in self.children])
+        self.depth = 1 + max([c.depth for c in self.children], default=0)
 
 
 def _traits(tag: str, attributes: str) -> tuple[str, bool]:
@@ -88,13 +91,15 @@ def _traits(tag: str, attributes: str) -> tuple[str, bool]:
             parts = [p for p in re.split(r"[^a-z]+", name) if p]
             if parts and not _NEGATED & set(parts[:-1]) and (parts[0] in NAMED_ASIDE or parts[-1] in NAMED_ASIDE):
                 aside = True
-    return f"{tag}.{names[0]}" if names else tag, aside
+    # Digits number pages and posts, so they don't tell elements apart.
+    return f"{tag}.{_DIGITS.sub('', names[0])}" if names else tag, aside
 
 
 def parse(html: str) -> Node:
     """The tree of blocks. Inline markup dissolves in the text; missing and stray end tags are forgiven."""
     root = Node("", False, False)
     stack: list[tuple[str, Node, list[str]]] = [("", root, [])]
+    open_tags: Counter[str] = Counter()
 
     def flush() -> None:
         _, node, pieces = stack[-1]
@@ -110,7 +115,8 @@ def parse(html: str) -> Node:
 
     def close() -> None:
         flush()
-        _, node, _ = stack.pop()
+        tag, node, _ = stack.pop()
+        open_tags[tag] -= 1
         parent = stack[-1][1]
         if len(node.children) == 1 and node.children[0].label == "#text":
             node.texts, node.children = node.children[0].texts, []
@@ -123,6 +129,8 @@ def parse(html: str) -> Node:
             parent.children.append(node)
 
     def close_to(names: tuple[str, ...], stops: tuple[str, ...]) -> None:
+        if not any(open_tags[n] > 0 for n in names):
+            return
         for depth in range(len(stack) - 1, 0, -1):
             if stack[depth][0] in names:
                 while len(stack) > depth:
@@ -145,7 +153,7 @@ def parse(html: str) -> Node:
         if token[1] or token[4]:
             if tag == "br":
                 flush()
-            elif any(open_ == tag for open_, *_ in stack):
+            else:
                 close_to((tag,), ())
             continue
         attributes = token[3] if token[2] else token[6]
@@ -168,12 +176,11 @@ def parse(html: str) -> Node:
         if tag in SIBLINGS and tag != "p":
             close_to(SIBLINGS[tag], STOPS[tag])
         flush()
-        if len(stack) > DEPTH:
-            continue
         parent = stack[-1][1]
         main = parent.main or (tag in ("article", "main") and not aside)
         # A header inside the article belongs to it; the article itself may stand inside a careless aside.
         inner = parent.aside and not (main and not parent.main) or aside and not (tag == "header" and parent.main)
+        open_tags[tag] += 1
         stack.append((tag, Node(label, inner, main), []))
     while len(stack) > 1:
         close()
@@ -182,12 +189,34 @@ def parse(html: str) -> Node:
     return root
 
 
-def _table(rows: list[Node], columns: list[Node], known: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Alignment sizes of the distinct shapes of both sides, and the shape of each row and column as an index into them."""
-    mine, other = {n.shape: n for n in rows}, {n.shape: n for n in columns}
-    sizes = np.array([[_size(r, c, known) for c in other.values()] for r in mine.values()], np.int32)
-    at, of = {s: k for k, s in enumerate(mine)}, {s: k for k, s in enumerate(other)}
-    return sizes, np.array([at[n.shape] for n in rows]), np.array([of[n.shape] for n in columns])
+class Table:
+    """Alignment sizes of the distinct shapes of both sides, a row at a time; as many rows are held as ``TABLE`` allows."""
+
+    def __init__(self, rows: list[Node], columns: list[Node], known: dict):
+        self.known = known
+        mine, other = {n.shape: n for n in rows}, {n.shape: n for n in columns}
+        self.rows, self.columns = list(mine.values()), list(other.values())
+        #: Only nodes of one label match at all.
+        self.labelled: dict[str, list[int]] = {}
+        for k, n in enumerate(self.columns):
+            self.labelled.setdefault(n.label, []).append(k)
+        at, of = {s: k for k, s in enumerate(mine)}, {s: k for k, s in enumerate(other)}
+        self.at, self.of = [at[n.shape] for n in rows], np.array([of[n.shape] for n in columns])
+        self.held: dict[int, np.ndarray] = {}
+        self.most = max(TABLE // (4 * len(columns)), 1)
+
+    def sizes(self, k: int) -> np.ndarray:
+        """The sizes of a row's shape with each column."""
+        found = self.held.get(k)
+        if found is None:
+            own = np.zeros(len(self.columns), np.int32)
+            row = self.rows[k]
+            for j in self.labelled.get(row.label, ()):
+                own[j] = _size(row, self.columns[j], self.known)
+            found = own[self.of]
+            if len(self.held) < self.most:
+                self.held[k] = found
+        return found
 
 
 def _next(row: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -226,15 +255,23 @@ def _size(page: Node, reference: Node, known: dict) -> int:
                     before = above
             total += best[-1]
         else:
-            sizes, at, of = _table(rows, columns, known)
+            table = Table(rows, columns, known)
             row = np.zeros(len(columns) + 1, np.int32)
-            for i in at:
-                row = _next(row, sizes[i][of])
+            for i in table.at:
+                row = _next(row, table.sizes(i))
             total += int(row[-1])
         known[key] = total
     return known[key]
 
 
+def aligned_size(page: Node, reference: Node, known: dict) -> int:
+    """The size of the alignment of two whole pages of any depth; the interpreter's limit on nested calls follows the pages."""
+    deep = 2 * min(page.depth, reference.depth) + 2_000
+    if sys.getrecursionlimit() < deep:
+        sys.setrecursionlimit(deep)
+    return _size(page, reference, known)
+
+
 def _share(a: Node, b: Node) -> bool:
     """Whether nodes of one shape have a text in common at the same place."""
     return any(not set(x.texts).isdisjoint(y.texts) for x, y in zip(_nodes(a), _nodes(b), strict=True) if x.texts)
@@ -252,20 +289,20 @@ def _matched(rows: list[Node], columns: list[Node], known: dict) -> list[tuple[N
     if not rows or not columns:
         return pairs
     # Every so many rows of the table are held; those between are made again when the way back comes to them.
-    sizes, at, of = _table(rows, columns, known)
+    table = Table(rows, columns, known)
     step = int(len(rows) ** 0.5) + 1
     row, held = np.zeros(len(columns) + 1, np.int32), []
-    for i, k in enumerate(at):
+    for i, k in enumerate(table.at):
         if i % step == 0:
             held.append(row)
-        row = _next(row, sizes[k][of])
+        row = _next(row, table.sizes(k))
     i, j, first, best = len(rows), len(columns), len(rows) + 1, []
     while i and j:
         if i - 1 < first:
             first = (i - 1) // step * step
             best = [held[first // step]]
-            for k in at[first : first + step]:
-                best.append(_next(best[-1], sizes[k][of]))
+            for k in table.at[first : first + step]:
+                best.append(_next(best[-1], table.sizes(k)))
         if best[i - first][j] == best[i - 1 - first][j]:
             i -= 1
         elif best[i - first][j] == best[i - first][j - 1]:
@@ -279,7 +316,7 @@ def _matched(rows: list[Node], columns: list[Node], known: dict) -> list[tuple[N
 def align(page: Node, reference: Node, known: dict | None = None) -> tuple[int, list[tuple[Node, Node]]]:
     """Simple tree matching: the largest order-preserving set of node pairs with equal labels and paired parents, and its size."""
     known = {} if known is None else known
-    size = _size(page, reference, known)
+    size = aligned_size(page, reference, known)
     if not size:
         return 0, []
     found, open_ = [], [(page, reference)]
@@ -292,28 +329,26 @@ def align(page: Node, reference: Node, known: dict | None = None) -> tuple[int,
 
 
 def _nodes(node: Node) -> Iterator[Node]:
-    yield node
-    for child in node.children:
-        yield from _nodes(child)
-
-
-def _bounded(node: Node) -> Node:
-    """The tree that is aligned: the whole page. Its only bound is the parser's, beyond which open elements dissolve."""
-    return node
+    """The node and all below it, in page order."""
+    open_ = [node]
+    while open_:
+        found = open_.pop()
+        yield found
+        open_ += reversed(found.children)
 
 
 class Wrapper:
     """The reference pages of a host; what they share with other pages becomes template."""
 
     def __init__(self, pages: list[str]):
-        self.references = [_bounded(parse(p)) for p in pages]
+        self.references = [parse(p) for p in pages]
         self.number = [{id(n): k for k, n in enumerate(_nodes(r))} for r in self.references]
         self.whole = ["\n".join(t for n in _nodes(r) for t in n.texts) for r in self.references]
 
     def best(self, page: Node) -> tuple[int, list[tuple[Node, Node]]]:
         """The reference that matches a page best, and the matched nodes."""
         known: dict = {}
-        found = [_size(page, r, known) for r in self.references]
+        found = [aligned_size(page, r, known) for r in self.references]
         k = max(range(len(found)), key=lambda k: (2 * found[k] / (1 + len(self.number[k])), -k), default=-1)
         return k, align(page, self.references[k], known)[1] if k >= 0 else []
 
@@ -340,20 +375,14 @@ class Wrapper:
         return found
 
 
-def main_text(whole: Node, bounded: Node, template: dict[int, set[str]]) -> str:
+def main_text(page: Node, template: dict[int, set[str]]) -> str:
     """The varying texts of the article, or of the whole page if it marks no article, in page order."""
-    marked = any(n.main and not n.aside and (n.texts or n.children) for n in _nodes(whole))
+    marked = any(n.main and not n.aside and (n.texts or n.children) for n in _nodes(page))
     found: list[str] = []
-
-    def walk(node: Node, twin: Node | None) -> None:
+    for node in _nodes(page):
         if not node.aside and (node.main or not marked):
-            fixed = template.get(id(twin), ()) if twin else ()
+            fixed = template.get(id(node), ())
             found.extend(t for t in node.texts if t not in fixed)
-        twins = twin.children if twin else []
-        for k, child in enumerate(node.children):
-            walk(child, twins[k] if k < len(twins) else None)
-
-    walk(whole, bounded)
     return " ".join(found)
 
 
@@ -404,7 +433,7 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed: dict[tuple, bytes] = {}
         for host, html, pages in zip(*(batch.column(c) for c in ("host", "html", "pages")), strict=True):
             host, html = host.as_py(), html.as_py()
-            page = _bounded(parse(html))
+            page = parse(html)
             for k, node, j, same in wrapper(host, pages.as_py() or []).votes(page):
                 held = sums.setdefault((host, k, node, j), [0, 0])
                 held[0] += 1
@@ -453,23 +482,22 @@ def _extract(n_keep: int):
             texts = []
             for host, html, pages, constant, slots in zip(*(batch.column(c) for c in ("host", "html", "pages", "constant", "slots")), strict=True):
                 host, html = host.as_py(), html.as_py()
-                whole = parse(html)
-                bounded = _bounded(whole)
+                page = parse(html)
                 if host not in known:
                     if len(known) > 2_000:
                         known.clear()
                     known[host] = {(c["k"], c["node"], c["j"]) for c in constant.as_py() or ()}, set(slots.as_py() or ())
                 fixed, often = known[host]
-                template = wrapper(host, pages.as_py() or []).template(bounded, fixed) if fixed else {}
+                template = wrapper(host, pages.as_py() or []).template(page, fixed) if fixed else {}
                 if often:
-                    layout, found = _places(bounded, host, html)
+                    layout, found = _places(page, host, html)
                     for node, path, hashes in found:
                         sides = _slots(np.array([path], np.uint64), np.array(hashes, np.uint64), np.array([layout], np.uint64))
                         of_host, of_layout = (slot.view(np.int64).tolist() for _, slot in sides)
                         constants = {t for t, x, y in zip(node.texts, of_host, of_layout, strict=True) if x in often or y in often}
                         if constants:
                             template[id(node)] = template.get(id(node), set()) | constants
-                texts.append(main_text(whole, bounded, template))
+                texts.append(main_text(page, template))
             yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*batch.schema.names[:n_keep], "text", "n_chars"])
 
     return run

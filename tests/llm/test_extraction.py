@@ -13,8 +13,7 @@ def extract(spark, rows, **kwargs):
 
 
 def plain(html):
-    tree = h.parse(html)
-    return h.main_text(tree, h._bounded(tree), {})
+    return h.main_text(h.parse(html), {})
 
 
 @pytest.mark.parametrize(
@@ -127,3 +126,45 @@ def test_registered_pages(spark, sf):
 def test_very_long_and_deep_pages():
     assert plain("<div>" * 300 + "x" + "</div>" * 300) == "x"
     assert plain("<p>a" * 50_000) == " ".join(["a"] * 50_000)
+
+
+@pytest.mark.parametrize("depth", [450, 5_000, 40_000])
+def test_text_and_menus_at_any_depth(depth):
+    """What stands behind and inside very deep markup is read, and a menu there is known for one."""
+    inside = "<div>" * depth + "deep<nav>MENU</nav>" + "</div>" * depth
+    assert plain(f"<div id=page><article><p>START</p>{inside}<p>MORE</p></article></div>out") == "START deep MORE"
+    assert plain("<div>" * depth + "<nav>MENU<div>x</div></nav>text") == "text"
+
+
+def test_deep_pages_are_aligned():
+    page = lambda text, depth: h.parse("<div><p>same</p>" * depth + f"<p>{text}</p>" + "</div>" * depth)
+    a, b = page("one", 6_000), page("two", 6_100)
+    size, pairs = h.align(a, b)
+    assert size == len(pairs) > 12_000
+    assert h.Wrapper(["<div>" * 6_000 + "<p>site</p><p>a</p>"]).template(h.parse("<div>" * 6_000 + "<p>site</p><p>b</p>"), set()) == {}
+
+
+def test_many_numbered_siblings():
+    """Numbers in names don't make elements differ, and a table of many shapes is made row by row."""
+    import time
+    import tracemalloc
+
+    page = lambda k: h.parse("<body>" + "".join(f"<div class='post-{k + i}'><h2>t{k + i}</h2><p>x</p></div>" for i in range(20_000)) + "</body>")
+    a, b = page(0), page(70_000)
+    began = time.time()
+    tracemalloc.start()
+    size, pairs = h.align(a, b)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert size == len(pairs) == a.size
+    assert time.time() - began < 30 and most < 200_000_000
+
+
+def test_tables_beyond_what_is_held(monkeypatch):
+    random.seed(8)
+    some = lambda: h.parse("<body>" + "".join(f"<div>{'<p>a</p><h2>b</h2>' * random.randint(0, 30)}{'<ul><li>c</li><p>d</p></ul>' * random.randint(0, 9)}</div>" for _ in range(60)))
+    a, b = some(), some()
+    whole = h.align(a, b)
+    monkeypatch.setattr(h, "TABLE", 1)
+    again = h.align(a, b)
+    assert whole[0] == again[0] == len(again[1])
