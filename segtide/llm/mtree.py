@@ -19,6 +19,8 @@ from segtide.llm.common import written
 TREE, LEAF, FAN, PIVOTS = 8192, 512, 16, 1024
 #: Centres that are held against a pack of queries at once.
 CENTRES = 4096
+#: Packs of queries that go to one tree together; a tree gets about a pack from each other tree that it isn't pruned for.
+TOGETHER = 64
 #: Sums of products below this are exact in floating point.
 EXACT = 2.0**53
 
@@ -185,6 +187,45 @@ def _route(pivots: dict[int, np.ndarray]):
     return run
 
 
+def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The nearest of its region's pivots for each vector."""
+    for batch in batches:
+        rows, packs = batch.column("vector").to_pylist(), batch.column("pivots").to_pylist()
+        child = np.zeros(len(rows), np.int64)
+        groups: dict[bytes, list[int]] = {}
+        for k, pack in enumerate(packs):
+            groups.setdefault(pack, []).append(k)
+        for pack, at in groups.items():
+            x = np.stack([np.frombuffer(rows[k], np.int64) for k in at]).astype(np.float64)
+            p = np.frombuffer(pack, np.int64).reshape(-1, x.shape[1]).astype(np.float64)
+            child[at] = ((p**2).sum(axis=1) - 2 * x @ p.T).argmin(axis=1)
+        yield pa.RecordBatch.from_arrays([*batch.select(["id", "region", "above", "vector"]).columns, pa.array(child)], ["id", "region", "above", "vector", "child"])
+
+
+def fitted(routed: DataFrame) -> DataFrame:
+    """Vectors with the tree that each belongs to: ``id``, ``vector``, ``tree``, from regions of any size.
+
+    A region with more vectors than a tree holds is divided among up to ``FAN`` of its own vectors, each going to the nearest, and so are its parts, so trees stay close together
+    in space however many vectors there are. A region that hardly divides, as one of copies does, is dealt by hash. Rounds grow with the logarithm of the largest region.
+    """
+    settled, rows = None, routed.withColumn("above", F.lit(2**59))
+    while True:
+        sizes = written(rows.groupBy("region").agg(F.count("*").alias("n"), F.max("above").alias("above")), "mtree-sizes")
+        large, stuck = F.col("n") > TREE, F.expr("10 * n > 9 * above")
+        parts = F.when(large, F.ceil(F.col("n") / TREE)).otherwise(1).cast("long")
+        named = rows.drop("above").join(sizes, "region")
+        ready = named.filter(~large | stuck).select("id", "vector", F.xxhash64("region", F.pmod(F.xxhash64("id"), parts)).alias("tree"))
+        settled = ready if settled is None else settled.unionByName(ready)
+        if sizes.filter(large & ~stuck).isEmpty():
+            return settled
+        open_ = named.filter(large & ~stuck)
+        drawn = W.partitionBy("region").orderBy(F.xxhash64("vector", F.lit(1)), "vector")
+        some = open_.select("region", "vector", "n").distinct().withColumn("k", F.row_number().over(drawn)).filter(F.col("k") <= FAN).filter(F.col("k") <= 2 * F.ceil(F.col("n") / TREE))
+        packs = some.groupBy("region").agg(F.array_sort(F.collect_list("vector")).alias("v")).select("region", F.aggregate("v", F.lit(b""), lambda a, v: F.concat(a, v)).alias("pivots"))
+        dealt = open_.select("id", "region", F.col("n").alias("above"), "vector").join(packs, "region").mapInArrow(_nearest, "id long, region long, above long, vector binary, child long")
+        rows = written(dealt.select("id", F.xxhash64("region", "child", F.lit(2)).alias("region"), "vector", "above"), "mtree-routed")
+
+
 TREES = "tree long, dim int, centre binary, radius double, length double, pages binary, queries binary, own binary, least binary, found binary"
 
 
@@ -246,10 +287,12 @@ def _search(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, tree = None, None
         for batch in batches:
-            for name, dim, queries, own, least, pages in zip(*(batch.column(c) for c in ("tree", "dim", "queries", "own", "least", "pages")), strict=True):
+            for name, dim, packs, pages in zip(*(batch.column(c) for c in ("tree", "dim", "packs", "pages")), strict=True):
                 if name != last:
                     last, tree = name, pickle.loads(pages.as_py())
-                ids, vectors, floor = np.frombuffer(queries.as_py(), np.int64), np.frombuffer(own.as_py(), np.int64).reshape(-1, dim.as_py()), np.frombuffer(least.as_py(), np.float64)
+                asked = packs.as_py()
+                ids, floor = (np.concatenate([np.frombuffer(p[c], kind) for p in asked]) for c, kind in (("queries", np.int64), ("least", np.float64)))
+                vectors = np.concatenate([np.frombuffer(p["own"], np.int64) for p in asked]).reshape(-1, dim.as_py())
                 rows = []
                 for i, v, f in zip(ids, vectors, floor, strict=True):
                     found, scores = tree.search(v, int(i), k, float(f))
@@ -264,30 +307,33 @@ def top_k(df: DataFrame, k: int, scale: int, every: int, row: str = "vec_id", ve
     """The k best vectors by inner product for each query, a row whose id is divisible by ``every``: ``query_id``, ``rank``, ``vec_id``, ``score``.
 
     Components become floor(scale * x). A query's own id is no candidate; ties go to smaller ids; queries with fewer candidates give
-    them all. Null ids, and vectors that are null, empty, not finite or not representable, take no part; vectors of different length don't meet. Rows that repeat id and vector
+    them all. Null ids, and vectors that are null, empty or not finite, or have a component of 2^56 or more, whose products don't fit 64 bits, take no part; vectors of different length don't meet. Rows that repeat id and vector
     count once; one id with several vectors is a query with each, ranked together. An empty table gives an empty result.
 
-    Vectors go to the nearest of a bounded sample of pivots, hot regions are split by hash into trees of bounded size. Each query first searches the tree it
+    Vectors go to the nearest of a bounded sample of pivots; regions beyond a tree's size are divided again by vectors of their own. Each query first searches the tree it
     lies in; its k-th score there prunes whole trees by centre and radius and starts the search of the others. Queries and trees travel in packs of bounded size.
     """
     whole = df.select(F.col(row).cast("long").alias("id"), scaled(vector, scale).alias("vector")).filter("id IS NOT NULL AND vector IS NOT NULL").distinct()
     whole = written(whole, "mtree-vectors")
-    n = whole.count()
+    n, largest = whole.agg(F.count("*"), F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))).first()
+    if (largest or 0) >= 2.0**63:
+        raise ValueError("inner products don't fit 64 bits")
     chosen = whole.orderBy(F.xxhash64("id", "vector"), "id").limit(min(PIVOTS, -(-n // TREE))).select("vector").toArrow()["vector"].to_pylist() if n else []
     pivots: dict[int, list] = {}
     for v in chosen:
         pivots.setdefault(len(v), []).append(v)
     routed = written(whole.mapInArrow(_route({d: np.array(v, np.float64) for d, v in pivots.items()}), "id long, region long, vector binary"), "mtree-routed")
-    # One row a region: as many as pivots, and one for each dimension.
-    parts = routed.groupBy("region").agg(F.ceil(F.count("*") / TREE).cast("long").alias("parts"))
-    dealt = routed.join(F.broadcast(parts), "region").select("id", "vector", (F.col("region") * 2**24 + F.pmod(F.xxhash64("id"), F.col("parts"))).alias("tree"))
+    dealt = fitted(routed)
     trees = written(dealt.groupBy("tree").applyInArrow(_build(k, every), TREES), "mtree-trees")
 
     numbered = trees.select(F.pmod(F.xxhash64("tree"), F.lit(-(-max(n, 1) // (TREE * CENTRES)))).alias("block"), F.struct("tree", "dim", "centre", "radius", "length").alias("centre"))
     centres = numbered.groupBy("block").agg(F.collect_list("centre").alias("centres"))
     asked = trees.select(F.col("tree").alias("home"), "dim", "queries", "own", "least").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(-(-max(n, 1) // (TREE * CENTRES)) - 1))))
     packs = asked.join(centres, "block").select("home", "dim", "queries", "own", "least", "centres").mapInArrow(_prune, "tree long, dim int, queries binary, own binary, least binary")
-    elsewhere = packs.join(trees.select("tree", "pages"), "tree").select("tree", "dim", "queries", "own", "least", "pages").mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    # A tree travels once for some ``TOGETHER`` packs of queries.
+    slot = F.pmod(F.xxhash64("queries"), F.lit(max(n // (TREE * TOGETHER), 1)))
+    asked = packs.groupBy("tree", "dim", slot.alias("slot")).agg(F.collect_list(F.struct("queries", "own", "least")).alias("packs"))
+    elsewhere = asked.join(trees.select("tree", "pages"), "tree").select("tree", "dim", "packs", "pages").mapInArrow(_search(k), "query_id long, vec_id long, score long")
     at_home = trees.select("found").mapInArrow(_triples, "query_id long, vec_id long, score long")
     best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return at_home.unionByName(elsewhere).select("query_id", F.row_number().over(best).alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)

@@ -80,3 +80,32 @@ def test_pages_of_copies_and_whole_numbers():
 def test_large_components_stay_exact(spark):
     rows = [(0, [3.0e7, 1.0]), (1, [3.0e7, 2.0]), (2, [3.0e7, -5.0]), (3, [1e30, 0.0])]
     assert search(spark, rows) == [r for r in brute(rows[:3], 3, 64, 20)]
+
+
+def test_products_beyond_64_bits_are_refused(spark):
+    import pytest
+
+    with pytest.raises(ValueError, match="64 bits"):
+        search(spark, [(0, [6.0e7, 1.0]), (1, [6.0e7, 2.0])], scale=64)
+
+
+def test_a_hot_region_divides_by_distance(spark, monkeypatch):
+    """Most vectors lie in one region; its trees are small and tight, and only copies are dealt by hash."""
+    import numpy as np
+
+    rng = random.Random(5)
+    centres = [[rng.gauss(0, 40) for _ in range(4)] for _ in range(30)]
+    rows = [(i, [rng.gauss(c, 0.3) for c in rng.choice(centres)]) for i in range(3000)] + [(5000 + i, [9.0] * 4) for i in range(700)]
+    monkeypatch.setattr(mtree, "TREE", 200)
+    monkeypatch.setattr(mtree, "PIVOTS", 1)
+    df = spark.createDataFrame([(i, 5, np.floor(64 * np.array(v, np.float32).astype(float)).astype(np.int64).tobytes()) for i, v in rows], "id long, region long, vector binary")
+    trees = {}
+    for r in mtree.fitted(df).collect():
+        trees.setdefault(r["tree"], []).append(np.frombuffer(r["vector"], np.int64))
+    assert sum(map(len, trees.values())) == len(rows)
+    others = [np.array(t) for t in trees.values() if len(np.unique(t, axis=0)) > 1]
+    assert max(map(len, trees.values())) <= 300  # parts by hash come near the bound, parts by distance keep it
+    spread = lambda t: np.sqrt(((t - t.mean(axis=0)) ** 2).sum(axis=1)).max()
+    assert np.median([spread(t) for t in others]) < 0.2 * spread(np.concatenate(others))
+
+    assert search(spark, rows, k=10) == brute(rows, 10, 64, 20)
