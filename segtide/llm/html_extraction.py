@@ -514,10 +514,14 @@ def extract(df: DataFrame, url: str = "url", html: str = "html", keep: list[str]
     Null and empty pages give an empty text; null URLs share the host ''; repeated rows give the same text and copies of a reference don't vote; a host with few pages has no
     template. An empty table gives an empty result.
 
+    Columns in ``keep`` may have any names but those of the results, which are refused.
+
     References are a few pages a host, drawn by the smallest hashes. They are broadcast only if they are small; else pages meet them by host, and Spark splits a hot one. Votes
     are summed in each task before the shuffle; paths and texts travel as hashes, once for all copies of a page. No group of pages is ever gathered.
     """
     keep = [] if keep is None else keep
+    if {c.lower() for c in keep} & {"text", "n_chars"}:
+        raise ValueError("a kept column has the name of a result")
     rows = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], host_of(F.col(url)).alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     marked = rows.select("host", "html", F.xxhash64("html").alias("mark"))
     chosen = written(references(marked), "html-references")

@@ -308,7 +308,7 @@ def top_k(df: DataFrame, k: int, scale: int, every: int, row: str = "vec_id", ve
 
     Components become floor(scale * x). A query's own id is no candidate; ties go to smaller ids; queries with fewer candidates give
     them all. Null ids, and vectors that are null, empty or not finite, or have a component of 2^56 or more, whose products don't fit 64 bits, take no part; vectors of different length don't meet. Rows that repeat id and vector
-    count once; one id with several vectors is a query with each, ranked together. An empty table gives an empty result.
+    count once; one id with several vectors is a query with each, ranked together. An empty table gives an empty result; further columns play no part, whatever they are called.
 
     Vectors go to the nearest of a bounded sample of pivots; regions beyond a tree's size are divided again by vectors of their own. Each query first searches the tree it
     lies in; its k-th score there prunes whole trees by centre and radius and starts the search of the others. Queries and trees travel in packs of bounded size.

@@ -168,3 +168,16 @@ def test_tables_beyond_what_is_held(monkeypatch):
     monkeypatch.setattr(h, "TABLE", 1)
     again = h.align(a, b)
     assert whole[0] == again[0] == len(again[1])
+
+
+def test_columns_of_any_name(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1, "http://a.b/", "<p>x</p>"), (1, "http://a.b/", "<p>x</p>"), (2, None, None)], PAGES)
+    names = ["host", "pages", "mark", "packed", "slots", "constant", "k0", "node", "home"]
+    for name in names:
+        df = df.withColumn(name, F.lit("z"))
+    found = h.extract(df, keep=["page_id", *names]).collect()
+    assert sorted((r["page_id"], r["text"], *[r[n] for n in names]) for r in found) == [(1, "x", *["z"] * 9), (1, "x", *["z"] * 9), (2, "", *["z"] * 9)]
+    with pytest.raises(ValueError, match="name of a result"):
+        h.extract(df, keep=["text"])

@@ -232,3 +232,22 @@ def test_sum_of_squares_identity():
     x = rng.normal(size=(4, 9))
     pairs = [machine.bias + r @ machine.linear + sum(machine.factors[i] @ machine.factors[j] * r[i] * r[j] for i in range(9) for j in range(i + 1, 9)) for r in x]
     assert np.allclose(machine.margins(x), pairs)
+
+
+def test_scores_by_all_pairs(spark, sf):
+    """Scores against the machine's definition, pair by pair, from the features of each text."""
+    import math
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(60)
+    machine = quality_classifier.fit(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    got = {r["doc_id"]: r["score"] for r in quality_classifier.score(docs, machine, keep=["doc_id"]).collect()}
+    features = quality_classifier.Features()
+    for i, text in texts.items():
+        x = features.rows([text.encode()])[0].astype(float)
+        on = [int(k) for k in x.nonzero()[0]]
+        margin = machine.bias + sum(float(machine.linear[k]) * x[k] for k in on)
+        for n, a in enumerate(on):
+            for b in on[n + 1 :]:
+                margin += float(machine.factors[a].astype(float) @ machine.factors[b].astype(float)) * x[a] * x[b]
+        assert abs(got[i] - 1 / (1 + math.exp(-max(-30.0, min(30.0, margin))))) < 1e-3

@@ -73,18 +73,20 @@ def test_rows_stand_as_often_as_taken(spark, clashing):
 
 
 def test_expectations_are_kept(spark):
-    """Over many seeds each document is taken as often as its share."""
+    """Over 400 sources alike, drawn on their own, each document is taken as often as its share, within three standard errors, and each source's words come near the target."""
     rng = random.Random(4)
-    rows = [(i, "s", float(rng.randint(1, 9))) for i in range(20)]
-    total = sum(r[2] for r in rows)
-    sizes = spark.createDataFrame([(i, s, int(n)) for i, s, n in rows], "row bigint, source string, size bigint")
-    goals = spark.createDataFrame([("s", int(total), 0.3 * total)], "source string, source_size bigint, target double")
-    taken = [0] * 20
-    for seed in range(6):
-        for r in mixing.copies(sizes, goals, 1000 * seed).collect():
-            taken[r["row"]] += r["copies"]
-    assert 0.15 * 6 * 20 < sum(taken) < 0.47 * 6 * 20
-    assert max(taken) < 6
+    sizes, n = [float(rng.randint(1, 9)) for _ in range(20)], 400
+    rows = [(20 * s + i, f"s{s}", int(x)) for s in range(n) for i, x in enumerate(sizes)]
+    goals = [(f"s{s}", int(sum(sizes)), 0.3 * sum(sizes)) for s in range(n)]
+    drawn = mixing.copies(spark.createDataFrame(rows, "row bigint, source string, size bigint"), spark.createDataFrame(goals, "source string, source_size bigint, target double"))
+    taken, words_of = [0] * 20, [0.0] * n
+    for r in drawn.collect():
+        assert r["copies"] in (0, 1)
+        taken[r["row"] % 20] += r["copies"]
+        words_of[r["row"] // 20] += r["copies"] * sizes[r["row"] % 20]
+    error = (0.3 * 0.7 / n) ** 0.5
+    assert all(abs(t / n - 0.3) <= 3 * error for t in taken)
+    assert all(abs(w - 0.3 * sum(sizes)) <= max(sizes) for w in words_of)
 
 
 def test_pivotal_steps_settle_one(spark):

@@ -109,3 +109,13 @@ def test_a_hot_region_divides_by_distance(spark, monkeypatch):
     assert np.median([spread(t) for t in others]) < 0.2 * spread(np.concatenate(others))
 
     assert search(spark, rows, k=10) == brute(rows, 10, 64, 20)
+
+
+def test_columns_of_any_name(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, [1.0, i / 7]) for i in range(50)]
+    df = spark.createDataFrame([(*r, 0) for r in rows], VECTORS)
+    for name in ("id", "vector", "region", "tree", "score", "rank", "query_id", "n", "above", "pages", "packs", "slot"):
+        df = df.withColumn(name, F.lit("x"))
+    assert sorted(tuple(r) for r in mtree.top_k(df, 3, 64, 20).collect()) == brute(rows, 3, 64, 20)
