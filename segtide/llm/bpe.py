@@ -19,7 +19,7 @@ from segtide.llm.common import add_columns
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SPLITTER = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 #: Distinct text pieces whose ids a task remembers, and bytes of the words merged together.
-REMEMBERED, TOGETHER = 500_000, 2_000_000
+REMEMBERED, TOGETHER = 200_000, 2_000_000
 #: White space that touches other white space; what lies between single spaces that don't.
 TOUCHING, SINGLE = re.compile(r"\s\s").search, re.compile(r"(?<=\S)(?= \S)").split
 

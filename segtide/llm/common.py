@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import shutil
 import tempfile
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 from pathlib import Path
 
 import pyarrow as pa
@@ -15,7 +18,7 @@ from pyspark.sql import types as T
 
 from segtide.sources.staging import staging, written
 
-__all__ = ["LAST", "WORD", "add_columns", "in_portions", "read", "ship", "single_threaded", "staging", "text_bytes", "width", "words", "written"]
+__all__ = ["LAST", "WORD", "add_columns", "give_back", "in_portions", "lean", "read", "ship", "single_threaded", "staging", "text_bytes", "width", "words", "written"]
 
 #: What separates words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -64,6 +67,33 @@ def single_threaded() -> None:
     os.environ["RAYON_NUM_THREADS"] = "1"
 
 
+def give_back() -> None:
+    """Return what a task has freed to the system: workers live on for the next stages, where it would count on top of theirs."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """A worker's function over batches, or over one table, that gives its memory back once it is through."""
+
+    def over(given):
+        if isinstance(given, pa.Table):
+            found = run(given)
+            give_back()
+            return found
+        return through(given)
+
+    def through(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return over
+
+
 def in_portions(texts: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, list[bytes]]]:
     """Portions of a batch of texts with about ``most`` bytes each, with the row where each starts."""
     at, held, size = 0, [], 0
@@ -94,5 +124,5 @@ def add_columns(df: DataFrame, text: str, make: Callable[[], Callable[[list[byte
                 found = [pa.array(values, kind) for values, kind in zip(work(texts), arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays([*[c.slice(at, len(texts)) for c in kept], *found], schema.names)
 
-    found = rows.mapInArrow(run, schema)
+    found = rows.mapInArrow(lean(run), schema)
     return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *[F.col(f"n{i}").alias(c) for i, c in enumerate(fields)])

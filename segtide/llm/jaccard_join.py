@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segtide.llm.common import in_portions, staging, text_bytes, width, written
+from segtide.llm.common import in_portions, lean, staging, text_bytes, width, written
 from segtide.llm.components import components
 
 #: Words of a shingle. Two sets link at 3/4: their symmetric difference is a seventh of both sizes at most.
@@ -51,7 +51,7 @@ class Shingles:
     def of(self, text: bytes) -> np.ndarray:
         """The sorted distinct shingles of a text; a shorter text is one shingle, no words give none."""
         words = text.lower().split()
-        if len(self.known) > 300_000:
+        if len(self.known) > 100_000:
             self.known = {}
         known = self.known
         for w in words:
@@ -315,7 +315,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs ``a``, ``b`` whose sets reach the similarity. A hot id's set goes to its many partners, not they to it."""
     with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("set_a")), "a")
     both = with_a.join(sets.select(F.col("id").alias("b"), F.col("members").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
-    return both.mapInArrow(_verified, "a long, b long")
+    return both.mapInArrow(lean(_verified), "a long, b long")
 
 
 def _sets(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -323,7 +323,7 @@ def _sets(rows: DataFrame, ids: DataFrame) -> DataFrame:
     ids = written(ids.distinct(), "jaccard-ids")
     few = ids.count() <= FEW
     chosen = rows.join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    return written(chosen.mapInArrow(_shingled, "id long, members binary"), "jaccard-sets")
+    return written(chosen.mapInArrow(lean(_shingled), "id long, members binary"), "jaccard-sets")
 
 
 def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,7 +337,7 @@ def still_open(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """The pairs that short sketches and sizes leave open; ``sketches`` has ``id``, ``n`` and ``sketch``. A hot id's sketch goes to its partners."""
     for side in ("a", "b"):
         pairs = pairs.join(sketches.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
-    return pairs.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_open, "a long, b long")
+    return pairs.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(lean(_open), "a long, b long")
 
 
 def _meetings(bucket: np.ndarray, block: np.ndarray, low: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -426,7 +426,7 @@ def _second(members: DataFrame, sketches: DataFrame, named: DataFrame) -> DataFr
     # A row meets every block of its group once: as the smaller or the larger number of the pair of blocks.
     paired = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
     dealt = paired.select("low", "i", "j", "own", "id", "component", "n", "sketch", "buckets").withColumn("slot", F.pmod(F.xxhash64("low", "i", "j"), F.lit(slots)))
-    return dealt.repartition(slots, "slot").groupBy("slot").applyInArrow(_compare, "a long, b long").distinct()
+    return dealt.repartition(slots, "slot").groupBy("slot").applyInArrow(lean(_compare), "a long, b long").distinct()
 
 
 def _slots_of(blocked: DataFrame) -> int:
@@ -480,8 +480,8 @@ def similar_groups(df: DataFrame, row: str = "doc_id", text: str = "text") -> Da
     size = df.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     slots = width(spark, size, GROUP)
     with staging(spark):
-        packed = rows.mapInArrow(_sketch(slots), "slot int, keys binary, ids binary, runs binary, sure binary, sketches binary")
-        met = written(packed.repartition(slots, "slot").groupBy("slot").applyInArrow(_meet, MET), "jaccard-met")
+        packed = rows.mapInArrow(lean(_sketch(slots)), "slot int, keys binary, ids binary, runs binary, sure binary, sketches binary")
+        met = written(packed.repartition(slots, "slot").groupBy("slot").applyInArrow(lean(_meet), MET), "jaccard-met")
         members = met.filter(F.col("kind") == MEMBER).select(F.col("a").alias("bucket"), F.col("b").alias("id"))
         # Of texts that share an id any may link: their sizes and sketches all count.
         sketches = met.filter(F.col("kind") == SIZE).select(F.col("a").alias("id"), F.col("b").alias("n"), "sketch")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from segtide.llm.common import LAST, width
+from segtide.llm.common import LAST, lean, width
 
 #: Words of a window; its half is the length of a block, so each window holds a whole block.
 WINDOW = 20
@@ -51,7 +51,7 @@ class Hashes:
         self.known: dict[bytes, int] = {}
 
     def words(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) > 300_000:
+        if len(self.known) > 100_000:
             self.known = {}
         known = self.known
         for w in words:
@@ -346,12 +346,12 @@ def remove_repeats(df: DataFrame, row: str = "doc_id", text: str = "text", diges
         F.xxhash64(F.col(row), F.col(text)).alias("row"),
         words.alias("text"),
     )
-    probes = rows.select("row", "text").mapInArrow(_probe(slots), "slot int, keys binary, rows binary, runs binary, gaps binary, sure_rows binary, sure_runs binary, sure_gaps binary")
-    hits = probes.groupBy("slot").applyInArrow(_hits(slots), PLACES).groupBy("home").applyInArrow(_gathered, GATHERED)
+    probes = rows.select("row", "text").mapInArrow(lean(_probe(slots)), "slot int, keys binary, rows binary, runs binary, gaps binary, sure_rows binary, sure_runs binary, sure_gaps binary")
+    hits = probes.groupBy("slot").applyInArrow(lean(_hits(slots)), PLACES).groupBy("home").applyInArrow(_gathered, GATHERED)
     # Both joins take the same columns of the texts, so they share one shuffle.
-    windows = rows.join(hits.hint("shuffle_hash"), "row").select(*rows.columns, "places").mapInArrow(_windows(slots), "slot int, keys binary, rows binary, ranks binary, runs binary, gaps binary, sure_rows binary, sure_runs binary, sure_gaps binary")
-    repeats = windows.groupBy("slot").applyInArrow(_repeats(slots), PLACES).groupBy("home").applyInArrow(_gathered, GATHERED)
+    windows = rows.join(hits.hint("shuffle_hash"), "row").select(*rows.columns, "places").mapInArrow(lean(_windows(slots)), "slot int, keys binary, rows binary, ranks binary, runs binary, gaps binary, sure_rows binary, sure_runs binary, sure_gaps binary")
+    repeats = windows.groupBy("slot").applyInArrow(lean(_repeats(slots)), PLACES).groupBy("home").applyInArrow(_gathered, GATHERED)
     joined = rows.join(repeats.hint("shuffle_hash"), "row", "left").select(*rows.columns, "places")
     schema = T.StructType([*joined.schema.fields[: len(keep)], *[T.StructField(n, T.LongType()) for n in ("n_words", "n_removed")], T.StructField("result", T.StringType())])
-    cleaned = joined.mapInArrow(_cleaned(len(keep), digest), schema)
+    cleaned = joined.mapInArrow(lean(_cleaned(len(keep), digest)), schema)
     return cleaned.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "n_words", "n_removed", F.col("result").alias("kept_sha256" if digest else "kept_text"))
