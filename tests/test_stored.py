@@ -226,3 +226,13 @@ def test_blocks_of_two_threads_are_apart(spark):
     assert there(loose)
     staging.drop_staged(spark)
     assert not spark.sparkContext._jvm.java.io.File(files[0].removeprefix("file://")).exists()
+
+
+@pytest.mark.parametrize("master", ["yarn", "spark://h:7077", "local-cluster[3,2,3000]"])
+def test_no_local_folder_on_a_cluster(master):
+    """Executors would each write to a disk of their own."""
+    from types import SimpleNamespace
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        staging.shared_dir(session)
