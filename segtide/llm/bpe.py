@@ -20,6 +20,8 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 SPLITTER = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 #: Distinct text pieces whose ids a task remembers, and bytes of the words merged together.
 REMEMBERED, TOGETHER = 200_000, 2_000_000
+#: Bytes of texts that are encoded together: their pieces and ids take some fifty times as much meanwhile.
+PORTION = 500_000
 #: White space that touches other white space; what lies between single spaces that don't.
 TOUCHING, SINGLE = re.compile(r"\s\s").search, re.compile(r"(?<=\S)(?= \S)").split
 
@@ -249,7 +251,7 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None
     Null and empty texts have no ids, repeated rows the same ids; an empty table gives an
     empty result. Rows are encoded where they are read, without a shuffle.
     """
-    return add_columns(df, text, _ids_column(path), {"ids": (T.ArrayType(T.LongType()), pa.list_(pa.int64()))}, keep or [])
+    return add_columns(df, text, _ids_column(path), {"ids": (T.ArrayType(T.LongType()), pa.list_(pa.int64()))}, keep or [], PORTION)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
@@ -291,4 +293,4 @@ def round_trip(df: DataFrame, path: str, text: str = "text", keep: list[str] | N
         "ids_sha256": (T.StringType(), pa.string()),
         "decoded_sha256": (T.StringType(), pa.string()),
     }
-    return add_columns(df, text, make, fields, keep or [])
+    return add_columns(df, text, make, fields, keep or [], PORTION)

@@ -107,10 +107,12 @@ def in_portions(texts: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, l
         yield at, held
 
 
-def add_columns(df: DataFrame, text: str, make: Callable[[], Callable[[list[bytes]], list[list]]], fields: dict[str, tuple[T.DataType, pa.DataType]], keep: list[str]) -> DataFrame:
+def add_columns(
+    df: DataFrame, text: str, make: Callable[[], Callable[[list[bytes]], list[list]]], fields: dict[str, tuple[T.DataType, pa.DataType]], keep: list[str], portion: int = 4_000_000
+) -> DataFrame:
     """The columns ``keep``, and columns computed from each row's whole text (UTF-8, empty for null) by a worker that ``make`` builds once a task.
 
-    Columns are named by position inside, so that no name of the input clashes.
+    Columns are named by position inside, so that no name of the input clashes. The worker gets about ``portion`` bytes of texts at a time.
     """
     rows = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], text_bytes(text).alias("text"))
     schema = T.StructType([*rows.schema.fields[:-1], *[T.StructField(f"n{i}", kind) for i, (kind, _) in enumerate(fields.values())]])
@@ -120,7 +122,7 @@ def add_columns(df: DataFrame, text: str, make: Callable[[], Callable[[list[byte
         work = make()
         for batch in batches:
             kept = batch.columns[:-1]
-            for at, texts in in_portions(batch.column(len(kept))):
+            for at, texts in in_portions(batch.column(len(kept)), portion):
                 found = [pa.array(values, kind) for values, kind in zip(work(texts), arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays([*[c.slice(at, len(texts)) for c in kept], *found], schema.names)
 

@@ -141,36 +141,45 @@ def _probe(slots: int):
         """
         hashes = Hashes()
         for held in _texts(batches, PORTION):
-            held = [(row, text) for row, text in held]
-            flat, starts, sizes = _concatenated(hashes, [t for _, t in held])
-            if len(flat) < WINDOW:
-                continue
-            keys = hashes.halves(flat)
-            row = np.repeat(np.array([r for r, _ in held], np.int64), sizes)[: len(keys)]
-            place = np.arange(len(flat))[: len(keys)] - np.repeat(starts, sizes)[: len(keys)]
-            size = np.repeat(sizes, sizes)[: len(keys)]
-            inside = (place + BLOCK <= size) & (size >= WINDOW)
-            keys, row, place = keys[inside], row[inside], place[inside]
-
-            order = np.lexsort((place % BLOCK != 0, keys))
-            first = np.concatenate([[True], keys[order][1:] != keys[order][:-1]])
-            counts = np.diff(np.append(np.flatnonzero(first), len(order)))
-            sure = order[np.repeat(counts > 1, counts)]
-            sent = order[first]
-            slot = _spread(keys[sent], slots)
-            order = np.lexsort((place[sent], row[sent], slot))
-            sent, slot = sent[order], slot[order]
-            sure_slot = _spread(row[sure].view(np.uint64), slots)
-            order = np.lexsort((place[sure], row[sure], sure_slot))
-            sure, sure_slot = sure[order], sure_slot[order]
-            short = (keys & np.uint64(2**32 - 1)).astype("<u4")
-            yield _batch(
-                [(s, short[sent[a]].tobytes(), *packed(row[sent[a]], place[sent[a]]), *packed(row[sure[b]], place[sure[b]])) for s, a, b in _by_slot(slot, sure_slot)], PROBES
-            )
+            yield from _probed(hashes, held, slots)
 
     return run
 
 
+def _probed(hashes: Hashes, held: list[tuple], slots: int) -> list[pa.RecordBatch]:
+    """The probes of one portion; what they are made from is freed before the next one."""
+    flat, starts, sizes = _concatenated(hashes, [t for _, t in held])
+    if len(flat) < WINDOW:
+        return []
+    keys = hashes.halves(flat)
+    n = len(keys)
+    row = np.repeat(np.array([r for r, _ in held], np.int64), sizes)[:n]
+    place = np.arange(n) - np.repeat(starts, sizes)[:n]
+    size = np.repeat(sizes, sizes)[:n]
+    inside = (place + BLOCK <= size) & (size >= WINDOW)
+    del flat, size
+    keys, row, place = keys[inside], row[inside], place[inside]
+
+    order = np.lexsort((place % BLOCK != 0, keys))
+    ranked = keys[order]
+    first = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+    del ranked
+    counts = np.diff(np.append(np.flatnonzero(first), len(order)))
+    sure = order[np.repeat(counts > 1, counts)]
+    sent = order[first]
+    del order, first, counts
+    slot = _spread(keys[sent], slots)
+    order = np.lexsort((place[sent], row[sent], slot))
+    sent, slot = sent[order], slot[order]
+    sure_slot = _spread(row[sure].view(np.uint64), slots)
+    order = np.lexsort((place[sure], row[sure], sure_slot))
+    sure, sure_slot = sure[order], sure_slot[order]
+    del order
+    short = (keys & np.uint64(2**32 - 1)).astype("<u4")
+    del keys
+    return [_batch([(s, short[sent[a]].tobytes(), *packed(row[sent[a]], place[sent[a]]), *packed(row[sure[b]], place[sure[b]])) for s, a, b in _by_slot(slot, sure_slot)], PROBES)]
+
+
 def _homes(row: np.ndarray, place: np.ndarray, slots: int) -> pa.Table:
     """Places packed for the shuffle that brings those of a row together."""
     home = _spread(row.view(np.uint64), slots)
@@ -207,12 +216,15 @@ def _hits(slots: int):
         keys = np.concatenate([np.frombuffer(k, "<u4") for k in table["keys"].to_pylist()])
         row, place = _read(table)
         order = np.argsort(keys, kind="stable")
-        edge = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]])) if len(keys) else np.zeros(0, np.int64)
+        keys = keys[order]
+        edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
         counts = np.diff(np.append(edge, len(keys)))
         block = np.maximum.reduceat(place[order] % BLOCK == 0, edge) if len(keys) else np.zeros(0, bool)
         hit = order[np.repeat((counts > 1) & block, counts)]
+        del keys, order, edge, counts, block
+        row, place = row[hit], place[hit]
         sure_row, sure_place = _read(table, "sure_")
-        return _homes(np.concatenate([row[hit], sure_row]), np.concatenate([place[hit], sure_place]), slots)
+        return _homes(np.concatenate([row, sure_row]), np.concatenate([place, sure_place]), slots)
 
     return run
 
@@ -226,47 +238,57 @@ def _windows(slots: int):
         """Whole windows around the hits, by two hashes in 80 bits, dealt by the first. Only the earliest of a portion's equal windows travels; the others are sure."""
         hashes = Hashes()
         for held in _texts((b.select(["rank", "row", "places", "text"]) for b in batches), PORTION):
-            flat, starts, sizes = _concatenated(hashes, [t for *_, t in held])
-            near = np.zeros(len(flat) + 1, np.int64)
-            for (_, _, places, _), start, size in zip(held, starts, sizes, strict=True):
-                hit = _merged(places)
-                low, high = np.maximum(hit - BLOCK + 1, 0), np.minimum(hit, size - WINDOW) + 1
-                fits = low < high
-                np.add.at(near, start + low[fits], 1)
-                np.add.at(near, start + high[fits], -1)
-            at = np.flatnonzero(np.cumsum(near) > 0)
-            if not len(at):
-                continue
-            halves = hashes.halves(flat)
-            key = _joined(halves[at], halves[at + BLOCK])
-            check = (_mixed(halves[at] * _C + halves[at + BLOCK] * _A) >> np.uint64(48)).astype("<u2")
-            of = np.searchsorted(starts + sizes, at, side="right")
-            rank, row = np.array([h[0] for h in held], np.int64)[of], np.array([h[1] for h in held], np.int64)[of]
-            place = at - starts[of]
-
-            order = np.lexsort((row, place, rank, check, key))
-            later, first = _later(key[order], check[order], rank[order], place[order])
-            sure = order[later]
-            # Rows that share an id may hold equal windows at one place: none is later, each travels once.
-            same = np.concatenate([[False], (row[order][1:] == row[order][:-1]) & ~first[1:]])
-            sent = order[~later & ~same]
-            slot = _spread(key[sent], slots)
-            order = np.lexsort((place[sent], row[sent], slot))
-            sent, slot = sent[order], slot[order]
-            sure_slot = _spread(row[sure].view(np.uint64), slots)
-            order = np.lexsort((place[sure], row[sure], sure_slot))
-            sure, sure_slot = sure[order], sure_slot[order]
-            rows = []
-            for s, a, b in _by_slot(slot, sure_slot):
-                mine = sent[a]
-                lead = np.flatnonzero(np.concatenate([[True], row[mine][1:] != row[mine][:-1]])) if len(mine) else np.zeros(0, np.int64)
-                ids, runs, gaps = packed(row[mine], place[mine])
-                rows.append((s, key[mine].tobytes() + check[mine].tobytes(), ids, rank[mine][lead].tobytes(), runs, gaps, *packed(row[sure[b]], place[sure[b]])))
-            yield _batch(rows, WINDOWS)
+            yield from _around(hashes, held, slots)
 
     return run
 
 
+def _around(hashes: Hashes, held: list[tuple], slots: int) -> list[pa.RecordBatch]:
+    """The windows of one portion; what they are made from is freed before the next one."""
+    flat, starts, sizes = _concatenated(hashes, [t for *_, t in held])
+    near = np.zeros(len(flat) + 1, np.int64)
+    for (_, _, places, _), start, size in zip(held, starts, sizes, strict=True):
+        hit = _merged(places)
+        low, high = np.maximum(hit - BLOCK + 1, 0), np.minimum(hit, size - WINDOW) + 1
+        fits = low < high
+        np.add.at(near, start + low[fits], 1)
+        np.add.at(near, start + high[fits], -1)
+    at = np.flatnonzero(np.cumsum(near) > 0)
+    del near
+    if not len(at):
+        return []
+    halves = hashes.halves(flat)
+    key = _joined(halves[at], halves[at + BLOCK])
+    check = (_mixed(halves[at] * _C + halves[at + BLOCK] * _A) >> np.uint64(48)).astype("<u2")
+    del flat, halves
+    of = np.searchsorted(starts + sizes, at, side="right")
+    rank, row = np.array([h[0] for h in held], np.int64)[of], np.array([h[1] for h in held], np.int64)[of]
+    place = at - starts[of]
+    del at, of
+
+    order = np.lexsort((row, place, rank, check, key))
+    later, first = _later(key[order], check[order], rank[order], place[order])
+    sure = order[later]
+    # Rows that share an id may hold equal windows at one place: none is later, each travels once.
+    same = np.concatenate([[False], (row[order][1:] == row[order][:-1]) & ~first[1:]])
+    sent = order[~later & ~same]
+    del later, first, same
+    slot = _spread(key[sent], slots)
+    order = np.lexsort((place[sent], row[sent], slot))
+    sent, slot = sent[order], slot[order]
+    sure_slot = _spread(row[sure].view(np.uint64), slots)
+    order = np.lexsort((place[sure], row[sure], sure_slot))
+    sure, sure_slot = sure[order], sure_slot[order]
+    del order
+    rows = []
+    for s, a, b in _by_slot(slot, sure_slot):
+        mine = sent[a]
+        lead = np.flatnonzero(np.concatenate([[True], row[mine][1:] != row[mine][:-1]])) if len(mine) else np.zeros(0, np.int64)
+        ids, runs, gaps = packed(row[mine], place[mine])
+        rows.append((s, key[mine].tobytes() + check[mine].tobytes(), ids, rank[mine][lead].tobytes(), runs, gaps, *packed(row[sure[b]], place[sure[b]])))
+    return [_batch(rows, WINDOWS)]
+
+
 def _later(key: np.ndarray, check: np.ndarray, rank: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of sorted windows, which start later than an equal one, and which is the first of its kind."""
     if not len(key):
@@ -286,8 +308,10 @@ def _repeats(slots: int):
         rank = np.concatenate([np.repeat(np.frombuffer(k, np.int64), from_planes(r, np.int32)) for k, r in zip(table["ranks"].to_pylist(), table["runs"].to_pylist(), strict=True)])
         order = np.lexsort((place, rank, check, key))
         later = order[_later(key[order], check[order], rank[order], place[order])[0]]
+        del packs, key, check, rank, order
+        row, place = row[later], place[later]
         sure_row, sure_place = _read(table, "sure_")
-        return _homes(np.concatenate([row[later], sure_row]), np.concatenate([place[later], sure_place]), slots)
+        return _homes(np.concatenate([row, sure_row]), np.concatenate([place, sure_place]), slots)
 
     return run
 
@@ -347,10 +371,10 @@ def remove_repeats(df: DataFrame, row: str = "doc_id", text: str = "text", diges
         words.alias("text"),
     )
     probes = rows.select("row", "text").mapInArrow(lean(_probe(slots)), "slot int, keys binary, rows binary, runs binary, gaps binary, sure_rows binary, sure_runs binary, sure_gaps binary")
-    hits = probes.groupBy("slot").applyInArrow(lean(_hits(slots)), PLACES).groupBy("home").applyInArrow(_gathered, GATHERED)
+    hits = probes.groupBy("slot").applyInArrow(lean(_hits(slots)), PLACES).groupBy("home").applyInArrow(lean(_gathered), GATHERED)
     # Both joins take the same columns of the texts, so they share one shuffle.
     windows = rows.join(hits.hint("shuffle_hash"), "row").select(*rows.columns, "places").mapInArrow(lean(_windows(slots)), "slot int, keys binary, rows binary, ranks binary, runs binary, gaps binary, sure_rows binary, sure_runs binary, sure_gaps binary")
-    repeats = windows.groupBy("slot").applyInArrow(lean(_repeats(slots)), PLACES).groupBy("home").applyInArrow(_gathered, GATHERED)
+    repeats = windows.groupBy("slot").applyInArrow(lean(_repeats(slots)), PLACES).groupBy("home").applyInArrow(lean(_gathered), GATHERED)
     joined = rows.join(repeats.hint("shuffle_hash"), "row", "left").select(*rows.columns, "places")
     schema = T.StructType([*joined.schema.fields[: len(keep)], *[T.StructField(n, T.LongType()) for n in ("n_words", "n_removed")], T.StructField("result", T.StringType())])
     cleaned = joined.mapInArrow(lean(_cleaned(len(keep), digest)), schema)

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
@@ -220,3 +221,23 @@ def test_registered_repeats(spark, sf):
     from segtide.llm.queries import substring_dedup_query
 
     assert sorted((tuple(r) for r in substring_dedup_query(spark, sf).collect()), key=repr) == brute_kept(texts_of(spark, sf))
+
+
+@pytest.mark.parametrize("step, most", [("_probe", 17), ("_windows", 23)])
+def test_one_portion_is_freed_before_the_next(monkeypatch, step, most):
+    """A worker holds little more than one portion's arrays: some 13 and 18 times its bytes."""
+    monkeypatch.setattr(substring_dedup, "PORTION", 1_000_000)
+    rng = random.Random(1)
+    vocabulary = [b"w%d" % k for k in range(3000)]
+    texts = [b" ".join(rng.choices(vocabulary, k=300)) for _ in range(3000)]
+    ids = pa.array(range(len(texts)), pa.int64())
+    places = pa.array([np.arange(250, dtype=np.int32).tobytes()] * len(texts), pa.binary())
+    columns = {"rank": ids, "row": ids, "places": places, "text": pa.array(texts, pa.binary())}
+    batch = pa.RecordBatch.from_pydict(columns).select(["row", "text"] if step == "_probe" else list(columns))
+    tracemalloc.start()
+    try:
+        given = sum(len(b.column("keys")) for b in getattr(substring_dedup, step)(8)(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert given and peak < most * substring_dedup.PORTION

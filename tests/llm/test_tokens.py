@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -120,3 +121,19 @@ def test_other_files_are_refused(documents):
         token_counts.token_counts(documents([]), BYTE)
     with pytest.raises(ValueError, match="pattern here"):
         bpe.Vocabulary(WORD)
+
+
+def test_workers_encode_small_portions(spark, documents, monkeypatch):
+    """However many rows a batch has: a portion's pieces take many times its bytes, in every worker at once."""
+
+    def sizes(path):
+        class Codec:
+            def encode(self, texts):
+                return [np.array([sum(map(len, texts))], np.uint32) for _ in texts]
+
+        return Codec()
+
+    monkeypatch.setattr(bpe, "_codec", sizes)
+    rows = documents([(k, "word " * 2_000) for k in range(300)]).coalesce(1)
+    found = [r.ids[0] for r in bpe.encode(rows, BYTE, keep=["doc_id"]).collect()]
+    assert len(found) == 300 and max(found) <= 1_000_000
