@@ -121,9 +121,9 @@ def _unpacked(data: bytes) -> list[tuple[bytes, bool] | None]:
     return found
 
 
-def _depth(n: int) -> int:
+def _depth(n: int, levels: int) -> int:
     """Levels above n nodes of a tree within a block: all of them if the tree fits one."""
-    return min(LEVELS, (n - 1).bit_length())
+    return min(levels, (n - 1).bit_length())
 
 
 def _gathered(nodes: DataFrame, extra: list[str]) -> DataFrame:
@@ -134,14 +134,15 @@ def _gathered(nodes: DataFrame, extra: list[str]) -> DataFrame:
 
 
 def _mapped(blocks: DataFrame, work: Callable[[dict], Iterator[tuple]], schema: T.StructType) -> DataFrame:
-    """Rows that ``work`` makes of each block, a few thousand to a batch."""
+    """Rows that ``work`` makes of each block, a few thousand to a batch. The driver's ``LEVELS``, by which blocks were cut, goes along as ``levels``."""
+    levels = LEVELS
     kinds = [pa.binary() if isinstance(f.dataType, T.BinaryType) else pa.string() if isinstance(f.dataType, T.StringType) else pa.int64() for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
             for k in range(batch.num_rows):
-                held += work({name: batch.column(i)[k].as_py() for i, name in enumerate(batch.schema.names)})
+                held += work({name: batch.column(i)[k].as_py() for i, name in enumerate(batch.schema.names)} | {"levels": levels})
                 if len(held) >= 4096:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], schema.names)
                     held = []
@@ -152,18 +153,19 @@ def _mapped(blocks: DataFrame, work: Callable[[dict], Iterator[tuple]], schema:
 
 
 def _tops(row: dict) -> Iterator[tuple]:
-    depth = _depth(row["n"])
-    yield row["tree"], -(-row["n"] >> LEVELS), row["block"], Block(0, row["digest"], depth).top
+    depth = _depth(row["n"], row["levels"])
+    yield row["tree"], -(-row["n"] >> row["levels"]), row["block"], Block(0, row["digest"], depth).top
 
 
 def _paths(row: dict) -> Iterator[tuple]:
-    block = Block(row["block"] << LEVELS, row["digest"], _depth(row["n"]))
+    first = row["block"] << row["levels"]
+    block = Block(first, row["digest"], _depth(row["n"], row["levels"]))
     for k, path in enumerate(block.paths()):
-        yield row["tree"], (row["block"] << LEVELS) + k, _packed(path) + row["above"], row["top"]
+        yield row["tree"], first + k, _packed(path) + row["above"], row["top"]
 
 
 def _proofs(row: dict) -> Iterator[tuple]:
-    block, above = Block(row["block"] << LEVELS, row["digest"], _depth(row["n"])), _unpacked(row["above"])
+    block, above = Block(row["block"] << row["levels"], row["digest"], _depth(row["n"], row["levels"])), _unpacked(row["above"])
     for path, doc, digest, tampered in zip(block.paths(), row["doc"], row["digest"], row["tampered"], strict=True):
         whole = path + above
         siblings = [s[0] for s in whole if s is not None]

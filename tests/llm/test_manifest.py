@@ -87,6 +87,14 @@ def test_strange_tables(spark, monkeypatch, levels):
     assert got(merkle_manifest.manifest(spark.createDataFrame(rows, SCHEMA))) == expected(rows)
 
 
+@pytest.mark.parametrize("levels", [2, 5])
+def test_workers_cut_blocks_as_the_driver_does(spark, monkeypatch, levels):
+    """Whatever a worker's module holds, as one that lives on may hold another number."""
+    monkeypatch.setattr(merkle_manifest, "LEVELS", levels)
+    rows = strange(80, ["en", "en", None])
+    assert got(merkle_manifest.manifest(spark.createDataFrame(rows, SCHEMA))) == expected(rows)
+
+
 def test_one_language_with_most_documents(spark):
     rows = strange(900, ["en"] * 30 + [f"l{k}" for k in range(300)])
     assert got(merkle_manifest.manifest(spark.createDataFrame(rows, SCHEMA))) == expected(rows)
