@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from segtide.sources.staging import staging, written
 
-__all__ = ["LAST", "WORD", "add_columns", "give_back", "in_portions", "lean", "read", "ship", "single_threaded", "staging", "text_bytes", "width", "words", "written"]
+__all__ = ["LAST", "WORD", "add_columns", "give_back", "in_portions", "in_small_batches", "lean", "read", "ship", "single_threaded", "staging", "text_bytes", "width", "words", "written"]
 
 #: What separates words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,6 +26,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A null id sorts behind every other id inside the operators.
 LAST = 2**63 - 1
 
+#: Bytes of rows that travel to a Python worker at a time.
+BATCH = 4_000_000
+
 
 _shipped: set[str] = set()
 
@@ -67,6 +70,15 @@ def single_threaded() -> None:
     os.environ["RAYON_NUM_THREADS"] = "1"
 
 
+def in_small_batches(spark: SparkSession) -> None:
+    """From now on rows travel to the session's Python workers about ``BATCH`` bytes at a time.
+
+    Spark's own bounds are 10,000 rows and 64 MB. Each running task holds a batch outside the heap, twice while it grows, and its worker
+    holds it again; what an executor took for that it keeps.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+
+
 def give_back() -> None:
     """Return what a task has freed to the system: workers live on for the next stages, where it would count on top of theirs."""
     gc.collect()

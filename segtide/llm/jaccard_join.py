@@ -22,10 +22,10 @@ PORTION, GROUP = 4_000_000, 32_000_000
 FEW = 2_000_000
 #: Rows of one bucket that are compared in one block, and bytes of them; what a row has besides its sketch.
 BLOCK, BLOCK_BYTES, ROW = 512, 4_000_000, 64
-#: Pairs of rows that make one group of blocks.
-PAIRS = 8_000_000
-#: Pairs of rows that a task holds at once.
-CHUNK = 1_000_000
+#: Pairs of rows that make one group of blocks; a task holds those of its group that differ.
+PAIRS = 2_000_000
+#: Pairs of rows that a task compares at once, in some twelve arrays.
+CHUNK = 250_000
 
 _MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 

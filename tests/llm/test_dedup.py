@@ -241,3 +241,26 @@ def test_one_portion_is_freed_before_the_next(monkeypatch, step, most):
     finally:
         tracemalloc.stop()
     assert given and peak < most * substring_dedup.PORTION
+
+
+def test_few_pairs_are_held_at_once():
+    rng, n, shared = np.random.default_rng(3), 512, list(range(30))
+    sketches = [rng.bytes(128) for _ in range(n)]
+    table = pa.table({
+        "low": pa.array([0] * n, pa.int64()), "i": pa.array([0] * n, pa.int64()), "j": pa.array([0] * n, pa.int64()), "own": pa.array([0] * n, pa.int64()),
+        "id": pa.array(range(n), pa.int64()), "component": pa.array(range(n), pa.int64()), "n": pa.array([100] * n, pa.int64()),
+        "sketch": pa.array(sketches, pa.binary()), "buckets": pa.array([shared] * n, pa.list_(pa.int64())),
+    })
+    tracemalloc.start()
+    try:
+        found = jaccard_join._compare(table)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    expected = {
+        (a, b) for a in range(n) for b in range(a + 1, n)
+        if 7 * np.bitwise_count(np.frombuffer(sketches[a], np.uint64) ^ np.frombuffer(sketches[b], np.uint64)).sum() <= 200
+    }
+    assert set(zip(*(found[c].to_pylist() for c in "ab"), strict=True)) == expected
+    # 3.9 million pairs share a bucket.
+    assert peak < 40e6

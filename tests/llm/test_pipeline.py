@@ -82,3 +82,23 @@ def test_texts_that_share_an_id_stay(spark, documents, sf):
     rows = [(3, copy), (7, copy), (7, other), (8, third), (8, third), (None, third), (None, "lone words of a text"), (9, ""), (9, ""), (None, None)]
     found = sorted(((r["doc_id"], r["text"]) for r in pipeline.near_duplicates(spark, documents(rows), sf).collect()), key=repr)
     assert found == sorted([(3, copy), (7, other), (8, third), (None, "lone words of a text"), (9, ""), (9, ""), (None, None)], key=repr)
+
+
+def test_rows_travel_to_workers_in_small_batches(spark, documents):
+    import pyarrow as pa
+
+    from segtide.llm.common import BATCH
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch({"size": [batch.nbytes], "n": [batch.num_rows]})
+
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for name, stage in pipeline.STAGES:
+        if name in ("jaccard_join", "substring_dedup", "bpe"):
+            spark.conf.unset(bound)
+            stage(spark, documents([(k, f"word{k} " * 20) for k in range(3)]), "")
+            texts = spark.range(200, numPartitions=1).selectExpr("id", "repeat('word ', 20000) AS text")
+            found = texts.mapInArrow(sizes, "size long, n long").collect()
+            assert sum(r["n"] for r in found) == 200
+            assert max(r["size"] for r in found) < 2 * BATCH
