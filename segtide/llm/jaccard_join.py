@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import ceil, exp, sqrt
 
 import numpy as np
@@ -26,6 +27,10 @@ BLOCK, BLOCK_BYTES, ROW = 512, 4_000_000, 64
 PAIRS = 2_000_000
 #: Pairs of rows that a task compares at once, in some twelve arrays.
 CHUNK = 250_000
+#: Ids of different components in a bucket from which on its key is common, and keys, 8 MB, that a round adds to these.
+COMMON, MOST_COMMON = 128, 1_000_000
+#: Pairs in buckets of common keys, for each row of the input, that are worth looking for rarer keys.
+WORTH = 50
 
 _MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
@@ -102,7 +107,7 @@ def parts_of(band: int) -> int:
 PARTS = np.array([parts_of(b) for b in range(len(BANDS))], np.uint64)
 
 
-def keys_of(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def keys_of(sets: list[np.ndarray], common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the leading non-empty sketch parts of each set, and the set that each key is from.
 
     A shingle toggles one bit of the part it falls into; a part is 2^64 bits wide and is kept as the XOR of one word
@@ -110,6 +115,9 @@ def keys_of(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     in a's band or the next and differ in d = (a + b) / 7 shingles at most, hence in d parts. Each gives
     its first d + 1 non-empty parts, counted with its largest possible d. Among the shorter of
     these two stretches at least one part is equal in both and not empty. Each set does so in its own band, and as the larger side in the band below.
+
+    Any order of the keys that is one for all sets does: what is ahead of the first key of both is not in the other set, so d keys at most.
+    Parts stand by number, and those whose keys have one of the sorted names ``common`` behind all others.
     """
     sizes = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
@@ -130,10 +138,14 @@ def keys_of(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         edge = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (o[1:] != o[:-1])]))
         word = np.bitwise_xor.reduceat(mixed(h ^ _MULTIPLIERS[0]), edge)
         part, o = part[edge], o[edge]
+        key = mixed(word + mixed(part * _MULTIPLIERS[1] + band[o].astype(np.uint64) * _MULTIPLIERS[2]))
+        if common is not None and len(common):
+            name = (key & LOW).view(np.int64)
+            order = np.lexsort((common[np.minimum(np.searchsorted(common, name), len(common) - 1)] == name, o))
+            key, o = key[order], o[order]
         first = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
         rank = np.arange(len(o)) - np.repeat(first, np.diff(np.append(first, len(o))))
         leading = rank < most[o]
-        key = mixed(word + mixed(part * _MULTIPLIERS[1] + band[o].astype(np.uint64) * _MULTIPLIERS[2]))
         found.append(key[leading])
         owners.append(o[leading])
     return (np.concatenate(found), np.concatenate(owners)) if found else (flat[:0], of[:0])
@@ -201,21 +213,21 @@ def _stars(bucket: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return order, np.repeat(first, counts), np.repeat(counts, counts)
 
 
-def _sketch(slots: int):
+def _sketch(slots: int, common: np.ndarray | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles()
         for batch in batches:
             names = batch.column(0).to_pylist()
             for at, texts in in_portions(batch.column(1), PORTION):
-                yield _portion(names[at : at + len(texts)], [shingles.of(t) for t in texts], slots)
+                yield _portion(names[at : at + len(texts)], [shingles.of(t) for t in texts], slots, common)
 
     return run
 
 
-def _portion(names: list[int | None], sets: list[np.ndarray], slots: int) -> pa.RecordBatch:
+def _portion(names: list[int | None], sets: list[np.ndarray], slots: int, common: np.ndarray | None = None) -> pa.RecordBatch:
     """Rows for the shuffle, one for each slot: packed keys, and what is already sure. Of equal keys only the smallest id travels."""
-    # The first rows are the texts themselves, in order, as their sketches are.
-    sure = [(NAMELESS, 0, len(s)) if i is None else (SIZE, i, len(s)) for i, s in zip(names, sets, strict=True)]
+    # The first rows are the texts themselves, in order, as their sketches are. Once common keys are known, texts have told theirs.
+    sure = [(NAMELESS, 0, len(s)) if i is None else (SIZE, i, len(s)) for i, s in zip(names, sets, strict=True)] if common is None else []
     # Equal sets of a portion are pairs at once, and only the smallest id goes on.
     smallest: dict[tuple[int, bytes], int] = {}
     chosen: dict[tuple[int, bytes], np.ndarray] = {}
@@ -227,11 +239,11 @@ def _portion(names: list[int | None], sets: list[np.ndarray], slots: int) -> pa.
                 sure.append((PAIR, min(old, i), max(old, i)))
             smallest[mark] = i if old is None else min(old, i)
             chosen[mark] = s
-    sketches = short_sketches(sets)
+    sketches = short_sketches(sets) if common is None else []
     ids = np.array([smallest[m] for m in chosen], np.int64)
     order = np.argsort(ids, kind="stable")
     marks = list(chosen)
-    keys, of = keys_of([chosen[marks[k]] for k in order])
+    keys, of = keys_of([chosen[marks[k]] for k in order], common)
     owner = ids[order][of]
     order, first, counts = _stars(keys, owner)
     keys, owner = keys[order], owner[order]
@@ -286,6 +298,20 @@ def _meet(table: pa.Table) -> pa.Table:
     return pa.table({"kind": rows[:, 0].astype(np.int32), "a": rows[:, 1], "b": rows[:, 2], "sketch": pa.array(own, pa.binary())})
 
 
+def _met(rows: DataFrame, slots: int, common: np.ndarray | None = None) -> DataFrame:
+    """What the sketches of some rows tell, once they met."""
+    packed = rows.mapInArrow(lean(_sketch(slots, common)), "slot int, keys binary, ids binary, runs binary, sure binary, sketches binary")
+    return written(packed.repartition(slots, "slot").groupBy("slot").applyInArrow(lean(_meet), MET), "jaccard-met")
+
+
+def _members(met: DataFrame) -> DataFrame:
+    return met.filter(F.col("kind") == MEMBER).select(F.col("a").alias("bucket"), F.col("b").alias("id"))
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.filter(F.col("kind") == PAIR).select("a", "b")
+
+
 def _ids(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
 
@@ -340,29 +366,24 @@ def still_open(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(lean(_open), "a long, b long")
 
 
-def _meetings(bucket: np.ndarray, block: np.ndarray, low: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of entries to compare, about ``CHUNK`` at a time: entries are sorted by bucket and block.
+def _meetings(bucket: np.ndarray, block: np.ndarray, part: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of entries to compare, about ``CHUNK`` at a time: entries are sorted by bucket, block and component (``part``).
 
-    In every bucket the entries that aren't in its lowest component (``low``) meet all others, once; two of the lowest
-    component need no link between them.
+    In every bucket each entry meets those of the components behind its own, once; two of one component need no link between them.
     """
     if not len(bucket):
         return
-    edges = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (block[1:] != block[:-1]), [True]]))
-    counts = np.diff(edges)
-    first, size = np.repeat(edges[:-1], counts), np.repeat(counts, counts)
-    outer = np.flatnonzero(~low)
-    upto = np.cumsum(size[outer])
+    apart = (bucket[1:] != bucket[:-1]) | (block[1:] != block[:-1])
+    end, after = (np.repeat(e[1:], np.diff(e)) for e in (np.flatnonzero(np.concatenate([[True], a, [True]])) for a in (apart, apart | (part[1:] != part[:-1]))))
+    size = end - after
+    upto = np.cumsum(size)
     at = 0
-    while at < len(outer):
-        end = max(int(np.searchsorted(upto, (upto[at - 1] if at else 0) + CHUNK, side="right")), at + 1)
-        own = outer[at:end]
-        left = np.repeat(own, size[own])
-        ends = np.cumsum(size[own])
-        right = np.repeat(first[own], size[own]) + np.arange(ends[-1]) - np.repeat(ends - size[own], size[own])
-        once = low[right] | (right > left)
-        yield left[once], right[once]
-        at = end
+    while at < len(size):
+        stop = max(int(np.searchsorted(upto, (upto[at - 1] if at else 0) + CHUNK, side="right")), at + 1)
+        own = size[at:stop]
+        ends = np.cumsum(own)
+        yield np.repeat(np.arange(at, stop), own), np.repeat(after[at:stop] - ends + own, own) + np.arange(ends[-1])
+        at = stop
 
 
 def _compare(table: pa.Table) -> pa.Table:
@@ -381,14 +402,14 @@ def _compare(table: pa.Table) -> pa.Table:
     bucket = lists.flatten().to_numpy()
     _, block = np.unique(np.stack([lowest, i, j], axis=1), axis=0, return_inverse=True)
     block = block.reshape(-1)
-    order = np.lexsort((row, block[row], bucket))
+    order = np.lexsort((row, part[row], block[row], bucket))
     bucket, row = bucket[order], row[order]
     found = np.zeros(0, np.int64)
-    for left, right in _meetings(bucket, block[row], (part == lowest)[row]):
+    for left, right in _meetings(bucket, block[row], part[row]):
         p, q = row[left], row[right]
         x, y = n[p], n[q]
         # Rows of one block of ids meet where both sides are that block.
-        keep = (part[p] != part[q]) & ((i[p] == j[p]) | (home[p] != home[q])) & (4 * np.minimum(x, y) >= 3 * np.maximum(x, y))
+        keep = ((i[p] == j[p]) | (home[p] != home[q])) & (4 * np.minimum(x, y) >= 3 * np.maximum(x, y))
         p, q = line[p[keep]], line[q[keep]]
         found = np.unique(np.concatenate([found, np.minimum(p, q) * len(names) + np.maximum(p, q)]))
     sketch, result = table["sketch"], []
@@ -401,26 +422,81 @@ def _compare(table: pa.Table) -> pa.Table:
     return pa.table({"a": pairs.min(axis=1), "b": pairs.max(axis=1)})
 
 
+def _placed(members: DataFrame, named: DataFrame) -> DataFrame:
+    return members.join(named, "id", "left").withColumn("component", F.coalesce("component_id", "id")).drop("component_id")
+
+
+def _split(members: DataFrame, named: DataFrame) -> DataFrame:
+    """Buckets whose ids are not yet one component, each with its lowest one (``low``) and the most ``pairs`` of ids of two components that it may hold."""
+    counts = _placed(members, named).groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    sizes = counts.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum("n").alias("size"), F.max("n").alias("most"))
+    open_ = sizes.filter("low <> high AND size > 2")
+    return written(open_.select("bucket", "low", (F.col("size").cast("double") * (F.col("size") - F.col("most"))).alias("pairs")), "jaccard-split")
+
+
+def _inside(members: DataFrame, named: DataFrame, split: DataFrame) -> DataFrame:
+    """The ids of open buckets; an id stands once for all of them that have one lowest component. Those that are ``crowded`` aren't listed, only told."""
+    inside = _placed(members, named).join(split.select("bucket", "low", "crowded"), "bucket")
+    listed = F.collect_set(F.when(~F.col("crowded"), F.col("bucket")))
+    return written(inside.groupBy("low", "id").agg(F.min("component").alias("component"), listed.alias("buckets"), F.max("crowded").alias("crowded")), "jaccard-inside")
+
+
+def _rounds(members: DataFrame, rows: DataFrame, named: DataFrame, slots: int, worth: float) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Ids of open buckets and these buckets, without those of common keys as far as rarer keys take their place; the pairs that rarer keys bring.
+
+    A shingle that many unlike texts share makes a bucket that grows with the input, and its pairs with the square of that. Texts in such
+    buckets are given keys once more, with the common ones behind all others. Two linked texts that share no other bucket are both among them, and share
+    one of the new keys. That goes on while new common keys have more than ``worth`` pairs; what then is left of them is compared like any bucket.
+    """
+    spark = rows.sparkSession
+    common, inside, splits, pairs = np.zeros(0, np.int64), [], [], []
+    while True:
+        split, least = _split(members, named), COMMON
+        while (crowded := split.filter(F.col("pairs") > float(least) ** 2)).count() > MOST_COMMON:
+            least *= 2
+        crowded = crowded.select("bucket", "pairs").toArrow()
+        names = crowded["bucket"].to_numpy()
+        new = ~np.isin(names, common)
+        if crowded["pairs"].to_numpy()[new].sum() <= worth:
+            break
+        names = names[new]
+        found = spark.createDataFrame(pa.table({"bucket": names})).withColumn("found", F.lit(True))
+        split = split.join(F.broadcast(found), "bucket", "left").withColumn("crowded", F.coalesce("found", F.lit(False)))
+        inside.append(_inside(members, named, split))
+        splits.append(split.filter(~F.col("crowded")).select("low", "pairs"))
+        again = written(inside[-1].filter("crowded").select("id").distinct(), "jaccard-ids")
+        common = np.union1d(common, names)
+        met = _met(rows.join(F.broadcast(again) if again.count() <= FEW else again, "id", "left_semi"), slots, common)
+        members = _members(met)
+        pairs.append(_pairs(met))
+    inside.append(_inside(members, named, split.withColumn("crowded", F.lit(False))))
+    splits.append(split.select("low", "pairs"))
+    return reduce(DataFrame.unionByName, inside), reduce(DataFrame.unionByName, splits), reduce(DataFrame.unionByName, pairs) if pairs else None
+
+
 def _second(members: DataFrame, sketches: DataFrame, named: DataFrame) -> DataFrame:
-    """Pairs of ids that share a bucket whose ids are not yet one component, as far as their sketches leave them open.
+    """Pairs of ids that share a bucket whose ids are not yet one component, as far as their sketches leave them open."""
+    split = _split(members, named).withColumn("crowded", F.lit(False))
+    return _compared(_inside(members, named, split), split, sketches)
+
+
+def _compared(inside: DataFrame, split: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs of ids that share one of these open buckets, as far as their sketches leave them open.
 
     Buckets with one lowest component make a group: copies of one text or passage share many buckets, so an id travels
     once for all of them, with its sketch, and a pair is compared and told once. The ids of a group are compared in blocks, so a large one is spread
     over many tasks. The number of tasks' portions follows the counted rows, bytes and pairs, so none grows with the input.
     """
-    placed = members.join(named, "id", "left").withColumn("component", F.coalesce("component_id", "id")).drop("component_id")
-    split = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low <> high AND size > 2")
-    inside = placed.join(split.select("bucket", "low"), "bucket").groupBy("low", "id").agg(F.min("component").alias("component"), F.collect_set("bucket").alias("buckets"))
-    open_ = written(inside, "jaccard-open")
+    open_ = written(inside.filter(F.size("buckets") > 0).groupBy("low", "id").agg(F.min("component").alias("component"), F.array_distinct(F.flatten(F.collect_list("buckets"))).alias("buckets")), "jaccard-open")
     # Rows that share an id and a text are one.
     chosen = written(sketches.join(open_.select("id").distinct(), "id", "left_semi").distinct(), "jaccard-open-sketches")
     weights = chosen.groupBy("id").agg(F.count("*").alias("lines"), F.sum(F.octet_length("sketch") + ROW).alias("bytes"))
-    counted = open_.select("low", "id", (F.col("component") != F.col("low")).alias("outer"), F.size("buckets").cast("long").alias("entries")).join(weights, "id")
-    sums = counted.groupBy("low").agg(
-        F.sum("lines").alias("lines"), F.sum(F.col("bytes") + 8 * F.col("entries") * F.col("lines")).alias("bytes"),
-        F.sum(F.when(F.col("outer"), F.col("entries") * F.col("lines")).otherwise(0)).alias("outer"),
-    )
-    blocked = written(sums.withColumn("blocks", F.ceil(F.greatest(F.col("lines") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("long")), "jaccard-blocks")
+    counted = open_.select("low", "id", F.size("buckets").cast("long").alias("entries")).join(weights, "id")
+    sums = counted.groupBy("low").agg(F.sum("lines").alias("lines"), F.sum(F.col("bytes") + 8 * F.col("entries") * F.col("lines")).alias("bytes"), F.count("*").alias("ids"))
+    # What rows that share an id add to the pairs.
+    pairs = split.groupBy("low").agg(F.sum("pairs").alias("pairs"))
+    shared = sums.join(pairs, "low").withColumn("pairs", F.col("pairs") * F.pow(F.col("lines") / F.col("ids"), 2))
+    blocked = written(shared.withColumn("blocks", F.ceil(F.greatest(F.col("lines") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("long")), "jaccard-blocks")
     slots = _slots_of(blocked)
     rows = open_.join(blocked.select("low", "blocks"), "low").join(chosen, "id").withColumn("own", F.pmod(F.xxhash64("id", "n", "sketch"), F.col("blocks")))
     # A row meets every block of its group once: as the smaller or the larger number of the pair of blocks.
@@ -430,12 +506,9 @@ def _second(members: DataFrame, sketches: DataFrame, named: DataFrame) -> DataFr
 
 
 def _slots_of(blocked: DataFrame) -> int:
-    """Portions for the blocks of open groups, so that each holds about ``GROUP`` bytes of rows and ``PAIRS`` pairs, however much work there is.
-
-    An outer entry meets at most the rows of its group, and blocks share that out.
-    """
+    """Portions for the blocks of open groups, so that each holds about ``GROUP`` bytes of rows and ``PAIRS`` pairs, however much work there is; blocks share that out."""
     spark = blocked.sparkSession
-    moved, pairs = blocked.agg(F.sum(F.col("bytes").cast("double") * F.col("blocks")), F.sum(F.col("outer").cast("double") * F.col("lines"))).first()
+    moved, pairs = blocked.agg(F.sum(F.col("bytes").cast("double") * F.col("blocks")), F.sum("pairs")).first()
     return max(width(spark, 0, 1) * 4, width(spark, moved or 0, GROUP), width(spark, pairs or 0, PAIRS))
 
 
@@ -472,26 +545,28 @@ def similar_groups(df: DataFrame, row: str = "doc_id", text: str = "text") -> Da
     null component. An empty table gives an empty result.
 
     One pass over the text makes packed sketch keys, which are the one large shuffle, and short sketches. Pairs that these leave open are verified on whole
-    sets, first one partner for each id, then the other pairs with a bucket's smallest id, then the rest of open buckets, each time only what is still in different components. Links are complete: every two ids that
-    share a bucket are compared, unless they are already known to be one component.
+    sets, first one partner for each id, then the other pairs with a bucket's smallest id, then the rest of open buckets, each time only what is still in different components. Texts in crowded buckets first get rarer keys. Links are complete: every two ids that
+    share a bucket are compared, unless they are already known to be one component or share a rarer key whenever they link.
     """
     spark = df.sparkSession
     rows = df.select(F.col(row).cast("long").alias("id"), text_bytes(text).alias("text"))
-    size = df.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
-    slots = width(spark, size, GROUP)
+    n, size = df.agg(F.count("*"), F.sum(F.octet_length(F.col(text)))).first()
+    slots = width(spark, size or 0, GROUP)
     with staging(spark):
-        packed = rows.mapInArrow(lean(_sketch(slots)), "slot int, keys binary, ids binary, runs binary, sure binary, sketches binary")
-        met = written(packed.repartition(slots, "slot").groupBy("slot").applyInArrow(lean(_meet), MET), "jaccard-met")
-        members = met.filter(F.col("kind") == MEMBER).select(F.col("a").alias("bucket"), F.col("b").alias("id"))
+        met = _met(rows, slots)
         # Of texts that share an id any may link: their sizes and sketches all count.
         sketches = met.filter(F.col("kind") == SIZE).select(F.col("a").alias("id"), F.col("b").alias("n"), "sketch")
-        pairs = written(still_open(met.filter(F.col("kind") == PAIR).select("a", "b").distinct(), sketches).distinct(), "jaccard-pairs")
+        pairs = written(still_open(_pairs(met).distinct(), sketches).distinct(), "jaccard-pairs")
 
         first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
         links = _links(first, rows)
         rest = written(_apart(pairs, _known(links)).join(first, ["a", "b"], "left_anti"), "jaccard-pairs")
         links = links.unionByName(_links(rest, rows))
-        more = _second(members, sketches, _known(links))
+        named = _known(links)
+        inside, split, rarer = _rounds(_members(met), rows, named, slots, WORTH * n)
+        more = _compared(inside, split, sketches)
+        if rarer:
+            more = more.unionByName(still_open(_apart(rarer.distinct(), named).join(pairs, ["a", "b"], "left_anti"), sketches)).distinct()
         more = written(more.join(pairs, ["a", "b"], "left_anti"), "jaccard-pairs")
         named = components(links.unionByName(_links(more, rows)))
         sizes = met.filter(F.col("kind") == SIZE).select(F.col("a").alias("id"), F.col("b").alias("n_shingles"))

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import tracemalloc
+import uuid
 from collections import defaultdict
 
 import numpy as np
@@ -112,6 +113,67 @@ def test_groups_of_blocks_are_bounded(spark, monkeypatch):
     assert sum(found) >= 1_000 and max(found) <= 600
 
 
+def test_texts_that_share_common_shingles_get_rarer_keys(spark, documents, monkeypatch, tmp_path):
+    """Unlike texts with a passage in common aren't compared all with all; copies among them, and texts of hardly anything else, are still found."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randint(0, 10**6)}"
+    passages = [[word() for _ in range(12)] for _ in range(5)]
+    bases = [[word() for _ in range(20)] + rng.choice(passages[:2]) + [word() for _ in range(10)] for _ in range(260)]
+    rows = [" ".join(b) for b in bases] + [" ".join(edited(b, 0.03, rng)) for b in bases[:60]] + [" ".join(edited(b, 0.01, rng)) for b in bases[:60]]
+    rows += [" ".join(edited([w for p in rng.sample(passages, 3) for w in p], 0.03, rng)) for _ in range(60)]
+    rng.shuffle(rows)
+    numbered = [(None if i == 50 else i, t) for i, t in enumerate(rows)] + [(7, rows[3]), (9, "a b c d e f"), (500, None)]
+    monkeypatch.setattr(jaccard_join, "COMMON", 24, raising=False)
+    monkeypatch.setattr(jaccard_join, "WORTH", 0, raising=False)
+    old, where = jaccard_join._compare, str(tmp_path)
+
+    def compare(table):
+        size = defaultdict(int)
+        for r in table.to_pylist():
+            for b in r["buckets"]:
+                size[r["low"], r["i"], r["j"], b] += 1
+        with open(f"{where}/{uuid.uuid4()}", "w") as f:
+            f.write(str(sum(n * (n - 1) // 2 for n in size.values())))
+        return old(table)
+
+    monkeypatch.setattr(jaccard_join, "_compare", compare)
+    assert groups(documents(numbered)) == brute_groups(numbered)
+    compared = sum(int(p.read_text()) for p in tmp_path.iterdir())
+    assert 0 < compared < 40_000
+
+
+def test_pairs_of_one_component_are_not_compared():
+    """A large group of copies and a stray text in its buckets: as many pairs as copies, whichever has the lower id."""
+    for stray in (0, 9):
+        part = np.sort(np.array([5] * 400 + [stray]))
+        bucket = np.zeros(401, np.int64)
+        left, right = (np.concatenate(x) for x in zip(*jaccard_join._meetings(bucket, bucket, part), strict=True))
+        assert len(left) == 400 and (part[left] != part[right]).all()
+
+
+def test_pigeonhole_with_common_keys_behind():
+    """Linked sets share a key whichever keys are common, and keep off those while they have others."""
+    rng = np.random.default_rng(8)
+    for n in [1, 3, 9, 30, 63, 64, 85, 200, 700]:
+        for _ in range(12):
+            common = rng.integers(0, 2**63, n, dtype=np.uint64)
+            extra = int(rng.integers(0, n // 3 + 1))
+            mine = int(rng.integers(0, extra + 1))
+            other = rng.integers(0, 2**63, extra, dtype=np.uint64)
+            a, b = np.unique(np.append(common, other[:mine])), np.unique(np.append(common, other[mine:]))
+            if not jaccard_join.linked(a, b):
+                continue
+            plain, of = jaccard_join.keys_of([a, b])
+            names = np.unique((plain & jaccard_join.LOW).view(np.int64))
+            late = names[rng.random(len(names)) < rng.random()]
+            keys, of = jaccard_join.keys_of([a, b], late)
+            assert np.intersect1d(keys[of == 0], keys[of == 1]).size
+    many = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    names = (jaccard_join.keys_of([np.unique(many)])[0] & jaccard_join.LOW).view(np.int64)
+    again = (jaccard_join.keys_of([np.unique(many)], np.sort(names[:10]))[0] & jaccard_join.LOW).view(np.int64)
+    assert len(again) == len(names) and not np.isin(names[:10], again).any()
+
+
 def test_pigeonhole_on_sketch_parts():
     """Linked sets always share a key, also at the very threshold and across size bands."""
     rng = np.random.default_rng(3)
